@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mix, warc
+from . import bpe, covertree, mix, onebit, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings")
+    return covertree.search_top_k(v, v.where(covertree.every(v, 50)))
+
+
+def op4_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _table(spark, sf_dir, "embeddings")
+    return onebit.search_nearest(v, v.where(covertree.every(v, 50)))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.archive_path(spark)
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
@@ -29,12 +39,22 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_covertree": op1_covertree,
+    "op4_onebit": op4_onebit,
     "op5_warc": op5_warc,
     "op8_mix": op8_mix,
     "op9_bpe": op9_bpe,
 }
 
 SQL = {
+    "op1_covertree": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 5
+    """,
     "op5_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
