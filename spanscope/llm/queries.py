@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, mix, onebit, warc
+from . import bpe, covertree, langid, mix, onebit, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.search_top_k(v, v.where(covertree.every(v, 50)))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.learn_and_identify(_table(spark, sf_dir, "documents"))
+
+
 def op4_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "embeddings")
     return onebit.search_nearest(v, v.where(covertree.every(v, 50)))
@@ -40,6 +44,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_covertree": op1_covertree,
+    "op2_langid": op2_langid,
     "op4_onebit": op4_onebit,
     "op5_warc": op5_warc,
     "op8_mix": op8_mix,
