@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, langid, mix, onebit, toxicity, warc
+from . import bpe, covertree, langid, mix, onebit, substrings, suffixarray, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.learn_and_identify(_table(spark, sf_dir, "documents"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "embeddings")
     return onebit.search_nearest(v, v.where(covertree.every(v, 50)))
@@ -50,6 +54,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_covertree": op1_covertree,
     "op2_langid": op2_langid,
+    "op3_substrings": op3_substrings,
     "op4_onebit": op4_onebit,
     "op5_warc": op5_warc,
     "op7_toxicity": op7_toxicity,
@@ -75,3 +80,10 @@ SQL = {
         FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 100
     """,
 }
+
+
+def op10_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarray.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op10_suffixarray": op10_suffixarray}

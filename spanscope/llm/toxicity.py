@@ -70,12 +70,18 @@ class Tokens:
 
 def tokens(data: np.ndarray, offsets: np.ndarray, grams: int) -> Tokens:
     low = LOWER[data]
-    start, end, row = words(low, offsets, _GAP)
+    found, i = [], 0
+    while i < len(offsets) - 1:  # a few rows at a time: hashing takes some words of memory a byte
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), side="right")) - 1)
+        part = low[offsets[i] : offsets[j]]
+        start, end, row = words(part, offsets[i : j + 1] - offsets[i], _GAP)
+        found.append((start + offsets[i], end + offsets[i], row + i, span_hash(prefix_sums(part), start, end)))
+        i = j
+    start, end, row, h = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
     row_at = np.searchsorted(row, np.arange(len(offsets)))
     if not len(start):
         z = np.zeros(0, np.int64)
         return Tokens(np.zeros(0, np.uint64), z, np.zeros(1, np.int64), z, row_at)
-    h = span_hash(prefix_sums(low), start, end)
     uniq, first, word = np.unique(h, return_index=True, return_inverse=True)
     s, n = start[first], (end - start)[first]
     at = ranges(s, n)
@@ -106,11 +112,11 @@ def windows(row_at: np.ndarray, window: int = WINDOW, stride: int = STRIDE):
     return first, np.minimum(size[row], window), row
 
 
-def word_vectors(m: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    """Input vectors of the distinct words, and their rows of the word table."""
+def word_vectors(m: Model, t: Tokens, hide: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Input vectors of the distinct words, and their rows of the word table; words in ``hide`` pass as rare."""
     at = np.searchsorted(m.vocabulary, t.hashes)
     known = (at < len(m.vocabulary)) & (m.vocabulary[np.minimum(at, max(len(m.vocabulary) - 1, 0))] == t.hashes) if len(m.vocabulary) else np.zeros(len(t.hashes), bool)
-    rows = np.where(known, at + 1, 0)
+    rows = np.where(known if hide is None else known & ~hide, at + 1, 0)
     n = np.diff(t.gram_at)
     chars = np.add.reduceat(m.p["char"][t.gram], t.gram_at[:-1], axis=0) if len(n) else np.zeros((0, m.p["char"].shape[1]), np.float32)
     return m.p["word"][rows] + chars / np.sqrt(np.maximum(n, 1))[:, None].astype(np.float32), rows
@@ -184,13 +190,16 @@ def _back_run(p: dict, d: str, kept: list, dout: np.ndarray, mask: np.ndarray |
     return dx
 
 
-def gradients(m: Model, t: Tokens, idx: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray):
-    """Loss and gradients of a batch of windows; idx numbers distinct words of t, (steps, windows)."""
+def gradients(m: Model, t: Tokens, idx: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator | None = None, dropout: float = 0.5):
+    """Loss and gradients of a batch of windows; idx numbers distinct words of t, (steps, windows).
+
+    With ``rng`` that share of the distinct words is read by characters alone.
+    """
     p = m.p
     used, inv = np.unique(idx, return_inverse=True)
     n = np.diff(t.gram_at)[used]
     sub = Tokens(t.hashes[used], t.gram[ranges(t.gram_at[used], n)], np.concatenate([[0], np.cumsum(n)]), inv, t.row_at)
-    x, rows = word_vectors(m, sub)
+    x, rows = word_vectors(m, sub, None if rng is None else rng.random(len(used)) < dropout)
     table = np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], 1)
     logit, (s, e, w, ctx, kf, kb) = forward(m, table, inv.reshape(idx.shape), mask, True)
     prob = _sig(logit)
@@ -263,10 +272,11 @@ def _adam(p, g, state, step, rate):
         p[k] -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
 
 
-def train(texts: list[str], y: np.ndarray, base_rate: float, *, warm: int = 2, epochs: int = 6, rate: float = 0.01, frequent: int = 4, size: int = 256, seed: int = 3) -> Model:
+def train(texts: list[str], y: np.ndarray, base_rate: float, *, warm_steps: int = 150, steps: int = 100, rate: float = 0.01, frequent: int = 4, size: int = 256, seed: int = 3) -> Model:
     """Fit on whole texts with labels 0 and 1; ``base_rate`` is the share of 1 the scores are calibrated to.
 
     The network learns from four texts of five, the calibration from the fifth.
+    Small samples are gone over more often, until both phases have had their steps.
     """
     kept = np.arange(len(texts)) % 5 == 4
     if len(texts) < 50 or not 0 < y[~kept].mean() < 1 or not 0 < y[kept].mean() < 1:
@@ -287,6 +297,9 @@ def train(texts: list[str], y: np.ndarray, base_rate: float, *, warm: int = 2, e
         return m
     rng, state, step = np.random.default_rng(seed), {}, 0
     per_row = np.bincount(row, minlength=len(texts))
+    per = max(1, int(learn.sum()) // size)
+    warm = min(max(2, -(-warm_steps // per)), 40)
+    epochs = min(max(6, -(-steps // max(1, 2 * int((~kept).sum()) // size))), 40)
     for epoch in range(warm + epochs):
         if epoch < warm:
             use, weight = np.flatnonzero(learn), (1.0 / np.sqrt(per_row))[row].astype(np.float32)
@@ -306,7 +319,7 @@ def train(texts: list[str], y: np.ndarray, base_rate: float, *, warm: int = 2, e
             o = use[i : i + size]
             idx, mask = _batch(t, first[o], length[o], WINDOW)
             w = weight[o] / weight[o].sum()
-            _, g = gradients(m, t, idx, mask if mask is not None else np.ones(idx.shape, bool), y[row[o]].astype(np.float32), w.astype(np.float32))
+            _, g = gradients(m, t, idx, mask if mask is not None else np.ones(idx.shape, bool), y[row[o]].astype(np.float32), w.astype(np.float32), rng)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             if norm > 1:
                 g = {k: v / norm for k, v in g.items()}
@@ -322,15 +335,25 @@ def train(texts: list[str], y: np.ndarray, base_rate: float, *, warm: int = 2, e
 def calibrate(z: np.ndarray, y: np.ndarray, base_rate: float) -> tuple[float, float]:
     """Scale and shift of logits by a penalised logistic fit, classes weighted to ``base_rate``."""
     w = np.where(y > 0, base_rate / max(y.mean(), 1e-9), (1 - base_rate) / max(1 - y.mean(), 1e-9))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        q = _sig(a * z + b)
-        gr = np.array([(w * (q - y) * z).sum() + 0.05 * len(z) * (a - 1) * 0.1, (w * (q - y)).sum()])
-        k = w * q * (1 - q) + 1e-9
-        he = np.array([[(k * z * z).sum() + 0.005 * len(z), (k * z).sum()], [(k * z).sum(), k.sum() + 1e-3]])
-        da, db = np.linalg.solve(he, gr)
-        a, b = float(np.clip(a - da, 0.2, 3.0)), float(np.clip(b - db, -20, 20))
-    return a, b
+    pull = np.array([2.0, 0.01])
+
+    def loss(ab):
+        q = ab[0] * z + ab[1]
+        return float((w * np.logaddexp(0, np.where(y > 0, -q, q))).sum() + 0.5 * (pull * (ab - (1, 0)) ** 2).sum())
+
+    ab = np.array([1.0, 0.0])
+    for _ in range(100):
+        q = _sig(ab[0] * z + ab[1])
+        grad = np.array([(w * (q - y) * z).sum(), (w * (q - y)).sum()]) + pull * (ab - (1, 0))
+        k = w * q * (1 - q)
+        move = np.linalg.solve(np.array([[(k * z * z).sum() + pull[0], (k * z).sum()], [(k * z).sum(), k.sum() + pull[1]]]), grad)
+        size, now = 1.0, loss(ab)
+        while size > 1e-6 and loss(ab - size * move) > now - 1e-4 * size * float(grad @ move):
+            size /= 2
+        ab = ab - size * move
+        if abs(size * move).max() < 1e-7:
+            break
+    return float(max(ab[0], 0.05)), float(ab[1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, clean: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
