@@ -60,6 +60,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     return d.withColumns({"r1": F.xxhash64("doc_id", "text"), "r2": F.hash("text", "doc_id")})
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns and the keys of ``keyed`` as q1 and q2."""
+    key = pick(docs, doc_id="bigint", text="string")
+    if key.schema["doc_id"].dataType != docs.schema["doc_id"].dataType:
+        raise ValueError("doc_id must be a bigint")
+    return docs.withColumns({"q1": F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), "q2": F.hash(F.coalesce("text", F.lit("")), "doc_id")})
+
+
 def anchors(symbols: np.ndarray, offsets: np.ndarray, spec: Spec):
     """(first window, last window, anchor position, anchor hash) of every strand."""
     w = spec.width - spec.k + 1

@@ -113,28 +113,45 @@ def _copies(hist: DataFrame, lam: DataFrame, goal: DataFrame, cap: int) -> DataF
     return c
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bucket: int = 1024) -> DataFrame:
-    """One row per document: id, size, source_size, target, copies, taken.
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """One row per document: id, size, source_size, target, copies, taken (see ``shares``)."""
+    src = pick(docs, **{id_col: "bigint", source_col: "string", text_col: "string"}).toDF("doc_id", "source", "text")
+    d = src.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+    return shares(d, **options).select(F.col("doc_id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """``docs``, all columns, every row as often as the mix takes it."""
+    rows = docs.withColumns({"_k1": F.xxhash64(*docs.columns), "_k2": F.hash(*reversed(docs.columns))})
+    d = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("_k1", "_k2").alias("key"), "_k1", "_k2")
+    copies = shares(d, **options).groupBy(F.col("_k1").alias("_c1"), F.col("_k2").alias("_c2")).agg(F.sum("copies").cast("int").alias("_n")).where("_n > 0")
+    one = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy("_k1"))
+    some = rows.join(copies, (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2"))).withColumn("_one", one).where("_one = 1")
+    return some.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+
+def shares(d: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, bucket: int = 1024) -> DataFrame:
+    """Rows of (doc_id, source, size, key, ...) with source_size, target and copies; key orders equal documents.
 
     A cell's k copies go to its n equal-sized documents evenly; the remainder
     goes to those first in a hash order of the ids.  That order is found in
     buckets of about ``bucket`` documents with a prefix sum over bucket counts,
     so no task ranks a whole cell however large it is.
     """
-    src = pick(docs, **{id_col: "bigint", source_col: "string", text_col: "string"}).toDF("doc_id", "source", "text")
-    d = cut(src.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id"), F.xxhash64(F.col("text"))).alias("_h")))
+    d = cut(d)
+    keep = d.columns
     hist = cut(d.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     total = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).cast("bigint").alias("source_size"))
     goal = cut(targets(total, weights, float(cap)))
     cells = cut(_copies(hist, solve(hist, goal, cap), goal, cap)).select(F.col("source").alias("_s"), F.col("size").alias("_z"), "n", "k")
     goal = goal.select(F.col("source").alias("_g"), "source_size", "target")
     j = d.join(cells, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_z") == F.col("size"))).drop("_s", "_z")
-    j = j.withColumn("_b", F.pmod(F.col("_h"), F.ceil(F.col("n") / F.lit(bucket)).cast("bigint")))
+    j = j.withColumn("_b", F.pmod(F.col("key"), F.ceil(F.col("n") / F.lit(bucket)).cast("bigint")))
     counts = j.groupBy("source", "size", "_b").agg(F.count(F.lit(1)).alias("_m"))
     counts = counts.withColumn("_before", F.sum("_m").over(W.partitionBy("source", "size").orderBy("_b")) - F.col("_m")).select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("_b").alias("_c"), "_before")
     j = j.join(counts, F.col("_s").eqNullSafe(F.col("source")) & (F.col("_z") == F.col("size")) & (F.col("_c") == F.col("_b"))).drop("_s", "_z", "_c")
-    place = F.row_number().over(W.partitionBy("source", "size", "_b").orderBy("_h", "doc_id")) + F.col("_before")
+    place = F.row_number().over(W.partitionBy("source", "size", "_b").orderBy("key", "doc_id")) + F.col("_before")
     copies = F.expr("k div n") + (place <= F.col("k") % F.col("n")).cast("bigint")
     j = j.withColumn("copies", copies)
     j = j.join(goal, F.col("_g").eqNullSafe(F.col("source")))
-    return j.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"))
+    return j.select(*keep, "source_size", "target", F.col("copies").cast("int").alias("copies"))

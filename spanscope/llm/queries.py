@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, langid, mix, onebit, substrings, suffixarray, toxicity, warc
+from . import bpe, covertree, langid, mix, ngramjoin, onebit, substrings, suffixarray, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path)
 
 
+def op6_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join_components(_table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_substrings": op3_substrings,
     "op4_onebit": op4_onebit,
     "op5_warc": op5_warc,
+    "op6_ngramjoin": op6_ngramjoin,
     "op7_toxicity": op7_toxicity,
     "op8_mix": op8_mix,
     "op9_bpe": op9_bpe,
@@ -71,6 +76,18 @@ SQL = {
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
         SELECT * FROM r WHERE rank <= 5
     """,
+    "op6_ngramjoin": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g
+              FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, least(len(ws), 1)) + 1)) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+        r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+        c AS (SELECT x, min(y) AS component_id FROM r GROUP BY 1)
+        SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.x = d.doc_id
+    """,
     "op5_warc": """
         WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)

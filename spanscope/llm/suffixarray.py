@@ -28,9 +28,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._base import pieces, text_buffers
-from ._repeats import Spec, cover_mask, covered, keyed, with_spans
+from ._repeats import Spec, cover_mask, covered, keyed, marked, with_spans
 from ._words import ranges, scramble
 from .substrings import runs, span_lists
 
@@ -231,3 +232,42 @@ def _finish(docs: DataFrame, width: int, budget: int, whole: bool) -> DataFrame:
 
     tail = "kept binary, spans array<struct<lo:int,hi:int>>" if whole else "kept_sha256 string"
     return found.mapInArrow(run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {tail}")
+
+
+def whole_characters(gone: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The mask without the bytes of characters that are covered in part."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(lead):
+        return gone
+    size = np.diff(np.concatenate([lead, [len(data)]]))
+    return np.repeat(np.add.reduceat(gone.astype(np.int64), lead) == size, size)
+
+
+def cut_documents(docs: DataFrame, *, width: int = 400, budget: int = 1_500_000) -> DataFrame:
+    """``docs``, all columns, with the repeats cut out of the texts; n_chars, if there, is counted anew.
+
+    Spans are those of ``removed_bytes``; a character they cover in part stays,
+    so that the texts stay valid UTF-8.  A null text stays null.
+    """
+    spans = covered(keyed(docs), byte_spec(width), decider(width), budget).withColumnsRenamed({"q1": "r1", "q2": "r2"})
+    rows = marked(docs).join(spans, (F.col("q1") == F.col("r1")) & (F.col("q2") == F.col("r2")), "left").select(*docs.columns, "spans")
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches):
+        for b in batches:
+            for part in pieces(b, "text"):
+                data, off = text_buffers(part.column(at))
+                gone = whole_characters(cover_mask(part.column(len(names)), off[:-1], len(data)), data)
+                blob = data[~gone].tobytes()
+                end = off - np.concatenate([[0], np.cumsum(gone)])[off]
+                null = part.column(at).is_null().to_pylist()
+                texts = [None if z else blob[i:j].decode() for i, j, z in zip(end[:-1], end[1:], null, strict=True)]
+                cols = [part.column(i) for i in range(len(names))]
+                cols[at] = pa.array(texts, pa.string())
+                if "n_chars" in names:
+                    cols[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    schema = docs.schema
+    return rows.mapInArrow(run, schema)
