@@ -1,0 +1 @@
+"""Context-length analytics for sequence models, as Spark DataFrames."""
