@@ -8,7 +8,7 @@ where that reaches ``width`` the words it covers go.  A shard's automaton is
 needed only by documents that share its anchors, so it is built in the task
 their strands are dealt to instead of being broadcast to all: shards grow in
 number with the corpus, and sending each to every document would cost the
-square of it.  Words are compared as 48-bit hashes, whole windows at a time.
+square of it.  Words are compared as 40-bit hashes, whole windows at a time.
 
 Null and empty texts have no words; a text shorter than the window keeps all.
 Repeated rows are each other's repeats.  Other columns are ignored.
@@ -26,6 +26,8 @@ from ._base import pieces, text_buffers
 from ._repeats import Spec, cover_mask, covered, keyed, with_spans
 from ._words import prefix_sums, ranges, span_hash, words
 
+_BYTES = 5  # of a packed word
+
 
 class Automaton:
     """A suffix automaton over several sequences, with weighted occurrence counts."""
@@ -102,15 +104,15 @@ class Automaton:
 
 
 def pack(symbols: np.ndarray) -> bytes:
-    """The low 48 bits of every symbol."""
-    return np.ascontiguousarray(symbols.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """The low 40 bits of every symbol."""
+    return np.ascontiguousarray(symbols.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES]).tobytes()
 
 
 def unpack(strands: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All symbols, and where each strand begins."""
-    at = np.concatenate([[0], np.cumsum([len(s) // 6 for s in strands])])
+    at = np.concatenate([[0], np.cumsum([len(s) // _BYTES for s in strands])])
     wide = np.zeros((int(at[-1]), 8), np.uint8)
-    wide[:, :6] = np.frombuffer(b"".join(strands), np.uint8).reshape(-1, 6)
+    wide[:, :_BYTES] = np.frombuffer(b"".join(strands), np.uint8).reshape(-1, _BYTES)
     return wide.view("<u8").ravel(), at
 
 
@@ -137,7 +139,7 @@ def _symbols(data: np.ndarray, off: np.ndarray):
 
 
 def word_spec(width: int) -> Spec:
-    return Spec(width=width, k=max(1, width // 2), symbols=_symbols, pack=pack, size=6, block=max(1, width // 8))
+    return Spec(width=width, k=max(1, width * 2 // 7), symbols=_symbols, pack=pack, size=_BYTES, block=max(1, width // 8))
 
 
 def removed_words(docs: DataFrame, *, width: int = 35, budget: int = 60_000) -> DataFrame:
