@@ -38,9 +38,9 @@ class Node:
             self.kid_radius = np.array([c.radius for c in kids])
 
 
-def _dist(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    d = x - c
-    return np.sqrt(np.einsum("ij,ij->i", d, d))
+def _squares(x: np.ndarray, xx: np.ndarray, i: int) -> np.ndarray:
+    """Squared distances to row i; whole numbers, hence exact, for whole-number rows of moderate norm."""
+    return np.maximum(xx - 2 * (x @ x[i]) + xx[i], 0)
 
 
 def build(x: np.ndarray, members: np.ndarray | None = None, leaf: int = 24, base: float = 1.6) -> Node:
@@ -53,20 +53,21 @@ def build(x: np.ndarray, members: np.ndarray | None = None, leaf: int = 24, base
         rows, top, into, slot = todo.pop()
         centre = x[top]
         own = x[rows]
-        near = _dist(own, centre)
-        radius = float(near.max())
+        xx = np.einsum("ij,ij->i", own, own)
+        near = _squares(own, xx, int(np.flatnonzero(rows == top)[0]))
+        radius = float(np.sqrt(near.max()))
         node = [centre, radius, None, []]
         into[slot] = node
         made.append(node)
         if len(rows) <= leaf or radius == 0:
             node[2] = rows
             continue
-        cover, owner, tops = radius / base, np.zeros(len(rows), np.int64), [top]
+        cover, owner, tops = (radius / base) ** 2, np.zeros(len(rows), np.int64), [top]
         while True:
             far = int(near.argmax())
             if near[far] <= cover:
                 break
-            d = _dist(own, own[far])
+            d = _squares(own, xx, far)
             closer = d < near
             near[closer], owner[closer] = d[closer], len(tops)
             near[far], owner[far] = 0.0, len(tops)
@@ -231,7 +232,7 @@ def top_k(r: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int
     return np.nonzero(real)[0], walk.found[real], walk.score[real].astype(np.int64)
 
 
-def search_top_k(refs: DataFrame, queries: DataFrame, *, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, block_rows: int = 1024) -> DataFrame:
+def search_top_k(refs: DataFrame, queries: DataFrame, *, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 2048, block_rows: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k largest inner products, ties to smaller ids."""
 
     def find(r, q):
