@@ -1021,7 +1021,7 @@ def _j2(spark, sf):
 @query("s1_windowed_sums", f"WITH {EVENTS} SELECT time_bucket(INTERVAL 1 DAY, CAST(ts AS TIMESTAMP)) AS start, model, distance, CAST(sum(u) AS BIGINT) AS total, count(u) AS n FROM s GROUP BY ALL")
 def _s1(spark, sf):
     e = S.table(spark, sf, "events").select("ts", F.col("event_type").alias("model"), F.get_json_object("props", "$.k").cast("bigint").alias("distance"), S.cents(F.col("value")).alias("u"))
-    return ST.windowed_sums(e, MODEL).select(F.col("window.start").alias("start"), "model", "distance", "total", "n")
+    return ST.windowed_sums(e, MODEL).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "model", "distance", "total", "n")
 
 
 @query("s2_stream_ecl", f"{BASE} {sql_ecl()}")

@@ -14,14 +14,19 @@ from pyspark.sql import functions as F
 from ..operators import context as C
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Event time with a zone, which watermarks ask for."""
+    return stream if dict(stream.dtypes)[time] == "timestamp" else stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def windowed_sums(stream: DataFrame, keys: list[str], *, time: str = "ts", late: str = "1 hour", window: str = "1 day", slide: str | None = None) -> DataFrame:
     """(window, keys, distance, total, n) of a stream or a table with a time column."""
     w = F.window(time, window, slide) if slide else F.window(time, window)
-    return stream.withWatermark(time, late).groupBy(w.alias("window"), *keys, "distance").agg(F.sum("u").alias("total"), F.count("u").alias("n"))
+    return _timed(stream, time).withWatermark(time, late).groupBy(w.alias("window"), *keys, "distance").agg(F.sum("u").alias("total"), F.count("u").alias("n"))
 
 
 def session_sums(stream: DataFrame, keys: list[str], *, time: str = "ts", late: str = "1 hour", gap: str = "30 minutes") -> DataFrame:
-    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("window"), *keys, "distance").agg(F.sum("u").alias("total"), F.count("u").alias("n"))
+    return _timed(stream, time).withWatermark(time, late).groupBy(F.session_window(time, gap).alias("window"), *keys, "distance").agg(F.sum("u").alias("total"), F.count("u").alias("n"))
 
 
 def ecl_of_sums(sums: DataFrame, keys: list[str], last: int, betas=C.BETAS) -> DataFrame:
