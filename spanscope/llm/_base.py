@@ -26,6 +26,12 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return flat.select(*[F.col(f"_{names.index(n)}").cast(t).alias(n) for n, t in wanted.items()])
 
 
+def flat(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns renamed by position, and the new name of each old one (the first of equal names)."""
+    new = [f"_{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), {n: f"_{i}" for i, n in reversed(list(enumerate(df.columns)))}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder all executors share; a temporary one only where none is set."""
     sc = spark.sparkContext

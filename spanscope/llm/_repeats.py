@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import partitions, pick, pieces, text_buffers
+from ._base import flat, partitions, pick, pieces, text_buffers
 from ._words import prefix_sums, scramble, span_hash
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -60,12 +60,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     return d.withColumns({"r1": F.xxhash64("doc_id", "text"), "r2": F.hash("text", "doc_id")})
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns and the keys of ``keyed`` as q1 and q2."""
-    key = pick(docs, doc_id="bigint", text="string")
-    if key.schema["doc_id"].dataType != docs.schema["doc_id"].dataType:
-        raise ValueError("doc_id must be a bigint")
-    return docs.withColumns({"q1": F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), "q2": F.hash(F.coalesce("text", F.lit("")), "doc_id")})
+def marked(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """All columns of ``docs`` under positional names and the keys of ``keyed`` as q1 and q2; those names, and by old name."""
+    d, name = flat(docs)
+    doc_id, text = F.col(name["doc_id"]).cast("bigint"), F.coalesce(F.col(name["text"]).cast("string"), F.lit(""))
+    return d.withColumns({"q1": F.xxhash64(doc_id, text), "q2": F.hash(text, doc_id)}), d.columns, name
 
 
 def anchors(symbols: np.ndarray, offsets: np.ndarray, spec: Spec):

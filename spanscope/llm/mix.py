@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._base import cut, pick
+from ._base import cut, flat, pick
 
 WORD = r"[^\x20\x09-\x0D]+"
 _ONE = 1 << 30  # fixed-point unit of rates
@@ -122,12 +122,14 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """``docs``, all columns, every row as often as the mix takes it."""
-    rows = docs.withColumns({"_k1": F.xxhash64(*docs.columns), "_k2": F.hash(*reversed(docs.columns))})
-    d = rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("_k1", "_k2").alias("key"), "_k1", "_k2")
-    copies = shares(d, **options).groupBy(F.col("_k1").alias("_c1"), F.col("_k2").alias("_c2")).agg(F.sum("copies").cast("int").alias("_n")).where("_n > 0")
-    one = F.row_number().over(W.partitionBy("_k1", "_k2").orderBy("_k1"))
-    some = rows.join(copies, (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2"))).withColumn("_one", one).where("_one = 1")
-    return some.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    rows, name = flat(docs)
+    cols = rows.columns
+    rows = rows.withColumns({"k1": F.xxhash64(*cols), "k2": F.hash(*reversed(cols))})
+    d = rows.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["source"]).alias("source"), word_count(F.col(name["text"])).alias("size"), F.xxhash64("k1", "k2").alias("key"), "k1", "k2")
+    copies = shares(d, **options).groupBy(F.col("k1").alias("c1"), F.col("k2").alias("c2")).agg(F.sum("copies").cast("int").alias("times")).where("times > 0")
+    one = F.row_number().over(W.partitionBy("k1", "k2").orderBy("k1"))
+    some = rows.join(copies, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).withColumn("one", one).where("one = 1")
+    return some.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*cols).toDF(*docs.columns)
 
 
 def shares(d: DataFrame, *, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, bucket: int = 1024) -> DataFrame:

@@ -394,8 +394,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     links = linked(docs, **options).where("n > 0 and (doc_id is null or doc_id = component)")
     links = links.select(F.when(F.col("component").isNull(), F.struct("r1", "r2")).otherwise(F.struct(F.col("component").alias("r1"), F.lit(None).cast("int").alias("r2"))).alias("k"), F.struct("r1", "r2").alias("r"))
     kept = links.groupBy("k").agg(F.min("r").alias("r")).select(F.col("r.r1").alias("r1"), F.col("r.r2").alias("r2"))
-    rows = marked(docs)
-    worded = F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    rows, cols, name = marked(docs)
+    worded = F.regexp_like(F.coalesce(F.col(name["text"]), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     one = F.row_number().over(W.partitionBy("q1", "q2").orderBy("q1"))
     some = rows.where(worded).join(kept, (F.col("q1") == F.col("r1")) & (F.col("q2") == F.col("r2")), "left_semi").withColumn("_one", one).where("_one = 1")
-    return some.select(*docs.columns).unionByName(rows.where(~worded).select(*docs.columns))
+    return some.select(*cols).unionByName(rows.where(~worded).select(*cols)).toDF(*docs.columns)

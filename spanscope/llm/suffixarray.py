@@ -250,24 +250,23 @@ def cut_documents(docs: DataFrame, *, width: int = 400, budget: int = 1_500_000)
     so that the texts stay valid UTF-8.  A null text stays null.
     """
     spans = covered(keyed(docs), byte_spec(width), decider(width), budget).withColumnsRenamed({"q1": "r1", "q2": "r2"})
-    rows = marked(docs).join(spans, (F.col("q1") == F.col("r1")) & (F.col("q2") == F.col("r2")), "left").select(*docs.columns, "spans")
-    names = docs.columns
-    at = names.index("text")
+    rows, names, name = marked(docs)
+    rows = rows.join(spans, (F.col("q1") == F.col("r1")) & (F.col("q2") == F.col("r2")), "left").select(*names, "spans")
+    text, size = name["text"], name.get("n_chars")
+    kind = pa.int64() if size is None else {"int": pa.int32()}.get(dict(rows.dtypes)[size], pa.int64())
 
     def run(batches):
         for b in batches:
-            for part in pieces(b, "text"):
-                data, off = text_buffers(part.column(at))
-                gone = whole_characters(cover_mask(part.column(len(names)), off[:-1], len(data)), data)
+            for part in pieces(b, text):
+                data, off = text_buffers(part.column(text))
+                gone = whole_characters(cover_mask(part.column("spans"), off[:-1], len(data)), data)
                 blob = data[~gone].tobytes()
                 end = off - np.concatenate([[0], np.cumsum(gone)])[off]
-                null = part.column(at).is_null().to_pylist()
+                null = part.column(text).is_null().to_pylist()
                 texts = [None if z else blob[i:j].decode() for i, j, z in zip(end[:-1], end[1:], null, strict=True)]
-                cols = [part.column(i) for i in range(len(names))]
-                cols[at] = pa.array(texts, pa.string())
-                if "n_chars" in names:
-                    cols[names.index("n_chars")] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays(cols, names)
-
-    schema = docs.schema
-    return rows.mapInArrow(run, schema)
+                cols = {c: part.column(c) for c in names} | {text: pa.array(texts, pa.string())}
+                if size is not None:
+                    cols[size] = pa.array([None if t is None else len(t) for t in texts], kind)
+                yield pa.RecordBatch.from_pydict(cols)
+
+    return rows.mapInArrow(run, rows.drop("spans").schema).toDF(*docs.columns)
