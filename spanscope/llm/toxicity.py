@@ -12,7 +12,7 @@ its worst window, calibrated to the label's rate.
 Trained in numpy by backpropagation through time: first every window learns
 its document's label, then only the worst window of each document does.  The
 sample is bounded: about ``per_class`` documents labelled 1 and ``clean``
-labelled 0, chosen by a hash of their ids; their texts are the only ones that reach the driver.
+labelled 0, chosen by a hash of their ids; one task trains on them.
 
 Null and empty texts have no window and score 0.  Null or conflicting labels:
 nulls are ignored, the largest of several counts.  Rows with a null id are
@@ -21,6 +21,7 @@ scored and neither learnt from nor held out.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import pick, pieces, text_buffers
+from ._base import flat, pick, pieces, text_buffers
 from ._words import LOWER, prefix_sums, ranges, span_hash, words
 from .langid import held_out
 
@@ -365,9 +366,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, clean: int
     u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / max(n.get(1, 0), 1)))).otherwise(F.lit(min(1.0, clean / max(n.get(0, 0), 1))))
     chosen = lab.where(u < share)  # about per_class + clean ids, hence the broadcast
-    got = d.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"])
+    got = d.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
     total = sum(n.values())
-    return train(got["text"].tolist(), got["y"].to_numpy(np.int64), n.get(1, 0) / total if total else 0.0)
+    rate = n.get(1, 0) / total if total else 0.0
+
+    def learn(batches):
+        t = pa.Table.from_batches(batches).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        m = train(t.column("text").to_pylist(), np.asarray(t.column("y"), dtype=np.int64), rate)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(m)], pa.binary())})
+
+    # The sample is bounded, so one task trains on it; the driver gets the weights only.
+    made = got.repartition(1).mapInArrow(learn, "model binary").collect() if got.limit(1).count() else []
+    return pickle.loads(made[0]["model"]) if made else train([], np.zeros(0, np.int64), rate)
 
 
 def score(docs: DataFrame, m: Model, *, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -386,12 +396,12 @@ def score(docs: DataFrame, m: Model, *, threshold: float = 0.3, id_col: str = "d
 
 def without_toxic(docs: DataFrame, m: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores below the threshold."""
-    schema, i = docs.schema, docs.columns.index("text")
+    rows, name = flat(docs)
+    text = name["text"]
 
     def run(batches):
         for b in batches:
-            for part in pieces(b.rename_columns([f"_{k}" for k in range(b.num_columns)]), f"_{i}"):
-                keep = score_texts(m, *text_buffers(part.column(i))) < threshold
-                yield part.filter(pa.array(keep)).rename_columns(b.schema.names)
+            for part in pieces(b, text):
+                yield part.filter(pa.array(score_texts(m, *text_buffers(part.column(text))) < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
