@@ -19,6 +19,12 @@ link when  100 * overlap >= percent * union.
     rows of the product, exactly: overlaps are accumulated column by column and
     compared with the bound, most central rows first, until every row outside
     the largest component has been multiplied with all others.
+*   A group of more than ``group_rows`` rows, such as near copies that make up
+    a third of a corpus, is not brought to one task.  A few of its rows are
+    multiplied with all, chunk by chunk; the rows that leaves outside the
+    group's largest component are then multiplied with all in the same way, in
+    blocks.  A link has an end outside the largest component or both in it, so
+    none is missed.
 
 A component's id is its smallest document id.  Nulls and texts without words
 have no n-grams and link with nothing; a text of fewer words than ``n`` is one
@@ -342,7 +348,63 @@ def _verify(n: int, percent: int):
     return run
 
 
-def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, block_entries: int = 3_000_000) -> DataFrame:
+def _against(rows: DataFrame, probes: DataFrame, n: int, percent: int, chunk_rows: int, block_rows: int = 256) -> DataFrame:
+    """Links (a, b) between probes and the rows of their groups, in (group, chunk, block) tasks of bounded size.
+
+    ``rows`` and ``probes`` have (group, size, id, text).
+    """
+    chunks = F.ceil(F.col("size") / chunk_rows).cast("int")
+    many = probes.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    spread = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    deal = lambda k: F.pmod(F.xxhash64("id"), k.cast("bigint")).cast("int")
+    blocks = many.select(F.col("group").alias("g"), "blocks")
+    left = rows.join(blocks, F.col("group") == F.col("g")).withColumn("chunk", deal(chunks)).withColumn("block", spread(F.col("blocks")))
+    right = probes.join(blocks, F.col("group") == F.col("g")).withColumn("block", deal(F.col("blocks"))).withColumn("chunk", spread(chunks))
+    left = left.select("group", "chunk", "block", "id", "text")
+    right = right.select(*[F.col(c).alias(f"q_{c}") for c in left.columns])  # own names: both sides come from one table
+
+    def product(r: pa.Table, q: pa.Table) -> pa.Table:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if r.num_rows and q.num_rows:
+            x, xa = grams(*text_buffers(r.column("text")), n)
+            y, ya = grams(*text_buffers(q.column("q_text")), n)
+            ids, names = np.asarray(r.column("id")), np.asarray(q.column("q_id"))
+            size, mine = np.diff(xa), np.diff(ya)
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.argsort(x, kind="stable")
+            sorted_, members = x[order], owner[order]
+            lo, hi = np.searchsorted(sorted_, y, "left"), np.searchsorted(sorted_, y, "right")
+            for i in range(len(mine)):
+                c, d = lo[ya[i] : ya[i + 1]], hi[ya[i] : ya[i + 1]]
+                overlap = np.bincount(members[ranges(c, d - c)], minlength=len(size))
+                hit = np.flatnonzero((100 * overlap >= percent * (size + mine[i] - overlap)) & (ids != names[i]))
+                a.append(np.full(len(hit), names[i])), b.append(ids[hit])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+    return left.groupBy("group", "chunk", "block").cogroup(right.groupBy("q_group", "q_chunk", "q_block")).applyInArrow(product, "a bigint, b bigint")
+
+
+def _large_groups(rows: DataFrame, n: int, percent: int, chunk_rows: int, pivots: int = 8) -> DataFrame:
+    """(c1, c2, component) of groups too large for a task; ``rows`` has (group, size, c1, c2, first, text)."""
+    rows = stored(rows.withColumn("id", F.xxhash64("c1", "c2")))
+    place = F.row_number().over(W.partitionBy("group").orderBy(F.xxhash64("id", F.lit(1))))
+    some = rows.withColumn("place", place).where(F.col("place") <= pivots).drop("place")
+    first = cut(_against(rows, some, n, percent, chunk_rows))
+    at = components(first)
+    label = F.coalesce(F.col("c"), F.col("id"))
+    light = rows.select("group", "id").join(at, F.col("id") == F.col("v"), "left").select("group", "id", label.alias("label"))
+    sizes = light.groupBy("group", "label").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy(F.col("group").alias("g")).agg(F.max_by("label", F.struct("m", "label")).alias("main"))
+    outside = light.join(largest, F.col("group") == F.col("g")).where("label <> main").select(F.col("id").alias("o"))
+    rest = rows.join(outside, F.col("id") == F.col("o"), "left_semi")
+    edges = first.unionByName(_against(rows, rest, n, percent, chunk_rows))
+    at = components(edges)
+    got = rows.select("c1", "c2", "first", "id").join(at, F.col("id") == F.col("v"), "left").select("c1", "c2", "first", label.alias("label"))
+    least = got.groupBy(F.col("label").alias("k")).agg(F.min("first").alias("component"))
+    return got.join(least, F.col("label") == F.col("k")).select("c1", "c2", "component")
+
+
+def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, block_entries: int = 3_000_000, group_rows: int = 4096) -> DataFrame:
     """(r1, r2, doc_id, n, component): one row per document; r1 and r2 are hashes of id and text."""
     d = keyed(docs)
     spark = d.sparkSession
@@ -371,10 +433,16 @@ def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, blo
 
     groups = components(packets.mapInArrow(pairs, "a bigint, b bigint")).select(F.col("v").alias("v"), F.col("c").alias("group"))
     classes = facts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct("r1", "r2")).alias("r"))
-    chosen = classes.join(groups, F.col("c1") == F.col("v")).select("group", "c1", "c2", "first", F.col("r.r1").alias("q1"), F.col("r.r2").alias("q2"))
-    rows = d.join(chosen, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))).select("group", "c1", "c2", "first", "text")
+    chosen = cut(classes.join(groups, F.col("c1") == F.col("v")).select("group", "c1", "c2", "first", F.col("r.r1").alias("q1"), F.col("r.r2").alias("q2")))
+    large = cut(chosen.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_rows))
+    same = (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))
+    rows = d.join(chosen.join(large, F.col("group") == F.col("g"), "left_anti"), same).select("group", "c1", "c2", "first", "text")
     rows = rows.repartition(partitions(spark), "group").sortWithinPartitions("group")
-    settled = rows.mapInArrow(_verify(n, percent), "c1 bigint, c2 bigint, component bigint").select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "component")
+    settled = rows.mapInArrow(_verify(n, percent), "c1 bigint, c2 bigint, component bigint")
+    if large.limit(1).count():
+        rows = d.join(chosen.join(large, F.col("group") == F.col("g")), same).select("group", "size", "c1", "c2", "first", "text").dropDuplicates(["c1", "c2"])
+        settled = settled.unionByName(_large_groups(rows, n, percent, group_rows))
+    settled = settled.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "component")
     least = classes.select("c1", "c2", "first").join(settled, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
     least = least.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("component", "first").alias("component"))
     out = facts.join(least, (F.col("n") > 0) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")

@@ -108,7 +108,9 @@ def test_ngram_components_of_random_edits(spark):
                 w[i] = f"e{rng.integers(9)}"
             rows.append((len(rows), " ".join(w)))
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    assert cases.ordered(ngramjoin.join_components(d, block_entries=500).collect()) == cases.ordered(cases.components(rows))
+    want = cases.ordered(cases.components(rows))
+    assert cases.ordered(ngramjoin.join_components(d, block_entries=500).collect()) == want
+    assert cases.ordered(ngramjoin.join_components(d, group_rows=4).collect()) == want
 
 
 def test_one_of_each(docs):
