@@ -261,6 +261,12 @@ def _b4(spark, sf):
     return P.one_each(P.distances(spark, 128), S.table(spark, sf, "documents").select(F.col("doc_id").alias("sample_id")), 100, 180, 42)
 
 
+@query("b5_all_candidates_mean", f"WITH {EVENTS}, m AS (SELECT model, sample_id % 500 AS sample_id, distance, round(avg(CAST(u AS DOUBLE)), 6) AS u FROM s GROUP BY ALL) SELECT * FROM m")
+def _b5(spark, sf):
+    e = events(spark, sf).withColumn("sample_id", F.col("sample_id") % 500)
+    return rounded(I.sample_matrix(e, MODEL), "u")
+
+
 @query("b6_upstream_first", f"SELECT distance, coalesce(CASE WHEN 60 - distance >= 0 THEN 60 - distance END, CASE WHEN 60 + distance < 180 THEN 60 + distance END) AS pos FROM {GRID}")
 def _b6(spark, sf):
     return P.distances(spark, 128).withColumn("pos", P.upstream_first(F.col("distance"), 60, 180))
