@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +81,17 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
         j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+
+
+def tidy(run):
+    """A function over batches that hands freed memory back when it ends, for the worker lives on."""
+
+    @wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim is not None:
+            trim(0)
+
+    return wrapped

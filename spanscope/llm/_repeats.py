@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import flat, partitions, pick, pieces, text_buffers
+from ._base import flat, partitions, pick, pieces, text_buffers, tidy
 from ._words import prefix_sums, scramble, span_hash
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -217,17 +217,17 @@ def covered(d: DataFrame, spec: Spec, decide: Callable, budget: int) -> DataFram
     hence one range.  ``budget`` bounds the symbols decided at once.
     """
     n = partitions(d.sparkSession)
-    found = d.select("text", "r1", "r2").mapInArrow(_found(spec), "h bigint, r1 bigint, r2 int, s int, e int, p int")
+    found = d.select("text", "r1", "r2").mapInArrow(tidy(_found(spec)), "h bigint, r1 bigint, r2 int, s int, e int, p int")
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h"), (F.col("n") > spec.frequent).alias("hot"))
     some = found.join(often, F.col("h") == F.col("_h")).select(F.col("r1").alias("q1"), F.col("r2").alias("q2"), F.struct("s", "e", "p", "h", "hot").alias("a"))
     at = some.groupBy("q1", "q2").agg(F.collect_list("a").alias("at"))
     # doc_id stays among the inputs, so this shuffle of the texts equals the caller's and is made once
     work = d.join(at, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))).select("text", "r1", "r2", "at", "doc_id")
-    strands = work.mapInArrow(_contents(spec), "g bigint, c bigint, off int, n bigint, sk binary")
+    strands = work.mapInArrow(tidy(_contents(spec)), "g bigint, c bigint, off int, n bigint, sk binary")
     strands = strands.repartition(n, "g").sortWithinPartitions("g")
-    parts = strands.mapInArrow(_decided(spec, decide, budget), "g bigint, c bigint, lo int, hi int")
+    parts = strands.mapInArrow(tidy(_decided(spec, decide, budget)), "g bigint, c bigint, lo int, hi int")
     parts = parts.select(F.col("g").alias("_g"), F.col("c").alias("_c"), "lo", "hi")
-    where = work.mapInArrow(_occurrences(spec), "g bigint, c bigint, r1 bigint, r2 int, s int")
+    where = work.mapInArrow(tidy(_occurrences(spec)), "g bigint, c bigint, r1 bigint, r2 int, s int")
     spans = where.join(parts, (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c")))
     spans = spans.select("r1", "r2", F.struct((F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi")).alias("x"))
     return spans.groupBy(F.col("r1").alias("q1"), F.col("r2").alias("q2")).agg(F.collect_list("x").alias("spans"))

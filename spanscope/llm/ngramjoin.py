@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._base import cut, partitions, pieces, stored, text_buffers
+from ._base import cut, partitions, pieces, stored, text_buffers, tidy
 from ._repeats import keyed, marked
 from ._words import LOWER, prefix_sums, ranges, scramble, span_hash, words
 
@@ -118,7 +118,7 @@ def _frequent(d: DataFrame, n: int) -> np.ndarray:
         slot = np.flatnonzero(count > 1.5 * count.mean() + 8)
         yield pa.RecordBatch.from_pydict({"slot": pa.array(np.append(slot, -1), pa.int32()), "n": pa.array(np.append(count[slot], count.sum()), pa.int64())})
 
-    got = d.select("text").mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    got = d.select("text").mapInArrow(tidy(run), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slot, n_ = np.asarray(got.column("slot")), np.asarray(got.column("n"))
     level, mean = np.zeros(_SLOTS, np.uint8), float(n_[slot < 0].sum()) / _SLOTS
     some = slot >= 0
@@ -136,7 +136,7 @@ def _facts(d: DataFrame, n: int) -> DataFrame:
                 c1, c2 = set_ids(h, at)
                 yield pa.RecordBatch.from_pydict({"r1": part.column(1), "r2": part.column(2), "doc_id": part.column(3), "n": pa.array(np.diff(at), pa.int64()), "c1": c1.view(np.int64), "c2": c2.view(np.int64)})
 
-    return d.select("text", "r1", "r2", "doc_id").mapInArrow(run, "r1 bigint, r2 int, doc_id bigint, n bigint, c1 bigint, c2 bigint")
+    return d.select("text", "r1", "r2", "doc_id").mapInArrow(tidy(run), "r1 bigint, r2 int, doc_id bigint, n bigint, c1 bigint, c2 bigint")
 
 
 def _packets(n: int, percent: int, level: np.ndarray, blocks: int, most: int = 1_000_000):
@@ -404,7 +404,7 @@ def _large_groups(rows: DataFrame, n: int, percent: int, chunk_rows: int, pivots
     return got.join(least, F.col("label") == F.col("k")).select("c1", "c2", "component")
 
 
-def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, block_entries: int = 3_000_000, group_rows: int = 4096) -> DataFrame:
+def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, block_entries: int = 1_000_000, group_rows: int = 4096) -> DataFrame:
     """(r1, r2, doc_id, n, component): one row per document; r1 and r2 are hashes of id and text."""
     d = keyed(docs)
     spark = d.sparkSession
@@ -412,7 +412,7 @@ def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, blo
     total = facts.agg(F.sum("n")).first()[0] or 0
     blocks = max(8, math.ceil(total * (101 - percent) / 100 / block_entries))
     level = _frequent(d, n)
-    packets = d.select("text").mapInArrow(_packets(n, percent, level, blocks), "block int, data binary")
+    packets = d.select("text").mapInArrow(tidy(_packets(n, percent, level, blocks)), "block int, data binary")
     packets = packets.repartition(min(blocks, max(partitions(spark), 8)) if blocks <= 64 else blocks, "block").sortWithinPartitions("block")
 
     def pairs(batches):
@@ -431,14 +431,14 @@ def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, blo
         a, b = block_candidates(*_unpack(blobs), percent, far)
         return pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    groups = components(packets.mapInArrow(pairs, "a bigint, b bigint")).select(F.col("v").alias("v"), F.col("c").alias("group"))
+    groups = components(packets.mapInArrow(tidy(pairs), "a bigint, b bigint")).select(F.col("v").alias("v"), F.col("c").alias("group"))
     classes = facts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct("r1", "r2")).alias("r"))
     chosen = cut(classes.join(groups, F.col("c1") == F.col("v")).select("group", "c1", "c2", "first", F.col("r.r1").alias("q1"), F.col("r.r2").alias("q2")))
     large = cut(chosen.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_rows))
     same = (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))
     rows = d.join(chosen.join(large, F.col("group") == F.col("g"), "left_anti"), same).select("group", "c1", "c2", "first", "text")
     rows = rows.repartition(partitions(spark), "group").sortWithinPartitions("group")
-    settled = rows.mapInArrow(_verify(n, percent), "c1 bigint, c2 bigint, component bigint")
+    settled = rows.mapInArrow(tidy(_verify(n, percent)), "c1 bigint, c2 bigint, component bigint")
     if large.limit(1).count():
         rows = d.join(chosen.join(large, F.col("group") == F.col("g")), same).select("group", "size", "c1", "c2", "first", "text").dropDuplicates(["c1", "c2"])
         settled = settled.unionByName(_large_groups(rows, n, percent, group_rows))

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._base import pieces, text_buffers
+from ._base import pieces, text_buffers, tidy
 from ._repeats import Spec, cover_mask, covered, keyed, with_spans
 from ._words import prefix_sums, ranges, span_hash, words
 
@@ -206,4 +206,4 @@ def _finish(docs: DataFrame, width: int, budget: int, whole: bool) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(cols)
 
     tail = "kept_text string, spans array<struct<lo:int,hi:int>>" if whole else "kept_sha256 string"
-    return found.mapInArrow(run, f"doc_id bigint, n_words bigint, n_removed bigint, {tail}")
+    return found.mapInArrow(tidy(run), f"doc_id bigint, n_words bigint, n_removed bigint, {tail}")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import pieces, text_buffers
+from ._base import pieces, text_buffers, tidy
 from ._repeats import Spec, cover_mask, covered, keyed, marked, with_spans
 from ._words import ranges, scramble
 from .substrings import runs, span_lists
@@ -231,7 +231,7 @@ def _finish(docs: DataFrame, width: int, budget: int, whole: bool) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(cols)
 
     tail = "kept binary, spans array<struct<lo:int,hi:int>>" if whole else "kept_sha256 string"
-    return found.mapInArrow(run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {tail}")
+    return found.mapInArrow(tidy(run), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {tail}")
 
 
 def whole_characters(gone: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -269,4 +269,4 @@ def cut_documents(docs: DataFrame, *, width: int = 400, budget: int = 1_500_000)
                     cols[size] = pa.array([None if t is None else len(t) for t in texts], kind)
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return rows.mapInArrow(run, rows.drop("spans").schema).toDF(*docs.columns)
+    return rows.mapInArrow(tidy(run), rows.drop("spans").schema).toDF(*docs.columns)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import flat, pick, pieces, text_buffers
+from ._base import flat, pick, pieces, text_buffers, tidy
 from ._words import LOWER, prefix_sums, ranges, span_hash, words
 from .langid import held_out
 
@@ -376,7 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, clean: int
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(m)], pa.binary())})
 
     # The sample is bounded, so one task trains on it; the driver gets the weights only.
-    made = got.repartition(1).mapInArrow(learn, "model binary").collect() if got.limit(1).count() else []
+    made = got.repartition(1).mapInArrow(tidy(learn), "model binary").collect() if got.limit(1).count() else []
     return pickle.loads(made[0]["model"]) if made else train([], np.zeros(0, np.int64), rate)
 
 
@@ -391,7 +391,7 @@ def score(docs: DataFrame, m: Model, *, threshold: float = 0.3, id_col: str = "d
                 s = score_texts(m, *text_buffers(part.column(2)))
                 yield pa.RecordBatch.from_pydict({id_col: part.column(0), "held_out": part.column(1), "score": s, "predicted": pa.array(s >= threshold, pa.int32())})
 
-    return src.mapInArrow(run, f"{id_col} bigint, held_out boolean, score double, predicted int")
+    return src.mapInArrow(tidy(run), f"{id_col} bigint, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, m: Model, threshold: float = 0.3) -> DataFrame:
@@ -404,4 +404,4 @@ def without_toxic(docs: DataFrame, m: Model, threshold: float = 0.3) -> DataFram
             for part in pieces(b, text):
                 yield part.filter(pa.array(score_texts(m, *text_buffers(part.column(text))) < threshold))
 
-    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
+    return rows.mapInArrow(tidy(run), rows.schema).toDF(*docs.columns)
