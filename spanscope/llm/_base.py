@@ -20,6 +20,7 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     case only, or repeat a name, cannot make the reference ambiguous; of equal
     names the first counts.
     """
+    small_batches(df.sparkSession)
     names = df.columns
     flat = df.toDF(*[f"_{i}" for i in range(len(names))])
     missing = [n for n in wanted if n not in names]
@@ -30,6 +31,7 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
 
 def flat(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """The frame with its columns renamed by position, and the new name of each old one (the first of equal names)."""
+    small_batches(df.sparkSession)
     new = [f"_{i}" for i in range(len(df.columns))]
     return df.toDF(*new), {n: f"_{i}" for i, n in reversed(list(enumerate(df.columns)))}
 
@@ -42,6 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows and 8 MB, unless the session says otherwise.
+
+    By default a batch takes 10,000 rows whatever their size, and documents are
+    large: batches then take hundreds of megabytes beside the heap.
+    """
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        if spark.conf.get(key, None) is None:  # not set by the session
+            spark.conf.set(key, str(value))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint."""
     shared_dir(df.sparkSession)
