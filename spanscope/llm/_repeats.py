@@ -218,8 +218,9 @@ def covered(d: DataFrame, spec: Spec, decide: Callable, budget: int) -> DataFram
     """
     n = partitions(d.sparkSession)
     found = d.select("text", "r1", "r2").mapInArrow(tidy(_found(spec)), "h bigint, r1 bigint, r2 int, s int, e int, p int")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h"), (F.col("n") > spec.frequent).alias("hot"))
-    some = found.join(often, F.col("h") == F.col("_h")).select(F.col("r1").alias("q1"), F.col("r2").alias("q2"), F.struct("s", "e", "p", "h", "hot").alias("a"))
+    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("h").alias("_h"), (F.col("n") > spec.frequent).alias("hot"))
+    # joined by the complement, which the counts are not yet dealt by: a join both sides of which are shuffled can be split where it is skewed
+    some = found.join(often, F.bitwise_not("h") == F.col("_h")).select(F.col("r1").alias("q1"), F.col("r2").alias("q2"), F.struct("s", "e", "p", "h", "hot").alias("a"))
     at = some.groupBy("q1", "q2").agg(F.collect_list("a").alias("at"))
     # doc_id stays among the inputs, so this shuffle of the texts equals the caller's and is made once
     work = d.join(at, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))).select("text", "r1", "r2", "at", "doc_id")

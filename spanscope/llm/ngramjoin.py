@@ -444,8 +444,9 @@ def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, blo
         settled = settled.unionByName(_large_groups(rows, n, percent, group_rows))
     settled = settled.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "component")
     least = classes.select("c1", "c2", "first").join(settled, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
-    least = least.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.coalesce("component", "first").alias("component"))
-    out = facts.join(least, (F.col("n") > 0) & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
+    # complements as keys: a join both sides of which are shuffled can be split where one set is very common
+    least = least.select(F.bitwise_not("c1").alias("k1"), F.bitwise_not("c2").alias("k2"), F.coalesce("component", "first").alias("component"))
+    out = facts.join(least, (F.col("n") > 0) & (F.bitwise_not("c1") == F.col("k1")) & (F.bitwise_not("c2") == F.col("k2")), "left")
     return out.select("r1", "r2", "doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
 
 

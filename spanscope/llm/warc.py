@@ -232,8 +232,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     full = parts.mapInArrow(_joined, PARSED)
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete"]
     response = whole.where("record_type = 'response'").select(*cols).unionByName(full.select(*cols))
-    sizes = response.where("complete").groupBy(F.col("page_id").alias("_p"), F.col("payload_digest").alias("_d")).agg(F.max("payload_bytes").alias("_n"))
-    revisit = whole.where("record_type = 'revisit'").join(sizes, (F.col("refers_to") == F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left")
+    sizes = response.where("complete").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("_n"))
+    # the complement as key: a join both sides of which are shuffled can be split where one response has most revisits
+    sizes = sizes.select(F.bitwise_not("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "_n")
+    revisit = whole.where("record_type = 'revisit'").join(sizes, (F.bitwise_not("refers_to") == F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left")
     revisit = revisit.select("page_id", F.col("_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.col("_n").isNotNull().alias("complete"))
     return response.unionByName(revisit)
 
