@@ -31,10 +31,18 @@ def embedding_pairs(emb: DataFrame, gap: int = 20) -> DataFrame:
 
 
 def document_sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """V3: the first ``length`` characters of long enough documents as bases, code point modulo 4."""
-    d = docs.where(F.length("text") >= length)
+    """V3: every text cut into consecutive windows of ``length`` characters as bases, code point modulo 4.
+
+    ``sample_id`` is "doc_id:window".  The last window ends with the text and so
+    may overlap the one before it.  A shorter text is one window, filled up with
+    A; null and empty texts have none.
+    """
+    n = F.length("text")
+    last = F.floor((n - 1) / length).cast("int")
+    cut = lambda w: F.rpad(F.substr("text", F.greatest(F.least(w * length, n - length), F.lit(0)) + 1, F.lit(length)), length, "@")
+    d = docs.where(n > 0).select("lang", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), cut)).alias("window", "text"))
     bases = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: (F.ascii(F.substr("text", i, F.lit(1))) % 4).cast("tinyint"))
-    return d.select(F.col("lang").alias("locus_class"), F.col("doc_id").alias("sample_id"), bases.alias("seq"))
+    return d.select(F.col("lang").alias("locus_class"), F.concat_ws(":", F.col("doc_id"), F.col("window")).alias("sample_id"), bases.alias("seq"))
 
 
 def lead_times(lineitem: DataFrame, orders: DataFrame, days: int = 30) -> DataFrame:
