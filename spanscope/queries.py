@@ -138,7 +138,7 @@ def _scratch(spark, name: str) -> str:
 
 @query("a2_encode_dna", f"SELECT doc_id, {SQL_ENCODE.format('substr(text, 1, 50)')} AS digits FROM documents")
 def _a2(spark, sf):
-    return S.table(spark, sf, "documents").select("doc_id", F.array_join(codec.encode(F.substring("text", 1, 50)), "").alias("digits"))
+    return S.table(spark, sf, "documents").select("doc_id", F.array_join(codec.encode(F.coalesce("text", F.lit(""))), "").alias("digits"))
 
 
 @query("a3_extract_window", f"""
@@ -640,15 +640,15 @@ def _d14(spark, sf):
 @query("d15_insert_motif", f"""WITH {SEQ}, d AS (SELECT sample_id, {' || '.join(f"CAST({sql_base(str(i))} AS VARCHAR)" for i in range(64))} AS s FROM q), t AS (SELECT *, unnest([0, 5, 20, 40]) AS distance FROM d), p AS (SELECT *, greatest(0, least(32 - distance - 3, 64 - 7)) AS st FROM t)
     SELECT sample_id, distance, substr(s, 1, st) || '3030000' || substr(s, st + 8) AS digits FROM p""")
 def _d15(spark, sf):
-    s = seqs(spark, sf).select("sample_id", F.slice("seq", 1, 64).alias("seq")).withColumn("distance", F.explode(F.array(*[F.lit(x) for x in (0, 5, 20, 40)])))
+    s = seqs(spark, sf).select("sample_id", "seq").withColumn("distance", F.explode(F.array(*[F.lit(x) for x in (0, 5, 20, 40)])))
     m = codec.encode_motif(F.lit("TATAAAA")).cast("array<tinyint>")
-    return s.select("sample_id", "distance", F.array_join(N.insert_motif(F.col("seq"), N.motif_start(32, F.col("distance"), 7, 64), m), "").alias("digits"))
+    return s.select("sample_id", "distance", F.array_join(N.insert_motif(F.col("seq"), N.motif_start(S.REFERENCE, F.col("distance"), 7, S.LENGTH), m), "").alias("digits"))
 
 
 @query("e1_substitution", f"""WITH {SEQ}, b AS (SELECT sample_id, i, {sql_base('i')} AS b, {sql_draw("42", "sample_id", "i")} AS h FROM q CROSS JOIN (SELECT unnest(range(0, 40)) AS i))
     SELECT sample_id, string_agg(CAST(CASE WHEN i IN (3, 10, 11, 25) THEN (b + 1 + h % 3) % 4 ELSE b END AS VARCHAR), '' ORDER BY i) AS digits FROM b GROUP BY sample_id""")
 def _e1(spark, sf):
-    s = seqs(spark, sf).select("sample_id", F.slice("seq", 1, 40).alias("seq"))
+    s = seqs(spark, sf)
     at = F.array(*[F.lit(i) for i in (3, 10, 11, 25)])
     return s.select("sample_id", F.array_join(K.substitute(F.col("seq"), at, 42, F.col("sample_id")), "").alias("digits"))
 
@@ -690,12 +690,12 @@ def _e6(spark, sf):
 
 @query("e8_codec", f"SELECT doc_id, translate({SQL_ENCODE.format('substr(text, 1, 60)')}, '0123', 'ACGT') AS letters FROM documents")
 def _e8(spark, sf):
-    return S.table(spark, sf, "documents").select("doc_id", codec.decode(codec.encode(F.substring("text", 1, 60))).alias("letters"))
+    return S.table(spark, sf, "documents").select("doc_id", codec.decode(codec.encode(F.coalesce("text", F.lit("")))).alias("letters"))
 
 
 @query("e9_complement", f"SELECT doc_id, translate({SQL_ENCODE.format('substr(text, 1, 60)')}, '0123', 'TGCA') AS letters FROM documents")
 def _e9(spark, sf):
-    return S.table(spark, sf, "documents").select("doc_id", codec.decode(codec.complement(codec.encode(F.substring("text", 1, 60)))).alias("letters"))
+    return S.table(spark, sf, "documents").select("doc_id", codec.decode(codec.complement(codec.encode(F.coalesce("text", F.lit(""))))).alias("letters"))
 
 
 # F metrics and fits
@@ -714,27 +714,24 @@ def _f1b(spark, sf):
     return pairs(spark, sf).select("sample_id", "distance", F.round(metrics.cosine_distance(F.col("z"), F.col("z_pert")), 6).alias("u"))
 
 
-FORM = np.diag([1.0, 2.0, 0.5, 3.0]) + 0.25
+FORM = np.diag(np.tile([1.0, 2.0, 0.5, 3.0], 16)) + 0.25  # all 64 components
 SQL_FORM = " + ".join(f"{float(FORM[i, j])}::DOUBLE * (z[{i + 1}] - y[{i + 1}]) * (z[{j + 1}] - y[{j + 1}])" for i in range(4) for j in range(4))
 
 
 @query("f1c_mahalanobis", f"WITH {VEC} SELECT sample_id, distance, round({SQL_FORM}, 6) AS u FROM q")
 def _f1c(spark, sf):
-    four = lambda c: F.slice(c, 1, 4)
-    return pairs(spark, sf).select("sample_id", "distance", F.round(metrics.mahalanobis(FORM)(four("z"), four("z_pert")), 6).alias("u"))
+    return pairs(spark, sf).select("sample_id", "distance", F.round(metrics.mahalanobis(FORM)(F.col("z"), F.col("z_pert")), 6).alias("u"))
 
 
 @query("f1d_task_weighted", f"WITH {VEC} SELECT locus_class, distance, round(avg({SQL_FORM}), 6) AS influence FROM q GROUP BY ALL")
 def _f1d(spark, sf):
-    four = lambda c: F.slice(c, 1, 4)
-    u = pairs(spark, sf).withColumn("u", metrics.task_weighted(FORM)(four("z"), four("z_pert")))
+    u = pairs(spark, sf).withColumn("u", metrics.task_weighted(FORM)(F.col("z"), F.col("z_pert")))
     return rounded(u.groupBy("locus_class", "distance").agg(F.avg("u").alias("influence")), "influence")
 
 
 @query("f1e_covariance", "WITH v AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings), i AS (SELECT unnest(range(0, 8)) AS i), j AS (SELECT i AS j FROM i) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_samp(z[i + 1], z[j + 1]), 6) AS cov FROM v CROSS JOIN i CROSS JOIN j WHERE i <= j GROUP BY ALL")
 def _f1e(spark, sf):
-    e = S.table(spark, sf, "embeddings").select(F.slice("embedding", 1, 8).alias("z"))
-    return rounded(metrics.covariance(e, "z"), "cov")
+    return rounded(metrics.covariance(S.table(spark, sf, "embeddings"), "embedding"), "cov")
 
 
 @query("f1e_precision")

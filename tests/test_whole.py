@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from spanscope import queries as Q
@@ -57,3 +58,46 @@ def test_all_windows(spark, duck, name):
 def test_models_see_all_windows(spark, duck):
     n = duck.execute("SELECT sum((length(text) + 255) // 256) FROM documents").fetchone()[0]
     assert Q.QUERIES["i1_embedding"](spark, SF).count() == n
+
+
+@pytest.mark.parametrize("name", ["a2_encode_dna", "e8_codec", "e9_complement"])
+def test_codecs_read_whole_texts(spark, duck, name):
+    cut = "substr(text, 1, 50)" if name == "a2_encode_dna" else "substr(text, 1, 60)"
+    assert cut in Q.SQL[name]
+    same(spark, duck, name, Q.SQL[name].replace(cut, "coalesce(text, '')"))
+
+
+def test_codecs_take_null_texts_as_empty(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (3, "acgtN" * 30)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name, want in (("a2_encode_dna", "01230"), ("e8_codec", "ACGTA"), ("e9_complement", "TGCAT")):
+        assert dict(map(tuple, Q.QUERIES[name](spark, str(tmp_path)).collect())) == {1: "", 2: "", 3: want * 30}
+
+
+def test_substitution_keeps_all_bases(spark, duck):
+    sql = Q.SQL["e1_substitution"].replace(Q.SEQ, WINDOWS)
+    assert "range(0, 40)" in sql
+    same(spark, duck, "e1_substitution", sql.replace("range(0, 40)", "range(0, 256)"))
+
+
+def test_motif_is_set_in_whole_windows(spark):
+    s = {r["sample_id"]: "".join(map(str, r["seq"])) for r in S.document_sequences(S.table(spark, SF, "documents")).collect()}
+    want = {(k, d): x[: 125 - d] + "3030000" + x[132 - d :] for k, x in s.items() for d in (0, 5, 20, 40)}
+    assert {(r["sample_id"], r["distance"]): r["digits"] for r in Q.QUERIES["d15_insert_motif"](spark, SF).collect()} == want
+
+
+def test_forms_use_all_components(spark):
+    form = np.diag([1.0, 2.0, 0.5, 3.0] * 16) + 0.25
+    p = S.embedding_pairs(S.table(spark, SF, "embeddings")).collect()
+    u = {(r["sample_id"], r["distance"]): (d := np.subtract(r["z"], r["z_pert"])) @ form @ d for r in p}
+    assert {len(r["z"]) for r in p} == {64}
+    got = {(r["sample_id"], r["distance"]): r["u"] for r in Q.QUERIES["f1c_mahalanobis"](spark, SF).collect()}
+    assert got == pytest.approx(u, abs=1e-5)
+    mean = {k: np.mean([u[r["sample_id"], r["distance"]] for r in p if (r["locus_class"], r["distance"]) == k]) for k in {(r["locus_class"], r["distance"]) for r in p}}
+    assert {(r["locus_class"], r["distance"]): r["influence"] for r in Q.QUERIES["f1d_task_weighted"](spark, SF).collect()} == pytest.approx(mean, abs=1e-5)
+
+
+def test_covariance_of_all_components(spark):
+    z = np.array([r["embedding"] for r in S.table(spark, SF, "embeddings").collect()], float)
+    c = np.cov(z.T)
+    got = {(r["i"], r["j"]): r["cov"] for r in Q.QUERIES["f1e_covariance"](spark, SF).collect()}
+    assert got == pytest.approx({(i, j): c[i, j] for i in range(64) for j in range(i, 64)}, abs=1e-5)
