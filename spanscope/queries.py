@@ -588,18 +588,22 @@ def _d7(spark, sf):
     return _drawn(spark, sf, MODEL_A).select("locus_class", "sample_id", "distance", F.round(F.col("u") * 1e6, 4).alias("u"))
 
 
+def _every(spark) -> DataFrame:
+    return P.all_candidates(spark, S.REFERENCE, S.LENGTH, S.REFERENCE)
+
+
 @query("d8_metric_matrix")
 def _d8(spark, sf):
-    plan = P.all_candidates(spark, 128, 256, 20)
+    plan = _every(spark)
     return I.sample_matrix(I.model_samples(seqs(spark, sf), plan, MODEL_A, kernel="markov", metric=metrics.cosine_distance), ["locus_class"])
 
 
 @query("d9_kernel_ecl")
 def _d9(spark, sf):
-    plan = P.distances(spark, 20).withColumn("pos", P.upstream_first(F.col("distance"), 128, 256))
+    plan = _every(spark)
     out = None
     for k in K.KERNELS:
-        p = C.profile(I.model_samples(seqs(spark, sf), plan, MODEL_A, kernel=k, block_width=8), ["locus_class"], 20)
+        p = C.profile(I.model_samples(seqs(spark, sf), plan, MODEL_A, kernel=k, block_width=8), ["locus_class"], S.REFERENCE)
         e = C.ecl(C.cumulative(p, ["locus_class"]), ["locus_class"], (0.9,)).withColumn("kernel", F.lit(k))
         out = e if out is None else out.unionByName(e)
     return out
@@ -993,12 +997,12 @@ def _i1(spark, sf):
 
 @query("i3_additive_model")
 def _i3(spark, sf):
-    return I.binned_profile(seqs(spark, sf), M.additive(256, 16), ["locus_class"], 128, 40)
+    return C.profile(I.model_samples(seqs(spark, sf), _every(spark), M.additive(256, 16)), ["locus_class"], S.REFERENCE)
 
 
 @query("i6_interaction_model")
 def _i6(spark, sf):
-    return I.binned_profile(seqs(spark, sf), M.interacting(256, 16), ["locus_class"], 128, 20)
+    return C.profile(I.model_samples(seqs(spark, sf), _every(spark), M.interacting(256, 16)), ["locus_class"], S.REFERENCE)
 
 
 @query("i13_token_map", "SELECT model, token, (token - off) * k AS base FROM (VALUES " + ", ".join(f"('{n}', {v[2]}, {v[3]})" for n, v in M.EXTERNAL.items()) + ") t(model, k, off) CROSS JOIN (SELECT unnest(range(0, 50)) AS token)")

@@ -5,6 +5,7 @@ Where a registered twin is cut, its text is taken with the cut replaced here.
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import duckdb
@@ -12,6 +13,8 @@ import numpy as np
 import pytest
 
 from spanscope import queries as Q
+from spanscope.operators import kernels as K
+from spanscope.operators import models as M
 from spanscope.sources import tables as S
 
 SF = "/root/testdata/sf0.001"
@@ -101,3 +104,56 @@ def test_covariance_of_all_components(spark):
     c = np.cov(z.T)
     got = {(r["i"], r["j"]): r["cov"] for r in Q.QUERIES["f1e_covariance"](spark, SF).collect()}
     assert got == pytest.approx({(i, j): c[i, j] for i in range(64) for j in range(i, 64)}, abs=1e-5)
+
+
+def looped(rows, model, kernel: str, width: int, metric) -> dict:
+    """(sample, distance) -> u, averaged over both sides, of all distances 0..128, position by position."""
+    out = {}
+    for sample, seq in rows.items():
+        x = np.array(seq, np.int8)
+        z = model(x[None])[0]
+        for d in range(129):
+            u = []
+            for pos in sorted({p for p in (128 - d, 128 + d) if 0 <= p < 256}):
+                at = np.arange(max(0, pos - width // 2), min(255, pos + width // 2) + 1)
+                rng = np.random.default_rng(int.from_bytes(hashlib.md5(f"42:{kernel}:{sample}:{d}:{pos}".encode()).digest()[:8], "little"))
+                u.append(metric(z, model(K.KERNELS[kernel](x, at, rng)[None])[0]))
+            out[sample, d] = u
+    return out
+
+
+def euclid(a, b):
+    return float(((a - b) ** 2).sum())
+
+
+@pytest.fixture
+def few(spark, monkeypatch):
+    """Three windows, one of them filled up, in place of all of them; and their class."""
+    docs = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog. " * 9, "en"), (2, "kurz", "en")], "doc_id bigint, text string, lang string")
+    s = S.document_sequences(docs)
+    monkeypatch.setattr(Q, "seqs", lambda spark, sf: s)
+    return {r["sample_id"]: r["seq"] for r in s.collect()}
+
+
+@pytest.mark.parametrize("name, model", [("i3_additive_model", M.additive(256, 16)), ("i6_interaction_model", M.interacting(256, 16))])
+def test_model_profiles_over_all_distances(spark, few, name, model):
+    u = looped(few, model, "substitution", 1, euclid)
+    want = {d: np.mean(sum((u[s, d] for s in few), [])) for d in range(129)}
+    assert len(few) == 3
+    assert {r["distance"]: r["influence"] for r in Q.QUERIES[name](spark, SF).collect()} == pytest.approx(want)
+
+
+def test_metric_matrix_over_all_distances(spark, few):
+    u = looped(few, Q.MODEL_A, "markov", 1, lambda a, b: 1 - a @ b / max(np.sqrt(a @ a) * np.sqrt(b @ b), 1e-12))
+    want = {k: np.mean(v) for k, v in u.items()}
+    assert {(r["sample_id"], r["distance"]): r["u"] for r in Q.QUERIES["d8_metric_matrix"](spark, SF).collect()} == pytest.approx(want, abs=1e-12)
+
+
+def test_kernel_ecl_over_all_distances(spark, few):
+    want = {}
+    for k in K.KERNELS:
+        u = looped(few, Q.MODEL_A, k, 8, euclid)
+        mass = [(1 if d == 0 else 2) * np.mean(sum((u[s, d] for s in few), [])) for d in range(129)]
+        want[k] = int(np.searchsorted(np.cumsum(mass), 0.9 * sum(mass)))
+    assert {r["kernel"]: r["ecl"] for r in Q.QUERIES["d9_kernel_ecl"](spark, SF).collect()} == want
+    assert min(want.values()) > 20  # where the profile ended before
