@@ -104,8 +104,8 @@ NINE = "0.9::DOUBLE"
 # A sources and sinks
 
 
-def _genome(spark, sf) -> DataFrame:
-    d = S.table(spark, sf, "documents").where("length(text) >= 512")
+def _genome(spark, sf, least: int = 1) -> DataFrame:
+    d = S.table(spark, sf, "documents").where(F.length("text") >= least)
     return X.binned(d.select(F.concat(F.lit("doc"), F.col("doc_id")).alias("chrom"), F.translate(codec.digits(F.regexp_replace("text", "[^A-Za-z]", "N")), "0123", "ACGT").alias("bases")), 256)
 
 
@@ -147,7 +147,7 @@ def _a2(spark, sf):
     t AS (SELECT *, least(greatest(center - 150, 0), length(b) - 301) AS start FROM l)
     SELECT 'doc' || doc_id AS chrom, CAST(center AS BIGINT) AS center, CAST(start AS BIGINT) AS start, substr(b, CAST(start AS BIGINT) + 1, 301) AS bases FROM t""")
 def _a3(spark, sf):
-    g = _genome(spark, sf)
+    g = _genome(spark, sf, 301)
     loci = X.lengths(g, 256).select("chrom", below(F.col("chrom_length"), 42, "locus", F.substring("chrom", 4, 20)).alias("center"))
     return X.extract(g, loci, 301, 256)
 
@@ -829,7 +829,7 @@ def _g4(spark, sf):
 @query("g5_importance", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_tax / greatest(l_discount, 1e-12), 6) AS v FROM lineitem WHERE l_discount > 0")
 def _g5(spark, sf):
     v = E.importance_weighted(F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"))
-    return S.table(spark, sf, "lineitem").where("l_discount > 0").select("l_orderkey", "l_linenumber", F.round(v, 6).alias("v"))
+    return S.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(v, 6).alias("v"))
 
 
 PAIRED = f"{LOCI}, d AS (SELECT locus_id, a.ecl AS ecl_f, b.ecl AS ecl_g FROM e a JOIN e b USING (locus_id) WHERE a.model = 'view' AND b.model = 'click')"

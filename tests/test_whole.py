@@ -157,3 +157,28 @@ def test_kernel_ecl_over_all_distances(spark, few):
         want[k] = int(np.searchsorted(np.cumsum(mass), 0.9 * sum(mass)))
     assert {r["kernel"]: r["ecl"] for r in Q.QUERIES["d9_kernel_ecl"](spark, SF).collect()} == want
     assert min(want.values()) > 20  # where the profile ended before
+
+
+def test_importance_has_every_row(spark, duck):
+    rows = duck.execute("SELECT l_orderkey, l_linenumber, l_extendedprice, l_tax, l_discount FROM lineitem").fetchall()
+    want = sorted((k, n, p * x / max(q, 1e-12)) for k, n, p, x, q in rows)
+    got = sorted(map(tuple, Q.QUERIES["g5_importance"](spark, SF).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], rel=1e-12, abs=1e-6)
+    assert max(r[2] for r in got) > 1e9  # discount 0, at the floor
+
+
+def test_windows_of_all_long_enough_texts(spark, duck):
+    sql = Q.SQL["a3_extract_window"]
+    assert "length(text) >= 512" in sql
+    same(spark, duck, "a3_extract_window", sql.replace("length(text) >= 512", "length(text) >= 301"))
+
+
+def test_genome_of_all_texts(spark, tmp_path):
+    texts = {1: "acgt", 2: "", 3: None, 4: "tgca" * 200, 5: "g"}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = Q.QUERIES["a1_genome"](spark, str(tmp_path)).orderBy("chrom", "bin_id").collect()
+    got = {}
+    for r in rows:
+        got[r["chrom"]] = got.get(r["chrom"], "") + r["bases"]
+    assert got == {"doc1": "ACGT", "doc4": "TGCA" * 200, "doc5": "G"}
