@@ -628,7 +628,7 @@ def _d12(spark, sf):
 
 @query("d13_needle_sensitivity")
 def _d13(spark, sf):
-    return N.sensitivity(spark, MODEL_A, "GATA", [1, 5, 10, 20, 40, 80], samples=20)
+    return N.sensitivity(spark, MODEL_A, "GATA", [1, 5, 10, 20, 40, 80])
 
 
 SQL_MOTIFS = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in codec.MOTIFS.items()) + ") m(name, motif)"
@@ -814,7 +814,7 @@ BOOT = f"""{EVENTS}, ids AS (SELECT DISTINCT model, sample_id FROM s), rk AS (SE
 
 @query("g3_bootstrap_ecl", f"WITH {BOOT} SELECT pe.model, pe.beta, max(pe.ecl) AS ecl, round(quantile_cont(CAST(be.ecl AS DOUBLE), 0.025), 6) AS ci_lower, round(quantile_cont(CAST(be.ecl AS DOUBLE), 0.975), 6) AS ci_upper FROM pe JOIN be ON pe.model = be.model GROUP BY pe.model, pe.beta")
 def _g3(spark, sf):
-    return rounded(E.bootstrap_ecl(events(spark, sf), MODEL, LAST, resamples=50), "ci_lower", "ci_upper")
+    return rounded(E.bootstrap_ecl(events(spark, sf), MODEL, LAST), "ci_lower", "ci_upper")
 
 
 ANTI = "t AS (SELECT o_orderstatus AS model, CAST(round(o_totalprice * 100) AS BIGINT) AS a, o_custkey % 1000 AS b FROM orders)"
@@ -843,7 +843,7 @@ def _paired(spark, sf):
     t AS (SELECT perm, abs(sum(CASE WHEN {sql_draw("42", "'perm'", "perm", "locus_id")} % 2 = 0 THEN 1 ELSE -1 END * (ecl_f - ecl_g))) AS t FROM d CROSS JOIN (SELECT unnest(range(0, 200)) AS perm) GROUP BY perm)
     SELECT CAST(max(n) AS BIGINT) AS n, round(max(m), 6) AS mean_diff, round(avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_value, round(max(h), 6) AS ci_half FROM t CROSS JOIN st""")
 def _g6(spark, sf):
-    return rounded(E.permutation_test(_paired(spark, sf), [], 200), "mean_diff", "p_value", "ci_half")
+    return rounded(E.permutation_test(_paired(spark, sf), []), "mean_diff", "p_value", "ci_half")
 
 
 @query("g7_pairwise_tests", f"""{LOCI}, d AS (SELECT b.model AS other, locus_id, a.ecl - b.ecl AS d FROM e a JOIN e b USING (locus_id) WHERE a.model = 'view' AND b.model <> 'view'),
@@ -852,9 +852,9 @@ def _g6(spark, sf):
     SELECT other, CAST(max(n) AS BIGINT) AS n, round(max(m), 6) AS mean_diff, round(avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_value, round(max(h), 6) AS ci_half, avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) < 0.05 AS star FROM t JOIN st USING (other) GROUP BY other""")
 def _g7(spark, sf):
     e = _locus(spark, sf)
-    a = e.where("model = 'view'").select("locus_id", F.col("ecl").alias("ecl_f"))
-    d = a.join(e.where("model <> 'view'").select(F.col("model").alias("other"), "locus_id", F.col("ecl").alias("ecl_g")), "locus_id")
-    t = E.permutation_test(d, ["other"], 100)
+    a = e.select("model", "locus_id", F.col("ecl").alias("ecl_f"))
+    d = a.join(e.select(F.col("model").alias("other"), "locus_id", F.col("ecl").alias("ecl_g")), "locus_id").where("model < other")
+    t = E.permutation_test(d, ["model", "other"])
     return rounded(t.withColumn("star", F.col("p_value") < 0.05), "mean_diff", "p_value", "ci_half")
 
 
@@ -890,7 +890,7 @@ BETA_NAMES = [f"ecl_{round(b * 100)}" for b in C.BETAS]
 def _h1(spark, sf):
     e = events(spark, sf)
     t = R.pivoted(R.context_table(e, MODEL, LAST), MODEL, "beta", list(C.BETAS), names=BETA_NAMES)
-    return rounded(t.join(E.bootstrap_ecl(e, MODEL, LAST, resamples=50).select("model", "ci_lower", "ci_upper"), "model"), "ci_lower", "ci_upper")
+    return rounded(t.join(E.bootstrap_ecl(e, MODEL, LAST).select("model", "ci_lower", "ci_upper"), "model"), "ci_lower", "ci_upper")
 
 
 @query("h2_class_utilization", f"{LOCI}, m AS (SELECT model, avg(CAST(ecl AS DOUBLE)) AS ecl FROM e GROUP BY model) SELECT model, round(ecl, 6) AS ecl, nominal_bp, round(ecl / nominal_bp * 100, 6) AS utilization FROM m JOIN {SQL_NOMINAL} USING (model)")

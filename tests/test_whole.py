@@ -6,7 +6,9 @@ Where a registered twin is cut, its text is taken with the cut replaced here.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+from collections import defaultdict
 
 import duckdb
 import numpy as np
@@ -15,6 +17,7 @@ import pytest
 from spanscope import queries as Q
 from spanscope.operators import kernels as K
 from spanscope.operators import models as M
+from spanscope.sources import generate as G
 from spanscope.sources import tables as S
 
 SF = "/root/testdata/sf0.001"
@@ -182,3 +185,84 @@ def test_genome_of_all_texts(spark, tmp_path):
     for r in rows:
         got[r["chrom"]] = got.get(r["chrom"], "") + r["bases"]
     assert got == {"doc1": "ACGT", "doc4": "TGCA" * 200, "doc5": "G"}
+
+
+def drawn(*parts) -> int:
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def ecl90(u: dict, last: int = 99) -> int:
+    """Least distance with 0.9 of the influence of {distance: (sum, count)}."""
+    mass = [(1 if d == 0 else 2) * (u[d][0] / u[d][1] if u.get(d, (0, 0))[1] else 0.0) for d in range(last + 1)]
+    cum = np.cumsum(mass)
+    return int(np.argmax(cum >= 0.9 * cum[-1])) if cum[-1] > 0 else 0
+
+
+def samples(path) -> dict:
+    """model -> [(sample, locus, distance, u)] of an event table, ordered by sample."""
+    con, out = duckdb.connect(), defaultdict(list)
+    for m, s, i, props, v in con.execute(f"SELECT event_type, event_id, user_id, props, value FROM '{path}/events.parquet' ORDER BY event_id").fetchall():
+        out[m].append((s, i, json.loads(props)["k"], round(v * 100)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def small(tmp_path_factory):
+    """Events 0..149 only."""
+    path = tmp_path_factory.mktemp("small")
+    duckdb.connect().execute(f"COPY (SELECT * FROM '{SF}/events.parquet' ORDER BY event_id LIMIT 150) TO '{path}/events.parquet' (FORMAT parquet)")
+    return str(path)
+
+
+def test_bootstrap_of_a_thousand_resamples(spark, small):
+    want = {}
+    for m, rows in samples(small).items():
+        e = []
+        for b in range(1000):
+            u = defaultdict(lambda: [0, 0])
+            for j in range(len(rows)):
+                _, _, d, x = rows[drawn(42, "boot", m, b, j) % len(rows)]
+                u[d][0] += x
+                u[d][1] += 1
+            e.append(ecl90(u))
+        want[m] = tuple(np.percentile(e, [2.5, 97.5]))
+    for name in ("g3_bootstrap_ecl", "h1_context_table"):
+        got = {r["model"]: (r["ci_lower"], r["ci_upper"]) for r in Q.QUERIES[name](spark, small).collect()}
+        assert got == {m: pytest.approx(x, abs=1e-6) for m, x in want.items()}
+
+
+def test_ten_thousand_permutations_of_all_pairs(spark, small):
+    e = defaultdict(dict)
+    for m, rows in samples(small).items():
+        by = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+        for _, i, d, x in rows:
+            by[i][d][0] += x
+            by[i][d][1] += 1
+        for i, u in by.items():
+            e[m][i] = ecl90(u)
+    pairs = {(a, b): {i: e[a][i] - e[b][i] for i in e[a].keys() & e[b].keys()} for a in e for b in e if a < b}
+
+    def p_value(d: dict, *key) -> float:
+        hit = (abs(sum((1 if drawn(42, "perm", *key, k, i) % 2 == 0 else -1) * x for i, x in d.items())) >= abs(sum(d.values())) for k in range(10_000))
+        return sum(hit) / 10_000
+
+    want = {k: (len(d), p_value(d, *k)) for k, d in pairs.items() if d}
+    got = {(r["model"], r["other"]): (r["n"], r["p_value"]) for r in Q.QUERIES["g7_pairwise_tests"](spark, small).collect()}
+    assert len(e) == 5 and len(want) == 10
+    assert got == {k: (n, pytest.approx(p, abs=1e-6)) for k, (n, p) in want.items()}
+    one = {i: e["view"][i] - e["click"][i] for i in e["view"].keys() & e["click"].keys()}
+    assert Q.QUERIES["g6_permutation_test"](spark, small).first()["p_value"] == pytest.approx(p_value(one), abs=1e-6)
+
+
+def test_needle_in_fifty_backgrounds(spark):
+    far = [1, 5, 10, 20, 40, 80]
+    bg = {r["sample_id"]: np.array(r["seq"], np.int8) for r in G.neutral_background(spark, 50 * len(far), 256).collect()}
+    motif, want = np.array([0, 2, 0, 3, 0, 0, 2, 2], np.int8), {}  # AGATAAGG
+    for n, d in enumerate(far):
+        u = []
+        for k in range(50 * n, 50 * n + 50):
+            y = bg[k].copy()
+            y[124 - d : 132 - d] = motif
+            u.append(euclid(Q.MODEL_A(bg[k][None])[0], Q.MODEL_A(y[None])[0]))
+        want[d] = np.mean(u)
+    assert {r["distance"]: r["sensitivity"] for r in Q.QUERIES["d13_needle_sensitivity"](spark, SF).collect()} == pytest.approx(want)
