@@ -33,7 +33,7 @@ from ._base import flat, pick, pieces, text_buffers, tidy
 from ._words import LOWER, prefix_sums, ranges, span_hash, words
 from .langid import held_out
 
-WINDOW, STRIDE = 40, 28
+WINDOW, STRIDE = 40, 20
 #: ASCII characters other than letters and digits part words.
 _GAP = np.zeros(256, bool)
 _GAP[[b for b in range(128) if not chr(b).isalnum()]] = True

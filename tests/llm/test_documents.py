@@ -295,3 +295,9 @@ def test_empty_tables(spark, run):
 def test_all_null(spark, run):
     d = spark.createDataFrame([(None, None, None)] * 3, "doc_id bigint, text string, source string")
     assert run(d).count() == 3
+
+
+def test_every_span_of_21_words_is_whole_in_a_window():
+    first, length, _ = toxicity.windows(np.array([0, 333]))
+    for at in range(333 - 20):
+        assert ((first <= at) & (at + 21 <= first + length)).any()
