@@ -7,6 +7,7 @@ places, name columns alike and cast counts and sums.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -953,9 +954,27 @@ def _h9(spark, sf):
 @query("h10_ablations", " UNION ALL ".join(f"(WITH s AS (SELECT event_type AS model, CAST(props->>'$.k' AS BIGINT) AS distance, CAST(round(value * 100) AS BIGINT) AS u FROM events WHERE event_id % {n} = 0), {sql_profile()}, {sql_cum()} SELECT 'n' AS hyperparameter, '{n}' AS value, model, beta, ecl FROM ({sql_ecl(betas=NINE)}))" for n in (1, 2, 4)) + f" UNION ALL (WITH {EVENTS}, {sql_profile()}, {sql_cum(weight='1')} SELECT 'weighting' AS hyperparameter, 'none' AS value, model, beta, ecl FROM ({sql_ecl(betas=NINE)}))")
 def _h10(spark, sf):
     e = events(spark, sf)
-    one = lambda d, v, **o: C.ecl(C.cumulative(C.profile(d, MODEL, LAST), MODEL, **o), MODEL, (0.9,)).withColumn("value", F.lit(v))
-    n = one(e, "1").unionByName(one(e.where("sample_id % 2 = 0"), "2")).unionByName(one(e.where("sample_id % 4 = 0"), "4"))
-    return R.ablations({"n": n, "weighting": one(e, "none", mode="none")})
+    cols = ["value", "model", "beta", F.col("ecl").cast("double").alias("ecl"), F.col("ci_width").cast("double").alias("ci_width")]
+    bare = lambda d, v: d.withColumns({"value": F.lit(v), "ci_width": F.lit(None)}).select(*cols)
+    boot = lambda d, v, n: E.bootstrap_ecl(d, MODEL, LAST, resamples=n).withColumns({"value": F.lit(v), "ci_width": F.col("ci_upper") - F.col("ci_lower")}).select(*cols)
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+
+    def block(size: int) -> DataFrame:
+        at = F.floor(F.col("distance") / size)
+        d = e.withColumns({"block_id": at, "distance": (at * size).cast("double")}).groupBy("model", "block_id", "distance").agg((F.sum("u") / F.count("u")).alias("influence"))
+        return bare(C.block_ecl(d, MODEL, (0.9,)), str(size))
+
+    def metric(name: str) -> DataFrame:
+        u = I.model_samples(seqs(spark, sf), _every(spark), MODEL_A, metric=metrics.get_metric(name)).withColumn("model", F.lit("synthetic"))
+        return bare(C.ecl(C.cumulative(C.profile(I.sample_matrix(u, MODEL), MODEL, S.REFERENCE), MODEL), MODEL, (0.9,)), name)
+
+    return R.ablations({
+        "n": union(boot(e.where(F.col("sample_id") % n == 0), str(n), 500) for n in (1, 2, 4)),
+        "weighting": bare(C.ecl(C.cumulative(prof(spark, sf), MODEL, mode="none"), MODEL, (0.9,)), "none"),
+        "b": union(map(block, (1, 8, 32, 128))),
+        "B": union(boot(e, str(n), n) for n in (100, 500, 1000, 5000)),
+        "metric": union(map(metric, ("squared_euclidean", "cosine"))),
+    })
 
 
 @query("h11_decay_summary")

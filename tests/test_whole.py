@@ -266,3 +266,44 @@ def test_needle_in_fifty_backgrounds(spark):
             u.append(euclid(Q.MODEL_A(bg[k][None])[0], Q.MODEL_A(y[None])[0]))
         want[d] = np.mean(u)
     assert {r["distance"]: r["sensitivity"] for r in Q.QUERIES["d13_needle_sensitivity"](spark, SF).collect()} == pytest.approx(want)
+
+
+def test_four_ablations(spark, small, few):
+    def width(m: str, rows: list, n: int) -> float:
+        e = []
+        for b in range(n):
+            u = defaultdict(lambda: [0, 0])
+            for j in range(len(rows)):
+                _, _, d, x = rows[drawn(42, "boot", m, b, j) % len(rows)]
+                u[d][0] += x
+                u[d][1] += 1
+            e.append(ecl90(u))
+        lo, hi = np.percentile(e, [2.5, 97.5])
+        return hi - lo
+
+    def ecl(rows: list, size: int = 1) -> int:
+        u = defaultdict(lambda: [0, 0])
+        for _, _, d, x in rows:
+            u[d // size][0] += x
+            u[d // size][1] += 1
+        # blocks count by their order, empty ones are none
+        k = sorted(u) if size > 1 else None
+        return ecl90(u) if size == 1 else k[ecl90({i: u[b] for i, b in enumerate(k)}, len(k) - 1)] * size
+
+    want = {}
+    for m, rows in samples(small).items():
+        for n in (1, 2, 4):
+            part = [r for r in rows if r[0] % n == 0]
+            want["n", str(n), m] = (ecl(part), width(m, part, 500))
+        for n in (100, 500, 1000, 5000):
+            want["B", str(n), m] = (ecl(rows), width(m, rows, n))
+        for size in (8, 32, 128):
+            want["b", str(size), m] = (ecl(rows, size), None)
+    for name, f in (("squared_euclidean", euclid), ("cosine", lambda a, b: 1 - a @ b / np.sqrt((a @ a) * (b @ b)))):
+        u = looped(few, Q.MODEL_A, "substitution", 1, f)
+        mean = {d: (np.mean([np.mean(u[s, d]) for s in few]), 1) for d in range(129)}
+        want["metric", name, "synthetic"] = (ecl90(mean, 128), None)
+    got = {(r["hyperparameter"], r["value"], r["model"]): (r["ecl"], r["ci_width"]) for r in Q.QUERIES["h10_ablations"](spark, small).collect()}
+    assert {k[0] for k in got} == {"n", "b", "B", "metric", "weighting"}
+    for k, (e, w) in want.items():
+        assert got[k] == (e, w if w is None else pytest.approx(w, abs=1e-6)), k
