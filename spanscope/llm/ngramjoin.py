@@ -314,7 +314,7 @@ def group_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _verify(n: int, percent: int):
-    """Rows (group, c1, c2, first, text) ordered by group -> (c1, c2, component)."""
+    """Rows (group, c1, c2, first, text) ordered by group -> (c1, c2, component, key1, key2); the key is the component's least (c1, c2)."""
 
     def settle(rows):
         sets, seen = [], {}
@@ -327,10 +327,12 @@ def _verify(n: int, percent: int):
         comp = group_links(sets, percent)
         ids = [rows[i][3] for i in pick_]
         least: dict[int, int] = {}
-        for k, v in zip(comp.tolist(), ids, strict=True):
+        key: dict[int, tuple] = {}
+        for i, k, v in zip(pick_, comp.tolist(), ids, strict=True):
+            key[k] = min(rows[i][1:3], key.get(k, rows[i][1:3]))
             if v is not None:
                 least[k] = min(v, least.get(k, v))
-        return [(rows[i][1], rows[i][2], least.get(k)) for i, k in zip(pick_, comp.tolist(), strict=True)]
+        return [(rows[i][1], rows[i][2], least.get(k), *key[k]) for i, k in zip(pick_, comp.tolist(), strict=True)]
 
     def run(batches):
         rows, out = [], []
@@ -343,7 +345,7 @@ def _verify(n: int, percent: int):
                     rows.append(r)
         if rows:
             out += settle(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["c1", "c2", "component"])
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], ["c1", "c2", "component", "key1", "key2"])
 
     return run
 
@@ -385,7 +387,7 @@ def _against(rows: DataFrame, probes: DataFrame, n: int, percent: int, chunk_row
 
 
 def _large_groups(rows: DataFrame, n: int, percent: int, chunk_rows: int, pivots: int = 8) -> DataFrame:
-    """(c1, c2, component) of groups too large for a task; ``rows`` has (group, size, c1, c2, first, text)."""
+    """(c1, c2, component, key1, key2) of groups too large for a task; ``rows`` has (group, size, c1, c2, first, text)."""
     rows = stored(rows.withColumn("id", F.xxhash64("c1", "c2")))
     place = F.row_number().over(W.partitionBy("group").orderBy(F.xxhash64("id", F.lit(1))))
     some = rows.withColumn("place", place).where(F.col("place") <= pivots).drop("place")
@@ -400,12 +402,16 @@ def _large_groups(rows: DataFrame, n: int, percent: int, chunk_rows: int, pivots
     edges = first.unionByName(_against(rows, rest, n, percent, chunk_rows))
     at = components(edges)
     got = rows.select("c1", "c2", "first", "id").join(at, F.col("id") == F.col("v"), "left").select("c1", "c2", "first", label.alias("label"))
-    least = got.groupBy(F.col("label").alias("k")).agg(F.min("first").alias("component"))
-    return got.join(least, F.col("label") == F.col("k")).select("c1", "c2", "component")
+    least = got.groupBy(F.col("label").alias("k")).agg(F.min("first").alias("component"), F.min(F.struct("c1", "c2")).alias("key"))
+    return got.join(least, F.col("label") == F.col("k")).select("c1", "c2", "component", F.col("key.c1").alias("key1"), F.col("key.c2").alias("key2"))
 
 
 def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, block_entries: int = 3_000_000, group_rows: int = 4096) -> DataFrame:
-    """(r1, r2, doc_id, n, component): one row per document; r1 and r2 are hashes of id and text."""
+    """(r1, r2, doc_id, n, component, key1, key2): one row per document; r1 and r2 are hashes of id and text.
+
+    The key is the least (c1, c2) of the component's sets, so it tells
+    components apart whose ids are equal or null; null for no n-grams.
+    """
     d = keyed(docs)
     spark = d.sparkSession
     facts = stored(_facts(d, n))
@@ -438,16 +444,16 @@ def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, blo
     same = (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))
     rows = d.join(chosen.join(large, F.col("group") == F.col("g"), "left_anti"), same).select("group", "c1", "c2", "first", "text")
     rows = rows.repartition(partitions(spark), "group").sortWithinPartitions("group")
-    settled = rows.mapInArrow(tidy(_verify(n, percent)), "c1 bigint, c2 bigint, component bigint")
+    settled = rows.mapInArrow(tidy(_verify(n, percent)), "c1 bigint, c2 bigint, component bigint, key1 bigint, key2 bigint")
     if large.limit(1).count():
         rows = d.join(chosen.join(large, F.col("group") == F.col("g")), same).select("group", "size", "c1", "c2", "first", "text").dropDuplicates(["c1", "c2"])
         settled = settled.unionByName(_large_groups(rows, n, percent, group_rows))
-    settled = settled.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "component")
+    settled = settled.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "component", "key1", "key2")
     least = classes.select("c1", "c2", "first").join(settled, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
     # complements as keys: a join both sides of which are shuffled can be split where one set is very common
-    least = least.select(F.bitwise_not("c1").alias("k1"), F.bitwise_not("c2").alias("k2"), F.coalesce("component", "first").alias("component"))
+    least = least.select(F.bitwise_not("c1").alias("k1"), F.bitwise_not("c2").alias("k2"), F.coalesce("component", "first").alias("component"), F.coalesce("key1", "c1").alias("key1"), F.coalesce("key2", "c2").alias("key2"))
     out = facts.join(least, (F.col("n") > 0) & (F.bitwise_not("c1") == F.col("k1")) & (F.bitwise_not("c2") == F.col("k2")), "left")
-    return out.select("r1", "r2", "doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
+    return out.select("r1", "r2", "doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component"), "key1", "key2")
 
 
 def join_components(docs: DataFrame, **options) -> DataFrame:
@@ -459,10 +465,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, but of every component only the document of the smallest id.
 
     Rows without n-grams stay.  Of rows that repeat id and text one stays.
+    Components are told apart by their sets, so ids may repeat; a null id comes
+    after all others, and of rows of one id that of the least hash stays.
     """
-    links = linked(docs, **options).where("n > 0 and (doc_id is null or doc_id = component)")
-    links = links.select(F.when(F.col("component").isNull(), F.struct("r1", "r2")).otherwise(F.struct(F.col("component").alias("r1"), F.lit(None).cast("int").alias("r2"))).alias("k"), F.struct("r1", "r2").alias("r"))
-    kept = links.groupBy("k").agg(F.min("r").alias("r")).select(F.col("r.r1").alias("r1"), F.col("r.r2").alias("r2"))
+    links = linked(docs, **options).where("n > 0")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2"))
+    kept = links.groupBy("key1", "key2").agg(first.alias("r")).select(F.col("r.r1").alias("r1"), F.col("r.r2").alias("r2"))
     rows, cols, name = marked(docs)
     worded = F.regexp_like(F.coalesce(F.col(name["text"]), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     one = F.row_number().over(W.partitionBy("q1", "q2").orderBy("q1"))

@@ -301,3 +301,13 @@ def test_every_span_of_21_words_is_whole_in_a_window():
     first, length, _ = toxicity.windows(np.array([0, 333]))
     for at in range(333 - 20):
         assert ((first <= at) & (at + 21 <= first + length)).any()
+
+
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (1, text(2)), (None, text(3)), (None, text(3) + " more"), (None, text(4)), (7, text(4) + " more"), (9, text(5)), (8, text(5) + " more")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for options in ({}, {"group_rows": 1}):
+        got = [tuple(r) for r in ngramjoin.one_of_each(d, **options).collect()]
+        assert len(got) == 5 and len({k for _, k in got} & {text(3), text(3) + " more"}) == 1
+        assert {r for r in got if r[0] is not None} == {rows[0], rows[1], rows[5], rows[7]}
