@@ -36,28 +36,65 @@ def sample_complexity_bernstein(length, variance, bound, margin, delta: float =
     return F.ceil(F.lit(constant) * n * n * (v + g / (3 * n) * m) / (g * g) * F.ln(2 * n / delta)).cast("bigint")
 
 
-def bootstrap_counts(samples: DataFrame, keys: list[str], resamples: int, seed: int) -> DataFrame:
-    """(keys, b, sample_id, times): how often each resample drew each sample.
+def _poisson(samples: DataFrame, size: DataFrame, keys: list[str], resamples: int, seed: int, most: int = 13) -> DataFrame:
+    """Rows of ``samples`` and resamples b with ``times`` > 0, a Poisson draw of rate 1 - 5 / sqrt(n) by (keys, b, sample).
 
-    Counts are aggregated before anything is joined to the distances, so the
-    wide part of the plan has resamples * samples rows, not times distances.
+    One hash gives four resamples their 32 bits; nothing is shuffled.
+    """
+    rate = F.greatest(F.lit(0.0), 1 - 5 / F.sqrt("n"))
+    term, total, at = F.exp(-rate), F.lit(0.0), []
+    for k in range(most):
+        total = total + term
+        at.append(total)
+        term = term * rate / (k + 1)
+    d = samples.join(size, keys) if keys else samples.crossJoin(F.broadcast(size))  # one row a group
+    # every row is about to become ``resamples`` rows, so few input splits (or coalesced partitions) must not hold them all
+    d = d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "sample_id")
+    d = d.withColumn("_at", F.array(*at)).withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 4))))
+    d = d.withColumn("_md5", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("boot"), *[F.col(k).cast("string") for k in keys], F.col("_four").cast("string"), F.col("sample_id").cast("string"))))
+    bits = F.posexplode(F.array(*[F.conv(F.substring("_md5", 8 * i + 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0) for i in range(4)]))
+    d = d.select("*", bits.alias("_i", "_u")).withColumn("b", F.col("_four") * 4 + F.col("_i"))  # generated, so computed once and not in every branch
+    times = F.lit(most)
+    for k in reversed(range(most)):
+        times = F.when(F.col("_u") < F.col("_at")[k], k).otherwise(times)
+    return d.where((F.col("b") < resamples) & (F.col("_u") >= F.col("_at")[0])).withColumn("times", times).drop("_at", "_four", "_md5", "_i", "_u", "n")
+
+
+def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: int = 42, buckets: int = 4096) -> DataFrame:
+    """(keys, b, distance, total, times): sums of u and numbers of draws when n of n whole samples are drawn with replacement.
+
+    A multinomial of n draws is one of N draws and one of n - N more, for any
+    N; independent Poisson counts given their total N are the first.  So every
+    row draws its own counts where it lies, at a rate that leaves N under n by
+    about five times its root (in one resample of three million it does not,
+    and that one is a little larger), and only the missing draws, about
+    5 sqrt(n) a resample, look their samples up by rank.  Sums combine before
+    they are shuffled; no row holds a list of samples, and ranks come from
+    counts of hashed buckets, so no task orders all samples of a key.
     """
     ids = samples.select(*keys, "sample_id").distinct()
-    by = W.partitionBy(*keys).orderBy("sample_id")
-    ranked = ids.withColumn("t", F.row_number().over(by) - 1)
     size = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    d = size.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-    d = d.withColumn("t", draw(seed, "boot", *[F.col(k) for k in keys], F.col("b"), F.col("j")) % F.col("n"))
-    times = d.groupBy(*keys, "b", "t").agg(F.count(F.lit(1)).alias("times"))
-    return times.join(ranked, [*keys, "t"]).select(*keys, "b", "sample_id", "times")
+    have = _poisson(ids, size, keys, resamples, seed).groupBy(*keys, "b").agg(F.sum("times").alias("have"))
+    want = size.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).join(have, [*keys, "b"], "left")
+    rest = F.col("n") - F.coalesce("have", F.lit(0))
+    more = want.where(rest > 0).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), rest - 1)))
+    more = more.select(*keys, "b", (draw(seed, "rest", *[F.col(k) for k in keys], F.col("b"), F.col("j")) % F.col("n")).alias("t"))
+    placed = ids.withColumn("_bucket", draw(seed, "rank", F.col("sample_id")) % buckets)
+    before = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = before.select(*keys, "_bucket", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    ranked = placed.withColumn("_place", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("sample_id"))).join(before, [*keys, "_bucket"])
+    ranked = ranked.select(*keys, "sample_id", (F.col("_before") + F.col("_place") - 1).alias("t"))
+    drawn = more.join(ranked, [*keys, "t"]).groupBy(*keys, "sample_id", "b").agg(F.count(F.lit(1)).cast("int").alias("times")).join(samples, [*keys, "sample_id"])
+    cols = [*keys, "b", "distance", "u", "times"]
+    both = _poisson(samples, size, keys, resamples, seed).select(*cols).unionByName(drawn.select(*cols))
+    return both.groupBy(*keys, "b", "distance").agg(F.sum(F.col("u") * F.col("times")).alias("total"), F.sum("times").alias("times"))
 
 
 def bootstrap_ecl(samples: DataFrame, keys: list[str], last: int, *, betas: tuple[float, ...] = (0.9,), resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """(keys, beta, ecl, ci_lower, ci_upper): percentile intervals over resampled samples."""
     point = C.ecl(C.cumulative(C.profile(samples, keys, last), keys), keys, betas)
-    w = samples.join(bootstrap_counts(samples, keys, resamples, seed), [*keys, "sample_id"])
     k = [*keys, "b"]
-    mean = w.groupBy(*k, "distance").agg((F.sum(F.col("u") * F.col("times")) / F.sum("times")).cast("double").alias("influence"))
+    mean = bootstrap_sums(samples, keys, resamples, seed).select(*k, "distance", (F.col("total") / F.col("times")).cast("double").alias("influence"))
     grid = samples.select(*keys).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("distance", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))))
     p = grid.join(mean, [*k, "distance"], "left").withColumn("influence", F.coalesce("influence", F.lit(0.0)))
     e = C.ecl(C.cumulative(p, k), k, betas)

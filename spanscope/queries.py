@@ -137,13 +137,13 @@ def _scratch(spark, name: str) -> str:
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-@query("a2_encode_dna", f"SELECT doc_id, {SQL_ENCODE.format('substr(text, 1, 50)')} AS digits FROM documents")
+@query("a2_encode_dna", f"SELECT doc_id, {SQL_ENCODE.format("coalesce(text, '')")} AS digits FROM documents")
 def _a2(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", F.array_join(codec.encode(F.coalesce("text", F.lit(""))), "").alias("digits"))
 
 
 @query("a3_extract_window", f"""
-    WITH g AS (SELECT doc_id, translate({SQL_ENCODE.format("regexp_replace(text, '[^A-Za-z]', 'N', 'g')")}, '0123', 'ACGT') AS b FROM documents WHERE length(text) >= 512),
+    WITH g AS (SELECT doc_id, translate({SQL_ENCODE.format("regexp_replace(text, '[^A-Za-z]', 'N', 'g')")}, '0123', 'ACGT') AS b FROM documents WHERE length(text) >= 301),
     l AS (SELECT *, {sql_draw("42", "'locus'", "doc_id")} % length(b) AS center FROM g),
     t AS (SELECT *, least(greatest(center - 150, 0), length(b) - 301) AS start FROM l)
     SELECT 'doc' || doc_id AS chrom, CAST(center AS BIGINT) AS center, CAST(start AS BIGINT) AS start, substr(b, CAST(start AS BIGINT) + 1, 301) AS bases FROM t""")
@@ -460,7 +460,11 @@ def _c20(spark, sf):
     return C.needle_reach(prof(spark, sf), MODEL, 6000)
 
 
-SEQ = "q AS (SELECT lang AS locus_class, doc_id AS sample_id, text FROM documents WHERE length(text) >= 256)"
+SEQ = """q AS (SELECT lang AS locus_class, concat_ws(':', doc_id, w) AS sample_id, rpad(substr(text, greatest(least(w * 256, length(text) - 256), 0) + 1, 256), 256, '@') AS text
+    FROM (SELECT *, unnest(range(0, (length(text) - 1) // 256 + 1)) AS w FROM documents WHERE length(text) > 0))"""
+
+
+SQL_DIGITS = "array_to_string(list_transform(range(1, 257), lambda i: unicode(substr(text, i, 1)) % 4), '')"
 
 
 def sql_base(p: str) -> str:
@@ -530,8 +534,8 @@ def sql_sites(m: M.SiteModel, plan: str, length: int = 256) -> str:
     u AS (SELECT st.* EXCLUDE (l, a0, r, h), c11 * w * w + 2 * c10 * w * w0 + c00 * w0 * w0 AS u FROM st JOIN dt ON dt.l = st.l AND dt.a = a0 AND dt.b = (a0 + 1 + h % 3) % 4 AND dt.r = st.r JOIN wt ON wt.pos = st.pos)"""
 
 
-PLAN = f"SELECT distance, CAST(draw AS INTEGER) AS draw, c[1 + {sql_draw('42', chr(39) + 'pos' + chr(39), 'distance', 'draw')} % len(c)] AS pos FROM (SELECT *, unnest(range(0, least(10, len(c)))) AS draw FROM (SELECT distance, list_filter([CASE WHEN 128 - distance >= 0 THEN 128 - distance END, CASE WHEN distance > 0 AND 128 + distance < 256 THEN 128 + distance END], lambda x: x IS NOT NULL) AS c FROM (SELECT unnest(range(0, 101)) AS distance)))"
-EVERY = "SELECT distance, unnest(list_filter([CASE WHEN 128 - distance >= 0 THEN 128 - distance END, CASE WHEN distance > 0 AND 128 + distance < 256 THEN 128 + distance END], lambda x: x IS NOT NULL)) AS pos FROM (SELECT unnest(range(0, 101)) AS distance)"
+PLAN = f"SELECT distance, CAST(draw AS INTEGER) AS draw, c[1 + {sql_draw('42', chr(39) + 'pos' + chr(39), 'distance', 'draw')} % len(c)] AS pos FROM (SELECT *, unnest(range(0, least(10, len(c)))) AS draw FROM (SELECT distance, list_filter([CASE WHEN 128 - distance >= 0 THEN 128 - distance END, CASE WHEN distance > 0 AND 128 + distance < 256 THEN 128 + distance END], lambda x: x IS NOT NULL) AS c FROM (SELECT unnest(range(0, 129)) AS distance)))"
+EVERY = "SELECT distance, unnest(list_filter([CASE WHEN 128 - distance >= 0 THEN 128 - distance END, CASE WHEN distance > 0 AND 128 + distance < 256 THEN 128 + distance END], lambda x: x IS NOT NULL)) AS pos FROM (SELECT unnest(range(0, 129)) AS distance)"
 PROF_U = "p AS (SELECT locus_class, distance, CAST(sum(u) AS DOUBLE) / count(u) AS influence FROM u GROUP BY ALL)"
 
 
@@ -543,12 +547,12 @@ def _d1(spark, sf):
 
 @query("d2_binned_profile", f"WITH {sql_sites(MODEL_A, PLAN)}, {PROF_U} SELECT locus_class, distance, round(influence * 1e6, 4) AS influence FROM p")
 def _d2(spark, sf):
-    return I.binned_profile(seqs(spark, sf), MODEL_A, ["locus_class"], 128, 100).withColumn("influence", F.round(F.col("influence") * 1e6, 4))
+    return I.binned_profile(seqs(spark, sf), MODEL_A, ["locus_class"], S.REFERENCE, S.REFERENCE).withColumn("influence", F.round(F.col("influence") * 1e6, 4))
 
 
 @query("d2_profile_ecl", f"WITH {sql_sites(MODEL_A, PLAN)}, {PROF_U}, {sql_cum(keys='locus_class')} {sql_ecl(keys='locus_class')}")
 def _d2e(spark, sf):
-    return C.ecl(C.cumulative(I.binned_profile(seqs(spark, sf), MODEL_A, ["locus_class"], 128, 100), ["locus_class"]), ["locus_class"])
+    return C.ecl(C.cumulative(I.binned_profile(seqs(spark, sf), MODEL_A, ["locus_class"], S.REFERENCE, S.REFERENCE), ["locus_class"]), ["locus_class"])
 
 
 @query("d3_block_profile")
@@ -571,12 +575,12 @@ def _d5(spark, sf):
 
 @query("d6_sample_matrix", f"WITH {sql_sites(MODEL_A, EVERY)} SELECT locus_class, sample_id, distance, round(avg(u) * 1e6, 4) AS u FROM u GROUP BY ALL")
 def _d6(spark, sf):
-    u = I.site_samples(seqs(spark, sf), P.all_candidates(spark, 128, 256, 100), MODEL_A, 42)
+    u = I.site_samples(seqs(spark, sf), _every(spark), MODEL_A, 42)
     return I.sample_matrix(u, ["locus_class"]).withColumn("u", F.round(F.col("u") * 1e6, 4))
 
 
 def _drawn(spark, sf, m) -> DataFrame:
-    j = P.one_each(P.distances(spark, 100), seqs(spark, sf), 128, 256, 42)
+    j = P.one_each(P.distances(spark, S.REFERENCE), seqs(spark, sf), 128, 256, 42)
     base = F.try_element_at("seq", (F.col("pos") + 1).cast("int")).cast("int")
     return M.site_discrepancy(j.withColumn("new_base", M.substituted(base, 42, "sub", F.col("sample_id"), F.col("pos"))), m).drop("seq", "new_base")
 
@@ -612,7 +616,7 @@ def _d9(spark, sf):
 
 @query("d10_fast_locus_ecl", f"WITH {ONE}, p AS (SELECT sample_id, distance, u AS influence FROM one), {sql_cum(keys='sample_id')} {sql_ecl(keys='sample_id', betas=NINE)}")
 def _d10(spark, sf):
-    p = C.profile(_drawn(spark, sf, MODEL_A), ["sample_id"], 100)
+    p = C.profile(_drawn(spark, sf, MODEL_A), ["sample_id"], S.REFERENCE)
     return C.ecl(C.cumulative(p, ["sample_id"]), ["sample_id"], (0.9,))
 
 
@@ -642,7 +646,7 @@ def _d14(spark, sf):
     return m.select("name", F.array_join(codec.encode_motif(F.col("motif")), "").alias("digits"))
 
 
-@query("d15_insert_motif", f"""WITH {SEQ}, d AS (SELECT sample_id, {' || '.join(f"CAST({sql_base(str(i))} AS VARCHAR)" for i in range(64))} AS s FROM q), t AS (SELECT *, unnest([0, 5, 20, 40]) AS distance FROM d), p AS (SELECT *, greatest(0, least(32 - distance - 3, 64 - 7)) AS st FROM t)
+@query("d15_insert_motif", f"""WITH {SEQ}, d AS (SELECT sample_id, {SQL_DIGITS} AS s FROM q), t AS (SELECT *, unnest([0, 5, 20, 40]) AS distance FROM d), p AS (SELECT *, greatest(0, least(128 - distance - 3, 256 - 7)) AS st FROM t)
     SELECT sample_id, distance, substr(s, 1, st) || '3030000' || substr(s, st + 8) AS digits FROM p""")
 def _d15(spark, sf):
     s = seqs(spark, sf).select("sample_id", "seq").withColumn("distance", F.explode(F.array(*[F.lit(x) for x in (0, 5, 20, 40)])))
@@ -650,7 +654,7 @@ def _d15(spark, sf):
     return s.select("sample_id", "distance", F.array_join(N.insert_motif(F.col("seq"), N.motif_start(S.REFERENCE, F.col("distance"), 7, S.LENGTH), m), "").alias("digits"))
 
 
-@query("e1_substitution", f"""WITH {SEQ}, b AS (SELECT sample_id, i, {sql_base('i')} AS b, {sql_draw("42", "sample_id", "i")} AS h FROM q CROSS JOIN (SELECT unnest(range(0, 40)) AS i))
+@query("e1_substitution", f"""WITH {SEQ}, b AS (SELECT sample_id, i, {sql_base('i')} AS b, {sql_draw("42", "sample_id", "i")} AS h FROM q CROSS JOIN (SELECT unnest(range(0, 256)) AS i))
     SELECT sample_id, string_agg(CAST(CASE WHEN i IN (3, 10, 11, 25) THEN (b + 1 + h % 3) % 4 ELSE b END AS VARCHAR), '' ORDER BY i) AS digits FROM b GROUP BY sample_id""")
 def _e1(spark, sf):
     s = seqs(spark, sf)
@@ -693,12 +697,12 @@ def _e6(spark, sf):
     return _perturbed(spark, sf, "generative")
 
 
-@query("e8_codec", f"SELECT doc_id, translate({SQL_ENCODE.format('substr(text, 1, 60)')}, '0123', 'ACGT') AS letters FROM documents")
+@query("e8_codec", f"SELECT doc_id, translate({SQL_ENCODE.format("coalesce(text, '')")}, '0123', 'ACGT') AS letters FROM documents")
 def _e8(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", codec.decode(codec.encode(F.coalesce("text", F.lit("")))).alias("letters"))
 
 
-@query("e9_complement", f"SELECT doc_id, translate({SQL_ENCODE.format('substr(text, 1, 60)')}, '0123', 'TGCA') AS letters FROM documents")
+@query("e9_complement", f"SELECT doc_id, translate({SQL_ENCODE.format("coalesce(text, '')")}, '0123', 'TGCA') AS letters FROM documents")
 def _e9(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", codec.decode(codec.complement(codec.encode(F.coalesce("text", F.lit(""))))).alias("letters"))
 
@@ -720,7 +724,7 @@ def _f1b(spark, sf):
 
 
 FORM = np.diag(np.tile([1.0, 2.0, 0.5, 3.0], 16)) + 0.25  # all 64 components
-SQL_FORM = " + ".join(f"{float(FORM[i, j])}::DOUBLE * (z[{i + 1}] - y[{i + 1}]) * (z[{j + 1}] - y[{j + 1}])" for i in range(4) for j in range(4))
+SQL_FORM = f"list_sum(list_transform(list_zip(list_transform(list_zip(z, y), lambda p: p[1] - p[2]), {FORM.tolist()}::DOUBLE[][]), lambda r: r[1] * list_dot_product(r[2], list_transform(list_zip(z, y), lambda p: p[1] - p[2]))))"
 
 
 @query("f1c_mahalanobis", f"WITH {VEC} SELECT sample_id, distance, round({SQL_FORM}, 6) AS u FROM q")
@@ -734,9 +738,9 @@ def _f1d(spark, sf):
     return rounded(u.groupBy("locus_class", "distance").agg(F.avg("u").alias("influence")), "influence")
 
 
-@query("f1e_covariance", "WITH v AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings), i AS (SELECT unnest(range(0, 8)) AS i), j AS (SELECT i AS j FROM i) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_samp(z[i + 1], z[j + 1]), 6) AS cov FROM v CROSS JOIN i CROSS JOIN j WHERE i <= j GROUP BY ALL")
+@query("f1e_covariance", "WITH v AS (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z FROM embeddings), i AS (SELECT unnest(range(0, 64)) AS i), j AS (SELECT i AS j FROM i) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(covar_samp(z[i + 1], z[j + 1]), 6) + 0.0::DOUBLE AS cov FROM v CROSS JOIN i CROSS JOIN j WHERE i <= j GROUP BY ALL")
 def _f1e(spark, sf):
-    return rounded(metrics.covariance(S.table(spark, sf, "embeddings"), "embedding"), "cov")
+    return metrics.covariance(S.table(spark, sf, "embeddings"), "embedding").withColumn("cov", F.round("cov", 6) + 0.0)  # no negative zero
 
 
 @query("f1e_precision")
@@ -804,13 +808,27 @@ def _g2(spark, sf):
     return spark.createDataFrame([(x,) for x in (10.0, 100.0, 1000.0)], "length double").withColumn("n", E.sample_complexity(F.col("length"), 2.0, 0.5))
 
 
-BOOT = f"""{EVENTS}, ids AS (SELECT DISTINCT model, sample_id FROM s), rk AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY sample_id) - 1 AS t FROM ids), sz AS (SELECT model, count(*) AS n FROM ids GROUP BY 1),
-    dr AS (SELECT model, b, {sql_draw("42", "'boot'", "model", "b", "j")} % n AS t FROM (SELECT model, n, b, unnest(range(0, n)) AS j FROM sz CROSS JOIN (SELECT unnest(range(0, 50)) AS b))),
-    ti AS (SELECT model, b, sample_id, count(*) AS times FROM dr JOIN rk USING (model, t) GROUP BY ALL),
-    bm AS (SELECT model, b, distance, CAST(sum(u * times) AS DOUBLE) / sum(times) AS influence FROM s JOIN ti USING (model, sample_id) GROUP BY ALL),
-    bg AS (SELECT * FROM sz CROSS JOIN (SELECT unnest(range(0, 50)) AS b) CROSS JOIN (SELECT unnest(range(0, 100)) AS distance)),
+def sql_boot(resamples: int, src="s") -> str:
+    """CTEs bk (curves of the resamples), be (their ecl) over the events ``src``."""
+    rate, at, total = "greatest(0.0::DOUBLE, 1 - 5 / sqrt(n))", [], "0.0::DOUBLE"
+    for k in range(13):
+        total = f"{total} + exp(-({rate})) * power({rate}, {k}) / {float(math.factorial(k))}::DOUBLE"
+        at.append(total)
+    at_ = ", ".join(f"{x} AS a{k}" for k, x in enumerate(at))
+    case = "CASE " + " ".join(f"WHEN h / 4294967296.0::DOUBLE < a{k} THEN {k}" for k in range(13)) + " ELSE 13 END"
+    return f"""ids AS (SELECT DISTINCT model, sample_id FROM {src}), sz AS (SELECT model, count(*) AS n FROM ids GROUP BY 1), szr AS (SELECT *, {at_} FROM sz),
+    po AS (SELECT model, sample_id, b, {case} AS times FROM (SELECT *, CAST('0x' || substr(md5(concat_ws(':', 42, 'boot', model, b // 4, sample_id)), b % 4 * 8 + 1, 8) AS BIGINT) AS h FROM ids JOIN szr USING (model) CROSS JOIN (SELECT unnest(range(0, {resamples})) AS b))),
+    n0 AS (SELECT model, b, n, n - sum(times) AS rest FROM po JOIN sz USING (model) GROUP BY model, b, n),
+    dr AS (SELECT model, b, {sql_draw("42", "'rest'", "model", "b", "j")} % n AS t FROM (SELECT model, n, b, unnest(range(0, CAST(greatest(rest, 0) AS BIGINT))) AS j FROM n0)),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY {sql_draw("42", "'rank'", "sample_id")} % 4096, sample_id) - 1 AS t FROM ids),
+    ti AS (SELECT model, b, sample_id, sum(times) AS times FROM (SELECT model, b, sample_id, times FROM po WHERE times > 0 UNION ALL SELECT model, b, sample_id, 1 AS times FROM dr JOIN rk USING (model, t)) GROUP BY ALL),
+    bm AS (SELECT model, b, distance, CAST(sum(u * times) AS DOUBLE) / CAST(sum(times) AS DOUBLE) AS influence FROM {src} JOIN ti USING (model, sample_id) GROUP BY ALL),
+    bg AS (SELECT * FROM sz CROSS JOIN (SELECT unnest(range(0, {resamples})) AS b) CROSS JOIN (SELECT unnest(range(0, 100)) AS distance)),
     bp AS (SELECT model, b, distance, coalesce(influence, CAST(0 AS DOUBLE)) AS influence FROM bg LEFT JOIN bm USING (model, b, distance)),
-    {sql_cum('bp', 'model, b', name='bk')}, be AS ({sql_ecl('bk', 'model, b', NINE)}), {sql_profile()}, {sql_cum()}, pe AS ({sql_ecl(betas=NINE)})"""
+    {sql_cum('bp', 'model, b', name='bk')}, be AS ({sql_ecl('bk', 'model, b', NINE)})"""
+
+
+BOOT = f"{EVENTS}, {sql_boot(1000)}, {sql_profile()}, {sql_cum()}, pe AS ({sql_ecl(betas=NINE)})"
 
 
 @query("g3_bootstrap_ecl", f"WITH {BOOT} SELECT pe.model, pe.beta, max(pe.ecl) AS ecl, round(quantile_cont(CAST(be.ecl AS DOUBLE), 0.025), 6) AS ci_lower, round(quantile_cont(CAST(be.ecl AS DOUBLE), 0.975), 6) AS ci_upper FROM pe JOIN be ON pe.model = be.model GROUP BY pe.model, pe.beta")
@@ -827,10 +845,13 @@ def _g4(spark, sf):
     return E.antithetic(t, MODEL).withColumns({"mean": F.round("mean", 4), "variance": F.round("variance", 2)})
 
 
-@query("g5_importance", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_tax / greatest(l_discount, 1e-12), 6) AS v FROM lineitem WHERE l_discount > 0")
+SQL_IMPORTANCE = "l_extendedprice * l_tax / greatest(l_discount, 1e-12)"  # up to 1e15: rounded to the digits a double has
+
+
+@query("g5_importance", f"SELECT l_orderkey, l_linenumber, CASE WHEN {SQL_IMPORTANCE} < 1e9 THEN round({SQL_IMPORTANCE}, 6) ELSE round({SQL_IMPORTANCE}, -3) END AS v FROM lineitem")
 def _g5(spark, sf):
     v = E.importance_weighted(F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"))
-    return S.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(v, 6).alias("v"))
+    return S.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(v < 1e9, F.round(v, 6)).otherwise(F.round(v, -3)).alias("v"))
 
 
 PAIRED = f"{LOCI}, d AS (SELECT locus_id, a.ecl AS ecl_f, b.ecl AS ecl_g FROM e a JOIN e b USING (locus_id) WHERE a.model = 'view' AND b.model = 'click')"
@@ -841,16 +862,16 @@ def _paired(spark, sf):
 
 
 @query("g6_permutation_test", f"""{PAIRED}, st AS (SELECT count(*) AS n, abs(sum(ecl_f - ecl_g)) AS obs, avg(CAST(ecl_f - ecl_g AS DOUBLE)) AS m, 1.96::DOUBLE * stddev_samp(ecl_f - ecl_g) / sqrt(count(*)) AS h FROM d),
-    t AS (SELECT perm, abs(sum(CASE WHEN {sql_draw("42", "'perm'", "perm", "locus_id")} % 2 = 0 THEN 1 ELSE -1 END * (ecl_f - ecl_g))) AS t FROM d CROSS JOIN (SELECT unnest(range(0, 200)) AS perm) GROUP BY perm)
+    t AS (SELECT perm, abs(sum(CASE WHEN {sql_draw("42", "'perm'", "perm", "locus_id")} % 2 = 0 THEN 1 ELSE -1 END * (ecl_f - ecl_g))) AS t FROM d CROSS JOIN (SELECT unnest(range(0, 10000)) AS perm) GROUP BY perm)
     SELECT CAST(max(n) AS BIGINT) AS n, round(max(m), 6) AS mean_diff, round(avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_value, round(max(h), 6) AS ci_half FROM t CROSS JOIN st""")
 def _g6(spark, sf):
     return rounded(E.permutation_test(_paired(spark, sf), []), "mean_diff", "p_value", "ci_half")
 
 
-@query("g7_pairwise_tests", f"""{LOCI}, d AS (SELECT b.model AS other, locus_id, a.ecl - b.ecl AS d FROM e a JOIN e b USING (locus_id) WHERE a.model = 'view' AND b.model <> 'view'),
-    st AS (SELECT other, count(*) AS n, abs(sum(d)) AS obs, avg(CAST(d AS DOUBLE)) AS m, 1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)) AS h FROM d GROUP BY other),
-    t AS (SELECT other, perm, abs(sum(CASE WHEN {sql_draw("42", "'perm'", "other", "perm", "locus_id")} % 2 = 0 THEN 1 ELSE -1 END * d)) AS t FROM d CROSS JOIN (SELECT unnest(range(0, 100)) AS perm) GROUP BY ALL)
-    SELECT other, CAST(max(n) AS BIGINT) AS n, round(max(m), 6) AS mean_diff, round(avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_value, round(max(h), 6) AS ci_half, avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) < 0.05 AS star FROM t JOIN st USING (other) GROUP BY other""")
+@query("g7_pairwise_tests", f"""{LOCI}, d AS (SELECT a.model AS model, b.model AS other, locus_id, a.ecl - b.ecl AS d FROM e a JOIN e b USING (locus_id) WHERE a.model < b.model),
+    st AS (SELECT model, other, count(*) AS n, abs(sum(d)) AS obs, avg(CAST(d AS DOUBLE)) AS m, 1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)) AS h FROM d GROUP BY ALL),
+    t AS (SELECT model, other, perm, abs(sum(CASE WHEN {sql_draw("42", "'perm'", "model", "other", "perm", "locus_id")} % 2 = 0 THEN 1 ELSE -1 END * d)) AS t FROM d CROSS JOIN (SELECT unnest(range(0, 10000)) AS perm) GROUP BY ALL)
+    SELECT model, other, CAST(max(n) AS BIGINT) AS n, round(max(m), 6) AS mean_diff, round(avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_value, round(max(h), 6) AS ci_half, avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) < 0.05 AS star FROM t JOIN st USING (model, other) GROUP BY ALL""")
 def _g7(spark, sf):
     e = _locus(spark, sf)
     a = e.select("model", "locus_id", F.col("ecl").alias("ecl_f"))
@@ -951,7 +972,7 @@ def _h9(spark, sf):
     return rounded(R.quartiles(_locus(spark, sf), MODEL), "q1", "median", "q3")
 
 
-@query("h10_ablations", " UNION ALL ".join(f"(WITH s AS (SELECT event_type AS model, CAST(props->>'$.k' AS BIGINT) AS distance, CAST(round(value * 100) AS BIGINT) AS u FROM events WHERE event_id % {n} = 0), {sql_profile()}, {sql_cum()} SELECT 'n' AS hyperparameter, '{n}' AS value, model, beta, ecl FROM ({sql_ecl(betas=NINE)}))" for n in (1, 2, 4)) + f" UNION ALL (WITH {EVENTS}, {sql_profile()}, {sql_cum(weight='1')} SELECT 'weighting' AS hyperparameter, 'none' AS value, model, beta, ecl FROM ({sql_ecl(betas=NINE)}))")
+@query("h10_ablations")
 def _h10(spark, sf):
     e = events(spark, sf)
     cols = ["value", "model", "beta", F.col("ecl").cast("double").alias("ecl"), F.col("ci_width").cast("double").alias("ci_width")]
@@ -1001,7 +1022,7 @@ def _h13(spark, sf):
 def _site_query(name: str, m: M.SiteModel):
     @query(name, f"WITH {sql_sites(m, PLAN)}, {PROF_U} SELECT locus_class, distance, round(influence * 1e6, 4) AS influence FROM p")
     def f(spark, sf):
-        return I.binned_profile(seqs(spark, sf), m, ["locus_class"], 128, 100).withColumn("influence", F.round(F.col("influence") * 1e6, 4))
+        return I.binned_profile(seqs(spark, sf), m, ["locus_class"], S.REFERENCE, S.REFERENCE).withColumn("influence", F.round(F.col("influence") * 1e6, 4))
 
 
 _site_query("i2_local_model", M.local(256, 16, 40))
