@@ -22,7 +22,10 @@ all occurrences of a window together without gathering anything else.
     skewed join and never a group.
 
 Documents are told apart by hashes of id and text.  Rows that repeat wholly
-have the same key and the same result; they still count as two occurrences.
+have the same key and the same result; they still count as an occurrence each.
+What is gathered per key is a set, combined before it is shuffled, so equal rows
+take no more room than one; joins go by the keys' complements, which nothing is
+dealt by yet, so that they can be split where a key is very frequent.
 """
 
 from __future__ import annotations
@@ -54,6 +57,15 @@ class Spec:
     frequent: int = 4096
 
 
+def _off_key(t: DataFrame) -> DataFrame:
+    """The keys q1 and q2 as their complements _k1 and _k2."""
+    return t.select(F.bitwise_not("q1").alias("_k1"), F.bitwise_not("q2").alias("_k2"), *[c for c in t.columns if c not in ("q1", "q2")])
+
+
+def on_key(r1: str = "r1", r2: str = "r2"):
+    return (F.bitwise_not(r1) == F.col("_k1")) & (F.bitwise_not(r2) == F.col("_k2"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, r1, r2), null texts empty."""
     d = pick(docs, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
@@ -210,7 +222,9 @@ def _decided(spec: Spec, decide: Callable, budget: int):
 
 
 def covered(d: DataFrame, spec: Spec, decide: Callable, budget: int) -> DataFrame:
-    """(r1, r2, spans): what repeated windows cover, as symbol ranges [lo, hi), of every document that has any.
+    """(_k1, _k2, spans): what repeated windows cover, as symbol ranges [lo, hi), of every document that has any.
+
+    The keys are the complements of r1 and r2.
 
     ``decide(strands, anchor offsets, counts)`` returns the arrays (lo, hi) of
     covered symbols in each distinct strand.  All windows of a strand overlap,
@@ -221,9 +235,9 @@ def covered(d: DataFrame, spec: Spec, decide: Callable, budget: int) -> DataFram
     often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("h").alias("_h"), (F.col("n") > spec.frequent).alias("hot"))
     # joined by the complement, which the counts are not yet dealt by: a join both sides of which are shuffled can be split where it is skewed
     some = found.join(often, F.bitwise_not("h") == F.col("_h")).select(F.col("r1").alias("q1"), F.col("r2").alias("q2"), F.struct("s", "e", "p", "h", "hot").alias("a"))
-    at = some.groupBy("q1", "q2").agg(F.collect_list("a").alias("at"))
+    at = _off_key(some.groupBy("q1", "q2").agg(F.collect_set("a").alias("at")))
     # doc_id stays among the inputs, so this shuffle of the texts equals the caller's and is made once
-    work = d.join(at, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))).select("text", "r1", "r2", "at", "doc_id")
+    work = d.join(at, on_key()).select("text", "r1", "r2", "at", "doc_id")
     strands = work.mapInArrow(tidy(_contents(spec)), "g bigint, c bigint, off int, n bigint, sk binary")
     strands = strands.repartition(n, "g").sortWithinPartitions("g")
     parts = strands.mapInArrow(tidy(_decided(spec, decide, budget)), "g bigint, c bigint, lo int, hi int")
@@ -231,12 +245,12 @@ def covered(d: DataFrame, spec: Spec, decide: Callable, budget: int) -> DataFram
     where = work.mapInArrow(tidy(_occurrences(spec)), "g bigint, c bigint, r1 bigint, r2 int, s int")
     spans = where.join(parts, (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c")))
     spans = spans.select("r1", "r2", F.struct((F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi")).alias("x"))
-    return spans.groupBy(F.col("r1").alias("q1"), F.col("r2").alias("q2")).agg(F.collect_list("x").alias("spans"))
+    return _off_key(spans.groupBy(F.col("r1").alias("q1"), F.col("r2").alias("q2")).agg(F.collect_set("x").alias("spans")))
 
 
 def with_spans(d: DataFrame, spans: DataFrame) -> DataFrame:
     """(text, r1, r2, spans, doc_id) of every document; spans null where nothing repeats."""
-    return d.join(spans, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2")), "left").select("text", "r1", "r2", "spans", "doc_id")
+    return d.join(spans, on_key(), "left").select("text", "r1", "r2", "spans", "doc_id")
 
 
 def cover_mask(spans, base: np.ndarray, total: int) -> np.ndarray:

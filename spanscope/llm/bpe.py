@@ -4,7 +4,10 @@ Texts are cut at places no match of the pre-splitting pattern can span: before
 a white-space character that follows a character other than white space.  All
 alternatives of the pattern take white space at their beginning only, and none
 looks behind, so the matches of the pieces are the matches of the text.  Long
-texts therefore reach the regex engine in short pieces.
+texts therefore reach the regex engine in short pieces.  A long run of white
+space has no such place and would overflow the engine's stack; but it is one
+match, up to its last character if another one follows, so it is encoded as
+that without the engine.
 
 Nulls are empty texts; an empty text has no ids.  Repeated rows are encoded
 independently, other columns are ignored.
@@ -23,7 +26,12 @@ from pyspark.sql import DataFrame
 
 from ._base import pick
 
-_CUT = regex.compile(r"(?<=\S)(?=\s)")
+_CUT = regex.compile(r"(?<=\P{White_Space})(?=\p{White_Space})")  # what the engine's \s means
+
+
+@lru_cache(maxsize=16)
+def _run(size: int):
+    return regex.compile(rf"\p{{White_Space}}{{{max(2, size)},}}")
 
 
 @lru_cache(maxsize=4)
@@ -49,12 +57,19 @@ def safe_pieces(text: str, size: int = 1 << 16):
 
 
 def encode(text: str | None, enc, size: int = 1 << 16) -> list[int]:
+    """The ids of a text; ``size`` is about what reaches the regex engine at once."""
     if not text:
         return []
     if len(text) <= size:
         return enc.encode_ordinary(text)
     out: list[int] = []
-    for piece in safe_pieces(text, size):
+    at = 0
+    for run in _run(size).finditer(text):
+        for piece in safe_pieces(text[at : run.start()], size):
+            out += enc.encode_ordinary(piece)
+        at = run.end() - (run.end() < len(text))
+        out += enc._encode_single_piece(text[run.start() : at])
+    for piece in safe_pieces(text[at:], size):
         out += enc.encode_ordinary(piece)
     return out
 

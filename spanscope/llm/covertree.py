@@ -20,9 +20,10 @@ rows of other ids; repeated rows are candidates each.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import pick
 from ._grid import best, matrix, search, vectors
 
 
@@ -242,6 +243,6 @@ def search_top_k(refs: DataFrame, queries: DataFrame, *, k: int = 5, scale: floa
     return search(vectors(refs, id_col, vector_col, zero=True), vectors(queries, id_col, vector_col, zero=True), find, k, "bigint", shard_rows, block_rows)
 
 
-def every(df: DataFrame, n: int, id_col: str = "vec_id") -> Column:
-    """The query set: rows whose id is divisible by n."""
-    return df[id_col] % n == 0
+def every(df: DataFrame, n: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """The query set: id and vector of the rows whose id is divisible by n, whatever else the table's columns are called."""
+    return pick(df, **{id_col: "bigint", vector_col: "array<double>"}).where(F.col(id_col) % n == 0)

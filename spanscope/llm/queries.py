@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "embeddings")
-    return covertree.search_top_k(v, v.where(covertree.every(v, 50)))
+    return covertree.search_top_k(v, covertree.every(v, 50))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "embeddings")
-    return onebit.search_nearest(v, v.where(covertree.every(v, 50)))
+    return onebit.search_nearest(v, covertree.every(v, 50))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ SQL = {
         x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w),
         t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM x ANTI JOIN c USING (doc_id, p) GROUP BY doc_id),
         n AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
-        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(kept, '') AS text
         FROM w LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
     """,
     "op6_ngramjoin": r"""
@@ -115,3 +115,23 @@ def op10_suffixarray(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_suffixarray": op10_suffixarray}
+
+# Hexadecimal throughout, so that every byte can be addressed; a piece that begins or ends inside a character loses the rest of it in ``text``.
+SQL["op10_suffixarray"] = r"""
+    WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+    n AS (SELECT doc_id, h, CAST(length(h) // 2 AS BIGINT) AS nb FROM d),
+    c AS (SELECT doc_id, nb, c, substr(h, 2 * c + 1, 2 * 1423) AS part FROM (SELECT *, unnest(range(0, greatest(nb - 399, 0), 1024)) AS c FROM n)),
+    w AS (SELECT doc_id, c + i AS s, md5(substr(part, 2 * i + 1, 800)) AS k FROM (SELECT *, unnest(range(0, least(1024, nb - 399 - c))) AS i FROM c)),
+    r AS (SELECT doc_id, s FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+    f AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 400 THEN 0 ELSE 1 END AS fresh FROM r),
+    g AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM f),
+    x AS (SELECT doc_id, min(s) AS lo, max(s) + 400 AS hi FROM g GROUP BY doc_id, span),
+    a AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM x
+          UNION ALL SELECT n.doc_id, coalesce(max(hi), 0), any_value(nb) FROM n LEFT JOIN x USING (doc_id) GROUP BY n.doc_id),
+    p AS (SELECT doc_id, a, substr(h, 2 * a + 1, 2 * (b - a)) AS piece FROM a JOIN n USING (doc_id)),
+    k AS (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS kept,
+                 string_agg(regexp_replace(regexp_replace(piece, '^([89ab][0-9a-f])+', ''), '([cd][0-9a-f]|e[0-9a-f]([89ab][0-9a-f])?|f[0-9a-f]([89ab][0-9a-f]){0,2})$', ''), '' ORDER BY a) AS clean FROM p GROUP BY doc_id),
+    t AS (SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS gone, count(*) AS spans FROM x GROUP BY doc_id)
+    SELECT n.doc_id, nb AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256, decode(unhex(clean)) AS text
+    FROM n JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
+"""

@@ -151,7 +151,7 @@ def removed_words(docs: DataFrame, *, width: int = 35, budget: int = 60_000) ->
 
 
 def digest(docs: DataFrame, *, width: int = 35, budget: int = 60_000) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256)."""
+    """(doc_id, n_words, n_removed, kept_sha256, text): ``text`` has the kept words joined by one space."""
     return _finish(docs, width, budget, False)
 
 
@@ -203,7 +203,8 @@ def _finish(docs: DataFrame, width: int, budget: int, whole: bool) -> DataFrame:
                     cols |= {"kept_text": pa.array([t.decode() for t in texts], pa.string()), "spans": span_lists(*runs(gone, base), n)}
                 else:
                     cols["kept_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+                    cols["text"] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_pydict(cols)
 
-    tail = "kept_text string, spans array<struct<lo:int,hi:int>>" if whole else "kept_sha256 string"
+    tail = "kept_text string, spans array<struct<lo:int,hi:int>>" if whole else "kept_sha256 string, text string"
     return found.mapInArrow(tidy(run), f"doc_id bigint, n_words bigint, n_removed bigint, {tail}")

@@ -9,13 +9,16 @@ Afterwards a group's members share their Lyndon prefix.  Second phase: from the
 smallest suffix on, the suffix before each and those along its pointers take
 the next places of their groups.
 
-Symbols are blocks of 15 bytes counted from a strand's anchor, ranked, with a
-block's length as its last byte, so that block order is byte order.  The array
-orders the right-hand sides of all strands; neighbours' common prefixes then
-give, for every distance of a window's start from the anchor, the classes of
-equal right-hand parts, and together with a running 64-bit hash of the part left
-of the anchor the classes of equal windows.  Classes of two or more
-occurrences are what is removed.
+Symbols are phrases.  A phrase ends after 8 bytes whose hash says so, at the
+strand's anchor, or after 64 bytes; phrases are ranked by their bytes, so the
+order of phrase sequences is the byte order of the suffixes that start a
+phrase.  Every window is decided at the first such start it holds whose 8 bytes
+lie in it too (at the anchor if there is none before it), which the window's
+content alone fixes.  So the array orders many suffixes of every strand, and all
+of them decide: the common prefixes of neighbours give the classes of equal
+parts right of a start, reversed texts in sorted order those of equal parts left
+of it, and windows of one pair of classes are equal, byte by byte and without
+hashes.  Classes of two or more occurrences are what is removed.
 
 Texts are UTF-8 bytes; null ones are empty.  Matches never cross documents.
 Repeated rows are each other's repeats.  Other columns are ignored.
@@ -28,14 +31,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._base import pieces, text_buffers, tidy
-from ._repeats import Spec, cover_mask, covered, keyed, marked, with_spans
-from ._words import ranges, scramble
+from ._repeats import Spec, cover_mask, covered, keyed, marked, on_key, with_spans
+from ._words import prefix_sums, ranges, span_hash
 from .substrings import runs, span_lists
 
-_BLOCK = 15
+_CONTEXT, _LONGEST = 8, 64  # bytes that decide where a phrase ends; a phrase's most
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -118,39 +120,67 @@ def _raise(levels, sa: list, pos: list, group: list, end: list) -> None:
             end[new], end[g] = last, new - 1
 
 
-def _sequence(flat: np.ndarray, at: np.ndarray, off: np.ndarray):
-    """Ranked blocks of every strand's right-hand side, ends marked 1, the last symbol 0; and where sides begin."""
-    size = np.diff(at) - off
-    blocks = -(-size // _BLOCK)
-    base = np.concatenate([[0], np.cumsum(blocks)])
-    total = int(base[-1])
-    t = ranges(np.zeros(len(size), np.int64), size)
-    to = (np.repeat(base[:-1], size) + t // _BLOCK) * 16 + t % _BLOCK
-    grid = np.zeros(total * 16, np.uint8)
-    grid[to] = flat[ranges(at[:-1] + off, size)]
-    grid = grid.reshape(-1, 16)
-    grid[:, 15] = _BLOCK
-    grid[base[1:] - 1, 15] = size - (blocks - 1) * _BLOCK
-    pair = grid.view(">u8").astype(np.uint64)
-    order = np.lexsort((pair[:, 1], pair[:, 0]))
-    fresh = np.ones(total, np.int64)
-    fresh[1:] = (pair[order[1:]] != pair[order[:-1]]).any(1)
-    rank = np.empty(total, np.int64)
+def _natural(flat: np.ndarray, at: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase starts that content fixes (positions, strands): after 8 bytes whose hash is right, and anchors; ends excluded."""
+    m = len(off)
+    mark = np.zeros(len(flat) + 1, bool)
+    if len(flat) >= _CONTEXT:
+        h = span_hash(prefix_sums(flat), np.arange(len(flat) - _CONTEXT + 1), np.arange(_CONTEXT, len(flat) + 1))
+        mark[_CONTEXT:] = (h >> np.uint64(59)) == 0  # one in 32
+    near = np.arange(_CONTEXT)
+    for begin in (at[:-1], at[:-1] + off):  # the 8 bytes begin in another strand, or left of an anchor and perhaps of its window
+        mark[(begin[:, None] + near).ravel().clip(max=len(flat))] = False
+    mark[at[:-1] + off] = True
+    mark[at[-1]] = False
+    pos = np.flatnonzero(mark)
+    return pos, np.searchsorted(at[:m], pos, side="right") - 1
+
+
+def _sequence(flat: np.ndarray, at: np.ndarray, pos: np.ndarray, owner: np.ndarray):
+    """Ranked phrases of every strand from its first start on, strands ended by 1, the last symbol 0; and the starts' places."""
+    last = np.ones(len(pos), bool)
+    last[:-1] = owner[1:] != owner[:-1]
+    stop = np.where(last, at[owner + 1], np.append(pos[1:], 0))
+    parts = -(-(stop - pos) // _LONGEST)
+    first = np.concatenate([[0], np.cumsum(parts)])
+    begin = np.repeat(pos, parts) + (np.arange(first[-1]) - np.repeat(first[:-1], parts)) * _LONGEST
+    size = np.minimum(np.repeat(stop, parts) - begin, _LONGEST)
+    rows = np.zeros((len(begin), _LONGEST + 1), np.uint8)
+    rows[np.repeat(np.arange(len(begin)), size), ranges(np.zeros(len(size), np.int64), size)] = flat[ranges(begin, size)]
+    rows[:, -1] = size  # tells content from filling; shorter first
+    order = np.argsort(rows.view(f"S{_LONGEST + 1}").ravel(), kind="stable")
+    fresh = np.ones(len(order), np.int64)
+    fresh[1:] = (rows[order[1:]] != rows[order[:-1]]).any(1)
+    rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(fresh) + 1
-    seq = np.ones(total + len(size) + 1, np.int64)
-    seq[np.arange(total) + np.repeat(np.arange(len(size)), blocks)] = rank
+    strand = np.cumsum(last) - last  # strands before a start's; every strand has its anchor
+    seq = np.ones(len(begin) + int(last.sum()) + 1, np.int64)
+    seq[np.arange(len(begin)) + np.repeat(strand, parts)] = rank
     seq[-1] = 0
-    return seq, base[:-1] + np.arange(len(size))
+    return seq, first[:-1] + strand
 
 
-def _common(rows: np.ndarray, size: np.ndarray, step: int = 2048) -> np.ndarray:
+def _rows(flat: np.ndarray, start: np.ndarray, size: np.ndarray, step: int = 1) -> np.ndarray:
+    """Bytes from each start on, forwards or backwards, filled up with zeros."""
+    rows = np.zeros((len(start), max(int(size.max(initial=0)), 1)), np.uint8)
+    k = ranges(np.zeros(len(size), np.int64), size)
+    rows[np.repeat(np.arange(len(start)), size), k] = flat[np.repeat(start, size) + step * k]
+    return rows
+
+
+def _common(rows: np.ndarray, step: int = 2048) -> np.ndarray:
     """Common prefix lengths of neighbouring rows."""
     out = np.zeros(max(len(rows) - 1, 0), np.int64)
     for i in range(0, len(out), step):
         j = min(i + step, len(out))
         differ = rows[i:j] != rows[i + 1 : j + 1]
         out[i:j] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
-    return np.minimum(out, np.minimum(size[1:], size[:-1]))
+    return out
+
+
+def _classes(common: np.ndarray, least: int, place: np.ndarray) -> np.ndarray:
+    """Class of each place in a sorted order, where neighbours with ``least`` in common are of one."""
+    return np.concatenate([[0], np.cumsum(common < least)])[place]
 
 
 def decider(width: int):
@@ -160,35 +190,38 @@ def decider(width: int):
         at = np.concatenate([[0], np.cumsum(length)])
         flat = np.frombuffer(b"".join(strands), np.uint8)
         off = off.astype(np.int64)
-        seq, begin = _sequence(flat, at, off)
+        pos, owner = _natural(flat, at, off)
+        seq, symbol = _sequence(flat, at, pos, owner)
+        # the windows of each start: those whose first start it is, from 8 bytes after the window's beginning on
+        x = pos - at[owner]
+        anchor = x == off[owner]
+        before = np.concatenate([[-1], np.where(owner[1:] == owner[:-1], x[:-1] - _CONTEXT, -1)])
+        low = np.maximum(before + 1, 0)
+        high = np.minimum(np.where(anchor, x, x - _CONTEXT), length[owner] - width)
+        some = np.flatnonzero((x <= off[owner]) & (low <= high))
+        pos, owner, symbol, x, low, high = (a[some] for a in (pos, owner, symbol, x, low, high))
+        near, far = x - high, x - low  # how far left of the start its windows begin
         rank = np.empty(len(seq), np.int64)
         rank[suffix_array(seq)] = np.arange(len(seq))
-        order = np.argsort(rank[begin])
-        length, start, off, count = length[order], at[:-1][order], off[order], count[order]
-        size = length - off
-        rows = np.zeros((m, int(size.max())), np.uint8)
-        rows[np.repeat(np.arange(m), size), ranges(np.zeros(m, np.int64), size)] = flat[ranges(start + off, size)]
-        common = _common(rows, size)
-        left = np.zeros(m, np.uint64)
-        far, near = np.full(m, -1, np.int64), np.full(m, -1, np.int64)
-        for d in range(int(off.max()) + 1):
-            if d:
-                here = off >= d
-                left[here] = (left[here] + flat[(start + off - d)[here]] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            w = np.flatnonzero((off >= d) & (size >= width - d))
-            if not len(w):
-                continue
-            part = np.concatenate([[0], np.cumsum(common < width - d)]).astype(np.uint64)
-            key = scramble(left[w] ^ scramble(part[w] + np.uint64(1)))
+        right = np.argsort(rank[symbol])
+        place = np.empty(len(right), np.int64)
+        place[right] = np.arange(len(right))
+        ahead = _common(_rows(flat, pos[right], np.minimum(at[owner + 1] - pos, width)[right]))
+        behind = _rows(flat, pos - 1, far, -1)
+        left = np.argsort(behind.view(f"S{behind.shape[1]}").ravel(), kind="stable")
+        back = np.empty(len(left), np.int64)
+        back[left] = np.arange(len(left))
+        behind = _common(behind[left])
+        lo, hi = np.full(m, np.iinfo(np.int64).max), np.full(m, -1, np.int64)
+        for d in range(int(near.min(initial=0)), int(far.max(initial=-1)) + 1):
+            w = np.flatnonzero((near <= d) & (d <= far))
+            key = _classes(ahead, width - d, place[w]) * len(left) + _classes(behind, d, back[w])
             _, inv = np.unique(key, return_inverse=True)
-            twice = w[np.bincount(inv, weights=count[w])[inv] >= 2]
-            far[twice] = d
-            near[twice[near[twice] < 0]] = d
-        lo, hi = np.zeros(m, np.int64), np.zeros(m, np.int64)
-        hit = far >= 0
-        lo[order[hit]] = (off - far)[hit]
-        hi[order[hit]] = (off - near)[hit] + width
-        return lo, hi
+            twice = w[np.bincount(inv, weights=count[owner[w]])[inv] >= 2]
+            np.minimum.at(lo, owner[twice], (x - d)[twice])
+            np.maximum.at(hi, owner[twice], (x - d)[twice])
+        hit = hi >= 0
+        return np.where(hit, lo, 0), np.where(hit, hi + width, 0)
 
     return decide
 
@@ -203,7 +236,7 @@ def removed_bytes(docs: DataFrame, *, width: int = 400, budget: int = 1_500_000)
 
 
 def digest(docs: DataFrame, *, width: int = 400, budget: int = 1_500_000) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256)."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text): ``text`` has the characters no byte of which is removed."""
     return _finish(docs, width, budget, False)
 
 
@@ -228,19 +261,28 @@ def _finish(docs: DataFrame, width: int, budget: int, whole: bool) -> DataFrame:
                     cols |= {"kept": pa.array(texts, pa.binary()), "spans": span_lists(row, lo, hi, n)}
                 else:
                     cols["kept_sha256"] = pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())
+                    cols["text"] = untouched(data, off, gone)
                 yield pa.RecordBatch.from_pydict(cols)
 
-    tail = "kept binary, spans array<struct<lo:int,hi:int>>" if whole else "kept_sha256 string"
+    tail = "kept binary, spans array<struct<lo:int,hi:int>>" if whole else "kept_sha256 string, text string"
     return found.mapInArrow(tidy(run), f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {tail}")
 
 
-def whole_characters(gone: np.ndarray, data: np.ndarray) -> np.ndarray:
-    """The mask without the bytes of characters that are covered in part."""
+def untouched(data: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.Array:
+    """The text of each row without the characters that lost a byte."""
+    keep = ~whole_characters(gone, data, any_byte=True)
+    end = np.concatenate([[0], np.cumsum(keep)])[off].astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(end), pa.py_buffer(data[keep])).cast(pa.string())
+
+
+def whole_characters(gone: np.ndarray, data: np.ndarray, any_byte: bool = False) -> np.ndarray:
+    """The mask without the bytes of characters that are covered in part, or with all bytes of them."""
     lead = np.flatnonzero((data & 0xC0) != 0x80)
     if not len(lead):
         return gone
     size = np.diff(np.concatenate([lead, [len(data)]]))
-    return np.repeat(np.add.reduceat(gone.astype(np.int64), lead) == size, size)
+    covered_ = np.add.reduceat(gone.astype(np.int64), lead)
+    return np.repeat(covered_ > 0 if any_byte else covered_ == size, size)
 
 
 def cut_documents(docs: DataFrame, *, width: int = 400, budget: int = 1_500_000) -> DataFrame:
@@ -249,9 +291,9 @@ def cut_documents(docs: DataFrame, *, width: int = 400, budget: int = 1_500_000)
     Spans are those of ``removed_bytes``; a character they cover in part stays,
     so that the texts stay valid UTF-8.  A null text stays null.
     """
-    spans = covered(keyed(docs), byte_spec(width), decider(width), budget).withColumnsRenamed({"q1": "r1", "q2": "r2"})
+    spans = covered(keyed(docs), byte_spec(width), decider(width), budget)
     rows, names, name = marked(docs)
-    rows = rows.join(spans, (F.col("q1") == F.col("r1")) & (F.col("q2") == F.col("r2")), "left").select(*names, "spans")
+    rows = rows.join(spans, on_key("q1", "q2"), "left").select(*names, "spans")
     text, size = name["text"], name.get("n_chars")
     kind = pa.int64() if size is None else {"int": pa.int32()}.get(dict(rows.dtypes)[size], pa.int64())
 

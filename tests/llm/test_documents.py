@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -33,7 +34,7 @@ def test_pick_by_exact_name(docs):
 
 @pytest.mark.parametrize("width", [5, 35])
 def test_substrings(docs, width):
-    got = cases.ordered(substrings.digest(docs, width=width).collect())
+    got = cases.ordered(substrings.digest(docs, width=width).drop("text").collect())
     assert got == cases.ordered(cases.substrings(cases.documents(), width))
 
 
@@ -46,7 +47,7 @@ def test_substrings_spans(docs):
 
 @pytest.mark.parametrize("width", [8, 100, 400])
 def test_byte_strings(docs, width):
-    got = cases.ordered(suffixarray.digest(docs, width=width).collect())
+    got = cases.ordered(suffixarray.digest(docs, width=width).drop("text").collect())
     assert got == cases.ordered(cases.byte_strings(cases.documents(), width))
 
 
@@ -58,8 +59,85 @@ def test_frequent_anchors_are_cut_without_loss(spark, monkeypatch):
     keep = _repeats.Spec
     monkeypatch.setattr(substrings, "Spec", lambda **k: keep(**k, frequent=5))
     monkeypatch.setattr(suffixarray, "Spec", lambda **k: keep(**k, frequent=5))
-    assert cases.ordered(substrings.digest(d, width=35).collect()) == cases.ordered(cases.substrings(rows, 35))
-    assert cases.ordered(suffixarray.digest(d, width=100).collect()) == cases.ordered(cases.byte_strings(rows, 100))
+    assert cases.ordered(substrings.digest(d, width=35).drop("text").collect()) == cases.ordered(cases.substrings(rows, 35))
+    assert cases.ordered(suffixarray.digest(d, width=100).drop("text").collect()) == cases.ordered(cases.byte_strings(rows, 100))
+
+
+def test_texts_that_are_left(docs):
+    """Words joined by one space; characters none of whose bytes went."""
+    for r in substrings.digest(docs, width=35).collect():
+        assert hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
+    rows = [r for r in cases.documents() if r[0] is not None]
+    masks = cases.covered([(r[1] or "").encode() for r in rows], 101, bytes)
+    want = {}
+    for r, mask in zip(rows, masks, strict=True):
+        at, kept = 0, []
+        for c in r[1] or "":
+            size = len(c.encode())
+            kept.append("" if any(mask[at : at + size]) else c)
+            at += size
+        want[r[0]] = "".join(kept)
+    for r in suffixarray.digest(docs, width=101).where("doc_id is not null").collect():
+        assert r["text"] == want[r["doc_id"]]
+
+
+@pytest.mark.parametrize("ids", [True, False])
+def test_a_thousand_equal_rows(spark, ids):
+    """Equal rows are each other's repeats; what is gathered for them does not grow with their number."""
+    rng = np.random.default_rng(5)
+    text, lone = cases.prose(rng, 200, 4000), cases.prose(rng, 150, 4000)
+    rows = [(7 if ids else None, text)] * 1000 + [(1, lone), (2, lone + " x")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = Counter(map(tuple, cases.substrings(rows[998:], 35)))
+    got = Counter(map(tuple, substrings.digest(d).drop("text").collect()))
+    assert set(got) == set(want) and max(got.values()) == 1000
+    want = set(cases.byte_strings(rows[998:], 400))
+    got = Counter(map(tuple, suffixarray.digest(d).drop("text").collect()))
+    assert set(got) == want and max(got.values()) == 1000
+    assert suffixarray.cut_documents(d).where("text = ''").count() == 1001
+
+
+def _shard(seed: int, width: int):
+    """Strands around one anchor, as edits of one text: (strands, anchor offsets, counts) and what is repeated in each."""
+    rng = np.random.default_rng(seed)
+    k = width // 2
+    symbols = int(rng.choice([1, 2, 4, 250]))
+    anchor, base = bytes(rng.integers(0, symbols, k, dtype=np.uint8)), rng.integers(0, symbols, 3 * width, dtype=np.uint8)
+    strands = {}
+    for _ in range(25):
+        b = base.copy()
+        b[rng.integers(0, len(b), 3)] = rng.integers(0, symbols, 3)
+        o = int(rng.integers(0, width - k + 1))
+        full = bytes(b[width - o : width]) + anchor + bytes(b[width:])
+        strands[full[: int(rng.integers(width, width + o + 1))]] = o
+    count = Counter(s[i : i + width] + bytes([o - i]) for s, o in strands.items() for i in range(min(o, len(s) - width) + 1))
+    want = []
+    for s, o in strands.items():
+        w = [i for i in range(min(o, len(s) - width) + 1) if count[s[i : i + width] + bytes([o - i])] > 1]
+        want.append((w[0], w[-1] + width) if w else (0, 0))
+    return list(strands), np.array(list(strands.values())), np.ones(len(strands), np.int64), want
+
+
+def _decided(seed: int, width: int) -> bool:
+    strands, off, count, want = _shard(seed, width)
+    lo, hi = suffixarray.decider(width)(strands, off, count)
+    return list(zip(lo.tolist(), hi.tolist(), strict=True)) == want
+
+
+def test_the_array_decides(monkeypatch):
+    """Every window by its place in the array: disturb the order of suffixes inside strands and results are wrong."""
+    assert all(_decided(seed, width) for seed in range(40) for width in (24, 60, 100))
+    right = suffixarray.suffix_array
+
+    def disturbed(s):
+        sa = right(s)
+        first = np.flatnonzero(np.concatenate([[True], s[:-1] == 1]))  # where strands begin keeps its order
+        inner = np.flatnonzero(~np.isin(sa, first))
+        sa[inner] = sa[inner][np.random.default_rng(0).permutation(len(inner))]
+        return sa
+
+    monkeypatch.setattr(suffixarray, "suffix_array", disturbed)
+    assert sum(_decided(seed, 100) for seed in range(40)) < 30
 
 
 @settings(max_examples=150, deadline=None)
@@ -191,6 +269,17 @@ def test_safe_pieces(text, size):
     assert bpe.encode(text, enc, size) == enc.encode_ordinary(text)
 
 
+def test_long_white_space():
+    """A run of any length, at the beginning, inside and at the end; control characters that are no white space."""
+    enc = bpe.encoding(*_encoding())
+    for text in ("a" + " " * 300 + "b", " " * 300, "\n" * 301 + "x", "x" + "\t " * 200, "a!\x1c!" * 50 + " " * 99 + "'s", "é" + "\u3000" * 128 + "!"):
+        for size in (2, 7, 64):
+            assert bpe.encode(text, enc, size) == enc.encode_ordinary(text)
+    long = "a" + " " * 1_000_000 + "b"
+    assert bpe.decode(bpe.encode(long, enc), enc) == long.encode()
+    assert bpe.encode(long, enc)[-1] == enc.encode_ordinary(" b")[0]
+
+
 def _languages(spark, n=400):
     rng = np.random.default_rng(2)
     stems = {"en": ["the", "ing", "tion", "and", "wh"], "de": ["sch", "ung", "der", "ein", "keit"], "fr": ["eau", "les", "que", "ment", "oi"]}
