@@ -37,10 +37,13 @@ def flat(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder all executors share; a temporary one only where none is set."""
+    """The checkpoint folder all executors share; a temporary one only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanscope-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spanscope-"))
     return sc.getCheckpointDir()
 
 

@@ -157,6 +157,32 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     lines.write.option("compression", "gzip").option("lineSep", _CLOSE).option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def inflate(blob: bytes) -> bytes:
+    """An archive's bytes: all members of a gzip file, which usually has one for each record, or a plain file."""
+    out = []
+    while blob[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(blob) + member.flush())
+        if not member.eof:
+            raise ValueError("a gzip member is cut short")
+        blob = member.unused_data
+    if out and blob.strip(b"\0"):
+        raise ValueError("an archive goes on after its last gzip member")
+    return b"".join(out) if out else blob
+
+
+def _checked(block: bytes | None, sha: str | None) -> tuple:
+    """(bytes, digest, whether it is whole) of a response's payload; a broken block or chunk has none and is not."""
+    try:
+        payload = payload_of(block) if block is not None else None
+    except ValueError:
+        payload = None
+    if payload is None:
+        return None, None, False
+    got = hashlib.sha256(payload).hexdigest()
+    return len(payload), got, got == sha
+
+
 def _parsed(spark: SparkSession, path: str, segments: bool) -> DataFrame:
     """Rows of whole records, or of the segments of divided ones."""
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -165,8 +191,7 @@ def _parsed(spark: SparkSession, path: str, segments: bool) -> DataFrame:
         for b in batches:
             for blob in b.column(0):
                 rows = []
-                data = zlib.decompressobj(47).decompress(blob.as_py())
-                for head, block in parse(data):
+                for head, block in parse(inflate(blob.as_py())):
                     number = head.get("warc-segment-number")
                     if (number is not None) != segments:
                         continue
@@ -179,9 +204,7 @@ def _parsed(spark: SparkSession, path: str, segments: bool) -> DataFrame:
                     elif head["warc-type"] == "revisit":
                         rows.append((page, "revisit", int(head["x-refers-to-page-id"]), None, None, None, None, sha, True, None))
                     else:
-                        payload = payload_of(block)
-                        got = hashlib.sha256(payload).hexdigest()
-                        rows.append((page, "response", None, None, None, None, len(payload), got, got == sha, None))
+                        rows.append((page, "response", None, None, None, None, *_checked(block, sha), None))
                 yield _rows(rows)
 
     return files.mapInArrow(run, PARSED)
@@ -200,10 +223,7 @@ def _joined(batches):
     origin, parts, page, sha = None, [], None, None
 
     def close():
-        block = reassemble(parts)
-        payload = payload_of(block) if block is not None else None
-        got = hashlib.sha256(payload).hexdigest() if payload is not None else None
-        return (page, "response", None, origin, None, None, len(payload) if payload is not None else None, got, got is not None and got == sha, None)
+        return (page, "response", None, origin, None, None, *_checked(reassemble(parts), sha), None)
 
     for b in batches:
         rows = []

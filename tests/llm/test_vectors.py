@@ -107,3 +107,14 @@ def test_empty(spark, run):
     assert run(d, d).count() == 0
     one = spark.createDataFrame([(50, [1.0, 2.0])], "vec_id bigint, embedding array<float>")
     assert run(one, one).count() == 0
+
+
+@pytest.mark.parametrize("query", ["op1_covertree", "op4_onebit"])
+def test_queries_with_names_that_clash(spark, monkeypatch, query):
+    """The registered queries on a table whose extra column differs in case only."""
+    from spanscope.llm import queries
+
+    rows = _rows(120)
+    monkeypatch.setattr(queries, "_table", lambda spark, sf_dir, name: spark.createDataFrame(rows, SCHEMA))
+    asked = {r["query_id"] for r in queries.QUERIES[query](spark, "").collect()}
+    assert asked == {i for i, _ in _valid(rows, query == "op1_covertree") if i % 50 == 0}

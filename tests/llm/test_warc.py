@@ -67,3 +67,18 @@ def test_reassembly_checks():
     assert warc.reassemble([*parts[:2], (3, 5, b"c")]) is None
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nab\r\n")
+
+
+def test_archives_with_a_member_per_record(spark, tmp_path):
+    """The usual form of foreign archives, and plain ones; a broken chunk is an incomplete record, not a failure."""
+    out = []
+    for i, html in ((1, "a" * 200), (2, "b" * 150), (3, "c")):
+        digest = hashlib.sha256(html.encode()).hexdigest()
+        text = warc.records(i, "http://x", html.encode(), digest, None, f"0-{i}", 1 << 15)
+        out.append(b"".join(bytes(r) + warc._CLOSE.encode() for r in text))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in out))
+    assert ordered((r["page_id"], r["payload_bytes"], r["complete"]) for r in warc.read_archives(spark, str(tmp_path)).collect()) == [(1, 200, True), (2, 150, True), (3, 1, True)]
+    assert warc.inflate(b"".join(out)) == b"".join(out) == warc.inflate(b"".join(gzip.compress(x) for x in out))
+    with pytest.raises(ValueError):
+        warc.inflate(gzip.compress(out[0])[:-9])
+    assert warc._checked(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n", "x") == (None, None, False)
