@@ -13,6 +13,10 @@ from spanscope.llm import bpe, mix, ngramjoin, suffixarray, toxicity
 from spanscope.llm._base import stored
 
 
+#: Passages of over 50 words are to go. Words take 4 to 7 bytes with their space, so 51 of them are rarely under 240 bytes.
+PASSAGE = 240
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Train on the labelled documents and drop what scores as toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut long repeated byte strings out of the texts, whole characters only."""
-    return suffixarray.cut_documents(docs)
+    """Cut repeated strings of ``PASSAGE`` bytes or more out of the texts, whole characters only."""
+    return suffixarray.cut_documents(docs, width=PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
