@@ -10,21 +10,21 @@ link when  100 * overlap >= percent * union.
     only these entries are multiplied.  The order puts columns found frequent
     by a hashed count last, so that boilerplate does not multiply.
 *   Columns are dealt in blocks, each a part of the product computed in one
-    task.  A pair of rows meeting in a column survives if the sizes agree and
-    no more than ``far`` of 128 one-bit minima differ.  A set element moves one
-    minimum, so up to 200 elements this drops no link; beyond, a link is lost
-    with a chance under 1e-10.  Columns of many rows are joined up from the
-    first row on and left as soon as all their rows hang together.
-*   What survives joins rows into candidate groups.  Each group gets its whole
-    rows of the product, exactly: overlaps are accumulated column by column and
-    compared with the bound, most central rows first, until every row outside
-    the largest component has been multiplied with all others.
-*   A group of more than ``group_rows`` rows, such as near copies that make up
-    a third of a corpus, is not brought to one task.  A few of its rows are
-    multiplied with all, chunk by chunk; the rows that leaves outside the
-    group's largest component are then multiplied with all in the same way, in
-    blocks.  A link has an end outside the largest component or both in it, so
-    none is missed.
+    task.  A pair of rows meeting in a column survives if its sizes agree and so
+    do the rows' counts of elements in ``cells`` parts of the hash range: the
+    counts' absolute differences add up to no more than the elements the sets do
+    not share, so no link is ever dropped.  Of what survives a block hands out
+    edges that hang its rows together, not all pairs; rows outside a column's
+    largest component are compared with all others.
+*   Edges are settled exactly: the overlap of both whole rows is accumulated and
+    compared with the bound.  Edges go in chunks of one centre and at most about
+    256 others, so neither a group nor its texts ever meet in one task.  Edges
+    to the smallest neighbour come first; mostly they join a group already.
+*   A group all of whose rows hang together by settled links is done, for its
+    candidates hang together.  The rows of the others are multiplied once more,
+    with finer counts and between components only; and where an edge of those
+    fails too, a last time, handing out all pairs that survive.  So every pair
+    is in one component, or was dropped by a bound, or was settled.
 
 A component's id is its smallest document id.  Nulls and texts without words
 have no n-grams and link with nothing; a text of fewer words than ``n`` is one
@@ -81,17 +81,19 @@ def set_ids(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return scramble(_sums_by_row(scramble(h ^ _S1), at) ^ n), scramble(_sums_by_row(scramble(h ^ _S2), at) + n)
 
 
-def bits(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One bit of the minimum in each of 128 parts of the hash range, as two words a row."""
+def sketch(h: np.ndarray, at: np.ndarray, cells: int) -> np.ndarray:
+    """How many elements of each row fall in each of ``cells`` parts of a hash range, up to 15, two counts a byte."""
     rows = len(at) - 1
+    cell = (scramble(h ^ _S3) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)
     owner = np.repeat(np.arange(rows), np.diff(at))
-    v = scramble(h ^ _S3)
-    cell = owner * 128 + (h >> np.uint64(57)).astype(np.int64)
-    low = np.full(rows * 128, np.iinfo(np.uint64).max)
-    low[:] = np.iinfo(np.uint64).max - np.uint64(1)
-    np.minimum.at(low, cell, v)
-    packed = np.packbits((low & np.uint64(1)).astype(bool).reshape(rows, 128), axis=1)
-    return np.ascontiguousarray(packed).view(np.uint64)
+    n = np.minimum(np.bincount(owner * cells + cell.astype(np.int64), minlength=rows * cells), 15).astype(np.uint8).reshape(rows, cells)
+    return n[:, 0::2] << 4 | n[:, 1::2]
+
+
+def counts(packed: np.ndarray) -> np.ndarray:
+    out = np.empty((len(packed), packed.shape[1] * 2), np.uint8)
+    out[:, 0::2], out[:, 1::2] = packed >> 4, packed & 15
+    return out
 
 
 def prefixes(h: np.ndarray, at: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,43 +108,45 @@ def prefixes(h: np.ndarray, at: np.ndarray, level: np.ndarray, percent: int) ->
     return h[take], owner[take]
 
 
-def _frequent(d: DataFrame, n: int) -> np.ndarray:
-    """Level of every slot: 0 for ordinary counts, then one more for each factor of 1.5 above the mean."""
+def _facts(d: DataFrame, n: int) -> DataFrame:
+    """(r1, r2, doc_id, n, c1, c2): size and identity of every document's set; and with n < 0 the counts c2 of frequent slots c1.
+
+    A slot's count is left out where a task finds it ordinary; the order of the
+    columns need not be exact.  Slot -1 has the number of all elements.
+    """
 
     def run(batches):
         count = np.zeros(_SLOTS, np.int64)
         for b in batches:
             for part in pieces(b, "text"):
-                h, _ = grams(*text_buffers(part.column(0)), n)
+                h, at = grams(*text_buffers(part.column(0)), n)
                 count += np.bincount((h & np.uint64(_SLOTS - 1)).astype(np.int64), minlength=_SLOTS)
+                c1, c2 = set_ids(h, at)
+                yield pa.RecordBatch.from_pydict({"r1": part.column(1), "r2": part.column(2), "doc_id": part.column(3), "n": pa.array(np.diff(at), pa.int64()), "c1": c1.view(np.int64), "c2": c2.view(np.int64)})
         slot = np.flatnonzero(count > 1.5 * count.mean() + 8)
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(np.append(slot, -1), pa.int32()), "n": pa.array(np.append(count[slot], count.sum()), pa.int64())})
-
-    got = d.select("text").mapInArrow(tidy(run), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    slot, n_ = np.asarray(got.column("slot")), np.asarray(got.column("n"))
-    level, mean = np.zeros(_SLOTS, np.uint8), float(n_[slot < 0].sum()) / _SLOTS
-    some = slot >= 0
-    level[slot[some]] = np.clip(np.log(np.maximum(n_[some] / max(mean, 1e-9), 1.0)) / np.log(1.5), 0, 15).astype(np.uint8)
-    return level
+        none = lambda t: pa.nulls(len(slot) + 1, t)
+        yield pa.RecordBatch.from_pydict({"r1": none(pa.int64()), "r2": none(pa.int32()), "doc_id": none(pa.int64()), "n": np.full(len(slot) + 1, -1), "c1": np.append(slot, -1), "c2": np.append(count[slot], count.sum())})
 
+    return d.select("text", "r1", "r2", "doc_id").mapInArrow(tidy(run), "r1 bigint, r2 int, doc_id bigint, n bigint, c1 bigint, c2 bigint")
 
-def _facts(d: DataFrame, n: int) -> DataFrame:
-    """(r1, r2, doc_id, n, c1, c2): size and identity of every document's set."""
 
-    def run(batches):
-        for b in batches:
-            for part in pieces(b, "text"):
-                h, at = grams(*text_buffers(part.column(0)), n)
-                c1, c2 = set_ids(h, at)
-                yield pa.RecordBatch.from_pydict({"r1": part.column(1), "r2": part.column(2), "doc_id": part.column(3), "n": pa.array(np.diff(at), pa.int64()), "c1": c1.view(np.int64), "c2": c2.view(np.int64)})
+def _levels(facts: DataFrame) -> tuple[np.ndarray, int]:
+    """Level of every slot, 0 for ordinary counts, then one more for each factor of 1.5 above the mean; and the number of elements."""
+    got = facts.where("n < 0").groupBy("c1").agg(F.sum("c2").alias("n")).toArrow()
+    slot, n = np.asarray(got.column("c1")), np.asarray(got.column("n"))
+    level, total = np.zeros(_SLOTS, np.uint8), int(n[slot < 0].sum())
+    some = slot >= 0
+    level[slot[some]] = np.clip(np.log(np.maximum(n[some] / max(total / _SLOTS, 1e-9), 1.0)) / np.log(1.5), 0, 15).astype(np.uint8)
+    return level, total
 
-    return d.select("text", "r1", "r2", "doc_id").mapInArrow(tidy(run), "r1 bigint, r2 int, doc_id bigint, n bigint, c1 bigint, c2 bigint")
 
+def _packets(n: int, percent: int, level: np.ndarray, blocks: int, cells: int, most: int = 1_000_000):
+    """Entries of a task's distinct sets, packed by block: ids, labels, sizes and counts of the rows, then (hash, row) pairs.
 
-def _packets(n: int, percent: int, level: np.ndarray, blocks: int, most: int = 1_000_000):
-    """Entries of a task's distinct sets, packed by block: ids, sizes and bits of the rows, then (hash, row) pairs."""
+    A row's label, its component so far, is the second column if there is one, else its id.
+    """
 
-    def flush(ids, size, sk, h, row):
+    def flush(ids, label, size, sk, h, row):
         block = (h >> np.uint64(17)) % np.uint64(blocks)
         order = np.argsort(block, kind="stable")
         edge = np.searchsorted(block[order], np.arange(blocks + 1))
@@ -151,8 +155,9 @@ def _packets(n: int, percent: int, level: np.ndarray, blocks: int, most: int = 1
             o = order[edge[k] : edge[k + 1]]
             if len(o):
                 some, local = np.unique(row[o], return_inverse=True)
-                head = np.array([len(some), len(o)], np.int64)
-                out.append((k, b"".join(x.tobytes() for x in (head, ids[some], size[some], sk[some], h[o], local.astype(np.int32)))))
+                known = label is not None
+                head = np.array([len(some), len(o), known], np.int64)
+                out.append((k, b"".join(x.tobytes() for x in (head, ids[some], label[some] if known else ids[:0], size[some].astype(np.int32), sk[some], h[o], local.astype(np.int32)))))
         return pa.RecordBatch.from_pydict({"block": pa.array([k for k, _ in out], pa.int32()), "data": pa.array([x for _, x in out], pa.binary())})
 
     def run(batches):
@@ -167,7 +172,8 @@ def _packets(n: int, percent: int, level: np.ndarray, blocks: int, most: int = 1
                 new = np.array([s > 0 and not (c in seen or seen.add(c)) for c, s in zip(c1.tolist(), size.tolist(), strict=True)], bool)
                 keep = new[pr]
                 renum = np.cumsum(new) - 1
-                held.append((c1[new], size[new].astype(np.int64), bits(h, at)[new], ph[keep], renum[pr[keep]]))
+                label = np.asarray(part.column(1)).view(np.uint64)[new] if part.num_columns > 1 else None
+                held.append((c1[new], label, size[new], sketch(h, at, cells)[new], ph[keep], renum[pr[keep]]))
                 count += int(keep.sum())
                 if count >= most:
                     yield flush(*_stack(held))
@@ -180,25 +186,29 @@ def _packets(n: int, percent: int, level: np.ndarray, blocks: int, most: int = 1
 
 def _stack(held):
     shift = np.concatenate([[0], np.cumsum([len(x[0]) for x in held])])
-    return (*(np.concatenate([x[i] for x in held]) for i in range(4)), np.concatenate([x[4] + s for x, s in zip(held, shift, strict=False)]))
+    cols = [None if held[0][i] is None else np.concatenate([x[i] for x in held]) for i in range(5)]
+    return (*cols, np.concatenate([x[5] + s for x, s in zip(held, shift, strict=False)]))
 
 
-def _unpack(blobs: list[bytes]):
+def _unpack(blobs: list[bytes], cells: int):
     parts = []
     for blob in blobs:
-        m, k = np.frombuffer(blob, np.int64, 2)
-        at = 16
+        m, k, known = np.frombuffer(blob, np.int64, 3)
+        at = 24
         out = []
-        for kind, width in ((np.uint64, m), (np.int64, m), (np.uint64, 2 * m), (np.uint64, k), (np.int32, k)):
+        for kind, width in ((np.uint64, m), (np.uint64, m * known), (np.int32, m), (np.uint8, m * cells // 2), (np.uint64, k), (np.int32, k)):
             out.append(np.frombuffer(blob, kind, int(width), at))
             at += out[-1].nbytes
-        parts.append((out[0], out[1], out[2].reshape(-1, 2), out[3], out[4].astype(np.int64)))
+        parts.append((out[0], out[1] if known else out[0], out[2].astype(np.int64), counts(out[3].reshape(-1, cells // 2)), out[4], out[5].astype(np.int64)))
     return _stack(parts)
 
 
 class Union:
-    def __init__(self, n: int):
-        self.up = np.arange(n)
+    """Components of numbered rows; starts from rows of equal label."""
+
+    def __init__(self, label: np.ndarray):
+        _, first, back = np.unique(label, return_index=True, return_inverse=True)
+        self.up = first[back]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         r = self.up[x]
@@ -210,21 +220,25 @@ class Union:
         self.up[x] = r
         return r
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Union of many pairs at once: roots hook on to smaller ones until nothing changes."""
-        while len(a):
-            a, b = self.find(a), self.find(b)
-            differ = a != b
-            if not differ.any():
-                return
-            a, b = a[differ], b[differ]
-            np.minimum.at(self.up, np.maximum(a, b), np.minimum(a, b))
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Unite the ends of many pairs; returns the pairs that did it, a forest: every round a root hooks on to a smaller one."""
+        used, at = [], np.arange(len(a))
+        while len(at):
+            x, y = self.find(a[at]), self.find(b[at])
+            differ = x != y
+            at, x, y = at[differ], x[differ], y[differ]
+            if not len(at):
+                break
+            high, first = np.unique(np.maximum(x, y), return_index=True)
+            self.up[high] = np.minimum(x, y)[first]
+            used.append(at[first])
+        return np.concatenate(used) if used else at
 
 
-def block_candidates(ids: np.ndarray, size: np.ndarray, sk: np.ndarray, h: np.ndarray, row: np.ndarray, percent: int, far: int, small: int = 24):
-    """Pairs (root id, id) that join the rows of a block's surviving pairs."""
+def block_candidates(ids: np.ndarray, label: np.ndarray, size: np.ndarray, n: np.ndarray, h: np.ndarray, row: np.ndarray, percent: int, *, every: bool = False, small: int = 24, step: int = 1 << 18):
+    """Ids (a, b), a < b, of a block's surviving pairs between labels: all of them, or as many as hang together what all would."""
     uniq, first, node = np.unique(ids, return_index=True, return_inverse=True)
-    size, sk, row = size[first], sk[first], node[row]
+    label, size, n, row = label[first], size[first], n[first], node[row]
     order = np.lexsort((row, h))
     h, row = h[order], row[order]
     fresh = np.ones(len(h), bool)
@@ -232,36 +246,55 @@ def block_candidates(ids: np.ndarray, size: np.ndarray, sk: np.ndarray, h: np.nd
     h, row = h[fresh], row[fresh]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     length = np.diff(np.concatenate([start, [len(h)]]))
-    union = Union(len(uniq))
+    union = Union(label)
+    out = []
 
-    def alike(a, b):
+    def take(a, b):
+        """Keep the pairs (a < b) that survive; in a forest, those that join components."""
         x, y = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-        return (100 * x >= percent * y) & (np.bitwise_count(sk[a] ^ sk[b]).sum(-1) <= far)
+        ok = (100 * x >= percent * y) & ((label[a] != label[b]) if every else (union.find(a) != union.find(b)))
+        a, b = a[ok], b[ok]
+        for i in range(0, len(a), step):
+            p, q = a[i : i + step], b[i : i + step]
+            apart = np.abs(n[p].view(np.int8) - n[q].view(np.int8)).sum(1, dtype=np.int64)
+            ok = apart * (100 + percent) <= (size[p] + size[q]) * (100 - percent)
+            p, q = p[ok], q[ok]
+            if not every:
+                used = union.join(p, q)
+                p, q = p[used], q[used]
+            out.append(p * len(uniq) + q)
 
     for k in range(2, small + 1):
         s = start[length == k]
         i, j = np.triu_indices(k, 1)
         for c in range(0, len(s), max(1, 2_000_000 // len(i))):
             part = s[c : c + max(1, 2_000_000 // len(i))]
-            a, b = row[(part[:, None] + i).ravel()], row[(part[:, None] + j).ravel()]
-            pair = np.unique(np.minimum(a, b) * len(uniq) + np.maximum(a, b))
-            a, b = pair // len(uniq), pair % len(uniq)
-            ok = alike(a, b)
-            union.join(a[ok], b[ok])
+            pair = np.unique(row[(part[:, None] + i).ravel()] * len(uniq) + row[(part[:, None] + j).ravel()])  # rows ascend in a column
+            take(pair // len(uniq), pair % len(uniq))
+    seen = set()
     for s, k in zip(start[length > small].tolist(), length[length > small].tolist(), strict=True):
         rest = row[s : s + k]
-        root = union.find(rest)
-        while len(rest) > 1 and (root != root[0]).any():
-            a, others = rest[0], rest[1:]
-            other = others[root[1:] != root[0]]
-            ok = other[alike(np.full(len(other), a), other)]
-            if len(ok):
-                union.join(np.full(len(ok), a), ok)
-            rest = others
+        if rest.tobytes() in seen:  # the columns of one passage
+            continue
+        seen.add(rest.tobytes())
+        if every:
+            for i in range(k - 1):
+                take(np.full(k - 1 - i, rest[i]), rest[i + 1 :])
+            continue
+        probed = np.zeros(k, bool)
+        todo = np.zeros(1, np.int64)  # the smallest row first, in most blocks the same one, so that their edges coincide
+        while len(todo):
+            i, j = np.repeat(todo, k), np.tile(np.arange(k), len(todo))
+            late = np.zeros(k, bool)
+            late[todo] = True
+            new = ~probed[j] & (~late[j] | (j > i))
+            take(rest[np.minimum(i, j)[new]], rest[np.maximum(i, j)[new]])
+            probed |= late
             root = union.find(rest)
-    root = union.find(np.arange(len(uniq)))
-    member = np.bincount(root, minlength=len(uniq))[root] > 1
-    return uniq[root[member]], uniq[member]
+            name, many = np.unique(root, return_counts=True)
+            todo = np.flatnonzero(~probed & (root != name[many.argmax()]))[: max(1, step // k)]
+    pair = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    return uniq[pair // max(len(uniq), 1)], uniq[pair % max(len(uniq), 1)]
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -285,171 +318,105 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("c").alias("v"), "c").distinct())
 
 
-def group_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Component number (its least row) of every set of a candidate group, exactly."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets], np.int64)
-    at = np.concatenate([[0], np.cumsum(size)])
-    uniq, col = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(m), size)
-    order = np.argsort(col, kind="stable")
-    members = owner[order]
-    first = np.searchsorted(col[order], np.arange(len(uniq) + 1))
-    degree = np.diff(first)
-    central = np.argsort(-np.add.reduceat(degree[col], at[:-1]) / size, kind="stable")
-    union = Union(m)
-    for x in central.tolist():
-        root = union.find(np.arange(m))
-        largest = np.bincount(root).argmax() if m > 2 else -1
-        if (root == root[0]).all():
-            break
-        if root[x] == largest and np.bincount(root)[largest] > m // 2:
-            continue  # rows outside the largest component meet it from their side
-        c = col[at[x] : at[x + 1]]
-        overlap = np.bincount(members[ranges(first[c], degree[c])], minlength=m)
-        link = np.flatnonzero((100 * overlap >= percent * (size + size[x] - overlap)) & (root != root[x]))
-        if len(link):
-            union.join(np.full(len(link), x), link)
-    return union.find(np.arange(m))
-
-
-def _verify(n: int, percent: int):
-    """Rows (group, c1, c2, first, text) ordered by group -> (c1, c2, component, key1, key2); the key is the component's least (c1, c2)."""
-
-    def settle(rows):
-        sets, seen = [], {}
-        for i, (_, c1, c2, _, _) in enumerate(rows):
-            seen.setdefault((c1, c2), i)
-        pick_ = list(seen.values())
-        for i in pick_:
-            raw = np.frombuffer(rows[i][4].encode(), np.uint8)
-            sets.append(grams(raw, np.array([0, len(raw)], np.int64), n)[0])
-        comp = group_links(sets, percent)
-        ids = [rows[i][3] for i in pick_]
-        least: dict[int, int] = {}
-        key: dict[int, tuple] = {}
-        for i, k, v in zip(pick_, comp.tolist(), ids, strict=True):
-            key[k] = min(rows[i][1:3], key.get(k, rows[i][1:3]))
-            if v is not None:
-                least[k] = min(v, least.get(k, v))
-        return [(rows[i][1], rows[i][2], least.get(k), *key[k]) for i, k in zip(pick_, comp.tolist(), strict=True)]
+def _candidates(texts: DataFrame, n: int, percent: int, level: np.ndarray, blocks: int, cells: int, every: bool = False) -> DataFrame:
+    """Distinct edges (a, b) the blocks hand out over (text[, label]) rows."""
+    packets = texts.mapInArrow(tidy(_packets(n, percent, level, blocks, cells)), "block int, data binary")
+    packets = packets.repartition(min(blocks, max(partitions(texts.sparkSession), 8)) if blocks <= 64 else blocks, "block").sortWithinPartitions("block")
+
+    def edges(blobs):
+        a, b = (x.view(np.int64) for x in block_candidates(*_unpack(blobs, cells), percent, every=every))
+        return pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def run(batches):
-        rows, out = [], []
+        held, blobs = None, []
         for b in batches:
-            for part in (b.slice(i, 512) for i in range(0, b.num_rows, 512)):
-                for r in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                    if rows and r[0] != rows[-1][0]:
-                        out += settle(rows)
-                        rows = []
-                    rows.append(r)
-        if rows:
-            out += settle(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(5)], ["c1", "c2", "component", "key1", "key2"])
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held is not None and k != held:
+                    yield edges(blobs)
+                    blobs = []
+                held = k
+                blobs.append(blob)
+        if blobs:
+            yield edges(blobs)
 
-    return run
+    return cut(packets.mapInArrow(tidy(run), "a bigint, b bigint").distinct())
 
 
-def _against(rows: DataFrame, probes: DataFrame, n: int, percent: int, chunk_rows: int, block_rows: int = 256) -> DataFrame:
-    """Links (a, b) between probes and the rows of their groups, in (group, chunk, block) tasks of bounded size.
+def _settled(edges: DataFrame, rows: DataFrame, n: int, percent: int, chunk: int = 256) -> DataFrame:
+    """The edges (a, b) that are links, by the exact overlap of the (id, text) rows; a centre a and about ``chunk`` others at once."""
+    some = edges.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_n"))
+    e = edges.join(some, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("_n")).cast("int").alias("chunk"))
+    text = rows.select("id", "text")
+    centre = e.select("a", "chunk").distinct().join(text, F.col("a") == F.col("id")).select("a", "chunk", F.lit(None).cast("bigint").alias("b"), "text")
+    other = e.join(text, F.col("b") == F.col("id")).select("a", "chunk", "b", "text")
+    u = centre.unionByName(other).repartition(partitions(rows.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
 
-    ``rows`` and ``probes`` have (group, size, id, text).
-    """
-    chunks = F.ceil(F.col("size") / chunk_rows).cast("int")
-    many = probes.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    spread = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    deal = lambda k: F.pmod(F.xxhash64("id"), k.cast("bigint")).cast("int")
-    blocks = many.select(F.col("group").alias("g"), "blocks")
-    left = rows.join(blocks, F.col("group") == F.col("g")).withColumn("chunk", deal(chunks)).withColumn("block", spread(F.col("blocks")))
-    right = probes.join(blocks, F.col("group") == F.col("g")).withColumn("block", deal(F.col("blocks"))).withColumn("chunk", spread(chunks))
-    left = left.select("group", "chunk", "block", "id", "text")
-    right = right.select(*[F.col(c).alias(f"q_{c}") for c in left.columns])  # own names: both sides come from one table
-
-    def product(r: pa.Table, q: pa.Table) -> pa.Table:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if r.num_rows and q.num_rows:
-            x, xa = grams(*text_buffers(r.column("text")), n)
-            y, ya = grams(*text_buffers(q.column("q_text")), n)
-            ids, names = np.asarray(r.column("id")), np.asarray(q.column("q_id"))
-            size, mine = np.diff(xa), np.diff(ya)
-            owner = np.repeat(np.arange(len(size)), size)
-            order = np.argsort(x, kind="stable")
-            sorted_, members = x[order], owner[order]
-            lo, hi = np.searchsorted(sorted_, y, "left"), np.searchsorted(sorted_, y, "right")
-            for i in range(len(mine)):
-                c, d = lo[ya[i] : ya[i + 1]], hi[ya[i] : ya[i + 1]]
-                overlap = np.bincount(members[ranges(c, d - c)], minlength=len(size))
-                hit = np.flatnonzero((100 * overlap >= percent * (size + mine[i] - overlap)) & (ids != names[i]))
-                a.append(np.full(len(hit), names[i])), b.append(ids[hit])
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
-
-    return left.groupBy("group", "chunk", "block").cogroup(right.groupBy("q_group", "q_chunk", "q_block")).applyInArrow(product, "a bigint, b bigint")
-
-
-def _large_groups(rows: DataFrame, n: int, percent: int, chunk_rows: int, pivots: int = 8) -> DataFrame:
-    """(c1, c2, component, key1, key2) of groups too large for a task; ``rows`` has (group, size, c1, c2, first, text)."""
-    rows = stored(rows.withColumn("id", F.xxhash64("c1", "c2")))
-    place = F.row_number().over(W.partitionBy("group").orderBy(F.xxhash64("id", F.lit(1))))
-    some = rows.withColumn("place", place).where(F.col("place") <= pivots).drop("place")
-    first = cut(_against(rows, some, n, percent, chunk_rows))
-    at = components(first)
-    label = F.coalesce(F.col("c"), F.col("id"))
-    light = rows.select("group", "id").join(at, F.col("id") == F.col("v"), "left").select("group", "id", label.alias("label"))
-    sizes = light.groupBy("group", "label").agg(F.count(F.lit(1)).alias("m"))
-    largest = sizes.groupBy(F.col("group").alias("g")).agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    outside = light.join(largest, F.col("group") == F.col("g")).where("label <> main").select(F.col("id").alias("o"))
-    rest = rows.join(outside, F.col("id") == F.col("o"), "left_semi")
-    edges = first.unionByName(_against(rows, rest, n, percent, chunk_rows))
-    at = components(edges)
-    got = rows.select("c1", "c2", "first", "id").join(at, F.col("id") == F.col("v"), "left").select("c1", "c2", "first", label.alias("label"))
-    least = got.groupBy(F.col("label").alias("k")).agg(F.min("first").alias("component"), F.min(F.struct("c1", "c2")).alias("key"))
-    return got.join(least, F.col("label") == F.col("k")).select("c1", "c2", "component", F.col("key.c1").alias("key1"), F.col("key.c2").alias("key2"))
-
-
-def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, far: int = 40, block_entries: int = 3_000_000, group_rows: int = 4096) -> DataFrame:
+    def run(batches):
+        mine = np.zeros(0, np.uint64)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                h, at = grams(*text_buffers(part.column(3)), n)
+                left, right = [], []
+                for i, (a, b) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    x = h[at[i] : at[i + 1]]
+                    if b is None:
+                        mine = x.copy()  # the centre comes first in its chunk
+                        continue
+                    both = len(x) + len(mine) - len(np.unique(np.concatenate([x, mine])))
+                    if 100 * both >= percent * (len(x) + len(mine) - both):
+                        left.append(a), right.append(b)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return cut(u.mapInArrow(tidy(run), "a bigint, b bigint"))
+
+
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, group, label) of every row: its component by links, or itself."""
+    at = components(links)
+    return cut(rows.select("id", "group").join(at, F.col("id") == F.col("v"), "left").select("id", "group", F.coalesce("c", "id").alias("label")))
+
+
+def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, block_entries: int = 3_000_000, cells: int = 64, fine_cells: int = 512) -> DataFrame:
     """(r1, r2, doc_id, n, component, key1, key2): one row per document; r1 and r2 are hashes of id and text.
 
     The key is the least (c1, c2) of the component's sets, so it tells
     components apart whose ids are equal or null; null for no n-grams.
     """
     d = keyed(docs)
-    spark = d.sparkSession
     facts = stored(_facts(d, n))
-    total = facts.agg(F.sum("n")).first()[0] or 0
-    blocks = max(8, math.ceil(total * (101 - percent) / 100 / block_entries))
-    level = _frequent(d, n)
-    packets = d.select("text").mapInArrow(tidy(_packets(n, percent, level, blocks)), "block int, data binary")
-    packets = packets.repartition(min(blocks, max(partitions(spark), 8)) if blocks <= 64 else blocks, "block").sortWithinPartitions("block")
-
-    def pairs(batches):
-        held, blobs = None, []
-        for b in batches:
-            for k, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if held is not None and k != held:
-                    yield _edges(blobs)
-                    blobs = []
-                held = k
-                blobs.append(blob)
-        if blobs:
-            yield _edges(blobs)
-
-    def _edges(blobs):
-        a, b = block_candidates(*_unpack(blobs), percent, far)
-        return pa.RecordBatch.from_pydict({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    groups = components(packets.mapInArrow(tidy(pairs), "a bigint, b bigint")).select(F.col("v").alias("v"), F.col("c").alias("group"))
-    classes = facts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct("r1", "r2")).alias("r"))
-    chosen = cut(classes.join(groups, F.col("c1") == F.col("v")).select("group", "c1", "c2", "first", F.col("r.r1").alias("q1"), F.col("r.r2").alias("q2")))
-    large = cut(chosen.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group_rows))
-    same = (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))
-    rows = d.join(chosen.join(large, F.col("group") == F.col("g"), "left_anti"), same).select("group", "c1", "c2", "first", "text")
-    rows = rows.repartition(partitions(spark), "group").sortWithinPartitions("group")
-    settled = rows.mapInArrow(tidy(_verify(n, percent)), "c1 bigint, c2 bigint, component bigint, key1 bigint, key2 bigint")
-    if large.limit(1).count():
-        rows = d.join(chosen.join(large, F.col("group") == F.col("g")), same).select("group", "size", "c1", "c2", "first", "text").dropDuplicates(["c1", "c2"])
-        settled = settled.unionByName(_large_groups(rows, n, percent, group_rows))
-    settled = settled.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "component", "key1", "key2")
-    least = classes.select("c1", "c2", "first").join(settled, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")), "left")
+    level, total = _levels(facts)
+    facts = facts.where("n >= 0")
+    blocks = lambda entries: max(8, math.ceil(entries * (101 - percent) / 100 / block_entries))
+    edges = _candidates(d.select("text"), n, percent, level, blocks(total), cells)
+    groups = components(edges)
+    classes = facts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct("r1", "r2")).alias("r"), F.max("n").alias("n"))
+    chosen = classes.join(groups, F.col("c1") == F.col("v")).select(F.col("c").alias("group"), F.col("c1").alias("id"), "n", F.col("r.r1").alias("q1"), F.col("r.r2").alias("q2"))
+    rows = d.join(chosen, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))).select("group", "id", "n", "text")
+    rows = stored(rows.dropDuplicates(["id"]))
+    links = _settled(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), rows, n, percent)
+    labels = _labelled(rows, links)
+    open_ = labels.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("group").alias("g"))
+    for every in (False, True):
+        some = rows.join(labels.join(open_, F.col("group") == F.col("g"), "left_semi").select(F.col("id").alias("i"), "label"), F.col("id") == F.col("i")).select("group", "id", "n", "text", "label")
+        some = stored(some)
+        entries = some.agg(F.sum("n")).first()[0]
+        if not entries:
+            break
+        edges = _candidates(some.select("text", "label"), n, percent, level, blocks(entries), fine_cells, every)
+        found = _settled(edges, some, n, percent)
+        failed = edges.join(found, ["a", "b"], "left_anti")
+        links = links.unionByName(found)
+        labels = _labelled(rows, links)
+        # a group is open as long as an edge has failed between two of its components
+        one = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+        across = failed.join(labels, F.col("a") == F.col("id")).join(one, "b").where("label <> lb")
+        open_ = cut(across.select(F.col("group").alias("g")).distinct())
+    label = labels.select(F.col("id").alias("k"), "label")
+    settled = classes.join(label, F.col("c1") == F.col("k"))
+    least = settled.groupBy("label").agg(F.min("first").alias("component"), F.min(F.struct("c1", "c2")).alias("key"))
+    settled = settled.select("c1", "label").join(least.withColumnRenamed("label", "l"), F.col("label") == F.col("l"))
+    settled = settled.select(F.col("c1").alias("k1"), "component", F.col("key.c1").alias("key1"), F.col("key.c2").alias("key2"))
+    least = classes.select("c1", "c2", "first").join(settled, F.col("c1") == F.col("k1"), "left")
     # complements as keys: a join both sides of which are shuffled can be split where one set is very common
     least = least.select(F.bitwise_not("c1").alias("k1"), F.bitwise_not("c2").alias("k2"), F.coalesce("component", "first").alias("component"), F.coalesce("key1", "c1").alias("key1"), F.coalesce("key2", "c2").alias("key2"))
     out = facts.join(least, (F.col("n") > 0) & (F.bitwise_not("c1") == F.col("k1")) & (F.bitwise_not("c2") == F.col("k2")), "left")

@@ -188,7 +188,36 @@ def test_ngram_components_of_random_edits(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = cases.ordered(cases.components(rows))
     assert cases.ordered(ngramjoin.join_components(d, block_entries=500).collect()) == want
-    assert cases.ordered(ngramjoin.join_components(d, group_rows=4).collect()) == want
+    assert cases.ordered(ngramjoin.join_components(d, cells=2, fine_cells=2).collect()) == want  # counts that drop next to nothing
+
+
+def test_sketches_never_drop_a_link():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        both, a, b = (rng.integers(0, 1 << 62, int(k), dtype=np.uint64) for k in rng.integers(1, [3000, 400, 400]))
+        a, b = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+        h, at = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+        for cells in (2, 64, 512):
+            x, y = ngramjoin.counts(ngramjoin.sketch(h, at, cells)).astype(int)
+            assert np.abs(x - y).sum() <= len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+
+
+def test_ngram_components_about_the_threshold(spark):
+    """Families of forms whose similarities lie around 0.8, with unions far over 200 n-grams and columns of many rows."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for size in (250, 400):
+        base = cases.prose(rng, size, 5000).split()
+        for i in range(110):
+            w = list(base)
+            for at in rng.integers(0, len(w), int(rng.integers(1, 6) * size / 250)):
+                w[at] = f"f{i}x{at}"
+            rows.append((len(rows), " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = cases.ordered(cases.components(rows))
+    assert 2 < len({c for _, _, c in want}) < len(rows)
+    for options in ({}, {"cells": 4}, {"cells": 2, "fine_cells": 2, "block_entries": 2000}):
+        assert cases.ordered(ngramjoin.join_components(d, **options).collect()) == want
 
 
 def test_one_of_each(docs):
@@ -396,7 +425,7 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(1, text(1)), (1, text(2)), (None, text(3)), (None, text(3) + " more"), (None, text(4)), (7, text(4) + " more"), (9, text(5)), (8, text(5) + " more")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for options in ({}, {"group_rows": 1}):
+    for options in ({}, {"cells": 2}):
         got = [tuple(r) for r in ngramjoin.one_of_each(d, **options).collect()]
         assert len(got) == 5 and len({k for _, k in got} & {text(3), text(3) + " more"}) == 1
         assert {r for r in got if r[0] is not None} == {rows[0], rows[1], rows[5], rows[7]}
