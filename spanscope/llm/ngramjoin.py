@@ -17,12 +17,12 @@ link when  100 * overlap >= percent * union.
     edges that hang its rows together, not all pairs; rows outside a column's
     largest component are compared with all others.
 *   Edges are settled exactly: the overlap of both whole rows is accumulated and
-    compared with the bound.  Edges go in chunks of one centre and at most about
-    256 others, so neither a group nor its texts ever meet in one task.  Edges
-    to the smallest neighbour come first; mostly they join a group already.
+    compared with the bound.  A group's rows are dealt into chunks, and the edges
+    between two chunks meet in a task, so neither a group nor its texts ever do.
+    Edges to the smallest neighbour come first; mostly they join a group already.
 *   A group all of whose rows hang together by settled links is done, for its
     candidates hang together.  The rows of the others are multiplied once more,
-    with finer counts and between components only; and where an edge of those
+    with counts so fine that few pairs without a link survive, and between components only; and where an edge of those
     fails too, a last time, handing out all pairs that survive.  So every pair
     is in one component, or was dropped by a bound, or was settled.
 
@@ -342,28 +342,36 @@ def _candidates(texts: DataFrame, n: int, percent: int, level: np.ndarray, block
     return cut(packets.mapInArrow(tidy(run), "a bigint, b bigint").distinct())
 
 
-def _settled(edges: DataFrame, rows: DataFrame, n: int, percent: int, chunk: int = 256) -> DataFrame:
-    """The edges (a, b) that are links, by the exact overlap of the (id, text) rows; a centre a and about ``chunk`` others at once."""
-    some = edges.groupBy(F.col("a").alias("_a")).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_n"))
-    e = edges.join(some, F.col("a") == F.col("_a")).select("a", "b", F.pmod(F.xxhash64("b"), F.col("_n")).cast("int").alias("chunk"))
-    text = rows.select("id", "text")
-    centre = e.select("a", "chunk").distinct().join(text, F.col("a") == F.col("id")).select("a", "chunk", F.lit(None).cast("bigint").alias("b"), "text")
-    other = e.join(text, F.col("b") == F.col("id")).select("a", "chunk", "b", "text")
-    u = centre.unionByName(other).repartition(partitions(rows.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
+def _settled(edges: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """The edges (a, b) that are links, by the exact overlap of the (group, chunk, id, text) rows.
+
+    A group's rows are dealt into chunks; the edges between two chunks are
+    settled together, so a text travels once for each pair of chunks it has an
+    edge in, and a task holds two chunks.
+    """
+    at = rows.select("group", "chunk", "id")
+    ends = edges.join(at.toDF("group", "x", "i"), F.col("a") == F.col("i")).select("group", "x", "a", "b").join(at.toDF("g", "y", "i"), F.col("b") == F.col("i"))
+    tile = ends.select("group", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "a", "b")
+    some = tile.select("group", "x", "y", F.explode(F.array("a", "b")).alias("i")).distinct()
+    texts = some.join(rows.select("id", "text"), F.col("i") == F.col("id")).select("group", "x", "y", F.col("i").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    u = texts.unionByName(tile.withColumn("text", F.lit(None).cast("string")))
+    u = u.repartition(partitions(rows.sparkSession), "group", "x", "y").sortWithinPartitions("group", "x", "y", F.col("b").asc_nulls_first())
 
     def run(batches):
-        mine = np.zeros(0, np.uint64)
+        here, sets = None, {}
         for batch in batches:
             for part in pieces(batch, "text"):
-                h, at = grams(*text_buffers(part.column(3)), n)
+                h, at = grams(*text_buffers(part.column(5)), n)
                 left, right = [], []
-                for i, (a, b) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    x = h[at[i] : at[i + 1]]
-                    if b is None:
-                        mine = x.copy()  # the centre comes first in its chunk
+                for i, (group, x, y, a, b) in enumerate(zip(*(c.to_pylist() for c in part.columns[:5]), strict=True)):
+                    if (group, x, y) != here:
+                        here, sets = (group, x, y), {}
+                    if b is None:  # texts come before the edges
+                        sets[a] = h[at[i] : at[i + 1]].copy()
                         continue
-                    both = len(x) + len(mine) - len(np.unique(np.concatenate([x, mine])))
-                    if 100 * both >= percent * (len(x) + len(mine) - both):
+                    size = len(sets[a]) + len(sets[b])
+                    both = size - len(np.unique(np.concatenate([sets[a], sets[b]])))
+                    if 100 * both >= percent * (size - both):
                         left.append(a), right.append(b)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
@@ -376,7 +384,7 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return cut(rows.select("id", "group").join(at, F.col("id") == F.col("v"), "left").select("id", "group", F.coalesce("c", "id").alias("label")))
 
 
-def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, block_entries: int = 3_000_000, cells: int = 64, fine_cells: int = 512) -> DataFrame:
+def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, block_entries: int = 3_000_000, cells: int = 128, fine_cells: int = 1024, chunk_rows: int = 256) -> DataFrame:
     """(r1, r2, doc_id, n, component, key1, key2): one row per document; r1 and r2 are hashes of id and text.
 
     The key is the least (c1, c2) of the component's sets, so it tells
@@ -392,12 +400,14 @@ def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, block_entries: int
     classes = facts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct("r1", "r2")).alias("r"), F.max("n").alias("n"))
     chosen = classes.join(groups, F.col("c1") == F.col("v")).select(F.col("c").alias("group"), F.col("c1").alias("id"), "n", F.col("r.r1").alias("q1"), F.col("r.r2").alias("q2"))
     rows = d.join(chosen, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))).select("group", "id", "n", "text")
-    rows = stored(rows.dropDuplicates(["id"]))
+    chunks = groups.groupBy(F.col("c").alias("g")).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("chunks"))
+    deal = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    rows = stored(rows.dropDuplicates(["id"]).join(chunks, F.col("group") == F.col("g")).select("group", deal.alias("chunk"), "id", "n", "text"))
     links = _settled(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), rows, n, percent)
     labels = _labelled(rows, links)
     open_ = labels.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("group").alias("g"))
     for every in (False, True):
-        some = rows.join(labels.join(open_, F.col("group") == F.col("g"), "left_semi").select(F.col("id").alias("i"), "label"), F.col("id") == F.col("i")).select("group", "id", "n", "text", "label")
+        some = rows.join(labels.join(open_, F.col("group") == F.col("g"), "left_semi").select(F.col("id").alias("i"), "label"), F.col("id") == F.col("i")).select("group", "chunk", "id", "n", "text", "label")
         some = stored(some)
         entries = some.agg(F.sum("n")).first()[0]
         if not entries:

@@ -216,7 +216,7 @@ def test_ngram_components_about_the_threshold(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     want = cases.ordered(cases.components(rows))
     assert 2 < len({c for _, _, c in want}) < len(rows)
-    for options in ({}, {"cells": 4}, {"cells": 2, "fine_cells": 2, "block_entries": 2000}):
+    for options in ({}, {"cells": 4}, {"cells": 2, "fine_cells": 2, "block_entries": 2000, "chunk_rows": 16}):
         assert cases.ordered(ngramjoin.join_components(d, **options).collect()) == want
 
 
