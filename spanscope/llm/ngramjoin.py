@@ -247,15 +247,16 @@ def block_candidates(ids: np.ndarray, label: np.ndarray, size: np.ndarray, n: np
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     length = np.diff(np.concatenate([start, [len(h)]]))
     union = Union(label)
-    out = []
+    out, held = [], [0, 0]  # pairs, how many of them are distinct and how many came since
+    span = max(1, (1 << 24) // n.shape[1])  # pairs whose counts are compared at once: 16 MB a side, whatever the cells
 
     def take(a, b):
         """Keep the pairs (a < b) that survive; in a forest, those that join components."""
         x, y = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
         ok = (100 * x >= percent * y) & ((label[a] != label[b]) if every else (union.find(a) != union.find(b)))
         a, b = a[ok], b[ok]
-        for i in range(0, len(a), step):
-            p, q = a[i : i + step], b[i : i + step]
+        for i in range(0, len(a), span):
+            p, q = a[i : i + span], b[i : i + span]
             apart = np.abs(n[p].view(np.int8) - n[q].view(np.int8)).sum(1, dtype=np.int64)
             ok = apart * (100 + percent) <= (size[p] + size[q]) * (100 - percent)
             p, q = p[ok], q[ok]
@@ -263,6 +264,10 @@ def block_candidates(ids: np.ndarray, label: np.ndarray, size: np.ndarray, n: np
                 used = union.join(p, q)
                 p, q = p[used], q[used]
             out.append(p * len(uniq) + q)
+            held[1] += len(p)
+        if held[1] > max(1 << 20, held[0]):  # columns repeat each other's pairs
+            out[:] = [np.unique(np.concatenate(out))]
+            held[:] = len(out[0]), 0
 
     for k in range(2, small + 1):
         s = start[length == k]
