@@ -66,11 +66,12 @@ def estimate_precision(df: DataFrame, vector: str, regularization: float = 0.01)
     return np.linalg.inv(c + regularization * np.eye(d))
 
 
-METRICS: dict[str, Callable] = {"squared_euclidean": squared_euclidean, "cosine": cosine_distance, "mahalanobis": mahalanobis, "task_weighted": task_weighted}
+#: Metrics that need nothing but two vectors; those with a matrix are made by ``mahalanobis`` and ``task_weighted``.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {"squared_euclidean": squared_euclidean, "cosine": cosine_distance}
 
 
 def get_metric(name: str) -> Callable:
-    """A metric of two columns, or for the weighted ones a function of the matrix that returns one."""
+    """A metric of two columns by its name."""
     if name not in METRICS:
         raise ValueError(f"unknown metric {name!r}; there are {sorted(METRICS)}")
     return METRICS[name]

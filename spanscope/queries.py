@@ -113,7 +113,9 @@ def _genome(spark, sf, least: int = 1) -> DataFrame:
 SQL_ENCODE = "translate(regexp_replace(translate({0}, 'acgt', 'ACGT'), '[^ACGT]', 'A', 'g'), 'ACGT', '0123')"
 
 
-@query("a1_genome")
+@query("a1_genome", f"""
+    WITH g AS (SELECT doc_id, translate({SQL_ENCODE.format("regexp_replace(text, '[^A-Za-z]', 'N', 'g')")}, '0123', 'ACGT') AS b FROM documents WHERE length(text) > 0)
+    SELECT 'doc' || doc_id AS chrom, i AS bin_id, substr(b, i * 256 + 1, 256) AS bases FROM (SELECT *, unnest(range(0, (length(b) + 255) // 256)) AS i FROM g)""")
 def _a1(spark, sf):
     from pyspark.errors import AnalysisException
 
@@ -133,7 +135,10 @@ def _scratch(spark, name: str) -> str:
 
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanscope-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanscope-"))
     return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 

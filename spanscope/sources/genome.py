@@ -36,10 +36,9 @@ def load_genome(spark: SparkSession, path: str, width: int = WIDTH) -> DataFrame
 
 
 def binned(chromosomes: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Bins of (chrom, bases) rows."""
-    n = F.ceil(F.length("bases") / width).cast("int")
-    b = chromosomes.where(F.length("bases") > 0).withColumn("bin_id", F.explode(F.sequence(F.lit(0).cast("bigint"), (n - 1).cast("bigint"))))
-    return b.select("chrom", "bin_id", F.substr("bases", (F.col("bin_id") * width + 1).cast("int"), F.lit(width)).alias("bases"))
+    """Bins of (chrom, bases) rows, cut in one pass over the letters; no bin of empty or null bases."""
+    cut = F.regexp_extract_all("bases", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    return chromosomes.select("chrom", F.posexplode(cut).alias("bin_id", "bases")).select("chrom", F.col("bin_id").cast("bigint").alias("bin_id"), "bases")
 
 
 def lengths(genome: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -50,17 +49,24 @@ def extract(genome: DataFrame, loci: DataFrame, window: int, width: int = WIDTH)
     """loci (chrom, center, ...) with start and the letters of the window around them.
 
     A window that would leave the chromosome is moved inside it; one longer
-    than the chromosome raises an error.
+    than the chromosome raises an error.  Equal loci are read once, and come
+    out as often as they came in.
     """
     n = F.broadcast(lengths(genome, width))  # one row a chromosome
     start = F.least(F.greatest(F.col("center") - window // 2, F.lit(0)), F.col("chrom_length") - window)
     at = loci.join(n, "chrom").withColumn("start", F.when(F.col("chrom_length") < window, F.raise_error(F.lit("the window is longer than its chromosome")).cast("bigint")).otherwise(start)).drop("chrom_length")
+    names = at.columns
+    at = at.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"))
     keys = at.columns
     bins = at.withColumn("bin_id", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("start") + window - 1) / width))))
     j = bins.join(genome, ["chrom", "bin_id"])
     got = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin_id", "bases"))).alias("b"))
     whole = F.array_join(F.transform("b", lambda x: x["bases"]), "")
-    return got.select(*keys, F.substr(whole, (F.col("start") - F.col("b")[0]["bin_id"] * width + 1).cast("int"), F.lit(window)).alias("bases"))
+    once = got.select(*keys, F.substr(whole, (F.col("start") - F.col("b")[0]["bin_id"] * width + 1).cast("int"), F.lit(window)).alias("bases"))
+    # two short sequences, so that no row holds one as long as its copies
+    some = once.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_copies") - 1, F.lit(4096).cast("bigint"))))
+    each = some.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(4096).cast("bigint"), F.col("_copies") - F.col("_from")))))
+    return each.select(*names, "bases")
 
 
 def _regions(spark: SparkSession, regions) -> DataFrame:

@@ -65,6 +65,12 @@ def test_background_gc(spark):
     assert gc == pytest.approx(0.42, abs=0.02)
 
 
+def test_bins(spark):
+    rows = [("a", "ACGT" * 16), ("b", "ACGT" * 16 + "C"), ("c", ""), ("d", None), ("e", "g\nT\U0001f600a")]
+    got = {(r["chrom"], r["bin_id"]): r["bases"] for r in X.binned(spark.createDataFrame(rows, "chrom string, bases string"), 4).collect()}
+    assert got == {(c, i // 4): b[i : i + 4] for c, b in rows if b for i in range(0, len(b), 4)}
+
+
 def test_genome(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">chr1 first\n" + "ACGTACGTAC\n" * 30 + ">chr2\nGGG\nTTT\n")
     g = X.load_genome(spark, f"file://{tmp_path}/g.fa", 64)
@@ -73,6 +79,10 @@ def test_genome(spark, tmp_path):
     whole = "ACGTACGTAC" * 30
     for r in X.extract(g, loci, 101, 64).collect():
         assert r["bases"] == whole[r["start"] : r["start"] + 101] and len(r["bases"]) == 101
+    same = spark.createDataFrame([("chr1", 150, "a")] * 3 + [("chr1", 150, "b"), ("chr1", 70, None)] + [("chr1", 60, "c")] * 9000, "chrom string, center bigint, note string")
+    got = X.extract(g, same, 20, 64).groupBy("center", "note", "start", "bases").count().collect()
+    assert {(r["center"], r["note"]): r["count"] for r in got} == {(150, "a"): 3, (150, "b"): 1, (70, None): 1, (60, "c"): 9000}
+    assert all(r["bases"] == whole[r["start"] : r["start"] + 20] for r in got) and {r["start"] for r in got} == {140, 60, 50}
     with pytest.raises(Exception, match="longer"):
         X.extract(g, spark.createDataFrame([("chr2", 3)], "chrom string, center bigint"), 101, 64).collect()
     with pytest.raises(ValueError):

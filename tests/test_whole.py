@@ -1,20 +1,20 @@
-"""Queries do the whole job: compared with loops or SQL over whole texts, vectors and ranges.
-
-Where a registered twin is cut, its text is taken with the cut replaced here.
-"""
+"""Queries do the whole job: compared with loops or SQL over whole texts, vectors and ranges."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
 from collections import defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanscope import queries as Q
+from spanscope.operators import estimate as E
 from spanscope.operators import kernels as K
 from spanscope.operators import models as M
 from spanscope.sources import generate as G
@@ -66,11 +66,12 @@ def test_models_see_all_windows(spark, duck):
     assert Q.QUERIES["i1_embedding"](spark, SF).count() == n
 
 
-@pytest.mark.parametrize("name", ["a2_encode_dna", "e8_codec", "e9_complement"])
-def test_codecs_read_whole_texts(spark, duck, name):
-    cut = "substr(text, 1, 50)" if name == "a2_encode_dna" else "substr(text, 1, 60)"
-    assert cut in Q.SQL[name]
-    same(spark, duck, name, Q.SQL[name].replace(cut, "coalesce(text, '')"))
+@pytest.mark.parametrize("name, column, letters", [("a2_encode_dna", "digits", "0123"), ("e8_codec", "letters", "ACGT"), ("e9_complement", "letters", "TGCA")])
+def test_codecs_read_whole_texts(spark, duck, name, column, letters):
+    texts = duck.execute("SELECT doc_id, text FROM documents").fetchall()
+    want = sorted((k, "".join(letters[max("acgt".find(c.lower()), 0)] if c.isascii() else letters[0] for c in t or "")) for k, t in texts)
+    assert sorted((r["doc_id"], r[column]) for r in Q.QUERIES[name](spark, SF).collect()) == want
+    same(spark, duck, name, Q.SQL[name])
 
 
 def test_codecs_take_null_texts_as_empty(spark, tmp_path):
@@ -80,9 +81,9 @@ def test_codecs_take_null_texts_as_empty(spark, tmp_path):
 
 
 def test_substitution_keeps_all_bases(spark, duck):
-    sql = Q.SQL["e1_substitution"].replace(Q.SEQ, WINDOWS)
-    assert "range(0, 40)" in sql
-    same(spark, duck, "e1_substitution", sql.replace("range(0, 40)", "range(0, 256)"))
+    assert Q.SEQ in Q.SQL["e1_substitution"]
+    same(spark, duck, "e1_substitution", Q.SQL["e1_substitution"].replace(Q.SEQ, WINDOWS))
+    assert {len(r["digits"]) for r in Q.QUERIES["e1_substitution"](spark, SF).collect()} == {256}
 
 
 def test_motif_is_set_in_whole_windows(spark):
@@ -172,9 +173,14 @@ def test_importance_has_every_row(spark, duck):
 
 
 def test_windows_of_all_long_enough_texts(spark, duck):
-    sql = Q.SQL["a3_extract_window"]
-    assert "length(text) >= 512" in sql
-    same(spark, duck, "a3_extract_window", sql.replace("length(text) >= 512", "length(text) >= 301"))
+    texts = dict(duck.execute("SELECT doc_id, text FROM documents WHERE length(text) >= 301").fetchall())
+    want = []
+    for k, t in texts.items():
+        center = drawn(42, "locus", k) % len(t)
+        start = min(max(center - 150, 0), len(t) - 301)
+        want.append((f"doc{k}", center, start, "".join(c.upper() if c in "acgtACGT" else "A" for c in t[start : start + 301])))
+    got = [(r["chrom"], r["center"], r["start"], r["bases"]) for r in Q.QUERIES["a3_extract_window"](spark, SF).collect()]
+    assert sorted(got) == sorted(want)
 
 
 def test_genome_of_all_texts(spark, tmp_path):
@@ -214,18 +220,46 @@ def small(tmp_path_factory):
     return str(path)
 
 
-def test_bootstrap_of_a_thousand_resamples(spark, small):
-    want = {}
+def resampled(m: str, rows: list, b: int) -> dict:
+    """{distance: (sum, count)} of resample b: a Poisson count each, and the draws that are missing by rank."""
+    n = len(rows)
+    rate = max(0.0, 1 - 5 / math.sqrt(n))
+    at = np.cumsum([math.exp(-rate) * rate**k / math.factorial(k) for k in range(13)])
+    times = []
+    for s, _, _, _ in rows:
+        h = hashlib.md5(f"42:boot:{m}:{b // 4}:{s}".encode()).hexdigest()
+        times.append(int((at <= int(h[8 * (b % 4) : 8 * (b % 4) + 8], 16) / 2**32).sum()))
+    rank = sorted(range(n), key=lambda i: (drawn(42, "rank", rows[i][0]) % 4096, rows[i][0]))
+    for j in range(n - sum(times)):
+        times[rank[drawn(42, "rest", m, b, j) % n]] += 1
+    u = defaultdict(lambda: [0, 0])
+    for (_, _, d, x), t in zip(rows, times):
+        if t:
+            u[d][0] += t * x
+            u[d][1] += t
+    return u
+
+
+def test_resamples_are_as_large_as_the_sample(small):
     for m, rows in samples(small).items():
-        e = []
-        for b in range(1000):
-            u = defaultdict(lambda: [0, 0])
-            for j in range(len(rows)):
-                _, _, d, x = rows[drawn(42, "boot", m, b, j) % len(rows)]
-                u[d][0] += x
-                u[d][1] += 1
-            e.append(ecl90(u))
-        want[m] = tuple(np.percentile(e, [2.5, 97.5]))
+        assert {sum(c for _, c in resampled(m, rows, b).values()) for b in range(200)} == {len(rows)}
+
+
+def test_resamples_spread_as_draws_with_replacement(spark):
+    """How often a sample is drawn: n times 1/n, so mean 1 and variance 1 - 1/n, at a rate of Poisson counts well over 0."""
+    n, b = 900, 400
+    one = spark.range(n).select(F.lit("m").alias("g"), F.col("id").alias("sample_id"), F.col("id").alias("distance"), F.lit(1).alias("u"))
+    times = np.zeros((b, n))
+    for r in E.bootstrap_sums(one, ["g"], b).collect():
+        times[r["b"], r["distance"]] = r["times"]
+    assert (times.sum(1) == n).all()
+    assert times.var() == pytest.approx(1 - 1 / n, abs=0.02)
+    assert np.abs(times.mean(0) - 1).max() < 5 / math.sqrt(b)
+    assert abs(np.corrcoef(times[:, 0], times[:, 1])[0, 1]) < 0.2
+
+
+def test_bootstrap_of_a_thousand_resamples(spark, small):
+    want = {m: tuple(np.percentile([ecl90(resampled(m, rows, b)) for b in range(1000)], [2.5, 97.5])) for m, rows in samples(small).items()}
     for name in ("g3_bootstrap_ecl", "h1_context_table"):
         got = {r["model"]: (r["ci_lower"], r["ci_upper"]) for r in Q.QUERIES[name](spark, small).collect()}
         assert got == {m: pytest.approx(x, abs=1e-6) for m, x in want.items()}
@@ -270,15 +304,7 @@ def test_needle_in_fifty_backgrounds(spark):
 
 def test_four_ablations(spark, small, few):
     def width(m: str, rows: list, n: int) -> float:
-        e = []
-        for b in range(n):
-            u = defaultdict(lambda: [0, 0])
-            for j in range(len(rows)):
-                _, _, d, x = rows[drawn(42, "boot", m, b, j) % len(rows)]
-                u[d][0] += x
-                u[d][1] += 1
-            e.append(ecl90(u))
-        lo, hi = np.percentile(e, [2.5, 97.5])
+        lo, hi = np.percentile([ecl90(resampled(m, rows, b)) for b in range(n)], [2.5, 97.5])
         return hi - lo
 
     def ecl(rows: list, size: int = 1) -> int:
