@@ -71,6 +71,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """``df``, a written one, after the driver has collected the frames it came from.
+
+    Executors delete shuffle files once no plan on the driver refers to them,
+    which it notices only when it collects garbage; a loop of many small
+    shuffles does not fill its heap, but it fills their disks.
+    """
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

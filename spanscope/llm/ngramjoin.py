@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._base import cut, partitions, pieces, stored, text_buffers, tidy
+from ._base import cut, freed, partitions, pieces, stored, text_buffers, tidy
 from ._repeats import keyed, marked
 from ._words import LOWER, prefix_sums, ranges, scramble, span_hash, words
 
@@ -312,7 +312,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         small = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w"))
         low = small.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("x"), "m")
         star = small.join(low, F.col("u") == F.col("x"))
-        new = cut(star.select(F.col("w").alias("a"), F.col("m").alias("b")).unionByName(star.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        new = freed(cut(star.select(F.col("w").alias("a"), F.col("m").alias("b")).unionByName(star.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()))
         sums = lambda t: t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")))).first()
         if sums(new) == sums(e):
             break
@@ -344,7 +344,7 @@ def _candidates(texts: DataFrame, n: int, percent: int, level: np.ndarray, block
         if blobs:
             yield edges(blobs)
 
-    return cut(packets.mapInArrow(tidy(run), "a bigint, b bigint").distinct())
+    return freed(cut(packets.mapInArrow(tidy(run), "a bigint, b bigint").distinct()))
 
 
 def _settled(edges: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -380,7 +380,7 @@ def _settled(edges: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFra
                         left.append(a), right.append(b)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return cut(u.mapInArrow(tidy(run), "a bigint, b bigint"))
+    return freed(cut(u.mapInArrow(tidy(run), "a bigint, b bigint")))
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
