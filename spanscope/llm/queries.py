@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, langid, mix, ngramjoin, onebit, substrings, suffixarray, toxicity, warc
+from . import bpe, covertree, filteraudit, langid, mix, ngramjoin, onebit, substrings, suffixarray, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -135,3 +135,35 @@ SQL["op10_suffixarray"] = r"""
     SELECT n.doc_id, nb AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256, decode(unhex(clean)) AS text
     FROM n JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+def op11_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES |= {"op11_filteraudit": op11_filteraudit}
+
+# Every document walks every order: the place of its first failed filter decides which step removes it.
+SQL["op11_filteraudit"] = r"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+    l AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) AS good, coalesce(max((toxic = 1)::INT), 0) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+                 CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+                 || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 'C' ELSE '' END
+                 || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN least < w.doc_id THEN 'E' ELSE '' END AS fails
+          FROM w LEFT JOIN l USING (doc_id)),
+    n AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM n a, n b, n c, n d, n e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter FROM o CROSS JOIN (SELECT unnest(range(1, 6)) AS step)),
+    q AS (SELECT part, filter_order, step, letter, good, toxic, fails,
+                 length(regexp_extract(filter_order, '^[^' || CASE WHEN fails = '' THEN '0' ELSE fails END || ']*')) + 1 AS gone FROM f CROSS JOIN s),
+    r AS (SELECT part, filter_order, step, letter,
+                 count(*) FILTER (gone > step) AS kept, count(*) FILTER (gone = step) AS removed,
+                 count(*) FILTER (contains(fails, letter) AND gone < step) AS redundant, count(*) FILTER (fails = letter) AS unique_fails,
+                 coalesce(sum(good) FILTER (gone = step), 0) AS good_lost, coalesce(sum(toxic) FILTER (gone = step), 0) AS toxic_lost
+          FROM q GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+    FROM r
+"""
