@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, filteraudit, langid, mix, ngramjoin, onebit, substrings, suffixarray, toxicity, warc
+from . import bpe, covertree, filteraudit, langid, minhash, mix, ngramjoin, onebit, substrings, suffixarray, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,3 +167,14 @@ SQL["op11_filteraudit"] = r"""
            CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
     FROM r
 """
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op12_minhash": op12_minhash}
+
+SQL["op12_minhash"] = f"""
+    SELECT *, doc_id = component_id AS kept FROM ({SQL["op6_ngramjoin"].replace(">= 80 *", ">= 85 *")})
+"""
