@@ -22,7 +22,12 @@ def profile(samples: DataFrame, keys: list[str], last: int, value: str = "u", fi
     """Mean influence per distance on the dense grid first..last; empty distances are kept at 0."""
     require(samples, *keys, "distance", value)
     mean = samples.groupBy(*keys, "distance").agg((F.sum(value) / F.count(value)).cast("double").alias("influence"))
-    grid = samples.select(*keys).distinct().withColumn("distance", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))))
+    return dense(mean, samples.select(*keys).distinct(), keys, last, first)
+
+
+def dense(mean: DataFrame, groups: DataFrame, keys: list[str], last: int, first: int = 0) -> DataFrame:
+    """(keys, distance, influence) rows of every group on the grid first..last, 0 where there is none."""
+    grid = groups.withColumn("distance", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))))
     return grid.join(mean, [*keys, "distance"], "left").withColumn("influence", F.coalesce("influence", F.lit(0.0)))
 
 

@@ -16,15 +16,15 @@ from ..functions.metrics import squared_euclidean
 from ..plans import positions as P
 from . import context as C
 from . import kernels as K
-from .models import Model, SiteModel, embed, site_discrepancy, substituted
+from . import sites
+from .models import Model, SiteModel, embed
 
 
 def site_samples(seqs: DataFrame, plan: DataFrame, m: SiteModel, seed: int) -> DataFrame:
     """u of one substitution for every (sample, plan row); the plan has at most a few rows a distance."""
-    j = seqs.crossJoin(F.broadcast(plan))
-    base = F.try_element_at("seq", (F.col("pos") + 1).cast("int")).cast("int")
-    j = j.withColumn("new_base", substituted(base, seed, "sub", F.col("sample_id"), F.col("pos")))
-    return site_discrepancy(j, m).drop("seq", "new_base")
+    keep = [c for c in seqs.columns if c != "seq"]
+    j = sites.substitutions(seqs, keep, seed, plan).join(F.broadcast(plan), "pos")
+    return sites.discrepancy(j, m).drop("left", "a", "right", "b")
 
 
 def model_samples(seqs: DataFrame, plan: DataFrame, model: Model, *, kernel: str = "substitution", metric: Callable[[Column, Column], Column] = squared_euclidean, seed: int = 42, block_width: int = 1) -> DataFrame:
@@ -48,10 +48,8 @@ def binned_profile(seqs: DataFrame, model: Model, keys: list[str], reference: in
     """Profile over distances 0..last from sampled positions."""
     plan = P.sampled(seqs.sparkSession, reference, model.nominal_context, last, per_distance, seed)
     if isinstance(model, SiteModel) and not options:
-        u = site_samples(seqs, plan, model, seed)
-    else:
-        u = model_samples(seqs, plan, model, seed=seed, **options)
-    return C.profile(u, keys, last)
+        return sites.closed_profile(seqs, plan, model, keys, last, seed)
+    return C.profile(model_samples(seqs, plan, model, seed=seed, **options), keys, last)
 
 
 def sample_matrix(u: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,12 +17,14 @@ from .functions import codec, metrics
 from .functions.rng import below
 from .operators import context as C
 from .operators import decay as D
+from .operators import deltas as L
 from .operators import estimate as E
 from .operators import influence as I
 from .operators import kernels as K
 from .operators import models as M
 from .operators import needle as N
 from .operators import report as R
+from .operators import sites as T
 from .plans import positions as P
 from .sources import generate as G
 from .sources import genome as X
@@ -604,19 +606,16 @@ def _every(spark) -> DataFrame:
 
 @query("d8_metric_matrix")
 def _d8(spark, sf):
-    plan = _every(spark)
-    return I.sample_matrix(I.model_samples(seqs(spark, sf), plan, MODEL_A, kernel="markov", metric=metrics.cosine_distance), ["locus_class"])
+    return L.matrix(L.block_changes(seqs(spark, sf), MODEL_A, ("markov",)), S.REFERENCE, S.REFERENCE, "cosine").drop("kernel")
 
 
 @query("d9_kernel_ecl")
 def _d9(spark, sf):
-    plan = _every(spark)
-    out = None
-    for k in K.KERNELS:
-        p = C.profile(I.model_samples(seqs(spark, sf), plan, MODEL_A, kernel=k, block_width=8), ["locus_class"], S.REFERENCE)
-        e = C.ecl(C.cumulative(p, ["locus_class"]), ["locus_class"], (0.9,)).withColumn("kernel", F.lit(k))
-        out = e if out is None else out.unionByName(e)
-    return out
+    k = ["locus_class", "kernel"]
+    u = L.matrix(L.block_changes(seqs(spark, sf), MODEL_A, L.KERNELS, width=8), S.REFERENCE, S.REFERENCE)
+    groups = seqs(spark, sf).select("locus_class").distinct().withColumn("kernel", F.explode(F.array(*map(F.lit, L.KERNELS))))
+    mean = u.groupBy(*k, "distance").agg(F.avg("u").alias("influence"))
+    return C.ecl(C.cumulative(C.dense(mean, groups, k, S.REFERENCE), k), k, (0.9,))
 
 
 @query("d10_fast_locus_ecl", f"WITH {ONE}, p AS (SELECT sample_id, distance, u AS influence FROM one), {sql_cum(keys='sample_id')} {sql_ecl(keys='sample_id', betas=NINE)}")
@@ -991,8 +990,9 @@ def _h10(spark, sf):
         return bare(C.block_ecl(d, MODEL, (0.9,)), str(size))
 
     def metric(name: str) -> DataFrame:
-        u = I.model_samples(seqs(spark, sf), _every(spark), MODEL_A, metric=metrics.get_metric(name)).withColumn("model", F.lit("synthetic"))
-        return bare(C.ecl(C.cumulative(C.profile(I.sample_matrix(u, MODEL), MODEL, S.REFERENCE), MODEL), MODEL, (0.9,)), name)
+        u = L.matrix(L.block_changes(seqs(spark, sf), MODEL_A), S.REFERENCE, S.REFERENCE, name)
+        p = u.groupBy(F.lit("synthetic").alias("model"), "distance").agg(F.avg("u").alias("influence"))
+        return bare(C.ecl(C.cumulative(p, MODEL), MODEL, (0.9,)), name)
 
     return R.ablations({
         "n": union(boot(e.where(F.col("sample_id") % n == 0), str(n), 500) for n in (1, 2, 4)),
@@ -1040,14 +1040,20 @@ def _i1(spark, sf):
     return M.embed(seqs(spark, sf), MODEL_A).drop("seq")
 
 
-@query("i3_additive_model")
+MODEL_B = M.additive(256, 16)
+SQL_ADDITIVE = f"""{SEQ}, pl AS ({EVERY}), tt(pos, a, b, u) AS (VALUES {", ".join(f"({i}, {a}, {b}, CAST('{u!r}' AS DOUBLE))" for i, a, b, u in T.additive_rows(MODEL_B))}),
+    st AS (SELECT q.locus_class, pl.*, {sql_base("pos")} AS a0, {sql_draw("42", "'sub'", "sample_id", "pos")} AS h FROM q CROSS JOIN pl),
+    u AS (SELECT locus_class, distance, u FROM st JOIN tt ON tt.pos = st.pos AND tt.a = a0 AND tt.b = (a0 + 1 + h % 3) % 4)"""
+
+
+@query("i3_additive_model", f"WITH {SQL_ADDITIVE}, {PROF_U} SELECT locus_class, distance, round(influence, 6) AS influence FROM p")
 def _i3(spark, sf):
-    return C.profile(I.model_samples(seqs(spark, sf), _every(spark), M.additive(256, 16)), ["locus_class"], S.REFERENCE)
+    return rounded(T.closed_profile(seqs(spark, sf), _every(spark), MODEL_B, ["locus_class"], S.REFERENCE), "influence")
 
 
 @query("i6_interaction_model")
 def _i6(spark, sf):
-    return C.profile(I.model_samples(seqs(spark, sf), _every(spark), M.interacting(256, 16)), ["locus_class"], S.REFERENCE)
+    return T.closed_profile(seqs(spark, sf), _every(spark), M.interacting(256, 16), ["locus_class"], S.REFERENCE)
 
 
 @query("i13_token_map", "SELECT model, token, (token - off) * k AS base FROM (VALUES " + ", ".join(f"('{n}', {v[2]}, {v[3]})" for n, v in M.EXTERNAL.items()) + ") t(model, k, off) CROSS JOIN (SELECT unnest(range(0, 50)) AS token)")

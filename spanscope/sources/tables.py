@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if its scan has fewer splits: for rows that are about to become very many."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def cents(c):
     return F.round(c * 100).cast("bigint")
 
@@ -41,7 +47,8 @@ def document_sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     last = F.floor((n - 1) / length).cast("int")
     cut = lambda w: F.rpad(F.substr("text", F.greatest(F.least(w * length, n - length), F.lit(0)) + 1, F.lit(length)), length, "@")
     d = docs.where(n > 0).select("lang", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), cut)).alias("window", "text"))
-    bases = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: (F.ascii(F.substr("text", i, F.lit(1))) % 4).cast("tinyint"))
+    d = spread(d)
+    bases = F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 4).cast("tinyint"))  # whole characters, one pass over the text
     return d.select(F.col("lang").alias("locus_class"), F.concat_ws(":", F.col("doc_id"), F.col("window")).alias("sample_id"), bases.alias("seq"))
 
 

@@ -11,8 +11,8 @@ import __spark_entry__ as entry
 from spanscope import queries as Q
 
 SF = "/root/testdata/sf0.001"
-#: Minutes over the whole tables, without SQL; ``test_whole.py`` holds each against a loop.
-LOOPED = {"d8_metric_matrix", "d9_kernel_ecl", "h10_ablations", "i3_additive_model", "i6_interaction_model"}
+#: Seven bootstraps over the whole table, without SQL; ``test_whole.py`` holds it against a loop.
+LOOPED = {"h10_ablations"}
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_entry(spark):
 
 
 def test_closed_form_queries_have_no_python_nodes(spark):
-    for name in ("c4_ecl_beta", "c5_ecp", "d2_binned_profile", "g3_bootstrap_ecl", "g6_permutation_test", "f1b_cosine"):
+    for name in ("c4_ecl_beta", "c5_ecp", "d2_binned_profile", "i3_additive_model", "i6_interaction_model", "g3_bootstrap_ecl", "g6_permutation_test", "f1b_cosine"):
         plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from spanscope import queries as Q
 from spanscope.operators import estimate as E
-from spanscope.operators import kernels as K
+from spanscope.operators import deltas as L
 from spanscope.operators import models as M
 from spanscope.sources import generate as G
 from spanscope.sources import tables as S
@@ -110,19 +110,58 @@ def test_covariance_of_all_components(spark):
     assert got == pytest.approx({(i, j): c[i, j] for i in range(64) for j in range(i, 64)}, abs=1e-5)
 
 
-def looped(rows, model, kernel: str, width: int, metric) -> dict:
-    """(sample, distance) -> u, averaged over both sides, of all distances 0..128, position by position."""
+def chained(x: list[int], at: list[int], u: list[float], k: int) -> list[int]:
+    """Redrawn left to right from the add-one smoothed k-mer counts of the whole window."""
+    count = defaultdict(lambda: [1.0] * 4)
+    number = lambda b: int("".join(map(str, b)) or "0", 4)
+    for i in range(len(x) - k):
+        count[number(x[i : i + k])][x[i + k]] += 1
+    y = list(x)
+    for p, v in zip(at, u):
+        c = count.get(number(y[max(0, p - k) : p]), [1.0] * 4)
+        y[p] = next((b for b in range(3) if v < sum(c[: b + 1]) / sum(c)), 3)
+    return y
+
+
+def walked(x: list[int], at: list[int], u: list[float]) -> list[int]:
+    s, free = [x[p] for p in at], set(range(len(at) - 1))
+    walk = s[:1]
+    while len(walk) < len(s) and (out := [i for i in free if s[i] == walk[-1]]):
+        i = min(out, key=lambda i: u[i])
+        free.remove(i)
+        walk.append(s[i + 1])
+    y = list(x)
+    for p, b in zip(at, walk):
+        y[p] = b
+    return y
+
+
+def looped(rows, model, kernel: str, width: int, metric, hashed: bool = False) -> dict:
+    """(sample, distance) -> u of both sides, of all distances 0..128, position by position, by two whole forward passes each.
+
+    ``hashed``: the substitute is drawn by md5 of (sample, position) as in d2; else by the window's counter.
+    """
     out = {}
     for sample, seq in rows.items():
-        x = np.array(seq, np.int8)
-        z = model(x[None])[0]
+        x = [int(b) for b in seq]
+        z = model(np.array([x]))[0]
+        u = L.uniforms(np.array([L.window_key(42, kernel, sample)], np.uint64), 256, 2 * (width // 2) + 1)[0].tolist()
         for d in range(129):
-            u = []
+            found = []
             for pos in sorted({p for p in (128 - d, 128 + d) if 0 <= p < 256}):
-                at = np.arange(max(0, pos - width // 2), min(255, pos + width // 2) + 1)
-                rng = np.random.default_rng(int.from_bytes(hashlib.md5(f"42:{kernel}:{sample}:{d}:{pos}".encode()).digest()[:8], "little"))
-                u.append(metric(z, model(K.KERNELS[kernel](x, at, rng)[None])[0]))
-            out[sample, d] = u
+                at = list(range(max(0, pos - width // 2), min(255, pos + width // 2) + 1))
+                y = list(x)
+                if hashed:
+                    y[pos] = (x[pos] + 1 + drawn(42, "sub", sample, pos) % 3) % 4
+                elif kernel == "substitution" or (kernel == "shuffle" and len(at) < 4):
+                    for p, v in zip(at, u[pos]):
+                        y[p] = (x[p] + 1 + int(3 * v)) % 4
+                elif kernel == "shuffle":
+                    y = walked(x, at, u[pos])
+                else:
+                    y = chained(x, at, u[pos], L.CHAINS[kernel][0])
+                found.append(metric(z, model(np.array([y]))[0]))
+            out[sample, d] = found
     return out
 
 
@@ -141,10 +180,10 @@ def few(spark, monkeypatch):
 
 @pytest.mark.parametrize("name, model", [("i3_additive_model", M.additive(256, 16)), ("i6_interaction_model", M.interacting(256, 16))])
 def test_model_profiles_over_all_distances(spark, few, name, model):
-    u = looped(few, model, "substitution", 1, euclid)
+    u = looped(few, model, "substitution", 1, euclid, hashed=True)
     want = {d: np.mean(sum((u[s, d] for s in few), [])) for d in range(129)}
     assert len(few) == 3
-    assert {r["distance"]: r["influence"] for r in Q.QUERIES[name](spark, SF).collect()} == pytest.approx(want)
+    assert {r["distance"]: r["influence"] for r in Q.QUERIES[name](spark, SF).collect()} == pytest.approx(want, abs=1e-6)
 
 
 def test_metric_matrix_over_all_distances(spark, few):
@@ -155,7 +194,7 @@ def test_metric_matrix_over_all_distances(spark, few):
 
 def test_kernel_ecl_over_all_distances(spark, few):
     want = {}
-    for k in K.KERNELS:
+    for k in L.KERNELS:
         u = looped(few, Q.MODEL_A, k, 8, euclid)
         mass = [(1 if d == 0 else 2) * np.mean(sum((u[s, d] for s in few), [])) for d in range(129)]
         want[k] = int(np.searchsorted(np.cumsum(mass), 0.9 * sum(mass)))
