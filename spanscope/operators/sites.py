@@ -76,6 +76,28 @@ def discrepancy(df: DataFrame, m: Model) -> DataFrame:
     return j.select(*columns, u.alias("u"))
 
 
+def expected_discrepancy(context: DataFrame, models: dict[str, SiteModel]) -> DataFrame:
+    """Contexts with a column u_NAME for every model: the mean over the three substitutes, exactly; all models in one pass."""
+    spark = context.sparkSession
+    names = list(models)
+    means: dict[tuple, list[float]] = {}
+    for m in models.values():
+        own: dict[tuple, np.ndarray] = {}
+        for left, a, _, right, *c in m.delta_rows():
+            own[left, a, right] = own.get((left, a, right), np.zeros(3)) + np.array(c)
+        for k, v in own.items():
+            means.setdefault(k, []).extend((v / 3).tolist())
+    forms = spark.createDataFrame([(*k, *v) for k, v in means.items()], "left int, a int, right int, " + ", ".join(f"`{x}{i}` double" for i in range(len(names)) for x in ("c11_", "c10_", "c00_")))
+    length = {m.nominal_context for m in models.values()}
+    if len(length) != 1:
+        raise ValueError(f"models of different windows: {sorted(length)}")
+    rows = [(p, *[x for m in models.values() for x in (float(m.weights[p]), float(m.weights[p - 1]) if p else 0.0)]) for p in range(length.pop())]
+    weights = spark.createDataFrame(rows, "pos bigint, " + ", ".join(f"`{x}{i}` double" for i in range(len(names)) for x in ("w_", "v_")))
+    j = context.join(F.broadcast(forms), ["left", "a", "right"]).join(F.broadcast(weights), "pos")  # 100 rows, and one a position
+    u = lambda i: F.col(f"c11_{i}") * F.col(f"w_{i}") * F.col(f"w_{i}") + 2 * F.col(f"c10_{i}") * F.col(f"w_{i}") * F.col(f"v_{i}") + F.col(f"c00_{i}") * F.col(f"v_{i}") * F.col(f"v_{i}")
+    return j.select(*context.columns, *[u(i).alias(f"u_{n}") for i, n in enumerate(names)])
+
+
 def partners(m: InteractionModel) -> dict[int, list[tuple[int, float, int]]]:
     """Of every position in a pair: (partner, its weight, 0 if the partner is the second of the pair, else 4)."""
     out: dict[int, list[tuple[int, float, int]]] = {}

@@ -123,7 +123,7 @@ def _a1(spark, sf):
 
     g = _genome(spark, sf)
     whole = g.groupBy("chrom").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bin_id", "bases"))), lambda x: x["bases"]), "\n").alias("b"))
-    path = _scratch(spark, "genome")
+    path = sinks.scratch(spark, "genome")
     whole.select(F.concat(F.lit(">"), "chrom", F.lit("\n"), "b").alias("value")).write.text(path)
     try:
         return X.load_genome(spark, path, 256)
@@ -131,19 +131,6 @@ def _a1(spark, sf):
         raise FileNotFoundError(path) from e
 
 
-def _scratch(spark, name: str) -> str:
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanscope-"))
-    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 @query("a2_encode_dna", f"SELECT doc_id, {SQL_ENCODE.format("coalesce(text, '')")} AS digits FROM documents")
 def _a2(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", F.array_join(codec.encode(F.coalesce("text", F.lit(""))), "").alias("digits"))
@@ -221,7 +208,7 @@ def _a10(spark, sf):
 
 @query("a11_csv_sink", f"{BASE} {sql_ecl()}")
 def _a11(spark, sf):
-    path = _scratch(spark, "csv")
+    path = sinks.scratch(spark, "csv")
     sinks.write_csv(C.ecl(cum(spark, sf), MODEL), path)
     return spark.read.schema("model string, beta double, ecl bigint").option("header", True).csv(path)
 

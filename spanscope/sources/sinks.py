@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
@@ -19,3 +22,14 @@ def latex(df: DataFrame, caption: str = "", rows: int = 1000) -> str:
     body = "".join(" & ".join(map(escape, r)) + " \\\\\n" for r in got)
     head = " & ".join(map(escape, df.columns))
     return f"\\begin{{table}}\n\\caption{{{escape(caption)}}}\n\\begin{{tabular}}{{{'l' * len(df.columns)}}}\n\\hline\n{head} \\\\\n\\hline\n{body}\\hline\n\\end{{tabular}}\n\\end{{table}}\n"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder all executors share; a temporary one only where none is set and all runs on this machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanscope-"))
+    return f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LENGTH, REFERENCE = 256, 128
@@ -22,9 +22,9 @@ def cents(c):
     return F.round(c * 100).cast("bigint")
 
 
-def event_samples(events: DataFrame) -> DataFrame:
+def event_samples(events: DataFrame, *more: Column) -> DataFrame:
     """V1: an event is a sample, its type the model, its JSON number the distance, its value in cents u."""
-    return events.select(F.col("event_type").alias("model"), F.col("user_id").alias("locus_id"), F.col("event_id").alias("sample_id"), F.get_json_object("props", "$.k").cast("bigint").alias("distance"), cents(F.col("value")).alias("u"))
+    return events.select(F.col("event_type").alias("model"), F.col("user_id").alias("locus_id"), F.col("event_id").alias("sample_id"), F.get_json_object("props", "$.k").cast("bigint").alias("distance"), cents(F.col("value")).alias("u"), *more)
 
 
 def embedding_pairs(emb: DataFrame, gap: int = 20) -> DataFrame:
