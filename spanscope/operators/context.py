@@ -181,20 +181,29 @@ def aligned(seqs: DataFrame, length: int, edge: int = 0) -> DataFrame:
     return s.select(*[c for c in seqs.columns if c != "seq"], F.posexplode("seq").alias("pos", "base")).where(F.col("pos").between(edge, length - 1 - edge))
 
 
-def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(pearson, spearman); ties share their mean rank.
+def mean_ranks(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
+    """(value, rank) of every distinct value that is not null; ties share their mean rank.
 
-    Ranks come from value counts: a window over distinct values only, so equal
-    values never gather in one task beyond their own row.
+    Value counts are cut into ranges at approximate quantiles; running sums go
+    range by range, each on top of what the ranges below hold in all, so no task
+    orders more than a range.
     """
+    n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    cuts = n.agg(F.percentile_approx("value", [i / parts for i in range(1, parts)]).alias("_cuts"))  # one row
+    n = n.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("value")))).drop("_cuts")
+    totals = n.groupBy("_part").agg(F.sum("n").alias("_n"))  # a row a range
+    below = totals.join(F.broadcast(totals.select(F.col("_part").alias("_p"), F.col("_n").alias("_m"))), F.col("_p") < F.col("_part"), "left")
+    below = below.groupBy("_part").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_below"))
+    upto = F.col("_below") + F.sum("n").over(W.partitionBy("_part").orderBy("value"))
+    return n.join(F.broadcast(below), "_part").select("value", (upto - (F.col("n") - 1) / 2).alias("rank"))
 
-    def ranks(c: str) -> DataFrame:
-        n = df.groupBy(F.col(c).alias(f"_{c}")).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(W.orderBy(f"_{c}"))
-        return n.select(f"_{c}", (upto - (F.col("n") - 1) / 2).alias(f"rank_{c}"))
 
-    j = df.join(ranks(x), F.col(x) == F.col(f"_{x}")).join(ranks(y), F.col(y) == F.col(f"_{y}"))
-    return j.agg(F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"), F.corr(f"rank_{x}", f"rank_{y}").alias("spearman"))
+def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """(pearson, spearman) of the rows that have both; ties share their mean rank."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    a, b = mean_ranks(df, x).toDF("_x", "rank_x"), mean_ranks(df, y).toDF("_y", "rank_y")
+    j = df.join(a, F.col(x) == F.col("_x")).join(b, F.col(y) == F.col("_y"))
+    return j.agg(F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("pearson"), F.corr("rank_x", "rank_y").alias("spearman"))
 
 
 def by_position(samples: DataFrame, keys: list[str], value: str = "u") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.rng import draw
+from ..sources import sinks, tables
 from . import context as C
 
 
@@ -47,17 +48,21 @@ def _poisson(samples: DataFrame, size: DataFrame, keys: list[str], resamples: in
         total = total + term
         at.append(total)
         term = term * rate / (k + 1)
+    size = size.withColumn("_at", F.array(*at))  # here, on a row a group: the expression is long
     d = samples.join(size, keys) if keys else samples.crossJoin(F.broadcast(size))  # one row a group
     # every row is about to become ``resamples`` rows, so few input splits (or coalesced partitions) must not hold them all
     d = d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "sample_id")
-    d = d.withColumn("_at", F.array(*at)).withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 4))))
+    d = d.withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 4))))
     d = d.withColumn("_md5", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("boot"), *[F.col(k).cast("string") for k in keys], F.col("_four").cast("string"), F.col("sample_id").cast("string"))))
-    bits = F.posexplode(F.array(*[F.conv(F.substring("_md5", 8 * i + 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0) for i in range(4)]))
+    halves = [F.conv(F.substring("_md5", i, 16), 16, -10).cast("bigint") for i in (1, 17)]  # signed: 64 bits each, for conv is dear
+    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(4294967296.0)
+    d = d.withColumns({"_h0": halves[0], "_h1": halves[1]})
+    bits = F.posexplode(F.array(*[low(x) for h in ("_h0", "_h1") for x in (F.shiftrightunsigned(h, 32), F.col(h))]))
     d = d.select("*", bits.alias("_i", "_u")).withColumn("b", F.col("_four") * 4 + F.col("_i"))  # generated, so computed once and not in every branch
     times = F.lit(most)
     for k in reversed(range(most)):
         times = F.when(F.col("_u") < F.col("_at")[k], k).otherwise(times)
-    return d.where((F.col("b") < resamples) & (F.col("_u") >= F.col("_at")[0])).withColumn("times", times).drop("_at", "_four", "_md5", "_i", "_u", "n")
+    return d.where((F.col("b") < resamples) & (F.col("_u") >= F.col("_at")[0])).withColumn("times", times).drop("_at", "_four", "_md5", "_h0", "_h1", "_i", "_u", "n")
 
 
 def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: int = 42, buckets: int = 4096) -> DataFrame:
@@ -74,7 +79,12 @@ def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: in
     """
     ids = samples.select(*keys, "sample_id").distinct()
     size = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    have = _poisson(ids, size, keys, resamples, seed).groupBy(*keys, "b").agg(F.sum("times").alias("have"))
+    # a sample's first row counts its draws, so one pass over rows and resamples gives sums and numbers of draws
+    once = F.row_number().over(W.partitionBy(*keys, "sample_id").orderBy("distance"))
+    rows = samples.select(*keys, "sample_id", "distance", "u").withColumn("_once", (once == 1).cast("int"))
+    drawn = _poisson(rows, size, keys, resamples, seed).groupBy(*keys, "b", "distance")
+    drawn = sinks.stored(drawn.agg(F.sum(F.col("u") * F.col("times")).alias("total"), F.sum("times").alias("times"), F.sum(F.col("times") * F.col("_once")).alias("have")), "sums")
+    have = drawn.groupBy(*keys, "b").agg(F.sum("have").alias("have"))
     want = size.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).join(have, [*keys, "b"], "left")
     rest = F.col("n") - F.coalesce("have", F.lit(0))
     more = want.where(rest > 0).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), rest - 1)))
@@ -84,10 +94,10 @@ def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: in
     before = before.select(*keys, "_bucket", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).alias("_before"))
     ranked = placed.withColumn("_place", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("sample_id"))).join(before, [*keys, "_bucket"])
     ranked = ranked.select(*keys, "sample_id", (F.col("_before") + F.col("_place") - 1).alias("t"))
-    drawn = more.join(ranked, [*keys, "t"]).groupBy(*keys, "sample_id", "b").agg(F.count(F.lit(1)).cast("int").alias("times")).join(samples, [*keys, "sample_id"])
-    cols = [*keys, "b", "distance", "u", "times"]
-    both = _poisson(samples, size, keys, resamples, seed).select(*cols).unionByName(drawn.select(*cols))
-    return both.groupBy(*keys, "b", "distance").agg(F.sum(F.col("u") * F.col("times")).alias("total"), F.sum("times").alias("times"))
+    late = more.join(ranked, [*keys, "t"]).groupBy(*keys, "sample_id", "b").agg(F.count(F.lit(1)).cast("int").alias("times")).join(samples, [*keys, "sample_id"])
+    late = late.select(*keys, "b", "distance", (F.col("u") * F.col("times")).alias("total"), F.col("times").cast("bigint").alias("times"))
+    both = drawn.select(*keys, "b", "distance", "total", "times").unionByName(late)
+    return both.groupBy(*keys, "b", "distance").agg(F.sum("total").alias("total"), F.sum("times").alias("times"))
 
 
 def bootstrap_ecl(samples: DataFrame, keys: list[str], last: int, *, betas: tuple[float, ...] = (0.9,), resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
@@ -116,15 +126,19 @@ def permutation_test(paired: DataFrame, keys: list[str], permutations: int = 10_
     """(keys, n, mean_diff, p_value, ci_half): sign flips of the differences ecl_f - ecl_g.
 
     Whole sums are compared, so ties with the observed one count exactly.  The
-    flips of a locus are drawn by (group, permutation, locus); each row makes
-    its own signs, and sums over loci combine before they are shuffled.
+    flips of a locus are drawn 32 permutations at a time, the bits of one hash of
+    (group, permutations, locus); a row gives 32 sums, which combine over loci
+    before they are shuffled, and nothing is exploded by permutation before that.
     """
     d = paired.withColumn("d", F.col("ecl_f") - F.col("ecl_g"))
     stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.abs(F.sum("d")).alias("obs"), F.avg("d").alias("mean_diff"), (F.lit(1.96) * F.stddev_samp("d") / F.sqrt(F.count(F.lit(1)))).alias("ci_half"))
-    x = d.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    sign = F.when(draw(seed, "perm", *[F.col(k) for k in keys], F.col("perm"), F.col("locus_id")) % 2 == 0, 1).otherwise(-1)
-    t = x.groupBy(*keys, "perm").agg(F.abs(F.sum(sign * F.col("d"))).alias("t"))
-    j = t.join(F.broadcast(stats), keys) if keys else t.crossJoin(F.broadcast(stats))  # one row a group
+    x = tables.spread(d.select(*keys, "locus_id", "d")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // 32))))
+    x = x.withColumn("_bits", draw(seed, "perm", *[F.col(k) for k in keys], F.col("_block"), F.col("locus_id")))
+    flipped = [F.sum(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) == 0, F.col("d")).otherwise(-F.col("d"))) for i in range(32)]
+    t = x.groupBy(*keys, "_block").agg(*[f.alias(f"_{i}") for i, f in enumerate(flipped)])
+    t = t.select(*keys, "_block", F.posexplode(F.array(*[f"_{i}" for i in range(32)])).alias("_i", "t")).where(F.col("_block") * 32 + F.col("_i") < permutations)
+    t = t.select(*keys, F.abs("t").alias("t"))
+    j = t.join(stats, keys) if keys else t.crossJoin(F.broadcast(stats))  # without keys one row
     return j.groupBy(*keys, "n", "mean_diff", "ci_half").agg(F.avg((F.col("t") >= F.col("obs")).cast("double")).alias("p_value")).select(*keys, "n", "mean_diff", "p_value", "ci_half")
 
 

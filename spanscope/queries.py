@@ -853,7 +853,7 @@ def _paired(spark, sf):
 
 
 @query("g6_permutation_test", f"""{PAIRED}, st AS (SELECT count(*) AS n, abs(sum(ecl_f - ecl_g)) AS obs, avg(CAST(ecl_f - ecl_g AS DOUBLE)) AS m, 1.96::DOUBLE * stddev_samp(ecl_f - ecl_g) / sqrt(count(*)) AS h FROM d),
-    t AS (SELECT perm, abs(sum(CASE WHEN {sql_draw("42", "'perm'", "perm", "locus_id")} % 2 = 0 THEN 1 ELSE -1 END * (ecl_f - ecl_g))) AS t FROM d CROSS JOIN (SELECT unnest(range(0, 10000)) AS perm) GROUP BY perm)
+    t AS (SELECT perm, abs(sum(CASE WHEN {sql_draw("42", "'perm'", "perm // 32", "locus_id")} >> (perm % 32) & 1 = 0 THEN 1 ELSE -1 END * (ecl_f - ecl_g))) AS t FROM d CROSS JOIN (SELECT unnest(range(0, 10000)) AS perm) GROUP BY perm)
     SELECT CAST(max(n) AS BIGINT) AS n, round(max(m), 6) AS mean_diff, round(avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_value, round(max(h), 6) AS ci_half FROM t CROSS JOIN st""")
 def _g6(spark, sf):
     return rounded(E.permutation_test(_paired(spark, sf), []), "mean_diff", "p_value", "ci_half")
@@ -861,7 +861,7 @@ def _g6(spark, sf):
 
 @query("g7_pairwise_tests", f"""{LOCI}, d AS (SELECT a.model AS model, b.model AS other, locus_id, a.ecl - b.ecl AS d FROM e a JOIN e b USING (locus_id) WHERE a.model < b.model),
     st AS (SELECT model, other, count(*) AS n, abs(sum(d)) AS obs, avg(CAST(d AS DOUBLE)) AS m, 1.96::DOUBLE * stddev_samp(d) / sqrt(count(*)) AS h FROM d GROUP BY ALL),
-    t AS (SELECT model, other, perm, abs(sum(CASE WHEN {sql_draw("42", "'perm'", "model", "other", "perm", "locus_id")} % 2 = 0 THEN 1 ELSE -1 END * d)) AS t FROM d CROSS JOIN (SELECT unnest(range(0, 10000)) AS perm) GROUP BY ALL)
+    t AS (SELECT model, other, perm, abs(sum(CASE WHEN {sql_draw("42", "'perm'", "model", "other", "perm // 32", "locus_id")} >> (perm % 32) & 1 = 0 THEN 1 ELSE -1 END * d)) AS t FROM d CROSS JOIN (SELECT unnest(range(0, 10000)) AS perm) GROUP BY ALL)
     SELECT model, other, CAST(max(n) AS BIGINT) AS n, round(max(m), 6) AS mean_diff, round(avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS p_value, round(max(h), 6) AS ci_half, avg(CASE WHEN t >= obs THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) < 0.05 AS star FROM t JOIN st USING (model, other) GROUP BY ALL""")
 def _g7(spark, sf):
     e = _locus(spark, sf)
@@ -906,6 +906,17 @@ def _h1(spark, sf):
     return rounded(t.join(E.bootstrap_ecl(e, MODEL, LAST).select("model", "ci_lower", "ci_upper"), "model"), "ci_lower", "ci_upper")
 
 
+BOOT_CLASS = f"{EVENTS}, sc AS (SELECT model || ':' || locus_id % 3 AS model, sample_id, distance, u FROM s), {sql_boot(1000, 'sc')}, bc AS ({sql_ecl('bk', 'model, b')}), {sql_profile('sc')}, {sql_cum()}, pe AS ({sql_ecl()})"
+
+
+@query("h1_class_table", f"""WITH {BOOT_CLASS}, ci AS (SELECT model, beta, quantile_cont(CAST(ecl AS DOUBLE), 0.025) AS lo, quantile_cont(CAST(ecl AS DOUBLE), 0.975) AS hi FROM bc GROUP BY ALL)
+    SELECT split_part(model, ':', 1) AS model, CAST(split_part(model, ':', 2) AS BIGINT) AS locus_class, beta, ecl, round(lo, 6) AS ci_lower, round(hi, 6) AS ci_upper FROM pe JOIN ci USING (model, beta)""")
+def _h1c(spark, sf):
+    """Model by locus class by beta, each with its bootstrap interval, from one set of resamples."""
+    e = events(spark, sf).withColumn("locus_class", F.col("locus_id") % 3)
+    return rounded(E.bootstrap_ecl(e, ["model", "locus_class"], LAST, betas=C.BETAS), "ci_lower", "ci_upper")
+
+
 @query("h2_class_utilization", f"{LOCI}, m AS (SELECT model, avg(CAST(ecl AS DOUBLE)) AS ecl FROM e GROUP BY model) SELECT model, round(ecl, 6) AS ecl, nominal_bp, round(ecl / nominal_bp * 100, 6) AS utilization FROM m JOIN {SQL_NOMINAL} USING (model)")
 def _h2(spark, sf):
     m = _locus(spark, sf).groupBy("model").agg(F.avg("ecl").alias("ecl"))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,3 +133,23 @@ def test_plans(spark):
     assert P.tiles(spark, 10, 64, 5).collect()[0]["stop"] == 10
     got = spark.range(1).select(P.window_around(F.lit(0), 20, 100).alias("a"), P.window_around(F.lit(50), 4, 100).alias("b")).first()
     assert got["a"] == list(range(11)) and got["b"] == [48, 49, 50, 51, 52]
+
+
+def test_mean_ranks_range_by_range(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 40, 300), (rng.pareto(1, 300) * 1e6).astype(int), [7] * 200]).tolist()
+    order = sorted(x)
+    want = {v: (2 * order.index(v) + 1 + order.count(v)) / 2 for v in set(x)}
+    d = spark.createDataFrame([(v,) for v in x] + [(None,)], "v bigint").repartition(5)
+    for parts in (1, 2, 7, 64):
+        assert {r["value"]: r["rank"] for r in C.mean_ranks(d, "v", parts).collect()} == want
+    windows = [line for line in C.mean_ranks(d, "v")._jdf.queryExecution().executedPlan().toString().splitlines() if " Window " in line]
+    assert windows and all("_part" in line for line in windows)  # none over all rows
+    assert C.mean_ranks(d.where("v < 0"), "v").collect() == []
+
+
+def test_correlation_of_pairs_with_nulls(spark):
+    d = spark.createDataFrame([(1, 5.0), (2, 3.0), (2, 9.0), (4, None), (None, 1.0), (7, 9.0)], "x int, y double")
+    r = C.correlation(d, "x", "y").first()
+    assert r["pearson"] == pytest.approx(np.corrcoef([1, 2, 2, 7], [5, 3, 9, 9])[0, 1])
+    assert r["spearman"] == pytest.approx(np.corrcoef([1, 2.5, 2.5, 4], [2, 1, 3.5, 3.5])[0, 1])
