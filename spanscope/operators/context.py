@@ -190,7 +190,7 @@ def mean_ranks(df: DataFrame, column: str, parts: int = 64) -> DataFrame:
     """
     n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     cuts = n.agg(F.percentile_approx("value", [i / parts for i in range(1, parts)]).alias("_cuts"))  # one row
-    n = n.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col("value")))).drop("_cuts")
+    n = n.join(F.broadcast(cuts)).withColumn("_part", F.size(F.filter(F.coalesce("_cuts", F.array().cast(f"array<{df.schema[column].dataType.simpleString()}>")), lambda c: c <= F.col("value")))).drop("_cuts")
     totals = n.groupBy("_part").agg(F.sum("n").alias("_n"))  # a row a range
     below = totals.join(F.broadcast(totals.select(F.col("_part").alias("_p"), F.col("_n").alias("_m"))), F.col("_p") < F.col("_part"), "left")
     below = below.groupBy("_part").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_below"))
