@@ -19,7 +19,7 @@ similarity is estimated, corrected for chance collisions, as (4 p - 1) / 3.
     classes; a tile hands out no pairs, only a forest that hangs together what
     all its surviving pairs between components would.  These forests make up
     families: an undecided pair lies within one.
-4.  Families are dealt into chunks of about ``TILE`` elements, and the sets of
+4.  Families are dealt into chunks of about ``TILE`` elements and ``ROOM`` classes, and the sets of
     two chunks meet in a task, which confirms surviving pairs on full sets, skips
     pairs that hang together already, and hands out links that do so, a forest.
 
@@ -48,7 +48,7 @@ from .ngramjoin import Union, grams, set_ids
 
 HASHES, ROWS, BANDS = 256, 4, 40
 WORDS = HASHES // 64
-CHUNK, TILE = 4096, 1_000_000
+CHUNK, TILE, ROOM = 4096, 1_000_000, 256
 #: 6.5 standard deviations of the estimate at a similarity of 0.85.
 SLACK = 0.17
 
@@ -287,7 +287,7 @@ def linked(docs: DataFrame, *, n: int = 5, percent: int = 85, chunk: int = CHUNK
 
     members = families.select(F.col("v").alias("id"), F.col("c").alias("family")).join(labels.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id")
     members = stored(members.join(small.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id")).drop("_id"))
-    sums = members.groupBy("family").agg(F.ceil(F.sum("n") / tile).cast("int").alias("chunks")).withColumnRenamed("family", "_family")
+    sums = members.groupBy("family").agg(F.greatest(F.ceil(F.sum("n") / tile), F.ceil(F.count(F.lit(1)) / ROOM)).cast("int").alias("chunks")).withColumnRenamed("family", "_family")
     members = members.join(sums, F.col("family") == F.col("_family")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     wanted = _texts(docs, classes, members.select(F.col("id").alias("i"))).withColumnRenamed("id", "_id")
     members = stored(members.join(wanted, F.col("id") == F.col("_id")).select("family", "chunks", "chunk", "id", "label", "n", "sketch", "text"))
