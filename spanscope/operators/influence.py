@@ -27,15 +27,15 @@ def site_samples(seqs: DataFrame, plan: DataFrame, m: SiteModel, seed: int) -> D
     return sites.discrepancy(j, m).drop("left", "a", "right", "b")
 
 
-def model_samples(seqs: DataFrame, plan: DataFrame, model: Model, *, kernel: str = "substitution", metric: Callable[[Column, Column], Column] = squared_euclidean, seed: int = 42, block_width: int = 1) -> DataFrame:
-    """u of any kernel, model and metric for every (sample, plan row)."""
-    s = embed(seqs, model).withColumnRenamed("z", "_z0")
+def model_samples(seqs: DataFrame, plan: DataFrame, model: Model, *, kernel: str = "substitution", metric: Callable[[Column, Column], Column] = squared_euclidean, seed: int = 42, block_width: int = 1, calls=None) -> DataFrame:
+    """u of any kernel, model and metric for every (sample, plan row); ``calls`` counts forward passes, one a sample and one a row."""
+    s = embed(seqs, model, calls=calls).withColumnRenamed("z", "_z0")
     if "positions" not in plan.columns:
         plan = plan.withColumn("positions", P.window_around(F.col("pos").cast("int"), block_width, model.nominal_context))
     j = s.crossJoin(F.broadcast(plan))
     key = ["sample_id", *[c for c in ("distance", "draw", "pos", "block_id", "kind") if c in plan.columns]]
     p = K.perturb(j, kernel, seed, key)
-    e = embed(p, model, "perturbed", "_z1")
+    e = embed(p, model, "perturbed", "_z1", calls)
     return e.withColumn("u", metric(F.col("_z0"), F.col("_z1"))).drop("_z0", "_z1", "seq", "perturbed", "positions")
 
 

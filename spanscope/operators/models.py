@@ -11,6 +11,7 @@ broadcast join and stays in the JVM.  Every other model runs in Arrow batches
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -158,20 +159,65 @@ def interacting(length: int = 200, dim: int = 64, decay: float = 40.0, blocks=((
     return InteractionModel(synthetic(length, dim, decay), np.array(i, np.int64), np.array(j, np.int64), table, strength)
 
 
+#: Networks of this process by their adapter; a worker loads each once, whatever the number of batches and tasks.
+_LOADED: dict[str, Callable] = {}
+
+
+def token_at(position: int, rows: int, length: int, offsets: list[tuple[int, int]] | None = None) -> int:
+    """The output row of a base: the interval of bases that holds it, else in proportion to the length."""
+    for i, (start, end) in enumerate(offsets or ()):
+        if start <= position < end:
+            return min(i, rows - 1)
+    return min(position * rows // length, rows - 1)
+
+
 class ExternalModel(Model):
-    """Adapter of a pretrained network; its callable must be given, nothing is downloaded."""
+    """Adapter of a pretrained network; nothing is downloaded.
+
+    Give the network itself (``call``, shipped to the workers) or a function
+    that loads it (``factory``, called once in each worker process and never
+    shipped).  It takes sequences (n, L) and returns vectors (n, d), or one a
+    token or bin (n, rows, d), alone or with the base interval of each token
+    (per sequence).  Of rows, ``output_bin`` is taken; else that of
+    ``reference_position``; else the central one, or the first with ``first``.
+    A longer sequence is cut to its central ``window`` bases.
+    """
 
-    def __init__(self, name: str, nominal: int, dim: int, bases_per_token: int = 1, offset: int = 0, call: Callable | None = None, window: int | None = None):
+    def __init__(self, name: str, nominal: int, dim: int, bases_per_token: int = 1, offset: int = 0, call: Callable | None = None, window: int | None = None, *, factory: Callable[[], Callable] | None = None, output_bin: int | None = None, reference_position: int | None = None, first: bool = False):
         self.name, self.nominal_context, self.embedding_dim = name, nominal, dim
         self.bases_per_token, self.offset, self.call, self.window = bases_per_token, offset, call, window
+        self.factory, self.output_bin, self.reference_position, self.first = factory, output_bin, reference_position, first
+        self._key = uuid.uuid4().hex  # travels with the adapter
 
     def token_to_base(self, token: int) -> int:
         return (token - self.offset) * self.bases_per_token
 
+    def network(self) -> Callable:
+        if self.call is not None:
+            return self.call
+        if self.factory is None:
+            raise NotImplementedError(f"{self.name} needs its network: pass call= or factory=")
+        if self._key not in _LOADED:
+            _LOADED[self._key] = self.factory()
+        return _LOADED[self._key]
+
     def forward(self, batch: np.ndarray) -> np.ndarray:
-        if self.call is None:
-            raise NotImplementedError(f"{self.name} needs its network: pass call=")
-        return self.call(batch)
+        x, shift = np.asarray(batch), 0
+        if self.window is not None and x.shape[1] > self.window:
+            shift = (x.shape[1] - self.window) // 2
+            x = x[:, shift : shift + self.window]
+        out = self.network()(x)
+        out, offsets = out if isinstance(out, tuple) else (out, None)
+        out = np.asarray(out, float)
+        if out.ndim == 2:
+            return out
+        rows = out.shape[1]
+        if self.output_bin is not None:
+            return out[:, self.output_bin]
+        if self.reference_position is not None:
+            at = [token_at(self.reference_position - shift, rows, x.shape[1], offsets[i] if offsets is not None else None) for i in range(len(out))]
+            return out[np.arange(len(out)), at]
+        return out[:, 0 if self.first else rows // 2]
 
 
 # Nominal context in bases, embedding size, bases a token, special tokens before the first.
@@ -190,15 +236,28 @@ EXTERNAL = {
 }
 
 
-def external(name: str, call: Callable | None = None) -> ExternalModel:
+#: Models whose first token stands for the sequence.
+FIRST_TOKEN = ("dnabert2", "nt-")
+
+
+def external(name: str, call: Callable | None = None, **options) -> ExternalModel:
+    """The adapter of a known model; options as of ``ExternalModel``."""
     if name not in EXTERNAL:
         raise ValueError(f"unknown model {name!r}; there are {sorted(EXTERNAL)}")
     nominal, dim, k, offset = EXTERNAL[name]
-    return ExternalModel(name, nominal, dim, k, offset, call)
+    return ExternalModel(name, nominal, dim, k, offset, call, **{"first": name.startswith(FIRST_TOKEN), **options})
+
 
+def from_loaded(name: str, network: Callable, **options) -> ExternalModel:
+    """The adapter around a network that is loaded already."""
+    return external(name, network, **options)
 
-def embed(df: DataFrame, model: Model, seq: str = "seq", out: str = "z") -> DataFrame:
-    """Adds the embedding of a sequence column, batch by batch in Arrow; sequences of a batch must be equally long."""
+
+def embed(df: DataFrame, model: Model, seq: str = "seq", out: str = "z", calls=None) -> DataFrame:
+    """Adds the embedding of a sequence column, batch by batch in Arrow; sequences of a batch must be equally long.
+
+    ``calls``, an accumulator, counts sequences that went through the model.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
     at = df.columns.index(seq)
 
@@ -208,6 +267,8 @@ def embed(df: DataFrame, model: Model, seq: str = "seq", out: str = "z") -> Data
                 continue
             col = b.column(at)
             z = model(np.asarray(col.flatten()).reshape(b.num_rows, -1))
+            if calls is not None:
+                calls.add(b.num_rows)
             flat = pa.array(np.ascontiguousarray(z).ravel(), pa.float64())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, z.shape[1]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, out])
