@@ -21,6 +21,12 @@ all occurrences of a window together without gathering anything else.
     of a few numbers, so one strand in a third of all documents is an ordinary
     skewed join and never a group.
 
+Where a stretch has a short period, all its runs of ``k`` symbols hash alike a
+period apart and every period is a strand of its own.  Such strands travel as
+one: a run is (first strand, step, times), from the anchors on to the spans,
+which overlap and are one.  So a long text of one letter is a row like others.
+Long texts are anchored piece by piece, with the same result.
+
 Documents are told apart by hashes of id and text.  Rows that repeat wholly
 have the same key and the same result; they still count as an occurrence each.
 What is gathered per key is a set, combined before it is shuffled, so equal rows
@@ -39,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._base import flat, partitions, pick, pieces, text_buffers, tidy
-from ._words import prefix_sums, scramble, span_hash
+from ._words import prefix_sums, ranges, scramble, span_hash
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -79,8 +85,59 @@ def marked(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
     return d.withColumns({"q1": F.xxhash64(doc_id, text), "q2": F.hash(text, doc_id)}), d.columns, name
 
 
-def anchors(symbols: np.ndarray, offsets: np.ndarray, spec: Spec):
-    """(first window, last window, anchor position, anchor hash) of every strand."""
+def anchors(symbols: np.ndarray, offsets: np.ndarray, spec: Spec, piece: int = 1 << 20):
+    """(first window, last window, anchor position, anchor hash) of every strand; ``piece`` windows of a row at a time."""
+    if len(symbols) <= 2 * piece:
+        return _anchors(symbols, offsets, spec)
+    parts = []
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        for i in range(a, b, piece):
+            j = min(i + piece + spec.width - 1, b)
+            s, e, p, h = _anchors(symbols[i:j], np.array([0, j - i]), spec)
+            parts.append((s + i, e + i, p + i, h))
+    s, e, p, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    new = np.ones(len(s), bool)  # a strand cut by a piece's end is one again
+    new[1:] = (s[1:] != e[:-1] + 1) | (p[1:] != p[:-1])
+    return s[new], np.append(e[:-1][new[1:]], e[-1:]), p[new], h[new]
+
+
+def strand_runs(s: np.ndarray, e: np.ndarray, p: np.ndarray, h: np.ndarray, row: np.ndarray):
+    """(first strands, times): runs of strands that follow each other with one hash and one extent about their anchors."""
+    new = np.ones(len(s), bool)
+    new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1]) | (p[1:] - s[1:] != p[:-1] - s[:-1]) | (e[1:] - p[1:] != e[:-1] - p[:-1]) | (s[1:] != e[:-1] + 1)
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(s)))
+
+
+def _equal_strands(sums: np.ndarray, s: np.ndarray, e: np.ndarray, times: np.ndarray, width: int):
+    """(run, first strand in it, times): runs cut where their strands' contents differ.
+
+    A run's strands are equal if the stretch they cover has their step as its
+    period.  Where it has not, it may lack it only at the end, within a
+    window's reach; strands there, or all if the rest has no period either,
+    are taken one by one.
+    """
+    step = e - s + 1
+    long = np.flatnonzero(times > 1)
+
+    def periodic(i, n):
+        end = s[i] + (n - 1) * step[i] + step[i] - 1 + width
+        return (n < 2) | (span_hash(sums, s[i], np.maximum(end - step[i], s[i])) == span_hash(sums, s[i] + step[i], np.maximum(end, s[i] + step[i])))
+
+    whole = periodic(long, times[long])
+    loose = long[~whole]
+    head = np.maximum(times[loose] - -(-width // step[loose]) - 1, 0)
+    head[~periodic(loose, head)] = 0
+    some = head > 0
+    single = times[loose] - head
+    kept = np.ones(len(s), bool)
+    kept[loose] = False
+    run = np.concatenate([np.flatnonzero(kept), loose[some], np.repeat(loose, single)])
+    first = np.concatenate([np.zeros(int(kept.sum()) + int(some.sum()), np.int64), ranges(head, single)])
+    return run, first, np.concatenate([times[kept], head[some], np.ones(int(single.sum()), np.int64)])
+
+
+def _anchors(symbols: np.ndarray, offsets: np.ndarray, spec: Spec):
     w = spec.width - spec.k + 1
     size = np.diff(offsets)
     if not (size >= spec.width).any():
@@ -113,25 +170,35 @@ def _found(spec: Spec):
                 sym, so = spec.symbols(data, off)
                 s, e, p, h = anchors(sym, so, spec)
                 row = np.searchsorted(so, s, side="right") - 1
+                at, n = strand_runs(s, e, p, h, row)
+                s, e, p, h, row = (x[at] for x in (s, e, p, h, row))
                 base = so[row]
                 take = lambda c: np.asarray(part.column(c))[row]  # noqa: B023, E731
-                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "r1": take(1), "r2": take(2), "s": (s - base).astype(np.int32), "e": (e - base).astype(np.int32), "p": (p - base).astype(np.int32)})
+                yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "r1": take(1), "r2": take(2), "s": (s - base).astype(np.int32), "e": (e - base).astype(np.int32), "p": (p - base).astype(np.int32), "n": n.astype(np.int32)})
 
     return run
 
 
 def _strands(spec: Spec, part: pa.RecordBatch):
-    """Strands of a batch (text, r1, r2, at): row, group, content hash, start, length, anchor offset; and the symbols."""
+    """Strands of a batch (text, r1, r2, at): row, group, content hash, start, length, anchor offset, times, reach; and the symbols.
+
+    A strand met several times in a row stands once, with the times and how far the last start lies from the first.
+    """
     data, off = text_buffers(part.column(0))
     sym, so = spec.symbols(data, off)
     at = part.column(3)
     n = np.asarray(at.value_lengths())
     row = np.repeat(np.arange(len(n)), n)
     flat = at.flatten()
-    s, e, p, h, hot = (np.asarray(flat.field(c)) for c in ("s", "e", "p", "h", "hot"))
+    s, e, p, h, hot, times = (np.asarray(flat.field(c)) for c in ("s", "e", "p", "h", "hot", "n"))
     s, e, p = (x.astype(np.int64) + so[row] for x in (s, e, p))
     g = h.astype(np.int64).view(np.uint64)
     sums = prefix_sums(sym)
+    run, first, times = _equal_strands(sums, s, e, times.astype(np.int64), spec.width)
+    s, e, p, g, hot, row = (x[run] for x in (s, e, p, g, hot, row))
+    step = e - s + 1
+    s, e, p = (x + first * step for x in (s, e, p))
+    reach = (times - 1) * step
     if hot.any():
         # Windows are cut into blocks by their distance from the anchor; a block goes by the symbols all its windows share.
         far, near = (p[hot] - s[hot]) // spec.block, (p[hot] - e[hot]) // spec.block
@@ -143,9 +210,9 @@ def _strands(spec: Spec, part: pa.RecordBatch):
         core = span_hash(sums, p[rep] - b * spec.block, p[rep] - b * spec.block - spec.block + 1 + spec.width)
         g2 = scramble(g[rep] ^ scramble(core ^ b.astype(np.uint64)))
         cold = ~hot
-        row, s, e, p, g = (np.concatenate([x[cold], y]) for x, y in ((row, row[rep]), (s, bs), (e, be), (p, p[rep]), (g, g2)))
+        row, s, e, p, g, times, reach = (np.concatenate([x[cold], y]) for x, y in ((row, row[rep]), (s, bs), (e, be), (p, p[rep]), (g, g2), (times, times[rep]), (reach, reach[rep])))
     length = e - s + spec.width
-    return row, g, span_hash(sums, s, s + length), s, length, p - s, so, sym
+    return row, g, span_hash(sums, s, s + length), s, length, p - s, times, reach, so, sym
 
 
 def _contents(spec: Spec, most: int = 16 << 20):
@@ -161,15 +228,15 @@ def _contents(spec: Spec, most: int = 16 << 20):
         held, size = {}, 0
         for b in batches:
             for part in pieces(b, "text"):
-                _, g, c, s, length, off, _, sym = _strands(spec, part)
+                _, g, c, s, length, off, times, _, _, sym = _strands(spec, part)
                 packed = memoryview(spec.pack(sym))
-                for gi, ci, si, li, oi in zip(g.view(np.int64).tolist(), c.view(np.int64).tolist(), s.tolist(), length.tolist(), off.tolist(), strict=True):
+                for gi, ci, si, li, oi, ni in zip(g.view(np.int64).tolist(), c.view(np.int64).tolist(), s.tolist(), length.tolist(), off.tolist(), times.tolist(), strict=True):
                     have = held.get((gi, ci))
                     if have is None:
-                        held[gi, ci] = [oi, 1, bytes(packed[si * spec.size : (si + li) * spec.size])]
+                        held[gi, ci] = [oi, ni, bytes(packed[si * spec.size : (si + li) * spec.size])]
                         size += li * spec.size + 200
                     else:
-                        have[1] += 1
+                        have[1] += ni
                 if size > most:
                     yield flush(held)
                     held, size = {}, 0
@@ -183,9 +250,9 @@ def _occurrences(spec: Spec):
     def run(batches):
         for b in batches:
             for part in pieces(b, "text"):
-                row, g, c, s, _, _, so, _ = _strands(spec, part)
+                row, g, c, s, _, _, _, reach, so, _ = _strands(spec, part)
                 take = lambda k: np.asarray(part.column(k))[row]  # noqa: B023, E731
-                yield pa.RecordBatch.from_pydict({"g": g.view(np.int64), "c": c.view(np.int64), "r1": take(1), "r2": take(2), "s": (s - so[row]).astype(np.int32)})
+                yield pa.RecordBatch.from_pydict({"g": g.view(np.int64), "c": c.view(np.int64), "r1": take(1), "r2": take(2), "s": (s - so[row]).astype(np.int32), "reach": reach.astype(np.int32)})
 
     return run
 
@@ -231,10 +298,10 @@ def covered(d: DataFrame, spec: Spec, decide: Callable, budget: int) -> DataFram
     hence one range.  ``budget`` bounds the symbols decided at once.
     """
     n = partitions(d.sparkSession)
-    found = d.select("text", "r1", "r2").mapInArrow(tidy(_found(spec)), "h bigint, r1 bigint, r2 int, s int, e int, p int")
-    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.bitwise_not("h").alias("_h"), (F.col("n") > spec.frequent).alias("hot"))
+    found = d.select("text", "r1", "r2").mapInArrow(tidy(_found(spec)), "h bigint, r1 bigint, r2 int, s int, e int, p int, n int")
+    often = found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select(F.bitwise_not("h").alias("_h"), (F.col("n") > spec.frequent).alias("hot"))
     # joined by the complement, which the counts are not yet dealt by: a join both sides of which are shuffled can be split where it is skewed
-    some = found.join(often, F.bitwise_not("h") == F.col("_h")).select(F.col("r1").alias("q1"), F.col("r2").alias("q2"), F.struct("s", "e", "p", "h", "hot").alias("a"))
+    some = found.join(often, F.bitwise_not("h") == F.col("_h")).select(F.col("r1").alias("q1"), F.col("r2").alias("q2"), F.struct("s", "e", "p", "h", "n", "hot").alias("a"))
     at = _off_key(some.groupBy("q1", "q2").agg(F.collect_set("a").alias("at")))
     # doc_id stays among the inputs, so this shuffle of the texts equals the caller's and is made once
     work = d.join(at, on_key()).select("text", "r1", "r2", "at", "doc_id")
@@ -242,9 +309,10 @@ def covered(d: DataFrame, spec: Spec, decide: Callable, budget: int) -> DataFram
     strands = strands.repartition(n, "g").sortWithinPartitions("g")
     parts = strands.mapInArrow(tidy(_decided(spec, decide, budget)), "g bigint, c bigint, lo int, hi int")
     parts = parts.select(F.col("g").alias("_g"), F.col("c").alias("_c"), "lo", "hi")
-    where = work.mapInArrow(tidy(_occurrences(spec)), "g bigint, c bigint, r1 bigint, r2 int, s int")
+    where = work.mapInArrow(tidy(_occurrences(spec)), "g bigint, c bigint, r1 bigint, r2 int, s int, reach int")
+    # a covered range is as long as a window, and strands in a row start less than that apart
     spans = where.join(parts, (F.col("g") == F.col("_g")) & (F.col("c") == F.col("_c")))
-    spans = spans.select("r1", "r2", F.struct((F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("hi")).alias("hi")).alias("x"))
+    spans = spans.select("r1", "r2", F.struct((F.col("s") + F.col("lo")).alias("lo"), (F.col("s") + F.col("reach") + F.col("hi")).alias("hi")).alias("x"))
     return _off_key(spans.groupBy(F.col("r1").alias("q1"), F.col("r2").alias("q2")).agg(F.collect_set("x").alias("spans")))
 
 

@@ -63,6 +63,45 @@ def test_frequent_anchors_are_cut_without_loss(spark, monkeypatch):
     assert cases.ordered(suffixarray.digest(d, width=100).drop("text").collect()) == cases.ordered(cases.byte_strings(rows, 100))
 
 
+def _periodic() -> list[tuple]:
+    rng = np.random.default_rng(3)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    texts = ["a" * 2500, letters(300) + "a" * 900 + letters(200), "ab" * 700 + letters(250) + "ab" * 300, ("abc" * 50 + "d") * 12, "é" * 900, letters(50) + "xyz" * 400, "a" * 399, "no " * 900, "yes no " * 500 + "maybe", ("one two three " * 20 + "four ") * 9, letters(500)]
+    return [(i, t, "en", "s", len(t), "other", 7) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("frequent", [4096, 50])
+def test_periodic_texts(spark, monkeypatch, frequent):
+    """Long stretches of a short period, whole and in hot groups, against brute force."""
+    keep = _repeats.Spec
+    spec = lambda **k: keep(**{**k, "frequent": frequent})
+    monkeypatch.setattr(suffixarray, "Spec", spec)
+    monkeypatch.setattr(substrings, "Spec", spec)
+    rows = _periodic()
+    d = spark.createDataFrame(rows, cases.DOCS)
+    for width in (100, 400):
+        got = suffixarray.digest(d, width=width).drop("text").collect()
+        assert cases.ordered(got) == cases.ordered(cases.byte_strings(rows, width))
+    for width in (10, 35):
+        got = substrings.digest(d, width=width).drop("text").collect()
+        assert cases.ordered(got) == cases.ordered(cases.substrings(rows, width))
+
+
+def test_periodic_texts_make_few_rows():
+    """A million equal bytes are one run of strands, and anchoring by pieces changes nothing."""
+    spec = suffixarray.byte_spec(400)
+    sym, off = np.full(1_000_000, 97, np.uint8), np.array([0, 1_000_000])
+    s, e, p, h = _repeats.anchors(sym, off, spec)
+    first, times = _repeats.strand_runs(s, e, p, h, np.zeros(len(s), int))
+    assert len(first) == 1 and times.tolist() == [1_000_000 - 399]
+    rng = np.random.default_rng(5)
+    sym = np.concatenate([np.full(2000, 97, np.uint8), rng.integers(97, 100, 3000, dtype=np.uint8), np.tile(np.arange(97, 104, dtype=np.uint8), 400)])
+    off = np.array([0, 2500, 2500, len(sym)])
+    whole = _repeats._anchors(sym, off, spec)
+    for piece in (61, 700, 2048):
+        assert all((x == y).all() for x, y in zip(whole, _repeats.anchors(sym, off, spec, piece), strict=True))
+
+
 def test_texts_that_are_left(docs):
     """Words joined by one space; characters none of whose bytes went."""
     for r in substrings.digest(docs, width=35).collect():
