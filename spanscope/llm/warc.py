@@ -10,6 +10,16 @@ than ``segment`` bytes is cut into a first record and continuation records.
 ``read_archives`` parses the files, groups continuation records by their
 origin's identifier, puts them in order of segment number, verifies the total
 length and the numbering, takes the chunked framing off and digests the payload.
+Archives are inflated and parsed once, into a table of the shared folder.
+
+Archives written elsewhere: records of type response and revisit are pages,
+others (warcinfo, request, metadata, resource, conversion) are passed over.  Digests may
+be SHA-256 or SHA-1, hexadecimal or base 32; where none is stated, or of another
+kind, none is checked.  A page_id not stated is null.  A revisit that names no
+page refers to the response of its stated digest (of several, the smallest page_id).
+An archive that is cut off, or broken from some byte on, gives its records up
+to there, and a response or revisit cut off within its block is a row that is
+not complete; so is a divided one with a segment missing, cut or broken.
 
 Null payloads are empty.  A null page_id stays null, and sorts after all others
 when the response among equal payloads is chosen; rows with the smallest
@@ -19,6 +29,8 @@ partition and row, so repeated rows stay apart.  Null urls are written empty.
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import uuid
@@ -29,12 +41,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import cut, partitions, pick, shared_dir
+from ._base import cut, partitions, pick, shared_dir, stored, tidy
 
 _END = b"\r\n"
 _CLOSE = "\r\n\r\n"
 _DATE = "2000-01-01T00:00:00Z"
-PARSED = "page_id bigint, record_type string, refers_to bigint, origin string, number int, total bigint, payload_bytes bigint, payload_digest string, complete boolean, block binary"
+PARSED = "page_id bigint, record_type string, refers_to bigint, origin string, number int, total bigint, payload_bytes bigint, payload_digest string, complete boolean, block binary, stated string"
 
 
 def chunked(payload: bytes, size: int = 8192) -> bytes:
@@ -84,8 +96,25 @@ def records(page_id: int | None, url: str | None, payload: bytes, digest: str, r
             yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:record:{name}-{k}>"), ("WARC-Segment-Origin-ID", ident), ("WARC-Segment-Number", k), ("WARC-Segment-Total-Length", len(block) if k == len(parts) else None), ("WARC-Date", _DATE), digest_of], part)
 
 
-def parse(data: bytes):
-    """(header fields in lower case, block) of every record of an uncompressed archive."""
+def parse(data: bytes, strict: bool = True):
+    """(header fields in lower case, block) of every record of an uncompressed archive.
+
+    Unless ``strict``, the records end where the archive breaks, and a block that is cut off is None.
+    """
+    try:
+        yield from _parse(data)
+    except (ValueError, KeyError) as e:
+        if strict:
+            raise
+        if isinstance(e, _CutOff):
+            yield e.args[1], None
+
+
+class _CutOff(ValueError):
+    """A record whose block ends before its length is reached; args are a message and the header."""
+
+
+def _parse(data: bytes):
     at = 0
     while at < len(data):
         if data[at : at + 2] == _END:
@@ -99,7 +128,7 @@ def parse(data: bytes):
         n = int(head["content-length"])
         block = data[end + 4 : end + 4 + n]
         if len(block) != n:
-            raise ValueError("the last record is cut off")
+            raise _CutOff("the last record is cut off", head)
         yield head, block
         at = end + 4 + n
 
@@ -110,11 +139,13 @@ def payload_of(block: bytes) -> bytes:
     return unchunked(body) if re.search(rb"(?im)^transfer-encoding:\s*chunked\s*$", head) else body
 
 
-def reassemble(parts: list[tuple[int, int | None, bytes]]) -> bytes | None:
+def reassemble(parts: list[tuple[int, int | None, bytes | None]]) -> bytes | None:
     """The whole block of (number, total length, block) segments in any order.
 
-    None if a number is missing or repeated, or the total length disagrees.
+    None if a number is missing or repeated, a block is None, or the total length disagrees.
     """
+    if any(b is None for _, _, b in parts):
+        return None
     parts = sorted(parts, key=lambda p: p[0])
     total = [t for _, t, _ in parts if t is not None]
     whole = b"".join(b for _, _, b in parts)
@@ -157,60 +188,99 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     lines.write.option("compression", "gzip").option("lineSep", _CLOSE).option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def inflate(blob: bytes) -> bytes:
-    """An archive's bytes: all members of a gzip file, which usually has one for each record, or a plain file."""
+def inflate(blob: bytes, strict: bool = True) -> bytes:
+    """An archive's bytes: all members of a gzip file, which usually has one for each record, or a plain file.
+
+    Unless ``strict``, what can be read before a member is cut off or broken.
+    """
+    if blob[:2] != b"\x1f\x8b":
+        return blob
     out = []
     while blob[:2] == b"\x1f\x8b":
         member = zlib.decompressobj(31)
-        out.append(member.decompress(blob) + member.flush())
-        if not member.eof:
-            raise ValueError("a gzip member is cut short")
-        blob = member.unused_data
-    if out and blob.strip(b"\0"):
+        try:
+            for i in range(0, len(blob), 1 << 16):  # piece by piece, so that all before a broken one is kept
+                out.append(member.decompress(blob[i : i + (1 << 16)]))
+                if member.eof:
+                    blob = member.unused_data + blob[i + (1 << 16) :]
+                    break
+            else:
+                out.append(member.flush())
+                raise ValueError("a gzip member is cut short")
+        except (ValueError, zlib.error) as e:
+            if strict:
+                raise ValueError(str(e)) from e
+            return b"".join(out)
+    if strict and blob.strip(b"\0"):
         raise ValueError("an archive goes on after its last gzip member")
-    return b"".join(out) if out else blob
+    return b"".join(out)
+
+
+def agrees(data: bytes, stated: str | None) -> bool:
+    """Whether a stated digest is that of the data; true where none of a known kind is stated."""
+    kind, _, value = (stated or "").rpartition(":")
+    kind = kind.strip().lower().replace("-", "") or {64: "sha256", 40: "sha1", 32: "sha1"}.get(len(value))
+    if kind not in ("sha256", "sha1"):
+        return True
+    got = hashlib.new(kind, data).digest()
+    value = value.strip().rstrip("=")
+    try:
+        return got == (bytes.fromhex(value) if len(value) == 2 * len(got) else base64.b32decode(value.upper() + "=" * (-len(value) % 8)))
+    except (ValueError, binascii.Error):
+        return False
 
 
-def _checked(block: bytes | None, sha: str | None) -> tuple:
-    """(bytes, digest, whether it is whole) of a response's payload; a broken block or chunk has none and is not."""
+def _checked(block: bytes | None, stated: str | None) -> tuple:
+    """(bytes, SHA-256, whether it is whole) of a response's payload; a broken block or chunk has none and is not."""
     try:
         payload = payload_of(block) if block is not None else None
     except ValueError:
         payload = None
     if payload is None:
         return None, None, False
-    got = hashlib.sha256(payload).hexdigest()
-    return len(payload), got, got == sha
+    return len(payload), hashlib.sha256(payload).hexdigest(), agrees(payload, stated)
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch(r"-?\d+", value) else None
+
+
+def _record_row(head: dict[str, str], block: bytes | None) -> tuple | None:
+    """A row of ``PARSED``: a whole record, or a segment (number not null) of a divided one; None for what is no page."""
+    kind, number = head.get("warc-type", "").lower(), _number(head.get("warc-segment-number"))
+    page, stated = _number(head.get("x-page-id")), head.get("warc-payload-digest") or None
+    if number is not None:
+        if block is not None and not agrees(block, head.get("warc-block-digest")):
+            block = None
+        origin = head.get("warc-segment-origin-id", head.get("warc-record-id"))
+        return page, kind, None, origin, number, _number(head.get("warc-segment-total-length")), None, None, None, block, stated
+    if kind == "revisit":
+        return page, kind, _number(head.get("x-refers-to-page-id")), None, None, None, None, None, block is not None, None, stated
+    return (page, kind, None, None, None, None, *_checked(block, stated), None, stated) if kind == "response" else None
 
 
-def _parsed(spark: SparkSession, path: str, segments: bool) -> DataFrame:
-    """Rows of whole records, or of the segments of divided ones."""
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of whole records and of the segments of divided ones."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def run(batches):
         for b in batches:
             for blob in b.column(0):
-                rows = []
-                for head, block in parse(inflate(blob.as_py())):
-                    number = head.get("warc-segment-number")
-                    if (number is not None) != segments:
-                        continue
-                    page = int(head["x-page-id"]) if "x-page-id" in head else None
-                    sha = head.get("warc-payload-digest", "").removeprefix("sha256:")
-                    if segments:
-                        if hashlib.sha256(block).hexdigest() != head["warc-block-digest"].removeprefix("sha256:"):
-                            raise ValueError("a segment's digest disagrees")
-                        rows.append((page, "response", None, head.get("warc-segment-origin-id", head["warc-record-id"]), int(number), int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, None, sha or None, None, block))
-                    elif head["warc-type"] == "revisit":
-                        rows.append((page, "revisit", int(head["x-refers-to-page-id"]), None, None, None, None, sha, True, None))
-                    else:
-                        rows.append((page, "response", None, None, None, None, *_checked(block, sha), None))
+                rows, held = [], 0
+                for head, block in parse(inflate(blob.as_py(), strict=False), strict=False):
+                    row = _record_row(head, block)
+                    if row is not None:
+                        rows.append(row)
+                        held += len(row[9] or b"")
+                    if held > 4 << 20:
+                        yield _rows(rows)
+                        rows, held = [], 0
                 yield _rows(rows)
 
-    return files.mapInArrow(run, PARSED)
+    return files.mapInArrow(tidy(run), PARSED)
 
 
-_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
+_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.string()]
 _NAMES = [x.split()[0] for x in PARSED.split(", ")]
 
 
@@ -220,44 +290,53 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _joined(batches):
     """Reassemble segments that arrive ordered by (origin, number); holds one record at a time."""
-    origin, parts, page, sha = None, [], None, None
+    origin, parts, first = None, [], None
 
     def close():
-        return (page, "response", None, origin, None, None, *_checked(reassemble(parts), sha), None)
+        """A row of the record; none if its first segment says that it is no response."""
+        kind, page, stated = first or ("response", None, None)
+        return [(page, "response", None, origin, None, None, *_checked(reassemble(parts), stated), None, stated)] if kind == "response" else []
 
     for b in batches:
         rows = []
         for r in b.to_pylist():
             if r["origin"] != origin:
                 if parts:
-                    rows.append(close())
-                origin, parts, page, sha = r["origin"], [], None, None
+                    rows += close()
+                origin, parts, first = r["origin"], [], None
             parts.append((r["number"], r["total"], r["block"]))
             if r["number"] == 1:
-                page, sha = r["page_id"], r["payload_digest"]
+                first = r["record_type"], r["page_id"], r["stated"]
         yield _rows(rows)
     if parts:
-        yield _rows([close()])
+        yield _rows(close())
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per page of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to, complete.
 
     Only the segments of divided records are shuffled.  A revisit has the size
-    of the response it refers to; ``complete`` is false where reassembly or the
-    digest failed, or a revisit's response is not in the archives.
+    and digest of the response it refers to; ``complete`` is false where
+    reassembly or the digest failed, or a revisit's response is not in the archives.
     """
-    whole = _parsed(spark, path, False)
-    parts = _parsed(spark, path, True).repartition(partitions(spark), "origin").sortWithinPartitions("origin", "number")
-    full = parts.mapInArrow(_joined, PARSED)
+    parsed = stored(_parsed(spark, path))
+    whole = parsed.where("number is null")
+    parts = parsed.where("number is not null").repartition(partitions(spark), "origin").sortWithinPartitions("origin", "number")
+    full = parts.mapInArrow(tidy(_joined), PARSED)
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete"]
-    response = whole.where("record_type = 'response'").select(*cols).unionByName(full.select(*cols))
-    sizes = response.where("complete").groupBy("page_id", "payload_digest").agg(F.max("payload_bytes").alias("_n"))
+    response = stored(whole.where("record_type = 'response'").select(*cols, "stated").unionByName(full.select(*cols, "stated")))
+    good = response.where("complete and stated is not null")
+    named = good.groupBy("page_id", "stated").agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("_r"))
     # the complement as key: a join both sides of which are shuffled can be split where one response has most revisits
-    sizes = sizes.select(F.bitwise_not("page_id").alias("_p"), F.col("payload_digest").alias("_d"), "_n")
-    revisit = whole.where("record_type = 'revisit'").join(sizes, (F.bitwise_not("refers_to") == F.col("_p")) & (F.col("payload_digest") == F.col("_d")), "left")
-    revisit = revisit.select("page_id", F.col("_n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", F.col("_n").isNotNull().alias("complete"))
-    return response.unionByName(revisit)
+    named = named.select(F.bitwise_not("page_id").alias("_p"), F.col("stated").alias("_s"), "_r.*")
+    least = good.groupBy("stated").agg(F.min_by(F.struct("payload_bytes", "payload_digest", "page_id"), F.struct(F.col("page_id").isNull(), "page_id")).alias("_r"))
+    least = least.select(F.reverse("stated").alias("_s"), "_r.payload_bytes", "_r.payload_digest", F.col("_r.page_id").alias("_p"))
+    revisit = whole.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "stated", F.col("complete").alias("_whole"))
+    by_page = revisit.where("refers_to is not null").join(named, (F.bitwise_not("refers_to") == F.col("_p")) & (F.col("stated") == F.col("_s")), "left")
+    by_digest = revisit.where("refers_to is null").join(least, F.reverse("stated") == F.col("_s"), "left").withColumn("refers_to", F.col("_p"))
+    bare = F.when(F.lower("stated").startswith("sha256:"), F.lower(F.substring_index("stated", ":", -1)))
+    found = by_page.unionByName(by_digest).withColumns({"complete": F.col("_whole") & F.col("payload_bytes").isNotNull(), "payload_digest": F.coalesce("payload_digest", bare)})
+    return response.select(*cols).unionByName(found.select(*cols))
 
 
 def archive_path(spark: SparkSession) -> str:
