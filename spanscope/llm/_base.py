@@ -64,22 +64,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a compressed table to the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def freed(df: DataFrame) -> DataFrame:
-    """``df``, a written one, after the driver has collected the frames it came from.
+def stored(df: DataFrame) -> DataFrame:
+    """Write a compressed table to the shared folder and read it back.
 
-    Executors delete shuffle files once no plan on the driver refers to them,
-    which it notices only when it collects garbage; a loop of many small
-    shuffles does not fill its heap, but it fills their disks.
+    The shuffle files of the query that wrote it go when it ends: what comes
+    after reads the table, and a loop of many steps would fill executors' disks.
     """
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:

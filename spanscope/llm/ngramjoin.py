@@ -41,7 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._base import cut, freed, partitions, pieces, stored, text_buffers, tidy
+from ._base import partitions, pieces, stored, text_buffers, tidy
+from ._groups import components
 from ._repeats import keyed, marked
 from ._words import LOWER, prefix_sums, ranges, scramble, span_hash, words
 
@@ -302,27 +303,6 @@ def block_candidates(ids: np.ndarray, label: np.ndarray, size: np.ndarray, n: np
     return uniq[pair // max(len(uniq), 1)], uniq[pair % max(len(uniq), 1)]
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(v, c): the least vertex of each vertex's component, by alternating large and small stars over (a, b) rows."""
-    e = cut(edges.where("a <> b").distinct())
-    for _ in range(rounds):
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("w")))
-        low = both.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.where("w > u").join(low, F.col("u") == F.col("x")).select(F.col("w").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w"))
-        low = small.groupBy("u").agg(F.min("w").alias("m")).select(F.col("u").alias("x"), "m")
-        star = small.join(low, F.col("u") == F.col("x"))
-        new = freed(cut(star.select(F.col("w").alias("a"), F.col("m").alias("b")).unionByName(star.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()))
-        sums = lambda t: t.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(F.least("a", "b"), F.greatest("a", "b")))).first()
-        if sums(new) == sums(e):
-            break
-        e = new
-    else:
-        raise RuntimeError("components did not settle")
-    pairs = new.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("c")).distinct()
-    return pairs.unionByName(pairs.select(F.col("c").alias("v"), "c").distinct())
-
-
 def _candidates(texts: DataFrame, n: int, percent: int, level: np.ndarray, blocks: int, cells: int, every: bool = False) -> DataFrame:
     """Distinct edges (a, b) the blocks hand out over (text[, label]) rows."""
     packets = texts.mapInArrow(tidy(_packets(n, percent, level, blocks, cells)), "block int, data binary")
@@ -344,7 +324,7 @@ def _candidates(texts: DataFrame, n: int, percent: int, level: np.ndarray, block
         if blobs:
             yield edges(blobs)
 
-    return freed(cut(packets.mapInArrow(tidy(run), "a bigint, b bigint").distinct()))
+    return stored(packets.mapInArrow(tidy(run), "a bigint, b bigint").distinct())
 
 
 def _settled(edges: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
@@ -380,13 +360,13 @@ def _settled(edges: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFra
                         left.append(a), right.append(b)
                 yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
-    return freed(cut(u.mapInArrow(tidy(run), "a bigint, b bigint")))
+    return stored(u.mapInArrow(tidy(run), "a bigint, b bigint"))
 
 
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """(id, group, label) of every row: its component by links, or itself."""
     at = components(links)
-    return cut(rows.select("id", "group").join(at, F.col("id") == F.col("v"), "left").select("id", "group", F.coalesce("c", "id").alias("label")))
+    return stored(rows.select("id", "group").join(at, F.col("id") == F.col("v"), "left").select("id", "group", F.coalesce("c", "id").alias("label")))
 
 
 def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, block_entries: int = 3_000_000, cells: int = 128, fine_cells: int = 1024, chunk_rows: int = 256) -> DataFrame:
@@ -425,7 +405,7 @@ def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, block_entries: int
         # a group is open as long as an edge has failed between two of its components
         one = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
         across = failed.join(labels, F.col("a") == F.col("id")).join(one, "b").where("label <> lb")
-        open_ = cut(across.select(F.col("group").alias("g")).distinct())
+        open_ = stored(across.select(F.col("group").alias("g")).distinct())
     label = labels.select(F.col("id").alias("k"), "label")
     settled = classes.join(label, F.col("c1") == F.col("k"))
     least = settled.groupBy("label").agg(F.min("first").alias("component"), F.min(F.struct("c1", "c2")).alias("key"))
