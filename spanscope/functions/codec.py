@@ -39,6 +39,6 @@ def complement(seq: Column) -> Column:
     return F.transform(seq, lambda b: (3 - b).cast("tinyint"))
 
 
-def token_to_base(token: Column, k: int = 1) -> Column:
+def token_to_base(token: Column, k: int | Column = 1) -> Column:
     """First base of a token in a model with k bases a token."""
     return token * F.lit(k)

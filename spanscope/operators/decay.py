@@ -181,6 +181,16 @@ def spectral_ecl(fits: DataFrame, keys: list[str], beta: float = 0.9, most: int
     return fits.select(*keys, F.when(total <= 0, F.lit(0).cast("bigint")).otherwise(F.aggregate(steps, start, half)["lo"]).alias("spectral_ecl"))
 
 
+def moment_fit(profile: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, amplitudes, decay_rates) of one component by moments: its mean distance is the profile's, its integral the profile's sum.
+
+    Profiles whose influence is none, or all at distance 0, have no finite rate and no row.
+    """
+    g = profile.groupBy(*keys).agg(F.sum("influence").alias("mass"), F.sum(F.col("distance") * F.col("influence")).alias("moment")).where("mass > 0 AND moment > 0")
+    rate = F.col("mass") / F.col("moment")
+    return g.select(*keys, F.array(F.col("mass") * rate).alias("amplitudes"), F.array(rate).alias("decay_rates"))
+
+
 def spectral_ecl_single(rate: Column, beta: float = 0.9) -> Column:
     """The closed form for one component."""
     return F.ceil(-F.lit(math.log(1 - beta)) / rate).cast("bigint")

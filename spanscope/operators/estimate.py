@@ -37,6 +37,16 @@ def sample_complexity_bernstein(length, variance, bound, margin, delta: float =
     return F.ceil(F.lit(constant) * n * n * (v + g / (3 * n) * m) / (g * g) * F.ln(2 * n / delta)).cast("bigint")
 
 
+def measured(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, length, bound, variance, margin): what the bounds need, as the samples have it.
+
+    Distances up to the largest, the largest u, the variance over all
+    distances, and the mean as margin; a group without u has no row.
+    """
+    g = samples.groupBy(*keys).agg((F.max("distance") + 1).cast("double").alias("length"), F.max("u").cast("double").alias("bound"), F.coalesce(F.var_samp("u"), F.lit(0.0)).alias("variance"), (F.sum("u").cast("double") / F.count("u")).alias("margin"))
+    return g.where("bound IS NOT NULL AND length IS NOT NULL AND margin > 0")
+
+
 def _poisson(samples: DataFrame, size: DataFrame, keys: list[str], resamples: int, seed: int, most: int = 13) -> DataFrame:
     """Rows of ``samples`` and resamples b with ``times`` > 0, a Poisson draw of rate 1 - 5 / sqrt(n) by (keys, b, sample).
 

@@ -25,13 +25,23 @@ def insert_motif(seq: Column, start: Column, motif: Column) -> Column:
 
 def sensitivity(spark, model: Model, motif: str, distances: list[int], *, center: int | None = None, samples: int = 50, gc: float = 0.42, seed: int = 42, metric=squared_euclidean) -> DataFrame:
     """(motif, distance, sensitivity): mean discrepancy a motif causes upstream, over fresh backgrounds."""
-    length = model.nominal_context
-    center = length // 2 if center is None else center
     d = spark.createDataFrame([(i, int(x)) for i, x in enumerate(distances)], "row int, distance bigint")
-    bg = neutral_background(spark, samples * len(distances), length, gc, seed)
+    bg = neutral_background(spark, samples * len(distances), model.nominal_context, gc, seed)
     bg = bg.withColumn("row", (F.col("sample_id") / samples).cast("int")).join(F.broadcast(d), "row")  # one row a distance
-    m = encode_motif(F.lit(MOTIFS.get(motif, motif)), seed).cast("array<tinyint>")
-    n = len(MOTIFS.get(motif, motif))
-    bg = bg.withColumn("planted", insert_motif(F.col("seq"), motif_start(center, F.col("distance"), n, length), m))
-    e = embed(embed(bg, model, "seq", "z0"), model, "planted", "z1")
+    return _planted(embed(bg, model, "seq", "z0"), model, motif, center, seed, metric)
+
+
+def sensitivity_over(backgrounds: DataFrame, model: Model, motif: str, distances: list[int], *, center: int | None = None, seed: int = 42, metric=squared_euclidean) -> DataFrame:
+    """(motif, distance, sensitivity) with the motif planted at every distance of every given sequence ``seq``, embedded once without it."""
+    bg = embed(backgrounds.select("seq"), model, "seq", "z0")
+    return _planted(bg.withColumn("distance", F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in distances]))), model, motif, center, seed, metric)
+
+
+def _planted(bg: DataFrame, model: Model, motif: str, center: int | None, seed: int, metric) -> DataFrame:
+    length = model.nominal_context
+    center = length // 2 if center is None else center
+    letters = MOTIFS.get(motif, motif)
+    m = encode_motif(F.lit(letters), seed).cast("array<tinyint>")
+    p = bg.withColumn("planted", insert_motif(F.col("seq"), motif_start(center, F.col("distance"), len(letters), length), m))
+    e = embed(p, model, "planted", "z1")
     return e.groupBy("distance").agg(F.avg(metric(F.col("z0"), F.col("z1"))).alias("sensitivity")).select(F.lit(motif).alias("motif"), "distance", "sensitivity")

@@ -33,6 +33,18 @@ def taxonomy(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(rows or TAXONOMY, "model string, architecture string, year int, nominal_bp bigint, parameters string")
 
 
+def taxonomy_fit(models: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Models (a dimension) with the texts there are, those that fit the nominal context, and the characters it covers of all texts.
+
+    ``lengths`` is (length, documents); it is counted before it meets the models.
+    """
+    n = lengths.select("length", "documents")
+    nominal = F.col("nominal_bp")
+    j = n.crossJoin(F.broadcast(models.select("model", "nominal_bp")))  # a row a model
+    g = j.groupBy("model").agg(F.sum("documents").alias("documents"), F.sum(F.when(F.col("length") <= nominal, F.col("documents"))).alias("fitting"), F.sum(F.least("length", nominal) * F.col("documents")).alias("covered"))
+    return models.join(g, "model", "left").fillna(0, ["documents", "fitting", "covered"])
+
+
 def known_loci(spark: SparkSession, rows=None) -> DataFrame:
     return spark.createDataFrame(rows or KNOWN_LOCI, "locus string, known_kb int")
 

@@ -147,37 +147,47 @@ def _a3(spark, sf):
     return X.extract(g, loci, 301, 256)
 
 
-def _sql_regions(regions, cls, n=500, seed=42) -> str:
+EVENT_LOCI = "(SELECT DISTINCT user_id AS locus_id FROM events WHERE user_id IS NOT NULL)"
+
+
+def _sql_regions(regions, cls, seed=42) -> str:
     rows = ", ".join(f"({i}, '{c}', {a}, {b})" for i, (c, a, b) in enumerate(regions))
-    return f"""WITH r(region, chrom, lo, hi) AS (VALUES {rows}), i AS (SELECT locus_id, {sql_draw(str(seed), f"'{cls}'", "'region'", "locus_id")} % {len(regions)} AS region FROM (SELECT unnest(range(0, {n})) AS locus_id))
+    return f"""WITH r(region, chrom, lo, hi) AS (VALUES {rows}), i AS (SELECT locus_id, {sql_draw(str(seed), f"'{cls}'", "'region'", "locus_id")} % {len(regions)} AS region FROM {EVENT_LOCI})
     SELECT locus_id, chrom, CAST(lo + {sql_draw(str(seed), f"'{cls}'", "'center'", "locus_id")} % (hi - lo) AS BIGINT) AS center, '{cls}' AS locus_class FROM i JOIN r USING (region)"""
 
 
+def _loci(spark, sf) -> DataFrame:
+    return S.event_loci(S.table(spark, sf, "events"))
+
+
 @query("a4_promoter_loci", _sql_regions(X.PROMOTERS, "promoter"))
 def _a4(spark, sf):
-    return X.region_loci(spark, X.PROMOTERS, 500, "promoter", 42)
+    return X.place(_loci(spark, sf), "promoter")
 
 
 @query("a5_enhancer_loci", _sql_regions(X.ENHANCERS, "enhancer"))
 def _a5(spark, sf):
-    return X.region_loci(spark, X.ENHANCERS, 500, "enhancer", 42)
+    return X.place(_loci(spark, sf), "enhancer")
 
 
 @query("a6_intronic_loci", f"""
-    WITH i AS (SELECT locus_id, {sql_draw("42", "'intronic'", "'region'", "locus_id")} % 2 AS region FROM (SELECT unnest(range(0, 500)) AS locus_id)),
-    c AS (SELECT locus_id, CASE WHEN region = 0 THEN 'chr8' ELSE 'chr9' END AS chrom, CASE WHEN region = 0 THEN 145138636 ELSE 138394717 END AS n FROM i)
-    SELECT locus_id, chrom, CAST(500000 + {sql_draw("42", "'intronic'", "'center'", "locus_id")} % (n - 1000000) AS BIGINT) AS center, 'intronic' AS locus_class FROM c""")
+    WITH n AS (SELECT lang AS chrom, CAST(sum(length(text)) AS BIGINT) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1),
+    c AS (SELECT *, row_number() OVER (ORDER BY chrom) - 1 AS region, count(*) OVER () AS k FROM n WHERE n > 2000),
+    i AS (SELECT locus_id, {sql_draw("42", "'intronic'", "'region'", "locus_id")} % (SELECT max(k) FROM c) AS region FROM {EVENT_LOCI})
+    SELECT locus_id, chrom, CAST(1000 + {sql_draw("42", "'intronic'", "'center'", "locus_id")} % (n - 2000) AS BIGINT) AS center, 'intronic' AS locus_class FROM i JOIN c USING (region)""")
 def _a6(spark, sf):
-    return X.intronic_loci(spark.createDataFrame([("chr8", 145_138_636), ("chr9", 138_394_717)], "chrom string, chrom_length bigint"), 500, 42)
+    d = S.table(spark, sf, "documents").where("lang IS NOT NULL")
+    chroms = d.groupBy(F.col("lang").alias("chrom")).agg(F.sum(F.length("text")).alias("chrom_length"))
+    return X.place(_loci(spark, sf), "intronic", chrom_lengths=chroms, margin=1000)
 
 
-@query("a7_sample_loci", "SELECT l.*, sample_id FROM (" + _sql_regions(X.PROMOTERS, "promoter", 100) + ") l CROSS JOIN (SELECT unnest(range(0, 3)) AS sample_id)")
+@query("a7_sample_loci", "SELECT l.*, sample_id FROM (" + _sql_regions(X.PROMOTERS, "promoter") + ") l CROSS JOIN (SELECT unnest(range(0, 3)) AS sample_id)")
 def _a7(spark, sf):
-    return X.sample_loci(spark, "promoter", 100, 3)
+    return X.with_samples(X.place(_loci(spark, sf), "promoter"), 3)
 
 
-def _sql_symbols(purpose: str, pick: str, n=200, length=64) -> str:
-    return f"""WITH b AS (SELECT sample_id, i, {sql_draw("42", f"'{purpose}'", "sample_id", "i")} AS h FROM (SELECT unnest(range(0, {n})) AS sample_id) CROSS JOIN (SELECT unnest(range(0, {length})) AS i))
+def _sql_symbols(purpose: str, pick: str) -> str:
+    return f"""WITH b AS (SELECT sample_id, i, {sql_draw("42", f"'{purpose}'", "sample_id", "i")} AS h FROM (SELECT doc_id AS sample_id, unnest(range(0, length(text))) AS i FROM documents WHERE length(text) > 0))
     SELECT sample_id, string_agg(CAST({pick} AS VARCHAR), '' ORDER BY i) AS digits FROM b GROUP BY sample_id"""
 
 
@@ -191,19 +201,24 @@ def _digits(df: DataFrame) -> DataFrame:
     return df.select("sample_id", F.array_join("seq", "").alias("digits"))
 
 
+def _texts(spark, sf) -> DataFrame:
+    d = S.table(spark, sf, "documents").where(F.length("text") > 0)
+    return S.spread(d.select(F.col("doc_id").alias("sample_id"), F.length("text").alias("length")))
+
+
 @query("a8_random_sequences", _sql_symbols("base", "h % 4"))
 def _a8(spark, sf):
-    return _digits(G.random_sequences(spark, 200, 64))
+    return _digits(G.uniform_like(_texts(spark, sf)))
 
 
 @query("a9_gc_sequences", _sql_symbols("gc", _sql_cat(0.55)))
 def _a9(spark, sf):
-    return _digits(G.gc_sequences(spark, 200, 64))
+    return _digits(G.gc_like(_texts(spark, sf)))
 
 
 @query("a10_neutral_background", _sql_symbols("background", _sql_cat(0.42)))
 def _a10(spark, sf):
-    return _digits(G.neutral_background(spark, 200, 64))
+    return _digits(G.background_like(_texts(spark, sf)))
 
 
 @query("a11_csv_sink", f"{BASE} {sql_ecl()}")
@@ -218,9 +233,18 @@ def _a12(spark, sf):
     return spark.createDataFrame([(sinks.latex(C.ecl(cum(spark, sf), MODEL).orderBy("model", "beta"), "Context length"),)], "tex string")
 
 
-@query("a14_taxonomy", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {c}, CAST({d} AS BIGINT), '{e}')" for a, b, c, d, e in R.TAXONOMY) + ") t(model, architecture, year, nominal_bp, parameters)")
+LENGTHS = "n AS (SELECT CAST(length(text) AS BIGINT) AS length, length(text) // 2 AS reference, count(*) AS documents FROM documents WHERE length(text) > 0 GROUP BY ALL)"
+SQL_TAXONOMY = "(VALUES " + ", ".join(f"('{a}', '{b}', {c}, CAST({d} AS BIGINT), '{e}')" for a, b, c, d, e in R.TAXONOMY) + ") t(model, architecture, year, nominal_bp, parameters)"
+
+
+def lengths(spark, sf) -> DataFrame:
+    return S.text_lengths(S.table(spark, sf, "documents"))
+
+
+@query("a14_taxonomy", f"""WITH {LENGTHS} SELECT t.*, CAST(coalesce(sum(documents), 0) AS BIGINT) AS documents, CAST(coalesce(sum(CASE WHEN length <= nominal_bp THEN documents END), 0) AS BIGINT) AS fitting,
+    CAST(coalesce(sum(least(length, nominal_bp) * documents), 0) AS BIGINT) AS covered FROM {SQL_TAXONOMY} LEFT JOIN n ON true GROUP BY ALL""")
 def _a14(spark, sf):
-    return R.taxonomy(spark)
+    return R.taxonomy_fit(R.taxonomy(spark), lengths(spark, sf))
 
 
 @query("a15_event_samples", f"WITH {EVENTS} SELECT model, locus_id, sample_id, distance, u FROM s")
@@ -232,22 +256,31 @@ def _a15(spark, sf):
 
 GRID = "(SELECT unnest(range(0, 129)) AS distance)"
 CANDS = "c AS (SELECT distance, list_filter([CASE WHEN 100 - distance >= 0 THEN 100 - distance END, CASE WHEN distance > 0 AND 100 + distance < 180 THEN 100 + distance END], lambda x: x IS NOT NULL) AS c FROM " + GRID + ")"
+PLANS = f"{LENGTHS}, g AS (SELECT * FROM n CROSS JOIN {GRID}), c AS (SELECT *, list_filter([CASE WHEN reference - distance >= 0 THEN reference - distance END, CASE WHEN distance > 0 AND reference + distance < length THEN reference + distance END], lambda x: x IS NOT NULL) AS c FROM g)"
+
 
+def _at() -> tuple:
+    return F.col("reference"), F.col("length")
 
-@query("b1_candidates", f"WITH {CANDS} SELECT distance, unnest(c) AS pos FROM c")
+
+def plans(spark, sf) -> DataFrame:
+    return P.per_length(lengths(spark, sf), 128)
+
+
+@query("b1_candidates", f"WITH {PLANS} SELECT length, reference, documents, distance, unnest(c) AS pos FROM c")
 def _b1(spark, sf):
-    return P.all_candidates(spark, 100, 180, 128)
+    return P.every(plans(spark, sf), *_at())
 
 
-@query("b2_multiplicity", f"SELECT distance, CAST((100 - distance >= 0)::INT + (distance > 0 AND 100 + distance < 180)::INT AS INTEGER) AS multiplicity FROM {GRID}")
+@query("b2_multiplicity", f"WITH {PLANS} SELECT length, reference, documents, distance, CAST(len(c) AS INTEGER) AS multiplicity FROM c")
 def _b2(spark, sf):
-    return P.distances(spark, 128).withColumn("multiplicity", P.multiplicity(F.col("distance"), 100, 180))
+    return plans(spark, sf).withColumn("multiplicity", P.multiplicity(F.col("distance"), *_at()))
 
 
-@query("b3_sampled_positions", f"""WITH {CANDS}, d AS (SELECT *, unnest(range(0, least(10, len(c)))) AS draw FROM c WHERE len(c) > 0)
-    SELECT distance, CAST(draw AS INTEGER) AS draw, c[1 + {sql_draw("42", "'pos'", "distance", "draw")} % len(c)] AS pos FROM d""")
+@query("b3_sampled_positions", f"""WITH {PLANS}, d AS (SELECT *, unnest(range(0, least(10, len(c)))) AS draw FROM c WHERE len(c) > 0)
+    SELECT length, reference, documents, distance, CAST(draw AS INTEGER) AS draw, c[1 + {sql_draw("42", "'pos'", "distance", "draw")} % len(c)] AS pos FROM d""")
 def _b3(spark, sf):
-    return P.sampled(spark, 100, 180, 128, 10, 42)
+    return P.drawn(plans(spark, sf), *_at(), 10, 42)
 
 
 @query("b4_one_candidate", f"""WITH {CANDS}, n AS (SELECT doc_id AS sample_id FROM documents)
@@ -262,19 +295,21 @@ def _b5(spark, sf):
     return rounded(I.sample_matrix(e, MODEL), "u")
 
 
-@query("b6_upstream_first", f"SELECT distance, coalesce(CASE WHEN 60 - distance >= 0 THEN 60 - distance END, CASE WHEN 60 + distance < 180 THEN 60 + distance END) AS pos FROM {GRID}")
+@query("b6_upstream_first", f"WITH {PLANS} SELECT length, documents, distance, coalesce(CASE WHEN length // 4 - distance >= 0 THEN length // 4 - distance END, CASE WHEN length // 4 + distance < length THEN length // 4 + distance END) AS pos FROM g")
 def _b6(spark, sf):
-    return P.distances(spark, 128).withColumn("pos", P.upstream_first(F.col("distance"), 60, 180))
+    quarter = F.floor(F.col("length") / 4)  # off the middle, so that the left side ends first
+    return plans(spark, sf).select("length", "documents", "distance", P.upstream_first(F.col("distance"), quarter, F.col("length")).alias("pos"))
 
 
-@query("b7_window_around", f"SELECT distance, unnest(range(greatest(0, distance - 10), least(99, distance + 10) + 1)) AS pos FROM {GRID} WHERE distance < 100")
+@query("b7_window_around", f"WITH {PLANS}, p AS (SELECT *, unnest(c) AS pos FROM c) SELECT length, documents, distance, pos, greatest(0, pos - 10) AS first, least(length - 1, pos + 10) AS last, CAST(least(length - 1, pos + 10) - greatest(0, pos - 10) + 1 AS INTEGER) AS size FROM p")
 def _b7(spark, sf):
-    return P.distances(spark, 99).withColumn("pos", F.explode(P.window_around(F.col("distance"), 20, 100)))
+    p = P.every(plans(spark, sf), *_at()).withColumn("w", P.window_around(F.col("pos"), 20, F.col("length")))
+    return p.select("length", "documents", "distance", "pos", F.element_at("w", 1).alias("first"), F.element_at("w", -1).alias("last"), F.size("w").alias("size"))
 
 
-@query("b8_tiles", "SELECT i AS block_id, i * 24 AS start, least((i + 1) * 24, 250) AS stop, greatest(0, i * 24 - 100, 100 - (least((i + 1) * 24, 250) - 1)) AS distance FROM (SELECT unnest(range(0, 11)) AS i)")
+@query("b8_tiles", f"WITH {LENGTHS}, t AS (SELECT *, unnest(range(0, (length + 23) // 24)) AS block_id FROM n), b AS (SELECT *, block_id * 24 AS start, least((block_id + 1) * 24, length) AS stop FROM t) SELECT length, documents, block_id, start, stop, greatest(0, start - reference, reference - (stop - 1)) AS distance FROM b")
 def _b8(spark, sf):
-    return P.tiles(spark, 250, 24, 100)
+    return P.tiled(lengths(spark, sf), F.col("length"), 24, F.col("reference")).drop("reference")
 
 
 @query("b9_positive_mask", f"WITH {EVENTS}, {sql_profile()} SELECT model, distance, round(influence, 6) AS influence FROM p WHERE influence > 0")
@@ -624,17 +659,15 @@ def _d12(spark, sf):
 
 @query("d13_needle_sensitivity")
 def _d13(spark, sf):
-    return N.sensitivity(spark, MODEL_A, "GATA", [1, 5, 10, 20, 40, 80])
+    return N.sensitivity_over(seqs(spark, sf), MODEL_A, "GATA", [1, 5, 10, 20, 40, 80])
 
 
-SQL_MOTIFS = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in codec.MOTIFS.items()) + ") m(name, motif)"
-
-
-@query("d14_encode_motif", f"""WITH i AS (SELECT name, motif, unnest(range(0, length(motif))) AS i FROM {SQL_MOTIFS}), c AS (SELECT *, substr(motif, CAST(i + 1 AS BIGINT), 1) AS ch FROM i)
-    SELECT name, string_agg(CAST(CASE WHEN instr('ACGT', ch) > 0 THEN instr('ACGT', ch) - 1 ELSE {sql_draw("42", "'motif'", "motif", "i")} % 4 END AS VARCHAR), '' ORDER BY i) AS digits FROM c GROUP BY name""")
+@query("d14_encode_motif", f"""WITH w AS (SELECT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word FROM documents), m AS (SELECT word, count(*) AS occurrences FROM w GROUP BY 1),
+    i AS (SELECT *, unnest(range(0, length(word))) AS i FROM m), c AS (SELECT *, substr(translate(word, 'acgt', 'ACGT'), CAST(i + 1 AS BIGINT), 1) AS ch FROM i)
+    SELECT word, occurrences, string_agg(CAST(CASE WHEN instr('ACGT', ch) > 0 THEN instr('ACGT', ch) - 1 ELSE {sql_draw("42", "'motif'", "word", "i")} % 4 END AS VARCHAR), '' ORDER BY i) AS digits FROM c GROUP BY ALL""")
 def _d14(spark, sf):
-    m = spark.createDataFrame(list(codec.MOTIFS.items()), "name string, motif string")
-    return m.select("name", F.array_join(codec.encode_motif(F.col("motif")), "").alias("digits"))
+    w = S.text_words(S.table(spark, sf, "documents"))
+    return w.select("word", "occurrences", F.array_join(codec.encode_motif(F.col("word")), "").alias("digits"))
 
 
 @query("d15_insert_motif", f"""WITH {SEQ}, d AS (SELECT sample_id, {SQL_DIGITS} AS s FROM q), t AS (SELECT *, unnest([0, 5, 20, 40]) AS distance FROM d), p AS (SELECT *, greatest(0, least(128 - distance - 3, 256 - 7)) AS st FROM t)
@@ -756,10 +789,20 @@ def _f2c(spark, sf):
     return f.select("model", "k", F.round(F.col("amplitudes")[0], 6).alias("amplitude"), "decay_rates", F.round("residual", 2).alias("residual"))
 
 
-@query("f2d_mixture", "SELECT distance, round(2 * exp(-0.01 * distance) + 1 * exp(-0.1 * distance), 6) AS y FROM (SELECT unnest(range(0, 200)) AS distance)")
+def sql_fits(*keys: str) -> str:
+    k = ", ".join(keys)
+    return f"{EVENTS}, {sql_profile(keys='model, locus_id')}, f AS (SELECT {k}, mass, mass / moment AS rate FROM (SELECT {k}, sum(influence) AS mass, sum(distance * influence) AS moment FROM p GROUP BY ALL) WHERE mass > 0 AND moment > 0)"
+
+
+def _fits(spark, sf, *keys: str) -> DataFrame:
+    return D.moment_fit(C.profile(events(spark, sf), ["model", "locus_id"], LAST), list(keys))
+
+
+@query("f2d_mixture", f"WITH {sql_fits('model', 'locus_id')} SELECT model, distance, round(sum(mass * rate * exp(-rate * distance)), 4) AS y FROM f CROSS JOIN (SELECT unnest(range(0, 200)) AS distance) GROUP BY ALL")
 def _f2d(spark, sf):
-    a, r = F.array(F.lit(2.0), F.lit(1.0)), F.array(F.lit(0.01), F.lit(0.1))
-    return P.distances(spark, 199).select("distance", F.round(D.mixture(a, r, F.col("distance")), 6).alias("y"))
+    f = _fits(spark, sf, "model", "locus_id").withColumn("distance", F.explode(F.sequence(F.lit(0), F.lit(199)).cast("array<bigint>")))
+    one = f.select("model", "distance", D.mixture(F.col("amplitudes"), F.col("decay_rates"), F.col("distance")).alias("y"))
+    return one.groupBy("model", "distance").agg(F.round(F.sum("y"), 4).alias("y"))  # a model's curve: the sum of its loci's
 
 
 @query("f3_select_components")
@@ -767,10 +810,9 @@ def _f3(spark, sf):
     return D.select_components(D.fit_profiles(prof(spark, sf), MODEL, (1, 2, 3, 4), "nnls"), MODEL)
 
 
-@query("f4_spectral_ecl", "SELECT rate, CAST(ceil(-ln(1 - 0.9::DOUBLE) / rate) AS BIGINT) AS spectral_ecl FROM (SELECT unnest([0.003::DOUBLE, 0.01::DOUBLE, 0.05::DOUBLE, 0.2::DOUBLE]) AS rate)")
+@query("f4_spectral_ecl", f"WITH {sql_fits('model', 'locus_id')} SELECT model, locus_id, CAST(ceil(-ln(1 - 0.9::DOUBLE) / rate) AS BIGINT) AS spectral_ecl FROM f")
 def _f4(spark, sf):
-    f = spark.createDataFrame([(r, [1.0], [r]) for r in (0.003, 0.01, 0.05, 0.2)], "rate double, amplitudes array<double>, decay_rates array<double>")
-    return D.spectral_ecl(f, ["rate"])
+    return D.spectral_ecl(_fits(spark, sf, "model", "locus_id"), ["model", "locus_id"])
 
 
 @query("f5_log_trend", "SELECT round(regr_slope(o_totalprice, log10(o_orderkey)), 4) AS slope, round(regr_intercept(o_totalprice, log10(o_orderkey)), 4) AS intercept FROM orders WHERE o_orderkey > 0")
@@ -779,9 +821,10 @@ def _f5(spark, sf):
     return t.select(F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
 
 
-@query("f6_half_life", f"SELECT rate, round(CAST('{math.log(2)!r}' AS DOUBLE) / rate, 6) AS half_life FROM (SELECT unnest([0.003::DOUBLE, 0.01::DOUBLE, 0.05::DOUBLE]) AS rate)")
+@query("f6_half_life", f"WITH {sql_fits('model', 'locus_id')} SELECT model, locus_id, round(rate, 6) AS rate, round(CAST('{math.log(2)!r}' AS DOUBLE) / rate, 6) AS half_life FROM f")
 def _f6(spark, sf):
-    return spark.createDataFrame([(r,) for r in (0.003, 0.01, 0.05)], "rate double").withColumn("half_life", F.round(G.half_life(F.col("rate")), 6))
+    f = _fits(spark, sf, "model", "locus_id").withColumn("rate", F.col("decay_rates")[0])
+    return rounded(f.select("model", "locus_id", "rate", G.half_life(F.col("rate")).alias("half_life")), "rate", "half_life")
 
 
 # G estimation
@@ -794,9 +837,13 @@ def _g1(spark, sf):
     return E.bernstein(events(spark, sf), MODEL).withColumns({"mean": F.round("mean", 6), "radius": F.round("radius", 4)})
 
 
-@query("g2_sample_complexity", "SELECT length, CAST(ceil(128 * length * length * 4.0::DOUBLE / (0.25::DOUBLE) * ln(2 * length / 0.05::DOUBLE)) AS BIGINT) AS n FROM (SELECT unnest([10::DOUBLE, 100::DOUBLE, 1000::DOUBLE]) AS length)")
+MEASURED = f"{EVENTS}, m AS (SELECT * FROM (SELECT model, CAST(max(distance) + 1 AS DOUBLE) AS length, CAST(max(u) AS DOUBLE) AS bound, coalesce(var_samp(u), 0) AS variance, CAST(sum(u) AS DOUBLE) / count(u) AS margin FROM s GROUP BY model) WHERE bound IS NOT NULL AND length IS NOT NULL AND margin > 0)"
+
+
+@query("g2_sample_complexity", f"WITH {MEASURED} SELECT model, length, CAST(ceil(128 * length * length * bound * bound / (margin * margin) * ln(2 * length / 0.05::DOUBLE)) AS BIGINT) AS n FROM m")
 def _g2(spark, sf):
-    return spark.createDataFrame([(x,) for x in (10.0, 100.0, 1000.0)], "length double").withColumn("n", E.sample_complexity(F.col("length"), 2.0, 0.5))
+    m = E.measured(events(spark, sf), MODEL)
+    return m.select("model", "length", E.sample_complexity(*[F.col(c) for c in ("length", "bound", "margin")]).alias("n"))
 
 
 def sql_boot(resamples: int, src="s") -> str:
@@ -889,9 +936,10 @@ def _g10(spark, sf):
     return _paired(spark, sf).select("locus_id", (F.col("ecl_f") - F.col("ecl_g")).alias("delta")).withColumn("label", E.significance(F.col("delta")))
 
 
-@query("g11_sample_complexity_bernstein", "SELECT length, CAST(ceil(128 * length * length * (0.3::DOUBLE + 0.5::DOUBLE / (3 * length) * 2.0::DOUBLE) / 0.25::DOUBLE * ln(2 * length / 0.05::DOUBLE)) AS BIGINT) AS n FROM (SELECT unnest([10::DOUBLE, 100::DOUBLE, 1000::DOUBLE]) AS length)")
+@query("g11_sample_complexity_bernstein", f"WITH {MEASURED} SELECT model, length, CAST(ceil(128 * length * length * (variance + margin / (3 * length) * bound) / (margin * margin) * ln(2 * length / 0.05::DOUBLE)) AS BIGINT) AS n FROM m")
 def _g11(spark, sf):
-    return spark.createDataFrame([(x,) for x in (10.0, 100.0, 1000.0)], "length double").withColumn("n", E.sample_complexity_bernstein(F.col("length"), 0.3, 2.0, 0.5))
+    m = E.measured(events(spark, sf), MODEL)
+    return m.select("model", "length", E.sample_complexity_bernstein(*[F.col(c) for c in ("length", "variance", "bound", "margin")]).alias("n"))
 
 
 # H reports
@@ -1006,17 +1054,19 @@ def _h11(spark, sf):
     return R.decay_summary(prof(spark, sf), MODEL)
 
 
-@query("h12_decay_profiles", f"""SELECT locus_class, locus_id, distance, round(exp(-distance / decay) + -0.02::DOUBLE * ln(1 - {sql_draw("42", "'noise'", "locus_class", "locus_id", "distance")} / 4294967296.0::DOUBLE), 6) AS influence
-    FROM (VALUES ('promoter', 30.0::DOUBLE), ('intronic', 50.0::DOUBLE)) c(locus_class, decay) CROSS JOIN (SELECT unnest(range(0, 20)) AS locus_id) CROSS JOIN (SELECT unnest(range(0, 101)) AS distance)""")
+@query("h12_decay_profiles", f"""WITH {sql_fits('model')}, l AS (SELECT DISTINCT model, locus_id FROM s)
+    SELECT model AS locus_class, locus_id, distance, round(exp(-distance * rate) + -0.02::DOUBLE * ln(1 - {sql_draw("42", "'noise'", "model", "locus_id", "distance")} / 4294967296.0::DOUBLE), 6) AS influence
+    FROM l JOIN f USING (model) CROSS JOIN (SELECT unnest(range(0, 101)) AS distance)""")
 def _h12(spark, sf):
-    c = spark.createDataFrame([("promoter", 30.0), ("intronic", 50.0)], "locus_class string, decay0 double")
-    loci = c.withColumn("locus_id", F.explode(F.sequence(F.lit(0), F.lit(19)).cast("array<bigint>")))
-    return rounded(G.decay_profiles(loci, F.col("decay0"), 100).drop("decay0"), "influence")
+    fits = _fits(spark, sf, "model").select("model", (1 / F.col("decay_rates")[0]).alias("decay0"))
+    loci = events(spark, sf).select("model", "locus_id").distinct().join(fits, "model")
+    return rounded(G.decay_profiles(loci.withColumnRenamed("model", "locus_class"), F.col("decay0"), 100).drop("decay0"), "influence")
 
 
-@query("h13_bump_profile", "SELECT round(x, 6) AS distance, round(exp(-x / 300) + 0.4::DOUBLE * exp(-(power((x - 1000) / 80, 2) / 2)), 6) AS influence FROM (SELECT i * (2500.0::DOUBLE / 1999) AS x FROM (SELECT unnest(range(0, 2000)) AS i))")
+@query("h13_bump_profile", f"WITH {EVENTS}, {sql_profile()} SELECT model, distance, round(influence / max(influence) OVER (PARTITION BY model) + 0.4::DOUBLE * exp(-(power((distance - 50) / 8, 2) / 2)), 6) AS influence FROM p")
 def _h13(spark, sf):
-    return rounded(G.bump_profile(spark, 2500.0, 2000, 300.0, 1000.0, 80.0, 0.4), "distance", "influence")
+    p = I.peak_normalized(prof(spark, sf), MODEL)
+    return rounded(p.withColumn("influence", F.col("influence") + G.bump(F.col("distance"), 50.0, 8.0, 0.4)), "influence")
 
 
 # I models
@@ -1054,11 +1104,13 @@ def _i6(spark, sf):
     return T.closed_profile(seqs(spark, sf), _every(spark), M.interacting(256, 16), ["locus_class"], S.REFERENCE)
 
 
-@query("i13_token_map", "SELECT model, token, (token - off) * k AS base FROM (VALUES " + ", ".join(f"('{n}', {v[2]}, {v[3]})" for n, v in M.EXTERNAL.items()) + ") t(model, k, off) CROSS JOIN (SELECT unnest(range(0, 50)) AS token)")
+@query("i13_token_map", f"""WITH {LENGTHS}, t(model, k, off) AS (VALUES {", ".join(f"('{n}', CAST({v[2]} AS BIGINT), CAST({v[3]} AS BIGINT))" for n, v in M.EXTERNAL.items())})
+    SELECT model, length, documents, token, (token - off) * k AS base FROM (SELECT *, unnest([reference // k, (length - 1) // k]) + off AS token FROM t CROSS JOIN n)""")
 def _i13(spark, sf):
     t = spark.createDataFrame([(n, v[2], v[3]) for n, v in M.EXTERNAL.items()], "model string, k bigint, off bigint")
-    t = t.withColumn("token", F.explode(F.sequence(F.lit(0), F.lit(49)).cast("array<bigint>")))
-    return t.select("model", "token", codec.token_to_base(F.col("token") - F.col("off"), 1).alias("t"), "k").select("model", "token", (F.col("t") * F.col("k")).alias("base"))
+    j = lengths(spark, sf).crossJoin(F.broadcast(t))  # a row a model
+    at = F.explode(F.array(*[F.floor(x / F.col("k")) + F.col("off") for x in (F.col("reference"), F.col("length") - 1)]))  # the middle's token and the last one
+    return j.withColumn("token", at).select("model", "length", "documents", "token", codec.token_to_base(F.col("token") - F.col("off"), F.col("k")).alias("base"))
 
 
 # J upgrades

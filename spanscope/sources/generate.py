@@ -10,21 +10,42 @@ from pyspark.sql import functions as F
 from ..functions.rng import below, categorical, exponential
 
 
+def _samples(spark: SparkSession, n: int, length: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("sample_id"), F.lit(length).alias("length"))
+
+
+def _bases(samples: DataFrame, base) -> DataFrame:
+    at = F.sequence(F.lit(0), F.col("length").cast("int") - 1)
+    return samples.select("sample_id", F.transform(at, lambda i: base(i).cast("tinyint")).alias("seq"))
+
+
+def uniform_like(samples: DataFrame, seed: int = 42) -> DataFrame:
+    """(sample_id, seq): uniform bases, as many as the sample's ``length`` says (one at least)."""
+    return _bases(samples, lambda i: below(4, seed, "base", F.col("sample_id"), i))
+
+
+def gc_like(samples: DataFrame, gc: float = 0.55, seed: int = 42, purpose: str = "gc") -> DataFrame:
+    """(sample_id, seq): independent bases, G and C with probability gc / 2 each, as many as ``length`` says."""
+    p = [(1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2]
+    return _bases(samples, lambda i: categorical(p, seed, purpose, F.col("sample_id"), i))
+
+
+def background_like(samples: DataFrame, gc: float = 0.42, seed: int = 42) -> DataFrame:
+    return gc_like(samples, gc, seed, "background")
+
+
 def random_sequences(spark: SparkSession, n: int, length: int, seed: int = 42) -> DataFrame:
     """(sample_id, seq): n sequences of uniform bases."""
-    s = spark.range(n).select(F.col("id").alias("sample_id"))
-    return s.withColumn("seq", F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: below(4, seed, "base", F.col("sample_id"), i).cast("tinyint")))
+    return uniform_like(_samples(spark, n, length), seed)
 
 
 def gc_sequences(spark: SparkSession, n: int, length: int, gc: float = 0.55, seed: int = 42, purpose: str = "gc") -> DataFrame:
     """(sample_id, seq): independent bases, G and C with probability gc / 2 each."""
-    s = spark.range(n).select(F.col("id").alias("sample_id"))
-    p = [(1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2]
-    return s.withColumn("seq", F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: categorical(p, seed, purpose, F.col("sample_id"), i).cast("tinyint")))
+    return gc_like(_samples(spark, n, length), gc, seed, purpose)
 
 
 def neutral_background(spark: SparkSession, n: int, length: int, gc: float = 0.42, seed: int = 42) -> DataFrame:
-    return gc_sequences(spark, n, length, gc, seed, "background")
+    return background_like(_samples(spark, n, length), gc, seed)
 
 
 def decay_profiles(loci: DataFrame, decay: Column, last: int, scale: float = 0.02, seed: int = 42) -> DataFrame:
@@ -34,11 +55,15 @@ def decay_profiles(loci: DataFrame, decay: Column, last: int, scale: float = 0.0
     return d.withColumn("influence", F.exp(-F.col("distance") / F.col("decay")) + noise).drop("decay")
 
 
+def bump(distance: Column, centre: float, width: float, height: float) -> Column:
+    """A Gaussian bump, as an enhancer at that distance would add."""
+    return F.lit(height) * F.exp(-F.pow((distance - centre) / width, F.lit(2.0)) / 2)
+
+
 def bump_profile(spark: SparkSession, last_kb: float, points: int, decay_kb: float, centre_kb: float, width_kb: float, height: float) -> DataFrame:
     """(distance, influence) on an even grid: exponential decay plus a Gaussian bump at an enhancer."""
     x = F.col("id") * F.lit(last_kb / (points - 1))
-    bump = F.lit(height) * F.exp(-F.pow((F.col("distance") - centre_kb) / width_kb, F.lit(2.0)) / 2)
-    return spark.range(points).select(x.alias("distance")).withColumn("influence", F.exp(-F.col("distance") / decay_kb) + bump)
+    return spark.range(points).select(x.alias("distance")).withColumn("influence", F.exp(-F.col("distance") / decay_kb) + bump(F.col("distance"), centre_kb, width_kb, height))
 
 
 def half_life(rate: Column) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from ..functions.codec import encode
 from ..functions.rng import below
@@ -74,36 +75,63 @@ def _regions(spark: SparkSession, regions) -> DataFrame:
     return spark.createDataFrame([(i, *r) for i, r in enumerate(regions)], schema)
 
 
+def _numbered(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("locus_id"))
+
+
+def place_in_regions(loci: DataFrame, regions, locus_class: str, seed: int) -> DataFrame:
+    """Every locus_id in a region drawn uniformly, at a centre drawn uniformly within it."""
+    ids = loci.select("locus_id", below(len(regions), seed, locus_class, "region", F.col("locus_id")).alias("region"))
+    j = ids.join(F.broadcast(_regions(loci.sparkSession, regions)), "region")  # a dozen rows
+    return j.select("locus_id", "chrom", (F.col("lo") + below(F.col("hi") - F.col("lo"), seed, locus_class, "center", F.col("locus_id"))).alias("center"), F.lit(locus_class).alias("locus_class"))
+
+
 def region_loci(spark: SparkSession, regions, n: int, locus_class: str, seed: int) -> DataFrame:
     """n loci, each in a region drawn uniformly and at a centre drawn uniformly within it."""
-    ids = spark.range(n).select(F.col("id").alias("locus_id")).withColumn("region", below(len(regions), seed, locus_class, "region", F.col("locus_id")))
-    j = ids.join(F.broadcast(_regions(spark, regions)), "region")  # a dozen rows
-    return j.select("locus_id", "chrom", (F.col("lo") + below(F.col("hi") - F.col("lo"), seed, locus_class, "center", F.col("locus_id"))).alias("center"), F.lit(locus_class).alias("locus_class"))
+    return place_in_regions(_numbered(spark, n), regions, locus_class, seed)
+
+
+def place_on_chromosomes(loci: DataFrame, chrom_lengths: DataFrame, seed: int, margin: int = MARGIN) -> DataFrame:
+    """Every locus_id on a chromosome drawn uniformly, away from its ends.
+
+    ``chrom_lengths`` is a dimension, a row a chromosome; those that are all
+    margin are not drawn, and without any other there are no loci.
+    """
+    long = chrom_lengths.where(F.col("chrom_length") > 2 * margin)
+    by = W.orderBy("chrom")  # a row a chromosome
+    ranked = long.select("chrom", "chrom_length", (F.row_number().over(by) - 1).cast("bigint").alias("region"), F.count(F.lit(1)).over(W.partitionBy()).alias("of"))
+    some = ranked.select("of").limit(1)
+    ids = loci.select("locus_id").crossJoin(F.broadcast(some)).withColumn("region", below(F.col("of"), seed, "intronic", "region", F.col("locus_id"))).drop("of")
+    j = ids.join(ranked.drop("of"), "region")
+    return j.select("locus_id", "chrom", (F.lit(margin) + below(F.col("chrom_length") - 2 * margin, seed, "intronic", "center", F.col("locus_id"))).cast("bigint").alias("center"), F.lit("intronic").alias("locus_class"))
 
 
 def intronic_loci(chrom_lengths: DataFrame, n: int, seed: int, margin: int = MARGIN) -> DataFrame:
     """n loci on chromosomes drawn uniformly, away from their ends."""
-    spark = chrom_lengths.sparkSession
-    names = sorted(r["chrom"] for r in chrom_lengths.select("chrom").collect())
-    ids = spark.range(n).select(F.col("id").alias("locus_id"))
-    ids = ids.withColumn("chrom", F.element_at(F.array(*[F.lit(c) for c in names]), (below(len(names), seed, "intronic", "region", F.col("locus_id")) + 1).cast("int")))
-    j = ids.join(F.broadcast(chrom_lengths), "chrom")  # one row a chromosome
-    return j.select("locus_id", "chrom", (F.lit(margin) + below(F.col("chrom_length") - 2 * margin, seed, "intronic", "center", F.col("locus_id"))).cast("bigint").alias("center"), F.lit("intronic").alias("locus_class"))
+    return place_on_chromosomes(_numbered(chrom_lengths.sparkSession, n), chrom_lengths, seed, margin)
 
 
-def sample_loci(spark: SparkSession, locus_class: str, n: int, sequences: int = 1, *, chrom_lengths: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """Loci of a class with a sample_id for each sequence wanted; the letters are not repeated."""
+def place(loci: DataFrame, locus_class: str, *, chrom_lengths: DataFrame | None = None, seed: int = 42, margin: int = MARGIN) -> DataFrame:
+    """Coordinates of a class for every locus_id."""
     if locus_class == "promoter":
-        loci = region_loci(spark, PROMOTERS, n, locus_class, seed)
-    elif locus_class == "enhancer":
-        loci = region_loci(spark, ENHANCERS, n, locus_class, seed)
-    elif locus_class == "intronic":
-        loci = intronic_loci(chrom_lengths, n, seed)
-    else:
-        raise ValueError(f"unknown locus class {locus_class!r}")
+        return place_in_regions(loci, PROMOTERS, locus_class, seed)
+    if locus_class == "enhancer":
+        return place_in_regions(loci, ENHANCERS, locus_class, seed)
+    if locus_class == "intronic":
+        return place_on_chromosomes(loci, chrom_lengths, seed, margin)
+    raise ValueError(f"unknown locus class {locus_class!r}")
+
+
+def with_samples(loci: DataFrame, sequences: int) -> DataFrame:
+    """Loci with a sample_id for each sequence wanted; the letters are not repeated."""
     return loci.withColumn("sample_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(sequences - 1).cast("bigint"))))
 
 
+def sample_loci(spark: SparkSession, locus_class: str, n: int, sequences: int = 1, *, chrom_lengths: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """n loci of a class with a sample_id for each sequence wanted."""
+    return with_samples(place(_numbered(spark, n), locus_class, chrom_lengths=chrom_lengths, seed=seed), sequences)
+
+
 def with_sequences(loci: DataFrame, genome: DataFrame, window: int, width: int = WIDTH) -> DataFrame:
     """Loci with their window as base numbers."""
     return extract(genome, loci, window, width).withColumn("seq", encode(F.col("bases"))).drop("bases")

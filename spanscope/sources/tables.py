@@ -52,6 +52,23 @@ def document_sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return d.select(F.col("lang").alias("locus_class"), F.concat_ws(":", F.col("doc_id"), F.col("window")).alias("sample_id"), bases.alias("seq"))
 
 
+def text_lengths(docs: DataFrame) -> DataFrame:
+    """(length, reference, documents): how many texts have that many characters, and their middle; null and empty texts have none."""
+    n = docs.groupBy(F.length("text").cast("bigint").alias("length")).agg(F.count(F.lit(1)).alias("documents"))
+    return n.where("length > 0").select("length", F.floor(F.col("length") / 2).alias("reference"), "documents")
+
+
+def text_words(docs: DataFrame) -> DataFrame:
+    """(word, occurrences) over whole texts; a word holds no blank of ``[\\x20\\x09-\\x0D]``."""
+    w = docs.select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("occurrences"))
+
+
+def event_loci(events: DataFrame) -> DataFrame:
+    """(locus_id): every user of an event; events without one have none."""
+    return events.where("user_id IS NOT NULL").select(F.col("user_id").alias("locus_id")).distinct()
+
+
 def lead_times(lineitem: DataFrame, orders: DataFrame, days: int = 30) -> DataFrame:
     """V4: days between order and shipment, binned, by sign; group by supplier modulo 3."""
     j = lineitem.join(orders, lineitem["l_orderkey"] == orders["o_orderkey"])

@@ -17,6 +17,7 @@ from spanscope import queries as Q
 from spanscope.operators import estimate as E
 from spanscope.operators import deltas as L
 from spanscope.operators import models as M
+from spanscope.operators import needle as N
 from spanscope.sources import generate as G
 from spanscope.sources import tables as S
 
@@ -338,7 +339,22 @@ def test_needle_in_fifty_backgrounds(spark):
             y[124 - d : 132 - d] = motif
             u.append(euclid(Q.MODEL_A(bg[k][None])[0], Q.MODEL_A(y[None])[0]))
         want[d] = np.mean(u)
-    assert {r["distance"]: r["sensitivity"] for r in Q.QUERIES["d13_needle_sensitivity"](spark, SF).collect()} == pytest.approx(want)
+    assert {r["distance"]: r["sensitivity"] for r in N.sensitivity(spark, Q.MODEL_A, "GATA", far).collect()} == pytest.approx(want)
+
+
+def test_needle_in_every_window(spark, tmp_path):
+    small = str(tmp_path)
+    duckdb.connect().execute(f"COPY (SELECT * FROM '{SF}/documents.parquet' ORDER BY doc_id LIMIT 12) TO '{small}/documents.parquet' (FORMAT parquet)")
+    motif, want = np.array([0, 2, 0, 3, 0, 0, 2, 2], np.int8), {}  # AGATAAGG
+    windows = [np.array(r["seq"], np.int8) for r in Q.seqs(spark, small).collect()]
+    for d in (1, 5, 10, 20, 40, 80):
+        u = []
+        for x in windows:
+            y = x.copy()
+            y[124 - d : 132 - d] = motif
+            u.append(euclid(Q.MODEL_A(x[None])[0], Q.MODEL_A(y[None])[0]))
+        want[d] = np.mean(u)
+    assert {r["distance"]: r["sensitivity"] for r in Q.QUERIES["d13_needle_sensitivity"](spark, small).collect()} == pytest.approx(want)
 
 
 def test_four_ablations(spark, small, few):
