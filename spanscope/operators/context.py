@@ -8,8 +8,11 @@ group is as large as its grid, not as its data.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..plans.positions import multiplicity as count_at
@@ -75,6 +78,31 @@ def ecl(c: DataFrame, keys: list[str], betas: tuple[float, ...] = BETAS, kind: s
     return b.groupBy(*keys, "beta").agg(_reach(F.col("beta"), kind).alias("ecl"))
 
 
+def row_ecl(rows: DataFrame, profile: str, betas: tuple[float, ...] = BETAS) -> DataFrame:
+    """The columns of ``rows`` but ``profile``, with (beta, ecl): ``ecl`` of ``cumulative`` where a row holds its profile by distance 0.. as an array."""
+    keep = [f for f in rows.schema.fields if f.name != profile]
+    schema = T.StructType([*keep, T.StructField("ecls", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p = np.asarray(batch.column(profile).flatten()).reshape(batch.num_rows, -1)
+            cum = np.cumsum(np.where(np.arange(p.shape[1]) == 0, 1, 2) * p, 1)
+            total = cum[:, -1:]
+            found = []
+            for beta in betas:
+                hit = cum >= beta * total
+                first = np.where(hit.any(1), hit.argmax(1), p.shape[1] - 1)
+                found.append(np.where(total[:, 0] <= 0, 0, first))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * len(betas) + 1, len(betas)), pa.int32()), pa.array(np.stack(found, 1).astype(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in keep], lists], schema.names)
+
+    d = rows.mapInArrow(run, schema)
+    at = F.array(*[F.lit(float(b)) for b in betas])
+    return d.select(*[f.name for f in keep], F.posexplode("ecls").alias("_i", "ecl")).select(*[f.name for f in keep], F.get(at, F.col("_i")).alias("beta"), "ecl")
+
+
 def ecp(c: DataFrame, keys: list[str], points: int = 100) -> DataFrame:
     """The whole curve of ecl over the shares 1/points .. 1."""
     return ecl(c, keys, tuple((i + 1) / points for i in range(points)))

@@ -22,9 +22,10 @@ from .models import Model, SiteModel, embed
 
 def site_samples(seqs: DataFrame, plan: DataFrame, m: SiteModel, seed: int) -> DataFrame:
     """u of one substitution for every (sample, plan row); the plan has at most a few rows a distance."""
-    keep = [c for c in seqs.columns if c != "seq"]
-    j = sites.substitutions(seqs, keep, seed, plan).join(F.broadcast(plan), "pos")
-    return sites.discrepancy(j, m).drop("left", "a", "right", "b")
+    at = sites.positions_of(plan, m.nominal_context)
+    u = sites.exploded(sites.sample_rows(seqs, m, [[int(p)] for p in at], seed))
+    u = u.withColumn("pos", F.get(F.array(*[F.lit(int(p)).cast("bigint") for p in at]), F.col("distance").cast("int"))).drop("distance")
+    return u.join(F.broadcast(plan), "pos")
 
 
 def model_samples(seqs: DataFrame, plan: DataFrame, model: Model, *, kernel: str = "substitution", metric: Callable[[Column, Column], Column] = squared_euclidean, seed: int = 42, block_width: int = 1, calls=None) -> DataFrame:

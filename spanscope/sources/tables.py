@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LENGTH, REFERENCE = 256, 128
+#: Windows handed out at once, unless one text has more.
+CUT = 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +48,38 @@ def document_sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     may overlap the one before it.  A shorter text is one window, filled up with
     A; null and empty texts have none.
     """
-    n = F.length("text")
-    last = F.floor((n - 1) / length).cast("int")
-    cut = lambda w: F.rpad(F.substr("text", F.greatest(F.least(w * length, n - length), F.lit(0)) + 1, F.lit(length)), length, "@")
-    d = docs.where(n > 0).select("lang", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), cut)).alias("window", "text"))
-    d = spread(d)
-    bases = F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 4).cast("tinyint"))  # whole characters, one pass over the text
-    return d.select(F.col("lang").alias("locus_class"), F.concat_ws(":", F.col("doc_id"), F.col("window")).alias("sample_id"), bases.alias("seq"))
+    id_ = F.concat_ws(":", F.col("doc_id"), F.lit("")).alias("_id")
+    d = spread(docs.where(F.length("text") > 0).select(F.col("lang").alias("locus_class"), id_, "text"))
+    fields = [d.schema["locus_class"], T.StructField("sample_id", T.StringType(), False), T.StructField("seq", T.ArrayType(T.ByteType()))]
+    schema = T.StructType(fields)
+
+    def run(batches):
+        for batch in batches:
+            texts, ids = batch.column("text"), batch.column("_id")
+            rows, at, size = [], [], 0
+            for i in range(batch.num_rows):
+                x = windows(texts[i].as_py(), length)
+                rows.append(x)
+                at.append(i)
+                size += len(x)
+                if size >= CUT or i + 1 == batch.num_rows:
+                    row = np.repeat(at, [len(x) for x in rows])
+                    names = [f"{ids[k].as_py()}{w}" for k, x in zip(at, rows, strict=True) for w in range(len(x))]
+                    seq = pa.ListArray.from_arrays(pa.array(np.arange(0, size * length + 1, length), pa.int32()), pa.array(np.concatenate(rows).ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column("locus_class").take(pa.array(row)), pa.array(names, pa.string()), seq], schema.names)
+                    rows, at, size = [], [], 0
+
+    return d.mapInArrow(run, schema)
+
+
+def windows(text: str, length: int) -> np.ndarray:
+    """(windows, length) code points modulo 4 of one text of a character or more."""
+    x = (np.frombuffer(text.encode("utf-32-le"), np.uint32) & 3).astype(np.int8)
+    if len(x) <= length:
+        return np.pad(x, (0, length - len(x)))[None]
+    full = len(x) // length
+    out = x[: full * length].reshape(full, length)
+    return out if full * length == len(x) else np.concatenate([out, x[None, -length:]])
 
 
 def text_lengths(docs: DataFrame) -> DataFrame:
