@@ -35,6 +35,7 @@ def test_no_sample_is_shuffled(spark, name):
 
 @pytest.mark.parametrize("name", [
     "i6_interaction_model",
+    "i2_local_model",
 ])
 def test_no_base_is_a_row(spark, name):
     p = plan(Q.QUERIES[name](spark, SF))
