@@ -28,6 +28,7 @@ def test_draws_are_those_of_md5():
 
 @pytest.mark.parametrize("name", [
     "d10_fast_locus_ecl",
+    "d6_sample_matrix",
 ])
 def test_no_sample_is_shuffled(spark, name):
     assert "hashpartitioning" not in plan(Q.QUERIES[name](spark, SF))
