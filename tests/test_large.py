@@ -38,6 +38,7 @@ def test_no_sample_is_shuffled(spark, name):
     "i6_interaction_model",
     "i2_local_model",
     "i4_asymmetric_model",
+    "d7_one_candidate_matrix",
 ])
 def test_no_base_is_a_row(spark, name):
     p = plan(Q.QUERIES[name](spark, SF))
