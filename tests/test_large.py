@@ -41,6 +41,7 @@ def test_no_sample_is_shuffled(spark, name):
     "d7_one_candidate_matrix",
     "i3_additive_model",
     "d2_binned_profile",
+    "d2_profile_ecl",
 ])
 def test_no_base_is_a_row(spark, name):
     p = plan(Q.QUERIES[name](spark, SF))
