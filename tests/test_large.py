@@ -42,6 +42,7 @@ def test_no_sample_is_shuffled(spark, name):
     "i3_additive_model",
     "d2_binned_profile",
     "d2_profile_ecl",
+    "d1_single_influence",
 ])
 def test_no_base_is_a_row(spark, name):
     p = plan(Q.QUERIES[name](spark, SF))
