@@ -43,6 +43,7 @@ def test_no_sample_is_shuffled(spark, name):
     "d2_binned_profile",
     "d2_profile_ecl",
     "d1_single_influence",
+    "i5_random_weights",
 ])
 def test_no_base_is_a_row(spark, name):
     p = plan(Q.QUERIES[name](spark, SF))
