@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.rng import below
@@ -111,6 +112,34 @@ def markov(x: np.ndarray, s: np.ndarray, rng: np.random.Generator, k: int = 3, f
     return y
 
 
+def markov_all(x: np.ndarray, s: np.ndarray, rngs: list[np.random.Generator], k: int = 3, flank: int = 500, slab: int = 64) -> np.ndarray:
+    """``markov`` of equally long rows at the same positions s, each with its own generator."""
+    s = np.sort(s)
+    y = x.astype(np.int64)
+    if not len(s):
+        return y
+    lo, hi = max(0, s[0] - flank), s[-1] + flank + 1
+    for at in range(0, len(y), slab):
+        z = y[at : at + slab]  # a view
+        n, around = len(z), z[:, lo:hi]
+        size = max(around.shape[1] - k, 0)
+        code = np.zeros((n, size), np.int64)
+        for i in range(k):
+            code = code * 4 + around[:, i : size + i]
+        row = np.arange(n)
+        count = np.bincount(((row[:, None] * 4**k + code) * 4 + around[:, k : k + size]).ravel(), minlength=n * 4 ** (k + 1)).reshape(n, 4**k, 4)
+        u = np.stack([rng.random(len(s)) for rng in rngs[at : at + slab]])
+        for j, p in enumerate(s.tolist()):
+            code = np.zeros(n, np.int64)
+            for i in range(max(0, p - k), p):
+                code = code * 4 + z[:, i]
+            c = count[row, code]
+            seen = c.any(1, keepdims=True)
+            share = np.where(seen, np.cumsum((c + 1.0) / (c + 1.0).sum(1, keepdims=True), 1), [0.25, 0.5, 0.75, 1.0])
+            z[:, p] = (share[:, :3] <= u[:, j, None]).sum(1)
+    return y
+
+
 KERNELS = {
     "substitution": _substitute,
     "shuffle": shuffle,
@@ -127,6 +156,18 @@ def get_kernel(name: str = "substitution", **options):
     return (lambda x, s, rng: f(x, s, rng, **options)) if options else f
 
 
+#: Kernels that redraw from a Markov model, and its k-mer length and flank; rows alike are redrawn together.
+CHAINS = {"markov": {"k": 3, "flank": 500}, "generative": {"k": 5, "flank": 1000}}
+
+
+def _even(lists: pa.Array) -> np.ndarray | None:
+    """The lists as an array (rows, values), if all are equally long and none is empty."""
+    size = np.diff(np.asarray(lists.offsets))
+    if not len(size) or lists.null_count or (size != size[0]).any() or not size[0]:
+        return None
+    return np.asarray(lists.flatten()).reshape(len(lists), -1)
+
+
 def perturb(df: DataFrame, name: str, seed: int, key: list[str], seq: str = "seq", positions: str = "positions", out: str = "perturbed", **options) -> DataFrame:
     """Adds the perturbed sequence; each row's generator is seeded by (seed, name, key columns)."""
     d = df.withColumn("_key", F.concat_ws(":", F.lit(str(seed)), F.lit(name), *[F.col(k).cast("string") for k in key]))
@@ -136,12 +177,16 @@ def perturb(df: DataFrame, name: str, seed: int, key: list[str], seq: str = "seq
 
     def run(batches):
         for b in batches:
-            new = []
-            for x, s, key_ in zip(b.column(i), b.column(j), b.column(k).to_pylist(), strict=True):
-                rng = np.random.default_rng(int.from_bytes(hashlib.md5(key_.encode()).digest()[:8], "little"))
-                new.append(kernel(np.asarray(x.values), np.asarray(s.values, dtype=np.int64), rng).astype(np.int8))
+            rngs = [np.random.default_rng(int.from_bytes(hashlib.md5(key_.encode()).digest()[:8], "little")) for key_ in b.column(k).to_pylist()]
+            x, s = _even(b.column(i)), _even(b.column(j))
+            if name in CHAINS and x is not None and s is not None and (s == s[0]).all():
+                y = markov_all(x, s[0].astype(np.int64), rngs, **{**CHAINS[name], **options}).astype(np.int8)
+                new = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1]), pa.int32()), pa.array(y.ravel()))
+            else:
+                rows = zip(b.column(i), b.column(j), rngs, strict=True)
+                new = pa.array([kernel(np.asarray(x.values), np.asarray(s.values, dtype=np.int64), rng).astype(np.int8) for x, s, rng in rows], pa.list_(pa.int8()))
             cols = [c for n, c in enumerate(b.columns) if n != k]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(new, pa.list_(pa.int8()))], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*cols, new], [f.name for f in schema])
 
     return d.mapInArrow(run, schema)
 
@@ -154,3 +199,28 @@ def markov_fit(bases: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
     dense = c.select(*keys, "kmer").distinct().withColumn("next", F.explode(F.array(*[F.lit(b) for b in range(4)])))
     j = dense.join(c, [*keys, "kmer", "next"], "left").withColumn("n", F.coalesce("n", F.lit(0)) + 1)
     return j.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(*keys, "kmer"))).drop("n")
+
+
+def markov_fit_rows(seqs: DataFrame, k: int = 3, slab: int = 256) -> DataFrame:
+    """``markov_fit`` of every row by itself, without a shuffle: (columns of seqs but seq, kmer, next, p); a row is a sample, all rows are equally long."""
+    keep = [f for f in seqs.schema.fields if f.name != "seq"]
+    schema = T.StructType([*keep, T.StructField("kmer", T.LongType()), T.StructField("next", T.IntegerType()), T.StructField("p", T.DoubleType())])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, slab):
+                part = batch.slice(at, slab)
+                x = np.asarray(part.column("seq").flatten()).reshape(part.num_rows, -1).astype(np.int64)
+                n, length = x.shape
+                code = np.zeros((n, max(length - k, 0)), np.int64)
+                for i in range(k):
+                    code = code * 4 + x[:, i : length - k + i]
+                flat = (np.arange(n)[:, None] * 4**k + code) * 4 + x[:, k:]
+                count = np.bincount(flat.ravel(), minlength=n * 4 ** (k + 1)).reshape(n, 4**k, 4)
+                row, kmer = np.nonzero(count.sum(2))
+                c = count[row, kmer] + 1
+                rest = [part.column(f.name).take(pa.array(np.repeat(row, 4))) for f in keep]
+                base = np.tile(np.arange(4, dtype=np.int32), len(row))
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.repeat(kmer, 4)), pa.array(base), pa.array((c / c.sum(1, keepdims=True)).ravel())], schema.names)
+
+    return seqs.mapInArrow(run, schema)

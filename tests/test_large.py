@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from spanscope import queries as Q
 from spanscope.functions import hashed
+from spanscope.operators import kernels as K
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +31,7 @@ def test_draws_are_those_of_md5():
 @pytest.mark.parametrize("name", [
     "d10_fast_locus_ecl",
     "d6_sample_matrix",
+    "e5_markov_fit",
 ])
 def test_no_sample_is_shuffled(spark, name):
     assert "hashpartitioning" not in plan(Q.QUERIES[name](spark, SF))
@@ -48,3 +51,12 @@ def test_no_sample_is_shuffled(spark, name):
 def test_no_base_is_a_row(spark, name):
     p = plan(Q.QUERIES[name](spark, SF))
     assert "transform(seq" not in p and "NestedLoop" not in p
+
+
+def test_rows_alike_are_redrawn_together_as_one_by_one():
+    x = np.random.default_rng(1).integers(0, 4, (70, 256)).astype(np.int8)
+    x[5] = 0  # unseen k-mers
+    rngs = lambda: [np.random.default_rng(i) for i in range(len(x))]
+    for name, s in (("markov", np.arange(100, 140)), ("generative", np.arange(100, 140)), ("markov", np.array([0, 1, 2, 255]))):
+        one = [K.KERNELS[name](r, s, g) for r, g in zip(x, rngs(), strict=True)]
+        assert (K.markov_all(x, s, rngs(), **K.CHAINS[name]) == np.stack(one)).all()
