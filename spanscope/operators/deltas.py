@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .models import SiteModel
+from .sites import both_sides, by_distance
 
 #: k-mer length and flank of the kernels that redraw from a Markov model of the surroundings.
 CHAINS = {"markov": (3, 500), "generative": (5, 1000)}
@@ -135,7 +136,7 @@ def changes(windows: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray,
     at = np.arange(m) * 20
 
     def add(slot, w):
-        np.add(out, np.bincount(at + slot, w, minlength=len(out)), out=out)
+        out[at + slot] += w  # one slot a row, so none twice
 
     before, new = windows[row, np.maximum(first - 1, 0)], windows[row, np.maximum(first - 1, 0)]
     for t in range(x.shape[1] + 1):
@@ -153,8 +154,8 @@ def changes(windows: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray,
     return out.reshape(m, 20)
 
 
-def block_changes(seqs: DataFrame, model: SiteModel, kernels: tuple[str, ...] = ("substitution",), *, width: int = 1, seed: int = 42, slab: int = 64) -> DataFrame:
-    """(columns of seqs but seq, kernel, zz, zd, dd): |z|**2, and by position z.d and |d|**2, d the change of z by a perturbed block."""
+def block_changes(seqs: DataFrame, model: SiteModel, kernels: tuple[str, ...] = ("substitution",), *, width: int = 1, seed: int = 42, slab: int = 64, run_only: bool = False):
+    """(columns of seqs but seq, kernel, zz, zd, dd): |z|**2, and by position z.d and |d|**2, d the change of z by a perturbed block; with ``run_only`` the step over Arrow batches itself."""
     for k in kernels:
         if k not in KERNELS:
             raise ValueError(f"unknown kernel {k!r}; there are {sorted(KERNELS)}")
@@ -180,7 +181,40 @@ def block_changes(seqs: DataFrame, model: SiteModel, kernels: tuple[str, ...] =
                     dd = np.maximum((g * d).sum(1), 0.0)
                     yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array([kernel] * len(x)), pa.array(zz), lists(zd), lists(dd)], schema.names)
 
-    return seqs.mapInArrow(run, schema)
+    return run if run_only else seqs.mapInArrow(run, schema)
+
+
+def _cosine(zz: np.ndarray, zd: np.ndarray, dd: np.ndarray, floor: float = 1e-12) -> np.ndarray:
+    return 1 - (zz[:, None] + zd) / np.maximum(np.sqrt(zz)[:, None] * np.sqrt(np.maximum(zz[:, None] + 2 * zd + dd, 0.0)), floor)
+
+
+def profile(seqs: DataFrame, keys: list[str], model: SiteModel, kernels: tuple[str, ...], reference: int, last: int, metric: str = "squared_euclidean", *, width: int = 1, seed: int = 42) -> DataFrame:
+    """(keys, kernel, distance, influence): means of ``matrix`` over samples, summed in the task; distances without positions have no row."""
+    sides = [(d, c) for d, c in enumerate(both_sides(reference, model.nominal_context, last)) if c]
+    fields = [seqs.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("kernel", T.StringType()), T.StructField("totals", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+    changed = block_changes(seqs, model, kernels, width=width, seed=seed, run_only=True)
+
+    def run(batches):
+        for batch in changed(batches):
+            if not batch.num_rows:
+                continue
+            zz, zd, dd = (np.asarray(batch.column(c).flatten() if c != "zz" else batch.column(c)) for c in ("zz", "zd", "dd"))
+            zd, dd = zd.reshape(len(zz), -1), dd.reshape(len(zz), -1)
+            u = by_distance(dd if metric == "squared_euclidean" else _cosine(zz, zd, dd), [c for _, c in sides])
+            groups = list(zip(*[batch.column(k).to_pylist() for k in [*keys, "kernel"]], strict=True))
+            number = {g: i for i, g in enumerate(dict.fromkeys(groups))}
+            row = np.array([number[g] for g in groups])
+            cols = [pa.array([g[i] for g in number], batch.column(k).type) for i, k in enumerate([*keys, "kernel"])]
+            sums = pa.array([u[row == i].sum(0).tolist() for i in number.values()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*cols, sums, pa.array([int((row == i).sum()) for i in number.values()], pa.int64())], schema.names)
+
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; there are {sorted(METRICS)}")
+    d = seqs.mapInArrow(run, schema).select(*keys, "kernel", "n", F.posexplode("totals").alias("_i", "total"))
+    at = F.array(*[F.lit(d).cast("bigint") for d, _ in sides])
+    d = d.groupBy(*keys, "kernel", F.get(at, F.col("_i")).alias("distance")).agg((F.sum("total") / F.sum("n")).alias("influence"))
+    return d
 
 
 def squared_euclidean(zz: Column, zd: Column, dd: Column) -> Column:

@@ -17,7 +17,7 @@ from ..plans import positions as P
 from . import context as C
 from . import kernels as K
 from . import sites
-from .models import Model, SiteModel, embed
+from .models import InteractionModel, Model, SiteModel, embed
 
 
 def site_samples(seqs: DataFrame, plan: DataFrame, m: SiteModel, seed: int) -> DataFrame:
@@ -61,6 +61,11 @@ def sample_matrix(u: DataFrame, keys: list[str]) -> DataFrame:
 def block_profile(seqs: DataFrame, model: Model, keys: list[str], size: int, reference: int, *, kernel: str = "substitution", seed: int = 42) -> DataFrame:
     """(keys, block_id, distance, influence): whole blocks perturbed at once."""
     t = P.tiles(seqs.sparkSession, model.nominal_context, size, reference)
+    if isinstance(model, SiteModel) and kernel == "substitution":
+        blocks = [(r["block_id"], r["distance"], r["start"], r["stop"]) for r in t.orderBy("start").collect()]  # a row a block of the window
+        at = lambda i: F.get(F.array(*[F.lit(b[i]).cast("bigint") for b in blocks]), F.col("_i"))
+        u = sites.block_sums(seqs, blocks, model, keys, seed)
+        return u.select(*keys, at(0).alias("block_id"), at(1).alias("distance"), (F.col("u") / F.col("n")).alias("influence"))
     t = t.withColumn("positions", F.sequence("start", F.col("stop") - 1).cast("array<int>")).select("block_id", "distance", "positions")
     u = model_samples(seqs, t, model, kernel=kernel, seed=seed)
     return u.groupBy(*keys, "block_id", "distance").agg(F.avg("u").alias("influence"))
@@ -68,6 +73,12 @@ def block_profile(seqs: DataFrame, model: Model, keys: list[str], size: int, ref
 
 def interactions(seqs: DataFrame, pairs: DataFrame, model: Model, keys: list[str], seed: int = 42) -> DataFrame:
     """(keys, pos_i, pos_j, i_int): joint influence less that of either position, three independent draws."""
+    if isinstance(model, SiteModel | InteractionModel):
+        two = [(r["pos_i"], r["pos_j"]) for r in pairs.select("pos_i", "pos_j").distinct().collect()]  # a few pairs of the window
+        if two and all(i != j for i, j in two):
+            at = lambda e: F.get(F.array(*[F.lit(p[e]).cast(pairs.schema[f"pos_{'ij'[e]}"].dataType) for p in two]), F.col("_i"))
+            s = sites.interactions(seqs, two, model, keys, seed)
+            return s.select(*keys, at(0).alias("pos_i"), at(1).alias("pos_j"), ((F.col("ij") - F.col("i") - F.col("j")) / F.col("n")).alias("i_int"))
     kinds = F.array(F.struct(F.lit("i").alias("kind"), F.array("pos_i").alias("positions")), F.struct(F.lit("j").alias("kind"), F.array("pos_j").alias("positions")), F.struct(F.lit("ij").alias("kind"), F.array("pos_i", "pos_j").alias("positions")))
     plan = pairs.select("pos_i", "pos_j", F.explode(kinds).alias("k")).select("pos_i", "pos_j", F.concat_ws("-", "k.kind", "pos_i", "pos_j").alias("kind"), F.col("k.kind").alias("which"), F.col("k.positions").cast("array<int>").alias("positions"))
     u = model_samples(seqs, plan, model, seed=seed)

@@ -6,10 +6,15 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanscope import queries as Q
 from spanscope.functions import hashed
+from spanscope.operators import deltas as L
+from spanscope.operators import influence as I
 from spanscope.operators import kernels as K
+from spanscope.operators import models as M
+from spanscope.sources import generate as G
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +65,42 @@ def test_rows_alike_are_redrawn_together_as_one_by_one():
     for name, s in (("markov", np.arange(100, 140)), ("generative", np.arange(100, 140)), ("markov", np.array([0, 1, 2, 255]))):
         one = [K.KERNELS[name](r, s, g) for r, g in zip(x, rngs(), strict=True)]
         assert (K.markov_all(x, s, rngs(), **K.CHAINS[name]) == np.stack(one)).all()
+
+
+def drawn(*parts) -> int:
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+
+def test_interactions_equal_forward_passes(spark):
+    m, pairs = M.interacting(200, 8), [(31, 30), (30, 36), (10, 190), (5, 6), (30, 33)]
+    s = G.random_sequences(spark, 7, 200).withColumn("g", F.lit(1))
+    got = {(r["pos_i"], r["pos_j"]): r["i_int"] for r in I.interactions(s, spark.createDataFrame(pairs, "pos_i int, pos_j int"), m, ["g"]).collect()}
+    want = dict.fromkeys(pairs, 0.0)
+    for r in s.collect():
+        x = np.array(r["seq"])
+        for i, j in pairs:
+            step = [drawn(42, "pair", r["sample_id"], (i * 200 + j) * 4 + k) % 3 + 1 for k in range(4)]
+            for sign, change in ((-1, {i: step[0]}), (-1, {j: step[1]}), (1, {i: step[2], j: step[3]})):
+                y = x.copy()
+                for p, d in change.items():
+                    y[p] = (y[p] + d) % 4
+                want[i, j] += sign * float(((m(y[None]) - m(x[None])) ** 2).sum()) / 7
+    assert got == pytest.approx(want)
+
+
+def test_blocks_equal_forward_passes(spark):
+    m = M.synthetic(100, 8, 20.0)
+    s = G.random_sequences(spark, 6, 100).withColumn("g", F.lit(1))
+    got = {r["block_id"]: r["influence"] for r in I.block_profile(s, m, ["g"], 30, 50).collect()}
+    t = I.P.tiles(spark, 100, 30, 50).withColumn("positions", F.sequence("start", F.col("stop") - 1).cast("array<int>")).select("block_id", "distance", "positions")
+    u = I.model_samples(s, t, m).groupBy("block_id").agg(F.avg("u").alias("u"))
+    assert got == pytest.approx({r["block_id"]: r["u"] for r in u.collect()}) and len(got) == 4
+
+
+def test_profile_of_kernels_is_the_mean_of_the_matrix(spark):
+    m = M.synthetic(64, 8, 10.0)
+    s = G.random_sequences(spark, 9, 64).withColumn("g", F.col("sample_id") % 2)
+    for metric in L.METRICS:
+        want = L.matrix(L.block_changes(s, m, L.KERNELS, width=8), 32, 32, metric).groupBy("g", "kernel", "distance").agg(F.avg("u").alias("u"))
+        got = L.profile(s, ["g"], m, L.KERNELS, 32, 32, metric, width=8)
+        assert {tuple(r)[:3]: r["influence"] for r in got.collect()} == pytest.approx({tuple(r)[:3]: r["u"] for r in want.collect()})
