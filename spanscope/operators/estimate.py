@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..functions import hashed
 from ..functions.rng import draw
 from ..sources import sinks, tables
 from . import context as C
@@ -47,32 +51,76 @@ def measured(samples: DataFrame, keys: list[str]) -> DataFrame:
     return g.where("bound IS NOT NULL AND length IS NOT NULL AND margin > 0")
 
 
-def _poisson(samples: DataFrame, size: DataFrame, keys: list[str], resamples: int, seed: int, most: int = 13) -> DataFrame:
-    """Rows of ``samples`` and resamples b with ``times`` > 0, a Poisson draw of rate 1 - 5 / sqrt(n) by (keys, b, sample).
+#: The most a Poisson draw gives.
+MOST = 13
 
-    One hash gives four resamples their 32 bits; nothing is shuffled.
+
+def _poisson_sums(rows: DataFrame, size: DataFrame, keys: list[str], resamples: int, seed: int, slab: int = 64) -> DataFrame:
+    """(keys, distance, b, total, times, have), summed in part: a row's ``times`` for resample b is a Poisson draw of rate 1 - 5 / sqrt(n) by (keys, b, sample).
+
+    One hash gives four resamples their 32 bits.  Rows come by key and distance,
+    that of many samples in up to 64 parts, so a task holds the sums of one group at a time
+    and hands out a row for all resamples.
     """
     rate = F.greatest(F.lit(0.0), 1 - 5 / F.sqrt("n"))
     term, total, at = F.exp(-rate), F.lit(0.0), []
-    for k in range(most):
+    for k in range(MOST):
         total = total + term
         at.append(total)
         term = term * rate / (k + 1)
-    size = size.withColumn("_at", F.array(*at))  # here, on a row a group: the expression is long
-    d = samples.join(size, keys) if keys else samples.crossJoin(F.broadcast(size))  # one row a group
-    # every row is about to become ``resamples`` rows, so few input splits (or coalesced partitions) must not hold them all
-    d = d.repartition(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "sample_id")
-    d = d.withColumn("_four", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // 4))))
-    d = d.withColumn("_md5", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("boot"), *[F.col(k).cast("string") for k in keys], F.col("_four").cast("string"), F.col("sample_id").cast("string"))))
-    halves = [F.conv(F.substring("_md5", i, 16), 16, -10).cast("bigint") for i in (1, 17)]  # signed: 64 bits each, for conv is dear
-    low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(4294967296.0)
-    d = d.withColumns({"_h0": halves[0], "_h1": halves[1]})
-    bits = F.posexplode(F.array(*[low(x) for h in ("_h0", "_h1") for x in (F.shiftrightunsigned(h, 32), F.col(h))]))
-    d = d.select("*", bits.alias("_i", "_u")).withColumn("b", F.col("_four") * 4 + F.col("_i"))  # generated, so computed once and not in every branch
-    times = F.lit(most)
-    for k in reversed(range(most)):
-        times = F.when(F.col("_u") < F.col("_at")[k], k).otherwise(times)
-    return d.where((F.col("b") < resamples) & (F.col("_u") >= F.col("_at")[0])).withColumn("times", times).drop("_at", "_four", "_md5", "_h0", "_h1", "_i", "_u", "n")
+    size = size.select(*keys, F.array(*at).alias("_at"), F.least(F.lit(64), F.ceil(F.col("n") / 2**18)).alias("_parts"))
+    d = rows.join(size, keys) if keys else rows.crossJoin(F.broadcast(size))  # one row a group
+    head = F.concat_ws(":", F.lit(str(seed)), F.lit("boot"), *[F.col(k).cast("string") for k in keys], F.lit(""))
+    tail = F.coalesce(F.concat(F.lit(":"), F.col("sample_id").cast("string")), F.lit(""))
+    d = d.select(*keys, "distance", "u", "_once", "_at", head.alias("_head"), tail.alias("_tail"), F.pmod(F.hash("sample_id"), F.col("_parts")).alias("_part"))
+    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartition(parts, *keys, "distance", "_part").drop("_part").sortWithinPartitions(*keys, "distance")
+    names = [*keys, "distance"]
+    value = T.LongType() if isinstance(d.schema["u"].dataType, T.IntegralType) else T.DoubleType()
+    lists = [T.StructField(n, T.ArrayType(t)) for n, t in (("total", value), ("times", T.LongType()), ("have", T.LongType()))]
+    schema = T.StructType([*[d.schema[n] for n in names], *lists])
+    blocks, kind = range((resamples + 3) // 4), np.int64 if value == T.LongType() else np.float64
+
+    def run(batches):
+        group, sums = None, None
+        for batch in batches:
+            types = [batch.column(n).type for n in names]
+
+            def row(group, sums, types=types):
+                return pa.RecordBatch.from_arrays([*[pa.array([x], t) for x, t in zip(group, types, strict=True)], *[pa.array([s], pa.list_(pa.from_numpy_dtype(s.dtype))) for s in sums]], schema.names)
+
+            for first in range(0, batch.num_rows, slab):
+                part = batch.slice(first, slab)
+                n = part.num_rows
+                h = hashed.digests([x.encode() for x in part.column("_head").to_pylist()], blocks, [x.encode() for x in part.column("_tail").to_pylist()], 4).reshape(n, -1)[:, :resamples]
+                of = list(zip(*[part.column(x).to_pylist() for x in names], strict=True))
+                u = np.asarray(part.column("u").fill_null(0)).astype(kind)
+                once = np.asarray(part.column("_once")).astype(np.int64)
+                cuts = [0, *[i for i in range(1, n) if of[i] != of[i - 1]], n]
+                for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                    if group is not None and of[i] != group:
+                        yield row(group, sums)
+                        sums = None
+                    if sums is None:
+                        group, sums = of[i], [np.zeros(resamples, kind), np.zeros(resamples, np.int64), np.zeros(resamples, np.int64)]
+                    times = np.zeros((j - i, resamples), np.uint8)
+                    for limit in part.column("_at")[i].as_py():
+                        limit = math.ceil(limit * 2**32)  # u < limit, u the hash over 2**32
+                        if limit >= 2**32:
+                            break
+                        more = h[i:j] >= np.uint32(limit)
+                        if not more.any():
+                            break
+                        times += more
+                    times = times.astype(np.int64)
+                    sums[0] += u[i:j] @ times
+                    sums[1] += times.sum(0)
+                    sums[2] += once[i:j] @ times
+        if sums is not None:
+            yield row(group, sums)
+
+    p = d.mapInArrow(run, schema).select(*names, F.posexplode(F.arrays_zip("total", "times", "have")).alias("b", "_v"))
+    return p.select(*keys, "b", "distance", "_v.*").where("times > 0")
 
 
 def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: int = 42, buckets: int = 4096) -> DataFrame:
@@ -92,8 +140,8 @@ def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: in
     # a sample's first row counts its draws, so one pass over rows and resamples gives sums and numbers of draws
     once = F.row_number().over(W.partitionBy(*keys, "sample_id").orderBy("distance"))
     rows = samples.select(*keys, "sample_id", "distance", "u").withColumn("_once", (once == 1).cast("int"))
-    drawn = _poisson(rows, size, keys, resamples, seed).groupBy(*keys, "b", "distance")
-    drawn = sinks.stored(drawn.agg(F.sum(F.col("u") * F.col("times")).alias("total"), F.sum("times").alias("times"), F.sum(F.col("times") * F.col("_once")).alias("have")), "sums")
+    drawn = _poisson_sums(rows, size, keys, resamples, seed).groupBy(*keys, "b", "distance")
+    drawn = sinks.stored(drawn.agg(*[F.sum(c).alias(c) for c in ("total", "times", "have")]), "sums")
     have = drawn.groupBy(*keys, "b").agg(F.sum("have").alias("have"))
     want = size.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).join(have, [*keys, "b"], "left")
     rest = F.col("n") - F.coalesce("have", F.lit(0))
@@ -112,13 +160,18 @@ def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: in
 
 def bootstrap_ecl(samples: DataFrame, keys: list[str], last: int, *, betas: tuple[float, ...] = (0.9,), resamples: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """(keys, beta, ecl, ci_lower, ci_upper): percentile intervals over resampled samples."""
+    return bootstrap_ecls(samples, keys, last, (resamples,), betas=betas, alpha=alpha, seed=seed).drop("resamples")
+
+
+def bootstrap_ecls(samples: DataFrame, keys: list[str], last: int, resamples: tuple[int, ...], *, betas: tuple[float, ...] = (0.9,), alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(keys, resamples, beta, ecl, ci_lower, ci_upper): ``bootstrap_ecl`` for each number of resamples; the fewer are the first of the most."""
     point = C.ecl(C.cumulative(C.profile(samples, keys, last), keys), keys, betas)
-    k = [*keys, "b"]
-    mean = bootstrap_sums(samples, keys, resamples, seed).select(*k, "distance", (F.col("total") / F.col("times")).cast("double").alias("influence"))
-    grid = samples.select(*keys).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("distance", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))))
+    k, most = [*keys, "b"], max(resamples)
+    mean = bootstrap_sums(samples, keys, most, seed).select(*k, "distance", (F.col("total") / F.col("times")).cast("double").alias("influence"))
+    grid = samples.select(*keys).distinct().withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("distance", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))))
     p = grid.join(mean, [*k, "distance"], "left").withColumn("influence", F.coalesce("influence", F.lit(0.0)))
-    e = C.ecl(C.cumulative(p, k), k, betas)
-    ci = e.groupBy(*keys, "beta").agg(F.percentile("ecl", F.lit(alpha / 2)).alias("ci_lower"), F.percentile("ecl", F.lit(1 - alpha / 2)).alias("ci_upper"))
+    e = C.ecl(C.cumulative(p, k), k, betas).withColumn("resamples", F.explode(F.array(*[F.lit(n) for n in resamples]))).where("b < resamples")
+    ci = e.groupBy(*keys, "resamples", "beta").agg(F.percentile("ecl", F.lit(alpha / 2)).alias("ci_lower"), F.percentile("ecl", F.lit(1 - alpha / 2)).alias("ci_upper"))
     return point.join(ci, [*keys, "beta"])
 
 

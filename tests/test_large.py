@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from spanscope import queries as Q
 from spanscope.functions import hashed
 from spanscope.operators import deltas as L
+from spanscope.operators import estimate as E
 from spanscope.operators import influence as I
 from spanscope.operators import kernels as K
 from spanscope.operators import models as M
@@ -110,3 +111,9 @@ def test_profile_of_kernels_is_the_mean_of_the_matrix(spark):
         want = L.matrix(L.block_changes(s, m, L.KERNELS, width=8), 32, 32, metric).groupBy("g", "kernel", "distance").agg(F.avg("u").alias("u"))
         got = L.profile(s, ["g"], m, L.KERNELS, 32, 32, metric, width=8)
         assert {tuple(r)[:3]: r["influence"] for r in got.collect()} == pytest.approx({tuple(r)[:3]: r["u"] for r in want.collect()})
+
+
+def test_fewer_resamples_are_the_first_of_more(spark):
+    s = spark.range(300).select(F.lit("m").alias("g"), F.col("id").alias("sample_id"), (F.col("id") % 7).alias("distance"), (F.col("id") * 37 % 101).alias("u"))
+    both = {r["resamples"]: tuple(r)[3:] for r in E.bootstrap_ecls(s, ["g"], 6, (20, 50)).select("g", "resamples", "beta", "ecl", "ci_lower", "ci_upper").collect()}
+    assert both == {n: tuple(E.bootstrap_ecl(s, ["g"], 6, resamples=n).select("ecl", "ci_lower", "ci_upper").first()) for n in (20, 50)}
