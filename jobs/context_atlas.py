@@ -56,7 +56,7 @@ def models(config: dict) -> dict[str, M.SiteModel]:
 
 def influence(docs: DataFrame, by_name: dict[str, M.SiteModel]) -> DataFrame:
     """(model, locus_class, doc_id, distance, influence, n): mean over a document's windows and both sides, n windows."""
-    seqs = S.document_sequences(docs.where("doc_id is not null"))
+    seqs = S.document_sequences_plain(docs.where("doc_id is not null"))
     key = F.substring_index("sample_id", ":", 1).cast("bigint")
     u = T.expected_discrepancy(T.contexts(seqs.withColumn("doc_id", key), ["locus_class", "doc_id"]), by_name)
     u = u.withColumn("distance", F.abs(F.col("pos") - S.REFERENCE))

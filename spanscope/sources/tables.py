@@ -72,6 +72,17 @@ def document_sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return d.mapInArrow(run, schema)
 
 
+def document_sequences_plain(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``document_sequences`` in column expressions, without Python workers."""
+    n = F.length("text")
+    last = F.floor((n - 1) / length).cast("int")
+    cut = lambda w: F.rpad(F.substr("text", F.greatest(F.least(w * length, n - length), F.lit(0)) + 1, F.lit(length)), length, "@")
+    d = docs.where(n > 0).select("lang", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), cut)).alias("window", "text"))
+    d = spread(d)
+    bases = F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 4).cast("tinyint"))  # whole characters, one pass over the text
+    return d.select(F.col("lang").alias("locus_class"), F.concat_ws(":", F.col("doc_id"), F.col("window")).alias("sample_id"), bases.alias("seq"))
+
+
 def windows(text: str, length: int) -> np.ndarray:
     """(windows, length) code points modulo 4 of one text of a character or more."""
     x = (np.frombuffer(text.encode("utf-32-le"), np.uint32) & 3).astype(np.int8)
