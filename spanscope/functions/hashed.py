@@ -15,7 +15,8 @@ _K = [int(abs(np.sin(i + 1)) * 2**32) for i in range(64)]
 _SHIFT = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
 _WORD = [*range(16), *[(5 * i + 1) % 16 for i in range(16)], *[(3 * i + 5) % 16 for i in range(16)], *[7 * i % 16 for i in range(16)]]
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
-_CHUNK = 8192
+#: Messages hashed together: arrays of 64 kB.
+_CHUNK = 1 << 14
 ONE_BLOCK = 55
 
 
@@ -64,40 +65,62 @@ def _by_length(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _words(letters: np.ndarray, at: int) -> np.ndarray:
+    """The 16 words of a block for every row, with the letters from place ``at`` on and zeros elsewhere."""
+    text = np.zeros((len(letters), 64), np.uint8)
+    text[:, at : at + letters.shape[1]] = letters
+    return text.view("<u4")
+
+
 def digests(heads: list[bytes], numbers, tails: list[bytes] | None = None, words: int = 1) -> np.ndarray:
-    """(heads, numbers, words) words of the md5 of head + number + tail, each 32 bits read big-endian as its hexadecimal text."""
+    """(heads, numbers, words) words of the md5 of head + number + tail, each 32 bits read big-endian as its hexadecimal text.
+
+    Head, number and tail lie side by side in a block, so its words are those of
+    head and tail, by row, or those of the number, by column; no text is put
+    together, and words that all messages share stay numbers.
+    """
     mids = [str(int(x)).encode() for x in numbers]
     out = np.empty((len(heads), len(mids), words), np.uint32)
     ends = tails if tails is not None else [b""] * len(heads)
     by_mid = _by_length(mids)
     sizes = np.array([(len(h), len(t)) for h, t in zip(heads, ends, strict=True)]).reshape(-1, 2)
-    for lh, lt in np.unique(sizes, axis=0):
+    for lh, lt in np.unique(sizes, axis=0).tolist():
         rows = np.flatnonzero((sizes == (lh, lt)).all(1))
         head = np.frombuffer(b"".join(heads[i] for i in rows), np.uint8).reshape(len(rows), lh)
-        tail = np.frombuffer(b"".join(ends[i] for i in rows), np.uint8).reshape(len(rows), lt)
+        tail = np.frombuffer(b"".join(ends[i] + b"\x80" for i in rows), np.uint8).reshape(len(rows), lt + 1)
         for cols, mid in by_mid:
-            size = lh + mid.shape[1] + lt
+            lm = mid.shape[1]
+            size = lh + lm + lt
             if size > ONE_BLOCK:
                 for i in rows:
                     for j in cols:
                         out[i, j] = np.frombuffer(hashlib.md5(heads[i] + mids[j] + ends[i]).digest()[: 4 * words], ">u4")
                 continue
+            by_row = _words(head, 0) | _words(tail, lh + lm)
+            by_col = _words(mid, lh)
+            touched = range(lh // 4, (lh + lm - 1) // 4 + 1)
+            shared = [w not in touched and bool((by_row[:, w] == by_row[0, w]).all()) for w in range(16)]
+            wide = slice(cols[0], cols[-1] + 1) if cols[-1] - cols[0] + 1 == len(cols) else cols
             step = max(1, _CHUNK // len(cols))
             for at in range(0, len(rows), step):
-                part = rows[at : at + step]
-                text = np.zeros((len(part), len(cols), 64), np.uint8)
-                text[:, :, :lh] = head[at : at + step, None]
-                text[:, :, lh : lh + mid.shape[1]] = mid
-                text[:, :, lh + mid.shape[1] : size] = tail[at : at + step, None]
-                text[:, :, size] = 0x80
-                n = text.shape[0] * text.shape[1]
-                block = text.reshape(n, 64).view("<u4")
-                message = [np.ascontiguousarray(block[:, w]) if w <= size // 4 else (8 * int(size) if w == 14 else 0) for w in range(16)]
-                if size // 4 >= 14:
-                    raise AssertionError(size)
-                got = _md5(message, n)[:words]
-                for k, x in enumerate(got):
-                    out[np.ix_(part, cols, [k])] = x.byteswap().reshape(len(part), len(cols), 1)
+                part, here = rows[at : at + step], by_row[at : at + step]
+                shape = (len(part), len(cols))
+                message = []
+                for w in range(16):
+                    if w == 14:
+                        message.append(8 * size)
+                    elif shared[w]:
+                        message.append(int(by_row[0, w]))
+                    elif w in touched:
+                        message.append((here[:, w, None] | by_col[None, :, w]).ravel())
+                    else:
+                        message.append(np.repeat(here[:, w], shape[1]))
+                for k, x in enumerate(_md5(message, shape[0] * shape[1])[:words]):
+                    x = x.byteswap(inplace=True).reshape(shape)
+                    if isinstance(wide, slice):
+                        out[part, wide, k] = x
+                    else:
+                        out[part[:, None], wide[None], k] = x
     return out
 
 

@@ -3,31 +3,69 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.rng import below, categorical, exponential
+from ..functions import hashed
+from ..functions.rng import exponential
+
+
+#: Bases generated together, one text's at least, and numbers hashed at once for all of them.
+BASES, BLOCK = 1 << 20, 512
 
 
 def _samples(spark: SparkSession, n: int, length: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("sample_id"), F.lit(length).alias("length"))
 
 
-def _bases(samples: DataFrame, base) -> DataFrame:
-    at = F.sequence(F.lit(0), F.col("length").cast("int") - 1)
-    return samples.select("sample_id", F.transform(at, lambda i: base(i).cast("tinyint")).alias("seq"))
+def _drawn(heads: list[bytes], size: np.ndarray, base: Callable[[np.ndarray], np.ndarray]) -> pa.ListArray:
+    """A list of ``size`` bases for every head, each of the draw of (head, place); null for none."""
+    start = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(start[-1], np.int8)
+    for lo in range(0, int(size.max()), BLOCK):
+        rows = np.flatnonzero(size > lo)
+        hi = min(lo + BLOCK, int(size.max()))
+        h = hashed.draws([heads[i] for i in rows], range(lo, hi))
+        own = np.arange(lo, hi) < size[rows, None]
+        out[(start[rows, None] + np.arange(lo, hi))[own]] = base(h[own])
+    return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(out), mask=pa.array(size == 0))
+
+
+def _bases(samples: DataFrame, seed: int, purpose: str, base: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(sample_id, seq): ``base`` turns the draws of (seed, purpose, sample, place), those of ``rng``, into bases; a few texts at a time, in Arrow batches."""
+    key = F.concat_ws(":", F.lit(str(seed)), F.lit(purpose), F.col("sample_id").cast("string"), F.lit(""))
+    size = F.when(F.col("length").isNull(), 0).otherwise(F.greatest(F.col("length").cast("int"), F.lit(1)))
+    d = samples.select("sample_id", key.alias("_key"), size.alias("_size"))
+    schema = T.StructType([d.schema["sample_id"], T.StructField("seq", T.ArrayType(T.ByteType()))])
+
+    def run(batches):
+        for batch in batches:
+            size, at = np.asarray(batch.column("_size")).astype(np.int64), 0
+            while at < batch.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(size[at:]), BASES, side="right")))
+                part = batch.slice(at, n)
+                seq = _drawn([k.encode() for k in part.column("_key").to_pylist()], size[at : at + n], base)
+                yield pa.RecordBatch.from_arrays([part.column("sample_id"), seq], schema.names)
+                at += n
+
+    return d.mapInArrow(run, schema)
 
 
 def uniform_like(samples: DataFrame, seed: int = 42) -> DataFrame:
-    """(sample_id, seq): uniform bases, as many as the sample's ``length`` says (one at least)."""
-    return _bases(samples, lambda i: below(4, seed, "base", F.col("sample_id"), i))
+    """(sample_id, seq): uniform bases, as many as the sample's ``length`` says (one at least); without a length null."""
+    return _bases(samples, seed, "base", lambda h: h % 4)
 
 
 def gc_like(samples: DataFrame, gc: float = 0.55, seed: int = 42, purpose: str = "gc") -> DataFrame:
     """(sample_id, seq): independent bases, G and C with probability gc / 2 each, as many as ``length`` says."""
-    p = [(1 - gc) / 2, gc / 2, gc / 2, (1 - gc) / 2]
-    return _bases(samples, lambda i: categorical(p, seed, purpose, F.col("sample_id"), i))
+    p = [(1 - gc) / 2, gc / 2, gc / 2]
+    at = np.array([p[0], p[0] + p[1], p[0] + p[1] + p[2]])
+    return _bases(samples, seed, purpose, lambda h: (h / 4294967296.0 >= at[:, None]).sum(0))
 
 
 def background_like(samples: DataFrame, gc: float = 0.42, seed: int = 42) -> DataFrame:
