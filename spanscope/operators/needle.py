@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import MOTIFS, encode_motif
 from ..functions.metrics import squared_euclidean
 from ..sources.generate import neutral_background
-from .models import Model, embed
+from .models import Model, SiteModel, embed
+from .sites import planted_sums
 
 
 def motif_start(center: int, distance: Column, motif: int, length: int, upstream: bool = True) -> Column:
@@ -32,7 +34,19 @@ def sensitivity(spark, model: Model, motif: str, distances: list[int], *, center
 
 
 def sensitivity_over(backgrounds: DataFrame, model: Model, motif: str, distances: list[int], *, center: int | None = None, seed: int = 42, metric=squared_euclidean) -> DataFrame:
-    """(motif, distance, sensitivity) with the motif planted at every distance of every given sequence ``seq``, embedded once without it."""
+    """(motif, distance, sensitivity) with the motif planted at every distance of every given sequence ``seq``.
+
+    A site model with the squared distance is evaluated in closed form; any other
+    model embeds each sequence once without the motif and once with it.
+    """
+    if type(model) is SiteModel and metric is squared_euclidean:  # a motif changes a few terms of the sum: nothing is embedded
+        letters = MOTIFS.get(motif, motif)
+        m = np.array(backgrounds.sparkSession.range(1).select(encode_motif(F.lit(letters), seed).alias("m")).first()["m"], np.intp)
+        last, middle = model.nominal_context - len(m), model.nominal_context // 2 if center is None else center
+        starts = [max(0, min(middle - int(d) - len(m) // 2, last)) for d in distances]
+        at = F.array(*[F.lit(int(x)).cast("bigint") for x in distances])
+        sums = planted_sums(backgrounds.select("seq", F.lit("").alias("sample_id")), starts, m, model)
+        return sums.groupBy(F.get(at, F.col("_i")).alias("distance")).agg((F.sum("u") / F.sum("n")).alias("sensitivity")).select(F.lit(motif).alias("motif"), "distance", "sensitivity")
     bg = embed(backgrounds.select("seq"), model, "seq", "z0")
     return _planted(bg.withColumn("distance", F.explode(F.array(*[F.lit(int(x)).cast("bigint") for x in distances]))), model, motif, center, seed, metric)
 
