@@ -55,7 +55,7 @@ def measured(samples: DataFrame, keys: list[str]) -> DataFrame:
 MOST = 13
 
 
-def _poisson_sums(rows: DataFrame, size: DataFrame, keys: list[str], resamples: int, seed: int, slab: int = 64) -> DataFrame:
+def _poisson_sums(rows: DataFrame, size: DataFrame, keys: list[str], resamples: int, seed: int, slab: int = 512) -> DataFrame:
     """(keys, distance, b, total, times, have), summed in part: a row's ``times`` for resample b is a Poisson draw of rate 1 - 5 / sqrt(n) by (keys, b, sample).
 
     One hash gives four resamples their 32 bits.  Rows come by key and distance,
@@ -145,7 +145,9 @@ def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: in
     have = drawn.groupBy(*keys, "b").agg(F.sum("have").alias("have"))
     want = size.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).join(have, [*keys, "b"], "left")
     rest = F.col("n") - F.coalesce("have", F.lit(0))
-    more = want.where(rest > 0).withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), rest - 1)))
+    # few rows that become very many: dealt over all tasks by number, which adaptive plans do not put together again
+    want = want.where(rest > 0).repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "b")
+    more = want.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), rest - 1)))
     more = more.select(*keys, "b", (draw(seed, "rest", *[F.col(k) for k in keys], F.col("b"), F.col("j")) % F.col("n")).alias("t"))
     placed = ids.withColumn("_bucket", draw(seed, "rank", F.col("sample_id")) % buckets)
     before = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))

@@ -117,3 +117,25 @@ def test_fewer_resamples_are_the_first_of_more(spark):
     s = spark.range(300).select(F.lit("m").alias("g"), F.col("id").alias("sample_id"), (F.col("id") % 7).alias("distance"), (F.col("id") * 37 % 101).alias("u"))
     both = {r["resamples"]: tuple(r)[3:] for r in E.bootstrap_ecls(s, ["g"], 6, (20, 50)).select("g", "resamples", "beta", "ecl", "ci_lower", "ci_upper").collect()}
     assert both == {n: tuple(E.bootstrap_ecl(s, ["g"], 6, resamples=n).select("ecl", "ci_lower", "ci_upper").first()) for n in (20, 50)}
+
+
+def test_generated_bases_are_hashed_draws(spark):
+    d = spark.createDataFrame([(3, 1), (None, 7), (41, 1300), (5, None), (6, 512)], "sample_id bigint, length int")
+    h = lambda purpose, k, i: int(hashlib.md5(":".join(["42", purpose, *([] if k is None else [str(k)]), str(i)]).encode()).hexdigest()[:8], 16)
+    n = {r["sample_id"]: r["length"] for r in d.collect()}
+    for f, purpose, base in ((G.uniform_like, "base", lambda x: x % 4), (G.background_like, "background", lambda x: sum(x / 2**32 >= t for t in (0.29, 0.5, 0.71)))):
+        df = f(d)
+        assert "transform(sequence" not in plan(df)
+        assert {r["sample_id"]: r["seq"] for r in df.collect()} == {k: None if size is None else [base(h(purpose, k, i)) for i in range(size)] for k, size in n.items()}
+
+
+def test_needle_embeds_nothing(spark):
+    p = plan(Q.QUERIES["d13_needle_sensitivity"](spark, SF))
+    assert "planted" not in p and "z0" not in p
+
+
+def test_late_draws_are_dealt_over_all_tasks(spark):
+    """The few draws that bring a resample to its size come from few rows that become very many."""
+    s = spark.range(400).select(F.concat(F.lit("m"), F.col("id") % 2).alias("model"), F.col("id").alias("sample_id"), (F.col("id") % 5).alias("distance"), F.col("id").alias("u"))
+    deals = [p for p in plan(E.bootstrap_sums(s, ["model"], 50)).split("\n") if "REPARTITION_BY_NUM" in p]
+    assert any("b#" in p and "model#" in p for p in deals)
