@@ -18,6 +18,8 @@ _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 #: Messages hashed together: arrays of 64 kB.
 _CHUNK = 1 << 14
 ONE_BLOCK = 55
+#: Numbers hashed at once for all heads of a ragged grid.
+BLOCK = 512
 
 
 def _md5(words: list, n: int) -> tuple[np.ndarray, ...]:
@@ -127,3 +129,16 @@ def digests(heads: list[bytes], numbers, tails: list[bytes] | None = None, words
 def draws(heads: list[bytes], numbers, tails: list[bytes] | None = None) -> np.ndarray:
     """(heads, numbers) whole numbers in [0, 2**32), as ``rng.draw`` of head + number + tail."""
     return digests(heads, numbers, tails)[:, :, 0]
+
+
+def ragged(heads: list[bytes], size: np.ndarray, of, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, values): ``of`` the draws of head + 0, head + 1, ... of every head one after the other, ``size`` numbers each; of(draws, rows)."""
+    start = np.concatenate([[0], np.cumsum(size)])
+    out = np.empty(start[-1], dtype)
+    most = int(size.max(initial=0))
+    for lo in range(0, most, BLOCK):
+        rows = np.flatnonzero(size > lo)
+        at = np.arange(lo, min(lo + BLOCK, most))
+        own = at < size[rows, None]
+        out[(start[rows, None] + at)[own]] = of(draws([heads[i] for i in rows], at)[own], np.repeat(rows, own.sum(1)))
+    return start, out

@@ -123,6 +123,29 @@ def _poisson_sums(rows: DataFrame, size: DataFrame, keys: list[str], resamples:
     return p.select(*keys, "b", "distance", "_v.*").where("times > 0")
 
 
+def _late(want: DataFrame, keys: list[str], seed: int, most: int = 1 << 20) -> DataFrame:
+    """(keys, b, t): ``rest`` draws from 0..n-1 of every row, by (keys, b, number)."""
+    head = F.concat_ws(":", F.lit(str(seed)), F.lit("rest"), *[F.col(k).cast("string") for k in keys], F.col("b").cast("string"), F.lit(""))
+    d = want.select(*keys, "b", "n", "rest", head.alias("_head"))
+    names = [*keys, "b"]
+    schema = T.StructType([*[d.schema[c] for c in names], T.StructField("t", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            size, at = np.asarray(batch.column("rest")).astype(np.int64), 0
+            while at < batch.num_rows:
+                step = max(1, int(np.searchsorted(np.cumsum(size[at:]), most, side="right")))
+                part, k = batch.slice(at, step), size[at : at + step]
+                n = np.asarray(part.column("n")).astype(np.int64)
+                _, t = hashed.ragged([x.encode() for x in part.column("_head").to_pylist()], k, lambda h, rows, n=n: h % n[rows], np.int64)
+                row = pa.array(np.repeat(np.arange(part.num_rows), k))
+                for i in range(0, len(t), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([*[part.column(c).take(row[i : i + (1 << 16)]) for c in names], pa.array(t[i : i + (1 << 16)])], schema.names)
+                at += step
+
+    return d.mapInArrow(run, schema)
+
+
 def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: int = 42, buckets: int = 4096) -> DataFrame:
     """(keys, b, distance, total, times): sums of u and numbers of draws when n of n whole samples are drawn with replacement.
 
@@ -147,15 +170,15 @@ def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: in
     rest = F.col("n") - F.coalesce("have", F.lit(0))
     # few rows that become very many: dealt over all tasks by number, which adaptive plans do not put together again
     want = want.where(rest > 0).repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "b")
-    more = want.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), rest - 1)))
-    more = more.select(*keys, "b", (draw(seed, "rest", *[F.col(k) for k in keys], F.col("b"), F.col("j")) % F.col("n")).alias("t"))
+    more = _late(want.select(*keys, "b", "n", rest.alias("rest")), keys, seed)
     placed = ids.withColumn("_bucket", draw(seed, "rank", F.col("sample_id")) % buckets)
     before = placed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = before.select(*keys, "_bucket", (F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).alias("_before"))
     ranked = placed.withColumn("_place", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("sample_id"))).join(before, [*keys, "_bucket"])
     ranked = ranked.select(*keys, "sample_id", (F.col("_before") + F.col("_place") - 1).alias("t"))
-    late = more.join(ranked, [*keys, "t"]).groupBy(*keys, "sample_id", "b").agg(F.count(F.lit(1)).cast("int").alias("times")).join(samples, [*keys, "sample_id"])
-    late = late.select(*keys, "b", "distance", (F.col("u") * F.col("times")).alias("total"), F.col("times").cast("bigint").alias("times"))
+    # sums are linear in the draws, so a draw takes its sample's rows as they are and is never grouped by sample
+    late = more.join(ranked.join(samples, [*keys, "sample_id"]).select(*keys, "t", "distance", "u"), [*keys, "t"])
+    late = late.groupBy(*keys, "b", "distance").agg(F.sum("u").alias("total"), F.count(F.lit(1)).alias("times"))
     both = drawn.select(*keys, "b", "distance", "total", "times").unionByName(late)
     return both.groupBy(*keys, "b", "distance").agg(F.sum("total").alias("total"), F.sum("times").alias("times"))
 

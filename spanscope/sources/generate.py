@@ -15,8 +15,8 @@ from ..functions import hashed
 from ..functions.rng import exponential
 
 
-#: Bases generated together, one text's at least, and numbers hashed at once for all of them.
-BASES, BLOCK = 1 << 20, 512
+#: Bases generated together, one text's at least.
+BASES = 1 << 20
 
 
 def _samples(spark: SparkSession, n: int, length: int) -> DataFrame:
@@ -25,14 +25,7 @@ def _samples(spark: SparkSession, n: int, length: int) -> DataFrame:
 
 def _drawn(heads: list[bytes], size: np.ndarray, base: Callable[[np.ndarray], np.ndarray]) -> pa.ListArray:
     """A list of ``size`` bases for every head, each of the draw of (head, place); null for none."""
-    start = np.concatenate([[0], np.cumsum(size)])
-    out = np.empty(start[-1], np.int8)
-    for lo in range(0, int(size.max()), BLOCK):
-        rows = np.flatnonzero(size > lo)
-        hi = min(lo + BLOCK, int(size.max()))
-        h = hashed.draws([heads[i] for i in rows], range(lo, hi))
-        own = np.arange(lo, hi) < size[rows, None]
-        out[(start[rows, None] + np.arange(lo, hi))[own]] = base(h[own])
+    start, out = hashed.ragged(heads, size, lambda h, _: base(h), np.int8)
     return pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(out), mask=pa.array(size == 0))
 
 
