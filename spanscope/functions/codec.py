@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +44,22 @@ def complement(seq: Column) -> Column:
 def token_to_base(token: Column, k: int | Column = 1) -> Column:
     """First base of a token in a model with k bases a token."""
     return token * F.lit(k)
+
+
+def listed(x: np.ndarray) -> pa.Array:
+    """Rows of equal length as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def packed(x: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+    """Rows of single bytes of equal length as binary values, or as strings."""
+    off = np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)
+    return pa.Array.from_buffers(kind or pa.binary(), len(x), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def bases(col: pa.Array) -> np.ndarray:
+    """All bases of a column of lists or binary values, one after the other."""
+    if pa.types.is_list(col.type):
+        return np.asarray(col.flatten())
+    off = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+    return np.frombuffer(col.buffers()[2], np.int8)[off[0] : off[-1]]

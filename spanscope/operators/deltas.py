@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import codec
 from .models import SiteModel
 from .sites import both_sides, by_distance
 
@@ -169,7 +170,7 @@ def block_changes(seqs: DataFrame, model: SiteModel, kernels: tuple[str, ...] =
         for batch in batches:
             for at in range(0, batch.num_rows, slab):
                 part = batch.slice(at, slab)
-                x = np.asarray(part.column("seq").flatten()).reshape(part.num_rows, -1).astype(np.int64)
+                x = codec.bases(part.column("seq")).reshape(part.num_rows, -1).astype(np.int64)
                 c = shares(x, weights)
                 zz = np.einsum("ni,ij,nj->n", c, gram, c)
                 lists = lambda v, n=x.shape: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, n[1]), pa.int32()), pa.array(v.ravel()))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from ..functions import codec
 from ..functions.rng import below
 
 
@@ -210,7 +211,7 @@ def markov_fit_rows(seqs: DataFrame, k: int = 3, slab: int = 256) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, slab):
                 part = batch.slice(at, slab)
-                x = np.asarray(part.column("seq").flatten()).reshape(part.num_rows, -1).astype(np.int64)
+                x = codec.bases(part.column("seq")).reshape(part.num_rows, -1).astype(np.int64)
                 n, length = x.shape
                 code = np.zeros((n, max(length - k, 0)), np.int64)
                 for i in range(k):

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import codec
+
 LENGTH, REFERENCE = 256, 128
 #: Windows handed out at once, unless one text has more.
 CUT = 2048
@@ -41,16 +43,18 @@ def embedding_pairs(emb: DataFrame, gap: int = 20) -> DataFrame:
     return a.join(b, "other").select("locus_class", "sample_id", "distance", "z", "z_pert")
 
 
-def document_sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def document_sequences(docs: DataFrame, length: int = LENGTH, *, packed: bool = False) -> DataFrame:
     """V3: every text cut into consecutive windows of ``length`` characters as bases, code point modulo 4.
 
     ``sample_id`` is "doc_id:window".  The last window ends with the text and so
     may overlap the one before it.  A shorter text is one window, filled up with
-    A; null and empty texts have none.
+    A; null and empty texts have none.  With ``packed`` seq is binary, a byte a
+    base, which Spark passes on whole; operators that work in Arrow batches take
+    either form.
     """
     id_ = F.concat_ws(":", F.col("doc_id"), F.lit("")).alias("_id")
     d = spread(docs.where(F.length("text") > 0).select(F.col("lang").alias("locus_class"), id_, "text"))
-    fields = [d.schema["locus_class"], T.StructField("sample_id", T.StringType(), False), T.StructField("seq", T.ArrayType(T.ByteType()))]
+    fields = [d.schema["locus_class"], T.StructField("sample_id", T.StringType(), False), T.StructField("seq", T.BinaryType() if packed else T.ArrayType(T.ByteType()))]
     schema = T.StructType(fields)
 
     def run(batches):
@@ -65,7 +69,7 @@ def document_sequences(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if size >= CUT or i + 1 == batch.num_rows:
                     row = np.repeat(at, [len(x) for x in rows])
                     names = [f"{ids[k].as_py()}{w}" for k, x in zip(at, rows, strict=True) for w in range(len(x))]
-                    seq = pa.ListArray.from_arrays(pa.array(np.arange(0, size * length + 1, length), pa.int32()), pa.array(np.concatenate(rows).ravel()))
+                    seq = codec.packed(np.concatenate(rows)) if packed else codec.listed(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays([batch.column("locus_class").take(pa.array(row)), pa.array(names, pa.string()), seq], schema.names)
                     rows, at, size = [], [], 0
 
