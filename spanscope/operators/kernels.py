@@ -113,8 +113,9 @@ def markov(x: np.ndarray, s: np.ndarray, rng: np.random.Generator, k: int = 3, f
     return y
 
 
-def markov_all(x: np.ndarray, s: np.ndarray, rngs: list[np.random.Generator], k: int = 3, flank: int = 500, slab: int = 64) -> np.ndarray:
+def markov_all(x: np.ndarray, s: np.ndarray, rngs: list[np.random.Generator], k: int = 3, flank: int = 500) -> np.ndarray:
     """``markov`` of equally long rows at the same positions s, each with its own generator."""
+    slab = min(512, max(64, (1 << 19) // 4 ** (k + 1)))  # counts of 4 MB at most
     s = np.sort(s)
     y = x.astype(np.int64)
     if not len(s):
@@ -169,6 +170,29 @@ def _even(lists: pa.Array) -> np.ndarray | None:
     return np.asarray(lists.flatten()).reshape(len(lists), -1)
 
 
+def perturb_windows(df: DataFrame, name: str, seed: int, key: list[str], positions: list[int], **options) -> DataFrame:
+    """(key, digits): ``perturb`` of equally long windows at the same positions, as text of a digit a base; nothing else is handed on."""
+    kernel, s = get_kernel(name, **options), np.asarray(sorted(positions), np.int64)
+    text = [F.lit(str(seed)), F.lit(name), *[F.col(k).cast("string") for k in key]]
+    d = df.select(*key, F.concat_ws(":", *text).alias("_key"), "seq")
+    schema = T.StructType([*[d.schema[k] for k in key], T.StructField("digits", T.StringType(), False)])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rngs = generators(b.column(len(key)))
+            x = codec.bases(b.column("seq")).reshape(b.num_rows, -1)
+            y = markov_all(x, s, rngs, **{**CHAINS[name], **options}) if name in CHAINS else np.stack([kernel(w, s, rng) for w, rng in zip(x, rngs, strict=True)])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(key)], codec.packed(y.astype(np.int8) + np.int8(48), pa.string())], schema.names)
+
+    return d.mapInArrow(run, schema)
+
+
+def generators(keys: pa.Array) -> list[np.random.Generator]:
+    return [np.random.default_rng(int.from_bytes(hashlib.md5(k.encode()).digest()[:8], "little")) for k in keys.to_pylist()]
+
+
 def perturb(df: DataFrame, name: str, seed: int, key: list[str], seq: str = "seq", positions: str = "positions", out: str = "perturbed", **options) -> DataFrame:
     """Adds the perturbed sequence; each row's generator is seeded by (seed, name, key columns)."""
     d = df.withColumn("_key", F.concat_ws(":", F.lit(str(seed)), F.lit(name), *[F.col(k).cast("string") for k in key]))
@@ -178,7 +202,7 @@ def perturb(df: DataFrame, name: str, seed: int, key: list[str], seq: str = "seq
 
     def run(batches):
         for b in batches:
-            rngs = [np.random.default_rng(int.from_bytes(hashlib.md5(key_.encode()).digest()[:8], "little")) for key_ in b.column(k).to_pylist()]
+            rngs = generators(b.column(k))
             x, s = _even(b.column(i)), _even(b.column(j))
             if name in CHAINS and x is not None and s is not None and (s == s[0]).all():
                 y = markov_all(x, s[0].astype(np.int64), rngs, **{**CHAINS[name], **options}).astype(np.int8)
