@@ -141,10 +141,11 @@ def _levels(facts: DataFrame) -> tuple[np.ndarray, int]:
     return level, total
 
 
-def _packets(n: int, percent: int, level: np.ndarray, blocks: int, cells: int, most: int = 1_000_000):
+def _packets(n: int, percent: int, level: np.ndarray, blocks: int, cells: int, most: int = 8 << 20):
     """Entries of a task's distinct sets, packed by block: ids, labels, sizes and counts of the rows, then (hash, row) pairs.
 
     A row's label, its component so far, is the second column if there is one, else its id.
+    What is held is handed out at about ``most`` bytes, a row's counts taken as often as its entries can have blocks.
     """
 
     def flush(ids, label, size, sk, h, row):
@@ -175,7 +176,8 @@ def _packets(n: int, percent: int, level: np.ndarray, blocks: int, cells: int, m
                 renum = np.cumsum(new) - 1
                 label = np.asarray(part.column(1)).view(np.uint64)[new] if part.num_columns > 1 else None
                 held.append((c1[new], label, size[new], sketch(h, at, cells)[new], ph[keep], renum[pr[keep]]))
-                count += int(keep.sum())
+                many = np.bincount(pr, minlength=len(new))[new]
+                count += int((12 * many + (24 + cells // 2) * np.minimum(many, blocks)).sum())
                 if count >= most:
                     yield flush(*_stack(held))
                     held, count = [], 0
@@ -249,7 +251,7 @@ def block_candidates(ids: np.ndarray, label: np.ndarray, size: np.ndarray, n: np
     length = np.diff(np.concatenate([start, [len(h)]]))
     union = Union(label)
     out, held = [], [0, 0]  # pairs, how many of them are distinct and how many came since
-    span = max(1, (1 << 24) // n.shape[1])  # pairs whose counts are compared at once: 16 MB a side, whatever the cells
+    span = max(1, (1 << 22) // n.shape[1])  # pairs whose counts are compared at once: 4 MB a side, whatever the cells
 
     def take(a, b):
         """Keep the pairs (a < b) that survive; in a forest, those that join components."""
@@ -273,8 +275,8 @@ def block_candidates(ids: np.ndarray, label: np.ndarray, size: np.ndarray, n: np
     for k in range(2, small + 1):
         s = start[length == k]
         i, j = np.triu_indices(k, 1)
-        for c in range(0, len(s), max(1, 2_000_000 // len(i))):
-            part = s[c : c + max(1, 2_000_000 // len(i))]
+        for c in range(0, len(s), max(1, 500_000 // len(i))):
+            part = s[c : c + max(1, 500_000 // len(i))]
             pair = np.unique(row[(part[:, None] + i).ravel()] * len(uniq) + row[(part[:, None] + j).ravel()])  # rows ascend in a column
             take(pair // len(uniq), pair % len(uniq))
     seen = set()

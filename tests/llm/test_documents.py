@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -259,6 +260,20 @@ def test_ngram_components_about_the_threshold(spark):
         assert cases.ordered(ngramjoin.join_components(d, **options).collect()) == want
 
 
+def test_packets_are_bounded_by_bytes_however_many_blocks():
+    """A row's counts travel to every block its entries have, so many short rows take more than their entries."""
+    rng = np.random.default_rng(8)
+    text = [cases.prose(rng, 60, 5000) for _ in range(3000)]
+    batches = [pa.RecordBatch.from_pydict({"text": text[i : i + 100]}) for i in range(0, 3000, 100)]
+    level = np.zeros(1 << 18, np.uint8)
+    out = list(ngramjoin._packets(5, 80, level, 64, 1024, 1 << 20)(iter(batches)))
+    assert len(out) > 10 and max(b.nbytes for b in out) < 3 << 20
+    ids = np.concatenate([ngramjoin._unpack([x], 1024)[0] for b in out for x in b.column(1).to_pylist()])
+    assert len(np.unique(ids)) == 3000
+    default = list(ngramjoin._packets(5, 80, level, 64, 1024)(iter(batches)))
+    assert max(b.nbytes for b in default) < 12 << 20  # all rows at once: 18 MB
+
+
 def test_one_of_each(docs):
     got = ngramjoin.one_of_each(docs)
     assert got.columns == docs.columns
