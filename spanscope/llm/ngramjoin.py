@@ -19,6 +19,7 @@ link when  100 * overlap >= percent * union.
 *   Edges are settled exactly: the overlap of both whole rows is accumulated and
     compared with the bound.  A group's rows are dealt into chunks, and the edges
     between two chunks meet in a task, so neither a group nor its texts ever do.
+    The texts lie in buckets of their set's id: labels and edges travel to them.
     Edges to the smallest neighbour come first; mostly they join a group already.
 *   A group all of whose rows hang together by settled links is done, for its
     candidates hang together.  The rows of the others are multiplied once more,
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._base import partitions, pieces, stored, text_buffers, tidy
+from ._base import bucketed, partitions, pieces, stored, text_buffers, tidy
 from ._groups import components
 from ._repeats import keyed, marked
 from ._words import LOWER, prefix_sums, ranges, scramble, span_hash, words
@@ -371,6 +372,32 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return stored(rows.select("id", "group").join(at, F.col("id") == F.col("v"), "left").select("id", "group", F.coalesce("c", "id").alias("label")))
 
 
+def _hung(rows: DataFrame, edges: DataFrame, n: int, percent: int, level: np.ndarray, blocks, cells: int) -> DataFrame:
+    """(id, group, label) of the (group, chunk, id, n, text) rows: their components by links, from the first product's edges.
+
+    The rows lie in buckets of id, so that labels and edges come to the texts.
+    """
+    links = _settled(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), rows, n, percent)
+    labels = _labelled(rows, links)
+    open_ = labels.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("group").alias("g"))
+    for every in (False, True):
+        some = rows.join(labels.join(open_, F.col("group") == F.col("g"), "left_semi").select(F.col("id").alias("i"), "label"), F.col("id") == F.col("i")).select("group", "chunk", "id", "n", "text", "label")
+        with bucketed(some, "id", dealt=True) as some:
+            entries = some.agg(F.sum("n")).first()[0]
+            if not entries:
+                break
+            edges = _candidates(some.select("text", "label"), n, percent, level, blocks(entries), cells, every)
+            found = _settled(edges, some, n, percent)
+            failed = edges.join(found, ["a", "b"], "left_anti")
+            links = links.unionByName(found)
+            labels = _labelled(rows, links)
+            # a group is open as long as an edge has failed between two of its components
+            one = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+            across = failed.join(labels, F.col("a") == F.col("id")).join(one, "b").where("label <> lb")
+            open_ = stored(across.select(F.col("group").alias("g")).distinct())
+    return labels
+
+
 def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, block_entries: int = 3_000_000, cells: int = 128, fine_cells: int = 1024, chunk_rows: int = 256) -> DataFrame:
     """(r1, r2, doc_id, n, component, key1, key2): one row per document; r1 and r2 are hashes of id and text.
 
@@ -385,29 +412,15 @@ def linked(docs: DataFrame, *, n: int = 5, percent: int = 80, block_entries: int
     edges = _candidates(d.select("text"), n, percent, level, blocks(total), cells)
     groups = components(edges)
     classes = facts.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("first"), F.min(F.struct("r1", "r2")).alias("r"), F.max("n").alias("n"))
-    chosen = classes.join(groups, F.col("c1") == F.col("v")).select(F.col("c").alias("group"), F.col("c1").alias("id"), "n", F.col("r.r1").alias("q1"), F.col("r.r2").alias("q2"))
-    rows = d.join(chosen, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))).select("group", "id", "n", "text")
     chunks = groups.groupBy(F.col("c").alias("g")).agg(F.ceil(F.count(F.lit(1)) / chunk_rows).alias("chunks"))
     deal = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    rows = stored(rows.dropDuplicates(["id"]).join(chunks, F.col("group") == F.col("g")).select("group", deal.alias("chunk"), "id", "n", "text"))
-    links = _settled(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), rows, n, percent)
-    labels = _labelled(rows, links)
-    open_ = labels.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("group").alias("g"))
-    for every in (False, True):
-        some = rows.join(labels.join(open_, F.col("group") == F.col("g"), "left_semi").select(F.col("id").alias("i"), "label"), F.col("id") == F.col("i")).select("group", "chunk", "id", "n", "text", "label")
-        some = stored(some)
-        entries = some.agg(F.sum("n")).first()[0]
-        if not entries:
-            break
-        edges = _candidates(some.select("text", "label"), n, percent, level, blocks(entries), fine_cells, every)
-        found = _settled(edges, some, n, percent)
-        failed = edges.join(found, ["a", "b"], "left_anti")
-        links = links.unionByName(found)
-        labels = _labelled(rows, links)
-        # a group is open as long as an edge has failed between two of its components
-        one = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        across = failed.join(labels, F.col("a") == F.col("id")).join(one, "b").where("label <> lb")
-        open_ = stored(across.select(F.col("group").alias("g")).distinct())
+    chosen = classes.join(groups, F.col("c1") == F.col("v")).groupBy("c1").agg(F.min(F.struct("r.r1", "r.r2", F.col("c").alias("group"), "n")).alias("x"))
+    chosen = chosen.select(F.col("c1").alias("id"), F.col("x.r1").alias("q1"), F.col("x.r2").alias("q2"), "x.group", "x.n")
+    chosen = chosen.join(chunks, F.col("group") == F.col("g")).select("group", deal.alias("chunk"), "id", "n", "q1", "q2")
+    # texts come last and go by one key at a time: here by (r1, r2), by which rows that repeat are dropped, then by id
+    rows = d.join(chosen, (F.col("r1") == F.col("q1")) & (F.col("r2") == F.col("q2"))).dropDuplicates(["r1", "r2"]).select("group", "chunk", "id", "n", "text")
+    with bucketed(rows, "id") as rows:
+        labels = _hung(rows, edges, n, percent, level, blocks, fine_cells)
     label = labels.select(F.col("id").alias("k"), "label")
     settled = classes.join(label, F.col("c1") == F.col("k"))
     least = settled.groupBy("label").agg(F.min("first").alias("component"), F.min(F.struct("c1", "c2")).alias("key"))

@@ -274,6 +274,24 @@ def test_packets_are_bounded_by_bytes_however_many_blocks():
     assert max(b.nbytes for b in default) < 12 << 20  # all rows at once: 18 MB
 
 
+def test_labels_come_to_the_texts(spark, docs, monkeypatch):
+    """No text is shuffled to get its label, nor to be settled with the first edges: the rows are read by bucket."""
+    seen, bucketed = [], ngramjoin.bucketed
+    monkeypatch.setattr(ngramjoin, "bucketed", lambda df, key, dealt=False: (seen.append((dealt, df._jdf.queryExecution().toString())), bucketed(df, key, dealt=dealt))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = cases.ordered(ngramjoin.join_components(docs, cells=2, chunk_rows=4).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == cases.ordered(cases.components(cases.documents()))
+    assert [dealt for dealt, _ in seen][:2] == [False, True]
+    for dealt, plan in seen:
+        physical = plan.split("== Physical Plan ==")[1]
+        assert ("Bucketed: true" in physical) == dealt and physical.count("Exchange") > 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("t_")]
+
+
 def test_one_of_each(docs):
     got = ngramjoin.one_of_each(docs)
     assert got.columns == docs.columns
