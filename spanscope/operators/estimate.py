@@ -123,12 +123,16 @@ def _poisson_sums(rows: DataFrame, size: DataFrame, keys: list[str], resamples:
     return p.select(*keys, "b", "distance", "_v.*").where("times > 0")
 
 
+#: Ranks that are looked up together, as a power of two: what a draw keeps of its rank fits 16 bits.
+SHELF = 15
+
+
 def _late(want: DataFrame, keys: list[str], seed: int, most: int = 1 << 20) -> DataFrame:
-    """(keys, b, t): ``rest`` draws from 0..n-1 of every row, by (keys, b, number)."""
+    """(keys, b, _shelf, ts): ``rest`` draws from 0..n-1 of every row, by (keys, b, number); a row for those of a shelf, two bytes a draw."""
     head = F.concat_ws(":", F.lit(str(seed)), F.lit("rest"), *[F.col(k).cast("string") for k in keys], F.col("b").cast("string"), F.lit(""))
     d = want.select(*keys, "b", "n", "rest", head.alias("_head"))
     names = [*keys, "b"]
-    schema = T.StructType([*[d.schema[c] for c in names], T.StructField("t", T.LongType())])
+    schema = T.StructType([*[d.schema[c] for c in names], T.StructField("_shelf", T.LongType()), T.StructField("ts", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
@@ -138,14 +142,63 @@ def _late(want: DataFrame, keys: list[str], seed: int, most: int = 1 << 20) -> D
                 part, k = batch.slice(at, step), size[at : at + step]
                 n = np.asarray(part.column("n")).astype(np.int64)
                 _, t = hashed.ragged([x.encode() for x in part.column("_head").to_pylist()], k, lambda h, rows, n=n: h % n[rows], np.int64)
-                row = pa.array(np.repeat(np.arange(part.num_rows), k))
-                for i in range(0, len(t), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([*[part.column(c).take(row[i : i + (1 << 16)]) for c in names], pa.array(t[i : i + (1 << 16)])], schema.names)
+                row = np.repeat(np.arange(part.num_rows), k)
+                order = np.lexsort((t, row))
+                row, shelf = row[order], t[order] >> SHELF
+                first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (shelf[1:] != shelf[:-1])]))
+                ends = pa.array(2 * np.append(first, len(t)), pa.int32())
+                ts = pa.Array.from_buffers(pa.binary(), len(first), [None, ends.buffers()[1], pa.py_buffer((t[order] & ((1 << SHELF) - 1)).astype("<u2").tobytes())])
+                of = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(of) for c in names], pa.array(shelf[first]), ts], schema.names)
                 at += step
 
     return d.mapInArrow(run, schema)
 
 
+def _looked_up(more: DataFrame, ranked: DataFrame, keys: list[str], most: int = 1 << 20) -> DataFrame:
+    """(keys, b, distance, total, times): the draws of ``_late`` take the rows (keys, t, distance, u) of their rank, shelf by shelf in a task.
+
+    No draw is a row, so nothing that grows with the draws looks small enough to be sent to all.
+    """
+    kept = [*keys, "_shelf"]
+    rows = ranked.select(*keys, F.shiftright("t", SHELF).alias("_shelf"), F.col("t").bitwiseAND((1 << SHELF) - 1).cast("int").alias("t"), "distance", "u")
+    value = T.LongType() if isinstance(rows.schema["u"].dataType, T.IntegralType) else T.DoubleType()
+    kind = np.int64 if value == T.LongType() else np.float64
+    schema = T.StructType([*[rows.schema[k] for k in keys], more.schema["b"], rows.schema["distance"], T.StructField("total", value), T.StructField("times", T.LongType())])
+
+    def look(draws, rows):
+        out = [pa.array([], f.type) for f in [*[rows.schema.field(k) for k in keys], draws.schema.field("b"), rows.schema.field("distance")]] + [pa.array([], pa.from_numpy_dtype(kind)), pa.array([], pa.int64())]
+        if not draws.num_rows or not rows.num_rows:
+            return pa.Table.from_arrays(out, schema.names)
+        tables = []
+        t = np.asarray(rows.column("t"))
+        order = np.argsort(t, kind="stable")
+        start = np.searchsorted(t[order], np.arange((1 << SHELF) + 1))
+        coded = rows.column("distance").combine_chunks().dictionary_encode(null_encoding="encode")
+        distance, far = np.asarray(coded.indices).astype(np.int64)[order], len(coded.dictionary)
+        u = np.asarray(rows.column("u").fill_null(0)).astype(kind)[order]
+        b, ts = draws.column("b").combine_chunks(), draws.column("ts").to_pylist()
+        fit = max(1, most // int(np.diff(start).max()))  # draws whose rows are held at once
+        upto, at = np.cumsum([len(x) // 2 for x in ts]), 0
+        while at < len(ts):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + fit, side="right")))
+            drawn = np.frombuffer(b"".join(ts[at:end]), "<u2").astype(np.intp)
+            of = np.repeat(np.arange(at, end), np.diff(upto[at:end], prepend=upto[at - 1] if at else 0))
+            n = start[drawn + 1] - start[drawn]
+            i = np.repeat(start[drawn] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            cell, which, times = np.unique(np.repeat(of, n) * far + distance[i], return_inverse=True, return_counts=True)
+            total = np.zeros(len(cell), kind)
+            np.add.at(total, which, u[i])
+            own = [pa.array([rows.column(k)[0].as_py()] * len(cell), rows.schema.field(k).type) for k in keys]
+            tables.append(pa.Table.from_arrays([*own, b.take(pa.array(cell // far)), coded.dictionary.take(pa.array(cell % far)), pa.array(total), pa.array(times)], schema.names))
+            at = end
+        return pa.concat_tables(tables)
+
+    parts = int(more.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    more, rows = (d.repartition(parts, *kept) for d in (more, rows))  # a shelf is little data and much work: not put together
+    return more.groupBy(*kept).cogroup(rows.groupBy(*kept)).applyInArrow(look, schema)
+
+
 def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: int = 42, buckets: int = 4096) -> DataFrame:
     """(keys, b, distance, total, times): sums of u and numbers of draws when n of n whole samples are drawn with replacement.
 
@@ -154,9 +207,9 @@ def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: in
     row draws its own counts where it lies, at a rate that leaves N under n by
     about five times its root (in one resample of three million it does not,
     and that one is a little larger), and only the missing draws, about
-    5 sqrt(n) a resample, look their samples up by rank.  Sums combine before
-    they are shuffled; no row holds a list of samples, and ranks come from
-    counts of hashed buckets, so no task orders all samples of a key.
+    5 sqrt(n) a resample, look their samples up by rank, 2**15 ranks in a task.
+    Sums combine before they are shuffled, and ranks come from counts of hashed
+    buckets, so no task orders all samples of a key.
     """
     ids = samples.select(*keys, "sample_id").distinct()
     size = ids.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
@@ -177,8 +230,7 @@ def bootstrap_sums(samples: DataFrame, keys: list[str], resamples: int, seed: in
     ranked = placed.withColumn("_place", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy("sample_id"))).join(before, [*keys, "_bucket"])
     ranked = ranked.select(*keys, "sample_id", (F.col("_before") + F.col("_place") - 1).alias("t"))
     # sums are linear in the draws, so a draw takes its sample's rows as they are and is never grouped by sample
-    late = more.join(ranked.join(samples, [*keys, "sample_id"]).select(*keys, "t", "distance", "u"), [*keys, "t"])
-    late = late.groupBy(*keys, "b", "distance").agg(F.sum("u").alias("total"), F.count(F.lit(1)).alias("times"))
+    late = _looked_up(more, ranked.join(samples, [*keys, "sample_id"]).select(*keys, "t", "distance", "u"), keys)
     both = drawn.select(*keys, "b", "distance", "total", "times").unionByName(late)
     return both.groupBy(*keys, "b", "distance").agg(F.sum("total").alias("total"), F.sum("times").alias("times"))
 

@@ -139,3 +139,37 @@ def test_late_draws_are_dealt_over_all_tasks(spark):
     s = spark.range(400).select(F.concat(F.lit("m"), F.col("id") % 2).alias("model"), F.col("id").alias("sample_id"), (F.col("id") % 5).alias("distance"), F.col("id").alias("u"))
     deals = [p for p in plan(E.bootstrap_sums(s, ["model"], 50)).split("\n") if "REPARTITION_BY_NUM" in p]
     assert any("b#" in p and "model#" in p for p in deals)
+
+
+def test_late_draws_are_not_sent_to_all(spark):
+    """They are few rows before they are drawn, so they look small enough to be broadcast; they are not."""
+    s = spark.range(400).select(F.concat(F.lit("m"), F.col("id") % 2).alias("model"), F.col("id").alias("sample_id"), (F.col("id") % 5).alias("distance"), F.col("id").alias("u"))
+    d = E.bootstrap_sums(s, ["model"], 50)
+    d.collect()
+    lines, sent = plan(d).split("\n"), []
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            below = [x for x in lines[i + 1 :]]
+            end = next((j for j, x in enumerate(below) if len(x) - len(x.lstrip(" :+-*")) <= depth - 1), len(below))
+            sent += [x for x in below[:end] if "MapInArrow" in x]
+    assert not sent
+    assert "FlatMapCoGroupsInArrow" in plan(d)
+
+
+def test_late_draws_take_all_rows_of_their_sample(spark, monkeypatch):
+    """Twenty samples or fewer are drawn by rank alone; three shelves, two of one key; rows without u or distance count as drawn."""
+    monkeypatch.setattr(E, "SHELF", 3)
+    rows = [(g, k, d, None if k == 4 else 10 * k + i) for g, n in (("a", 19), ("b", 7)) for k in range(n) for i, d in enumerate((0, None, k % 3 + 1))]
+    want: dict = {}
+    for g, n in (("a", 19), ("b", 7)):
+        rank = sorted(range(n), key=lambda k: (drawn(42, "rank", k) % 4096, k))
+        for b in range(30):
+            for j in range(n):
+                k = rank[drawn(42, "rest", g, b, j) % n]
+                for h, i, d, u in rows:
+                    if (h, i) == (g, k):
+                        total, times = want.get((g, b, d), (0, 0))
+                        want[g, b, d] = total + (u or 0), times + 1
+    s = spark.createDataFrame(rows, "g string, sample_id bigint, distance bigint, u bigint")
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in E.bootstrap_sums(s, ["g"], 30).select("g", "b", "distance", "total", "times").collect()} == want
