@@ -1,9 +1,10 @@
 """Blocks perturbed at every position of a window, by any kernel, without a second forward pass.
 
-A window's embedding of a site model is a linear form in twenty shares: the
-weight on each base and on each neighbour pair.  Perturbing a block changes the
-shares of its sites and of the pairs that touch it, nothing else.  So a window
-is embedded once, a perturbed block is a sparse change of twenty numbers, and
+A window's embedding of a site model is a linear form in twenty shares: a base
+and its right neighbour have the same weight, so there is one for each of the
+sixteen pairs, and one for each base at the window's end.  Perturbing a block
+changes the shares of its places and of the one before it, nothing else.  So a
+window is embedded once, a perturbed block is a change of twenty numbers, and
 the metrics need three of its inner products with the embedding: |z|**2, z.d and
 |d|**2, of which they are column expressions.
 
@@ -43,10 +44,18 @@ def window_key(seed: int, kernel: str, sample: str) -> int:
     return int.from_bytes(hashlib.md5(f"{seed}:{kernel}:{sample}".encode()).digest()[:8], "little")
 
 
+def bits(keys: np.ndarray, positions: int, width: int) -> np.ndarray:
+    """(width, windows, positions) draws below 2**53, place by place of a block."""
+    at = ((np.arange(positions * width, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).reshape(positions, width)
+    out = np.empty((width, len(keys), positions), np.uint64)
+    for t in range(width):
+        out[t] = mixed(keys[:, None] + at[None, :, t]) >> np.uint64(11)
+    return out
+
+
 def uniforms(keys: np.ndarray, positions: int, width: int) -> np.ndarray:
     """(windows, positions, width) draws in [0, 1)."""
-    at = (np.arange(positions * width, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed(keys[:, None] + at[None]) >> np.uint64(11)).reshape(len(keys), positions, width) * 2.0**-53
+    return bits(keys, positions, width).transpose(1, 2, 0) * 2.0**-53
 
 
 def blocks(length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,103 +65,125 @@ def blocks(length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.minimum(p + h, length - 1) - first + 1
 
 
-def _substituted(x: np.ndarray, u: np.ndarray) -> np.ndarray:
-    return (x + 1 + np.floor(3 * u).astype(np.int64)) % 4
-
-
-def _shuffled(x: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """A walk over each block's neighbour pairs, of those leaving a base the one drawn least first; what it misses stays."""
-    y, m = x.copy(), len(x)
-    source, target = x[:, :-1], x[:, 1:]
-    free = np.arange(x.shape[1] - 1)[None] < (size - 1)[:, None]
-    at, going, row = x[:, 0].copy(), np.ones(m, bool), np.arange(m)
-    for step in range(1, x.shape[1]):
-        order = np.where(free & (source == at[:, None]), u[:, :-1], 2.0)
-        best = order.argmin(1)
-        going &= (order[row, best] < 2.0) & (step < size)
-        at = np.where(going, target[row, best], at)
-        free[row[going], best[going]] = False
-        y[going, step] = at[going]
-    return np.where((size < 4)[:, None], _substituted(x, u), y)
-
-
-def chain(windows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(windows, 4**k, 3) running shares of the next base, add-one smoothed; an unseen k-mer has even ones."""
-    n, length = windows.shape
-    code = np.zeros((n, max(length - k, 0)), np.int64)
-    for i in range(k):
-        code = code * 4 + windows[:, i : length - k + i]
-    flat = (np.arange(n)[:, None] * 4**k + code) * 4 + windows[:, k:]
-    count = np.bincount(flat.ravel(), minlength=n * 4 ** (k + 1)).reshape(n, 4**k, 4) + 1.0
-    count[count.sum(2) == 4] = 1.0
-    return (np.cumsum(count, 2) / count.sum(2, keepdims=True))[..., :3]
-
-
-def _redrawn(windows: np.ndarray, x: np.ndarray, first: np.ndarray, u: np.ndarray, k: int) -> np.ndarray:
-    """Blocks redrawn left to right, each base given the k before it as they are by then."""
-    share, y = chain(windows, k), x.copy()
+def placed(windows: np.ndarray, width: int) -> np.ndarray:
+    """(places, windows, positions) bases of the block around every position, its places from the first to the one after the widest; a window's last base goes on beyond its end."""
+    first, size = blocks(windows.shape[1], width)
+    return np.stack([windows[:, np.minimum(first + t, windows.shape[1] - 1)] for t in range(int(size.max()) + 1)])
+
+
+def _substituted(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (x + 1 + ((h * np.uint64(3)) >> np.uint64(53)).astype(np.uint8)) & 3
+
+
+def _shuffled(x: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A walk over each block's neighbour pairs, of those leaving a base the one drawn least first; what it misses stays.
+
+    Pairs are bits by the order of their draws; a base holds those that leave it and are left, and the lowest is taken.
+    """
+    n, shape, m = len(x) - 1, x.shape[1:], x[0].size
+    if 1 << n > len(LOWEST):
+        return _shuffled_wide(x, size, h)
+    x, h, end = x.reshape(len(x), m), h.reshape(len(h), m), np.broadcast_to(size - 1, shape).ravel()
+    rank = np.zeros((n, m), np.uint8)
+    for j in range(n):
+        for i in range(j):
+            later = h[j] >= h[i]  # of equal ones the first
+            rank[j] += later
+            rank[i] += ~later
+    row = np.arange(m)
+    left, target = np.zeros((4, m), BITS), np.empty((n, m), np.uint8)
+    for i in range(n):
+        target[rank[i], row] = x[i + 1]
+        bit = np.where(i < end, np.left_shift(BITS(1), rank[i], dtype=BITS), BITS(0))
+        for b in range(4):
+            left[b] |= np.where(x[i] == b, bit, BITS(0))
+    left, target, y = left.ravel(), target.ravel(), x.copy()
+    at, going = x[0], np.ones(m, bool)
+    for step in range(1, n + 1):
+        here = at * np.intp(m) + row
+        free = left[here]
+        going = going & (free != 0)
+        left[here] = free & (free - BITS(1))
+        at = np.where(going, target[LOWEST[free] * np.intp(m) + row], at)
+        y[step] = np.where(going, at, x[step])
+    return np.where(np.broadcast_to(size < 4, shape).ravel(), _substituted(x, h), y).reshape(-1, *shape)
+
+
+def _shuffled_wide(x: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The same for more pairs than there are bits, looking at all of them in every step."""
+    y, size = x.copy(), np.broadcast_to(size, x.shape[1:])
+    source, target = x[:-1], x[1:]
+    free = np.arange(len(x) - 1)[:, None, None] < size - 1
+    at, going = x[0], np.ones(size.shape, bool)
+    for step in range(1, len(x)):
+        order = np.where(free & (source == at), h[:-1], np.uint64(1 << 53))
+        best = order.argmin(0)[None]
+        going = going & (np.take_along_axis(order, best, 0)[0] < np.uint64(1 << 53))
+        at = np.where(going, np.take_along_axis(target, best, 0)[0], at)
+        np.put_along_axis(free, best, np.take_along_axis(free, best, 0) & ~going, 0)
+        y[step] = np.where(going, at, x[step])
+    return np.where(size < 4, _substituted(x, h), y)
+
+
+#: The pairs of a block that can be shuffled, one bit each, and the lowest bit set (0 for none).
+BITS = np.uint16
+LOWEST = np.array([0, *[(i & -i).bit_length() - 1 for i in range(1, 1 << 16)]], np.uint8)
+
+
+def _redrawn(windows: np.ndarray, h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Blocks redrawn left to right, each base given the k before it as they are by then: by add-one smoothed counts of the window, even for an unseen k-mer."""
     n, length = windows.shape
-    row = np.repeat(np.arange(n), length)
-    for t in range(x.shape[1]):
-        code = np.zeros(len(x), np.int64)
-        for i in range(k, 0, -1):
-            at = first + t - i
-            base = y[:, t - i] if t >= i else windows[row, np.maximum(at, 0)]
-            code = np.where(at >= 0, code * 4 + base, code)
-        y[:, t] = (share[row, code] <= u[:, t, None]).sum(1)
+    before = np.zeros((n, length), np.intp)  # the k bases before a position, fewer at the start
+    for i in range(1, min(k, length - 1) + 1):
+        before[:, i:] += windows[:, : length - i].astype(np.intp) << 2 * (i - 1)
+    row = (np.arange(n) * 4**k)[:, None]
+    seen = (before + row)[:, k:].ravel()
+    count = np.bincount(seen * 4 + windows[:, k:].ravel(), minlength=n * 4 ** (k + 1)).reshape(-1, 4)
+    share = np.cumsum(count[seen] + 1.0, 1)
+    share /= share[:, 3:]
+    upto = [np.full(n * 4**k, 0.25 * (i + 1)) for i in range(3)]
+    for i in range(3):
+        upto[i][seen] = share[:, i]
+    y, code = np.empty(h.shape, np.uint8), before[:, first]
+    for t, draw in enumerate(h):
+        u, at = draw * 2.0**-53, code + row
+        np.sum([x.take(at) <= u for x in upto], 0, np.uint8, out=y[t])
+        code = (4 * code + y[t]) & (4**k - 1)
     return y
 
 
-def perturbed(windows: np.ndarray, kernel: str, width: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(blocks before, after, size) of every window and position; entries beyond a block's size are to be ignored."""
-    n, length = windows.shape
+def perturbed(windows: np.ndarray, kernel: str, width: int, keys: np.ndarray, x: np.ndarray | None = None) -> np.ndarray:
+    """(places, windows, positions) bases of every block after; ``x`` is ``placed``; entries beyond a block's size are to be ignored."""
+    length = windows.shape[1]
     first, size = blocks(length, width)
-    widest = int(size.max())
-    x = windows[:, np.minimum(first[:, None] + np.arange(widest), length - 1)].reshape(-1, widest)
-    u = uniforms(keys, length, widest).reshape(-1, widest)
-    first, size = np.tile(first, n), np.tile(size, n)
+    x = (placed(windows, width) if x is None else x)[:-1]
+    h = bits(keys, length, len(x))
     if kernel == "substitution":
-        return x, _substituted(x, u), size
+        return _substituted(x, h)
     if kernel == "shuffle":
-        return x, _shuffled(x, size, u), size
+        return _shuffled(x, size, h)
     k, flank = CHAINS[kernel]
     if flank < length - 1:
         raise ValueError(f"windows of {length} are longer than the flank of {kernel}; use model_samples")
-    return x, _redrawn(windows, x, first, u, k), size
+    return _redrawn(windows, h, first, k)
 
 
 def shares(windows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(windows, 20): weight on each base and on each neighbour pair."""
-    pair = 4 * windows[:, :-1] + windows[:, 1:]
-    site = [(weights * (windows == b)).sum(1) for b in range(4)]
-    return np.stack([*site, *[(weights[:-1] * (pair == b)).sum(1) for b in range(16)]], 1)
+    """(windows, 20): weight on each neighbour pair, by its left base, and on each base at the end."""
+    n, length = windows.shape
+    state = np.concatenate([4 * windows[:, :-1] + windows[:, 1:], 16 + windows[:, -1:]], 1) + 20 * np.arange(n)[:, None]
+    return np.bincount(state.ravel(), np.tile(weights, n), 20 * n).reshape(n, 20)
 
 
-def changes(windows: np.ndarray, x: np.ndarray, y: np.ndarray, size: np.ndarray, width: int, weights: np.ndarray) -> np.ndarray:
-    """(windows * positions, 20): how the shares change with the blocks x of all positions replaced by y."""
+def around(windows: np.ndarray, x: np.ndarray, width: int, weights: np.ndarray) -> np.ndarray:
+    """(windows * positions, 20): ``shares`` of the places of every block x and of the one before it, which are those that change with it."""
     n, length = windows.shape
-    first = np.tile(blocks(length, width)[0], n)
-    row, m = np.repeat(np.arange(n), length), len(x)
-    out = np.zeros(m * 20)
-    at = np.arange(m) * 20
-
-    def add(slot, w):
-        out[at + slot] += w  # one slot a row, so none twice
-
-    before, new = windows[row, np.maximum(first - 1, 0)], windows[row, np.maximum(first - 1, 0)]
-    for t in range(x.shape[1] + 1):
-        inside, pos = t < size, first + t
-        # the place after the block has its old base; the pair that ends there is the last to change
-        old = windows[row, np.minimum(pos, length - 1)]
-        now = np.where(inside, y[:, min(t, x.shape[1] - 1)], old)
-        w = np.where(inside, weights[np.minimum(pos, length - 1)], 0.0)
-        add(now, w)
-        add(old, -w)
-        w = np.where((pos > 0) & (t <= size) & (pos < length), weights[np.clip(pos - 1, 0, length - 1)], 0.0)
-        add(4 + 4 * new + now, w)
-        add(4 + 4 * before + old, -w)
-        before, new = old, now
-    return out.reshape(m, 20)
+    first, size = blocks(length, width)
+    at = first - 1 + np.arange(len(x))[:, None]
+    w = np.where((at >= 0) & (at < length) & (np.arange(len(x))[:, None] <= size), weights[np.clip(at, 0, length - 1)], 0.0)
+    left = np.concatenate([windows[None, :, np.maximum(first - 1, 0)], x[:-1]])
+    state = np.where((at == length - 1)[:, None], 16 + left, 4 * left + x).reshape(len(x), -1) + 20 * np.arange(n * length)
+    return np.bincount(state.ravel(), np.broadcast_to(w[:, None], x.shape).ravel(), 20 * n * length).reshape(-1, 20)
 
 
 def block_changes(seqs: DataFrame, model: SiteModel, kernels: tuple[str, ...] = ("substitution",), *, width: int = 1, seed: int = 42, slab: int = 64, run_only: bool = False):
@@ -163,23 +194,28 @@ def block_changes(seqs: DataFrame, model: SiteModel, kernels: tuple[str, ...] =
     keep = [f for f in seqs.schema.fields if f.name != "seq"]
     schema = T.StructType([*keep, T.StructField("kernel", T.StringType()), T.StructField("zz", T.DoubleType()), T.StructField("zd", T.ArrayType(T.DoubleType())), T.StructField("dd", T.ArrayType(T.DoubleType()))])
     names, weights = [f.name for f in keep], model.weights
-    vectors = np.concatenate([model.site, model.pair if model.pair is not None else np.zeros((16, model.embedding_dim))])
+    pair = model.pair if model.pair is not None else np.zeros((16, model.embedding_dim))
+    vectors = np.concatenate([np.repeat(model.site, 4, 0) + pair, model.site])
     gram = vectors @ vectors.T
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, slab):
                 part = batch.slice(at, slab)
-                x = codec.bases(part.column("seq")).reshape(part.num_rows, -1).astype(np.int64)
+                x = codec.bases(part.column("seq")).reshape(part.num_rows, -1).astype(np.uint8)
                 c = shares(x, weights)
-                zz = np.einsum("ni,ij,nj->n", c, gram, c)
+                cg = c @ gram
+                zz = (cg * c).sum(1)
                 lists = lambda v, n=x.shape: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, n[1]), pa.int32()), pa.array(v.ravel()))
+                old = placed(x, width)
+                inside, before = (np.arange(len(old))[:, None] < blocks(x.shape[1], width)[1])[:, None], around(x, old, width, weights)
                 for kernel in kernels:
                     keys = np.array([window_key(seed, kernel, s) for s in part.column("sample_id").to_pylist()], np.uint64)
-                    d = changes(x, *perturbed(x, kernel, width, keys), width, weights)
-                    g = d @ gram
-                    zd = (g.reshape(len(x), -1, 20) * c[:, None]).sum(2)
-                    dd = np.maximum((g * d).sum(1), 0.0)
+                    new = old.copy()
+                    np.copyto(new[:-1], perturbed(x, kernel, width, keys, old), where=inside[:-1])
+                    d = around(x, new, width, weights) - before
+                    zd = (d.reshape(len(x), -1, 20) @ cg[:, :, None]).ravel()
+                    dd = np.maximum(np.einsum("ij,ij->i", d @ gram, d), 0.0)
                     yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array([kernel] * len(x)), pa.array(zz), lists(zd), lists(dd)], schema.names)
 
     return run if run_only else seqs.mapInArrow(run, schema)

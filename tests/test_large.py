@@ -173,3 +173,30 @@ def test_late_draws_take_all_rows_of_their_sample(spark, monkeypatch):
                         want[g, b, d] = total + (u or 0), times + 1
     s = spark.createDataFrame(rows, "g string, sample_id bigint, distance bigint, u bigint")
     assert {tuple(r)[:3]: tuple(r)[3:] for r in E.bootstrap_sums(s, ["g"], 30).select("g", "b", "distance", "total", "times").collect()} == want
+
+
+def test_all_kernels_at_once_take_numpy_steps_by_place_not_by_row(spark):
+    """Wide and narrow blocks, a window shorter than a k-mer and one of equal bases: changes of shares are those of whole forward passes."""
+    for length, width in ((40, 8), (40, 21), (4, 3)):
+        m = M.synthetic(length, 8, 6.0)
+        rng = np.random.default_rng(length + width)
+        x = rng.integers(0, 4, (5, length)).astype(np.uint8)
+        x[1] = 2
+        first, size = L.blocks(length, width)
+        for kernel in L.KERNELS:
+            old, new = L.placed(x, width), L.placed(x, width)
+            y = L.perturbed(x, kernel, width, np.arange(5, dtype=np.uint64), old)
+            assert y.dtype == np.uint8 and y.shape == (int(size.max()), 5, length)
+            for p in range(length):
+                new[: size[p], :, p] = y[: size[p], :, p]
+            d = (L.around(x, new, width, m.weights) - L.around(x, old, width, m.weights)).reshape(5, length, 20)
+            vectors = np.concatenate([np.repeat(m.site, 4, 0) + m.pair, m.site])
+            for i in range(5):
+                for p in range(length):
+                    z = x[i].copy()
+                    z[first[p] : first[p] + size[p]] = y[: size[p], i, p]
+                    assert d[i, p] @ vectors == pytest.approx(m(z[None])[0] - m(x[i][None])[0], abs=1e-12)
+            if kernel == "shuffle":
+                h = L.bits(np.arange(5, dtype=np.uint64), length, len(y))
+                inside = (np.arange(len(y))[:, None, None] < size) & np.ones((5, 1), bool)
+                assert (L._shuffled_wide(old[:-1], size, h)[inside] == y[inside]).all()
