@@ -10,10 +10,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _hex(*parts) -> Column:
+    cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.md5(F.concat_ws(":", *cols))
+
+
 def draw(*parts) -> Column:
     """Uniform whole number in [0, 2**32)."""
-    cols = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(_hex(*parts), 1, 8), 16, 10).cast("bigint")
+
+
+def lowest_bit(*parts) -> Column:
+    """``draw`` modulo 2, read off its last digit."""
+    return F.substring(_hex(*parts), 8, 1).isin(*"13579bdf").cast("bigint")
 
 
 def uniform(*parts) -> Column:

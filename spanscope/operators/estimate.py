@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import hashed
-from ..functions.rng import draw
+from ..functions.rng import draw, lowest_bit
 from ..sources import sinks, tables
 from . import context as C
 
@@ -262,21 +262,22 @@ def importance_weighted(u: Column, proposal: Column, pilot: Column, floor: float
     return u * pilot / F.greatest(proposal, F.lit(floor))
 
 
-def permutation_test(paired: DataFrame, keys: list[str], permutations: int = 10_000, seed: int = 42) -> DataFrame:
+def permutation_test(paired: DataFrame, keys: list[str], permutations: int = 10_000, seed: int = 42, *, signs: int = 32) -> DataFrame:
     """(keys, n, mean_diff, p_value, ci_half): sign flips of the differences ecl_f - ecl_g.
 
     Whole sums are compared, so ties with the observed one count exactly.  The
-    flips of a locus are drawn 32 permutations at a time, the bits of one hash of
-    (group, permutations, locus); a row gives 32 sums, which combine over loci
-    before they are shuffled, and nothing is exploded by permutation before that.
+    flips of a locus are drawn ``signs`` permutations at a time, at most 32, the
+    lowest bits of one hash of (group, number of these permutations, locus); with
+    1 every permutation of every locus has a draw of its own.  A row gives
+    ``signs`` sums, which combine over loci before they are shuffled.
     """
     d = paired.withColumn("d", F.col("ecl_f") - F.col("ecl_g"))
     stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.abs(F.sum("d")).alias("obs"), F.avg("d").alias("mean_diff"), (F.lit(1.96) * F.stddev_samp("d") / F.sqrt(F.count(F.lit(1)))).alias("ci_half"))
-    x = tables.spread(d.select(*keys, "locus_id", "d")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // 32))))
-    x = x.withColumn("_bits", draw(seed, "perm", *[F.col(k) for k in keys], F.col("_block"), F.col("locus_id")))
-    flipped = [F.sum(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) == 0, F.col("d")).otherwise(-F.col("d"))) for i in range(32)]
+    x = tables.spread(d.select(*keys, "locus_id", "d")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((permutations - 1) // signs))))
+    x = x.withColumn("_bits", (draw if signs > 1 else lowest_bit)(seed, "perm", *[F.col(k) for k in keys], F.col("_block"), F.col("locus_id")))
+    flipped = [F.sum(F.when(F.col("_bits").bitwiseAND(F.lit(1 << i)) == 0, F.col("d")).otherwise(-F.col("d"))) for i in range(signs)]
     t = x.groupBy(*keys, "_block").agg(*[f.alias(f"_{i}") for i, f in enumerate(flipped)])
-    t = t.select(*keys, "_block", F.posexplode(F.array(*[f"_{i}" for i in range(32)])).alias("_i", "t")).where(F.col("_block") * 32 + F.col("_i") < permutations)
+    t = t.select(*keys, "_block", F.posexplode(F.array(*[f"_{i}" for i in range(signs)])).alias("_i", "t")).where(F.col("_block") * signs + F.col("_i") < permutations)
     t = t.select(*keys, F.abs("t").alias("t"))
     j = t.join(stats, keys) if keys else t.crossJoin(F.broadcast(stats))  # without keys one row
     return j.groupBy(*keys, "n", "mean_diff", "ci_half").agg(F.avg((F.col("t") >= F.col("obs")).cast("double")).alias("p_value")).select(*keys, "n", "mean_diff", "p_value", "ci_half")

@@ -328,6 +328,15 @@ def test_ten_thousand_permutations_of_all_pairs(spark, small):
     assert Q.QUERIES["g6_permutation_test"](spark, small).first()["p_value"] == pytest.approx(p_value(one), abs=1e-6)
 
 
+def test_every_permutation_draws_every_locus(spark, small):
+    """g6 hashes each of 10,000 permutations of each locus, as its SQL did at first and does again."""
+    loci = {r["locus_id"]: r["ecl_f"] - r["ecl_g"] for r in Q._paired(spark, small).collect()}
+    flip = lambda k, i: 1 if drawn(42, "perm", k, i) % 2 == 0 else -1
+    hits = sum(abs(sum(flip(k, i) * x for i, x in loci.items())) >= abs(sum(loci.values())) for k in range(10_000))
+    assert len(loci) > 5
+    assert Q.QUERIES["g6_permutation_test"](spark, small).first()["p_value"] == pytest.approx(hits / 10_000, abs=1e-6)
+
+
 def test_needle_in_fifty_backgrounds(spark):
     far = [1, 5, 10, 20, 40, 80]
     bg = {r["sample_id"]: np.array(r["seq"], np.int8) for r in G.neutral_background(spark, 50 * len(far), 256).collect()}
