@@ -25,7 +25,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from spanscope.operators import context as C
 from spanscope.operators import estimate as E
@@ -55,26 +54,23 @@ def models(config: dict) -> dict[str, M.SiteModel]:
 
 
 def influence(docs: DataFrame, by_name: dict[str, M.SiteModel]) -> DataFrame:
-    """(model, locus_class, doc_id, distance, influence, n): mean over a document's windows and both sides, n windows."""
+    """(locus_class, doc_id, distance, n, a column for every model): mean over a document's windows and both sides, n windows at distance 0."""
     seqs = S.document_sequences_plain(docs.where("doc_id is not null"))
     key = F.substring_index("sample_id", ":", 1).cast("bigint")
-    u = T.expected_discrepancy(T.contexts(seqs.withColumn("doc_id", key), ["locus_class", "doc_id"]), by_name)
+    u = T.expected_discrepancy(seqs.withColumn("doc_id", key), ["locus_class", "doc_id"], by_name)
     u = u.withColumn("distance", F.abs(F.col("pos") - S.REFERENCE))
     # one row a document and distance leaves the map side, with a sum for each model
     sums = u.groupBy("locus_class", "doc_id", "distance").agg(F.count(F.lit(1)).alias("rows"), *[F.sum(f"u_{m}").alias(m) for m in by_name])
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("total")) for m in by_name]))
-    t = sums.select("locus_class", "doc_id", "distance", "rows", each.alias("_m"))
-    return t.select("_m.model", "locus_class", "doc_id", "distance", (F.col("_m.total") / F.col("rows")).alias("influence"), F.when(F.col("distance") == 0, F.col("rows")).alias("n"))
+    return sums.select("locus_class", "doc_id", "distance", F.when(F.col("distance") == 0, F.col("rows")).alias("n"), *[(F.col(m) / F.col("rows")).alias(m) for m in by_name])
 
 
 def run(spark: SparkSession, documents: str, out: str, config: dict) -> dict[str, int]:
     """Write both levels; returns the rows written."""
     docs = spark.read.parquet(documents).select("doc_id", "text", "lang")
     log.info("reading %d documents from %s", docs.count(), documents)  # counted from the files' footers
-    keys = ["model", "locus_class", "doc_id"]
-    c = C.cumulative(influence(docs, models(config)), keys).withColumn("n", F.max("n").over(W.partitionBy(*keys)))
-    e = C.ecl(c, [*keys, "n"], tuple(float(b) for b in config["betas"]))
-    written = {"document": _write(e.select("locus_class", "doc_id", "beta", "ecl", "n", "model"), out, "document")}
+    by_name = models(config)
+    e = C.wide_ecl(influence(docs, by_name), ["locus_class", "doc_id"], list(by_name), tuple(float(b) for b in config["betas"]), (F.max("n").alias("n"),))
+    written = {"document": _write(e.select("locus_class", "doc_id", "beta", "ecl", "n", F.col("name").alias("model")), out, "document")}
     back = read(spark, out, "document")
     t = E.percentile_interval(back, ["model", "locus_class", "beta"]).withColumn("utilization", F.col("ecl") / S.LENGTH * 100)
     written["class"] = _write(t.select("locus_class", "beta", "ecl", "ci_lower", "ci_upper", "n", "utilization", "model"), out, "class")

@@ -78,6 +78,23 @@ def ecl(c: DataFrame, keys: list[str], betas: tuple[float, ...] = BETAS, kind: s
     return b.groupBy(*keys, "beta").agg(_reach(F.col("beta"), kind).alias("ecl"))
 
 
+def wide_ecl(p: DataFrame, keys: list[str], names: list[str], betas: tuple[float, ...] = BETAS, also: tuple[Column, ...] = ()) -> DataFrame:
+    """(keys, also, name, beta, ecl): ``ecl`` of ``cumulative`` of many profiles at once, a column each, on one grid of distances 0.. without gaps.
+
+    A group's distances are ordered once for all profiles, and all shares are aggregates of one row a group; ``also`` are further aggregates.
+    """
+    by = W.partitionBy(*keys).orderBy("distance")
+    mass = lambda i: F.when(F.col("distance") == 0, 1).otherwise(2) * F.col(names[i])
+    cum = {f"_cum{i}": F.sum(mass(i)).over(by.rowsBetween(W.unboundedPreceding, 0)) for i in range(len(names))}
+    total = {f"_total{i}": F.sum(mass(i)).over(by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) for i in range(len(names))}
+    p = p.select("*", *[c.alias(n) for n, c in {**cum, **total}.items()])
+    first = lambda i, beta: F.min(F.when(F.col(f"_cum{i}") >= F.lit(float(beta)) * F.col(f"_total{i}"), F.col("distance")))
+    reach = lambda i, beta: F.when(F.max(f"_total{i}") <= 0, F.lit(0)).otherwise(F.coalesce(first(i, beta), F.max("distance"))).cast("bigint")
+    found = [F.struct(F.lit(n).alias("name"), F.lit(float(b)).alias("beta"), reach(i, b).alias("ecl")) for i, n in enumerate(names) for b in betas]
+    g = p.groupBy(*keys).agg(*also, F.array(*found).alias("_found"))
+    return g.withColumn("_found", F.explode("_found")).select(*[c for c in g.columns if c != "_found"], "_found.*")
+
+
 def row_ecl(rows: DataFrame, profile: str, betas: tuple[float, ...] = BETAS) -> DataFrame:
     """The columns of ``rows`` but ``profile``, with (beta, ecl): ``ecl`` of ``cumulative`` where a row holds its profile by distance 0.. as an array."""
     keep = [f for f in rows.schema.fields if f.name != profile]

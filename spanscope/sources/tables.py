@@ -13,6 +13,8 @@ from ..functions import codec
 LENGTH, REFERENCE = 256, 128
 #: Windows handed out at once, unless one text has more.
 CUT = 2048
+#: Windows of a piece of a text.
+CHUNK = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,12 +79,16 @@ def document_sequences(docs: DataFrame, length: int = LENGTH, *, packed: bool =
 
 
 def document_sequences_plain(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``document_sequences`` in column expressions, without Python workers."""
-    n = F.length("text")
-    last = F.floor((n - 1) / length).cast("int")
-    cut = lambda w: F.rpad(F.substr("text", F.greatest(F.least(w * length, n - length), F.lit(0)) + 1, F.lit(length)), length, "@")
-    d = docs.where(n > 0).select("lang", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), last), cut)).alias("window", "text"))
-    d = spread(d)
+    """``document_sequences`` in column expressions, without Python workers; a text's windows stay together."""
+    d = spread(docs.where(F.length("text") > 0).select("lang", "doc_id", "text"))
+    n, last = F.col("_n"), F.floor((F.col("_n") - 1) / length).cast("int")
+    start = lambda w: F.greatest(F.least(w * length, n - length), F.lit(0))
+    # first into pieces of CHUNK windows: a place in a text is found by counting from its start
+    piece = lambda c: F.substr("text", start(c * CHUNK) + 1, F.lit(CHUNK * length))
+    d = d.withColumn("_n", F.length("text")).select("lang", "doc_id", "_n", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(last / CHUNK).cast("int")), piece)).alias("_c", "_piece"))
+    cut = lambda w: F.rpad(F.substr("_piece", start(F.col("_c") * CHUNK + w) - start(F.col("_c") * CHUNK) + 1, F.lit(length)), length, "@")
+    d = d.select("lang", "doc_id", "_c", F.posexplode(F.transform(F.sequence(F.lit(0), F.least(F.lit(CHUNK - 1), last - F.col("_c") * CHUNK)), cut)).alias("_w", "text"))
+    d = d.withColumn("window", F.col("_c") * CHUNK + F.col("_w"))
     bases = F.transform(F.split("text", ""), lambda c: (F.ascii(c) % 4).cast("tinyint"))  # whole characters, one pass over the text
     return d.select(F.col("lang").alias("locus_class"), F.concat_ws(":", F.col("doc_id"), F.col("window")).alias("sample_id"), bases.alias("seq"))
 

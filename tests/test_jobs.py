@@ -103,6 +103,27 @@ def test_atlas_of_nothing(spark, tmp_path):
     assert context_atlas.run(spark, f"{tmp_path}/docs", f"{tmp_path}/out", queries.ATLAS) == {"document": 0, "class": 0}
 
 
+def test_atlas_windows_by_pieces_of_a_text(spark, monkeypatch):
+    """Texts longer than a piece, ending in it, at its end and just after it, of one and more bytes a character."""
+    monkeypatch.setattr(context_atlas.S, "CHUNK", 3)
+    texts = {k: "".join(chr(97 + (i * i + k) % 23) + "é🙂"[i % 2] * (k % 2) for i in range(n)) for k, n in enumerate((1, 255, 256, 257, 768, 769, 1000, 1600, 2304))}
+    docs = spark.createDataFrame([(k, t, "en") for k, t in texts.items()], "doc_id bigint, text string, lang string")
+    want = {r["sample_id"]: r["seq"] for r in context_atlas.S.document_sequences(docs).collect()}
+    assert {r["sample_id"]: r["seq"] for r in context_atlas.S.document_sequences_plain(docs).collect()} == want
+
+
+def test_atlas_orders_a_document_once(spark):
+    """All models and shares of a document are one row: neither is a key before it, and no row of a base is made but in generated code."""
+    from spanscope.operators import context as C
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by_name = context_atlas.models(queries.ATLAS)
+    p = context_atlas.influence(docs, by_name)
+    assert p.columns == ["locus_class", "doc_id", "distance", "n", *by_name]
+    plan = C.wide_ecl(p, ["locus_class", "doc_id"], list(by_name))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("BroadcastNestedLoopJoin") == 1
+
+
 def test_atlas_needs_no_python_workers(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     plan = context_atlas.influence(docs, context_atlas.models(queries.ATLAS))._jdf.queryExecution().executedPlan().toString()
